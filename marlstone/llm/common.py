@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -56,3 +58,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{tag}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once a session, so
+    that it need not be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp(prefix="spark-marlstone-"), "marlstone.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "marlstone").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)

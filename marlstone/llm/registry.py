@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from .exact import OP9_SQL, op9_golomb_exchange
+from .mixing import OP5_SQL, op5_weighted_fair_queue
 from .quality import OP2_SQL, op2_quality_rules
+from .sharding import OP3_SQL, op3_weighted_hash_tree
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_weighted_hash_tree": op3_weighted_hash_tree,
+    "op5_weighted_fair_queue": op5_weighted_fair_queue,
+    "op9_golomb_exchange": op9_golomb_exchange,
 }
 
 ORACLES = {
     "op2_quality_rules": OP2_SQL,
+    "op3_weighted_hash_tree": OP3_SQL,
+    "op5_weighted_fair_queue": OP5_SQL,
+    "op9_golomb_exchange": OP9_SQL,
 }
