@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .exact import OP9_SQL, op9_golomb_exchange
 from .mixing import OP5_SQL, op5_weighted_fair_queue
+from .near import OP4_SQL, op4_chosen_path
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import OP3_SQL, op3_weighted_hash_tree
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
+    "op4_chosen_path": op4_chosen_path,
     "op5_weighted_fair_queue": op5_weighted_fair_queue,
     "op9_golomb_exchange": op9_golomb_exchange,
 }
@@ -17,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_quality_rules": OP2_SQL,
     "op3_weighted_hash_tree": OP3_SQL,
+    "op4_chosen_path": OP4_SQL,
     "op5_weighted_fair_queue": OP5_SQL,
     "op9_golomb_exchange": OP9_SQL,
 }
