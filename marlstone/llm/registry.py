@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .exact import OP9_SQL, op9_golomb_exchange
+from .licenses import OP10_SQL, op10_license_rules
+from .lines import OP8_SQL, op8_line_winnowing
 from .mixing import OP5_SQL, op5_weighted_fair_queue
 from .near import OP4_SQL, op4_chosen_path
+from .pii import op7_pii
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import OP3_SQL, op3_weighted_hash_tree
 
@@ -13,7 +16,10 @@ QUERIES = {
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_chosen_path": op4_chosen_path,
     "op5_weighted_fair_queue": op5_weighted_fair_queue,
+    "op7_pii": op7_pii,
+    "op8_line_winnowing": op8_line_winnowing,
     "op9_golomb_exchange": op9_golomb_exchange,
+    "op10_license_rules": op10_license_rules,
 }
 
 ORACLES = {
@@ -21,5 +27,7 @@ ORACLES = {
     "op3_weighted_hash_tree": OP3_SQL,
     "op4_chosen_path": OP4_SQL,
     "op5_weighted_fair_queue": OP5_SQL,
+    "op8_line_winnowing": OP8_SQL,
     "op9_golomb_exchange": OP9_SQL,
+    "op10_license_rules": OP10_SQL,
 }
