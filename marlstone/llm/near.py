@@ -9,14 +9,16 @@ at most).  Independent trees are repeated to the target recall: at similarity
 0.85 a pair parts in every tree with probability 1e-9 when its leaves are two
 tokens deep and 1e-5 when they are four deep.
 
-Links serve components, so they are confirmed in two rounds.  First each node
-is compared with the smallest member it meets (a star per tree node, never all
-pairs); after joining what is linked, only pairs whose components still differ
-are compared: all pairs inside leaves, and in deep nodes that stayed large
-(clusters of near copies) the members outside the star's component against all
-members, exactly.  Before a comparison lengths and 128 one-bit minhashes must
-allow the threshold; the latter cut lies six standard deviations below it.
-Every link is confirmed on the full sets.
+Links serve components, so they are confirmed in two rounds.  First members are
+compared with one drawn in each tree node (stars, never all pairs); after
+joining what is linked, stars are drawn again among those still apart, and then
+every pair whose components still differ is compared: all such pairs inside
+leaves, and in deep nodes that stayed large (clusters of near copies) members
+outside the largest component against all members, exactly.  Before a comparison lengths and 128 one-bit minhashes must
+allow the threshold; the latter cut lies six standard deviations below it.  In
+the second round the shingles that a member shares with no other open member
+bound its similarities as well, exactly: copies that were edited too far apart
+drop out without being paired.  Every link is confirmed on the full sets.
 
 Edge cases: a null or blank text has no shingles and is linked with nothing; a
 text of fewer words than a shingle is one shingle; equal ids or rows are linked
@@ -39,6 +41,8 @@ from .hashing import functions, mix, shingle_sets, slices
 TREES = 16
 DEPTHS = (2, 4, 7)
 LEAF = 48
+#: Further draws of stars among members that are still apart.
+DRAWS = 2
 SKETCH = 128
 #: Ids of documents to confirm, up to this many, are broadcast to the scan; a
 #: larger set is joined by shuffle.
@@ -163,21 +167,61 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets have the similarity."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes in ``asked``, from whole texts."""
     wanted = written(nodes.select("node", "k1", "k2", "doc_id").join(asked, "node"), "asked")
     ids = wanted.select(F.col("doc_id").alias("id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
     sets = texts.mapInArrow(_setter(width), _SETS).join(wanted.select("node", "k1", "k2"), ["k1", "k2"])
-    sets = written(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    return written(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets have the similarity."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return written(both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b"), "links")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """(node, c): how many of a node's shingles any other of these nodes has."""
+    alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("only")).where("n = 1")
+    alone = alone.groupBy("only").agg(F.count(F.lit(1)).alias("u"))
+    return sets.join(alone, F.col("node") == F.col("only"), "left").select("node", (F.size("shingles") - F.coalesce("u", F.lit(0))).alias("c"))
+
+
+def _may_share(x, y, percent: int) -> Column:
+    """The similarity is possible if only the shared shingles can be common."""
+    most = F.least(x["c"], y["c"])
+    return most * 100 >= (x["n"] + y["n"] - most) * percent
+
+
+def _stars(met: DataFrame, may, draw: int = 0) -> DataFrame:
+    """Distinct pairs (a, b): a member of a tree node and the one drawn there."""
+    drawn = met.groupBy("p").agg(F.min_by(F.struct([c for c in met.columns if c not in ("p", "large")]), F.xxhash64("p", "node", F.lit(draw))).alias("y"))
+    j = met.join(written(drawn, "drawn"), "p").where((F.col("node") != F.col("y.node")) & may(F.struct([c for c in met.columns if c != "p"]), F.col("y")))
+    return j.select(F.col("node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _with_comps(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows`` with each node's component; itself if it is linked with none."""
+    j = rows.join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+    return j.withColumn("comp", F.coalesce("comp", "node")).drop("c_node")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components differ."""
+    x = _with_comps(pairs.withColumnRenamed("a", "node"), comps).select(F.col("node").alias("a"), "b", F.col("comp").alias("x"))
+    y = _with_comps(x.withColumnRenamed("b", "node"), comps).select("a", F.col("node").alias("b"), "x", "comp")
+    return y.where("x != comp").select("a", "b")
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(signed, groups).  signed: rid, doc_id, n (size of the shingle set), k1
     and k2 (its name) of each row.  groups: k1, k2, comp and component_id of
@@ -189,30 +233,48 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
     nodes = signed.join(same.select("node"), F.col("rid") == F.col("node"), "left_semi").withColumnRenamed("rid", "node")
     met = written(_grown(nodes), "met")
 
-    # round 1: each node with the smallest member it meets
-    me, other = F.struct("n", "s1", "s2"), F.col("pivot")
-    pivots = met.groupBy("p").agg(F.min(F.struct("node", "n", "s1", "s2")).alias("pivot"))
-    stars = met.join(pivots, "p").where((F.col("node") != F.col("pivot.node")) & _may_link(me, other, percent))
-    first = written(stars.groupBy("node").agg(F.min("pivot.node").alias("b")).withColumnRenamed("node", "a"), "first")
-    links = _confirmed(docs, nodes, first, width, percent)
+    # round 1: members of a tree node against one of them, drawn by hash;
+    # at first one such pair a member, then those that are still apart
+    stars = written(_stars(met, lambda x, y: _may_link(x, y, percent)), "stars")
+    sets = _sets(docs, nodes, _ends(stars), width)
+    first = written(stars.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b")), "first")
+    links = _confirmed(first, sets, percent)
+    comps = written(components(links), "comps")
+    more = written(_apart(stars, comps).join(first, ["a", "b"], "left_anti"), "more")
+    links = links.unionByName(_confirmed(more, sets, percent))
     comps = written(components(links), "comps")
 
-    # round 2: pairs whose components still differ
-    at = met.join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("c_node")
-    at = written(at, "at")
+    # round 2: pairs whose components still differ; first who may be in one
+    at = written(_with_comps(met, comps), "at")
     member = F.struct("node", "n", "s1", "s2", "comp")
     leaves = at.where("NOT large").groupBy("p").agg(F.collect_list(member).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: (x["comp"] != y["comp"]) & _may_link(x, y, percent)), lambda y: F.struct(F.greatest(x["node"], y["node"]).alias("a"), F.least(x["node"], y["node"]).alias("b")))))
-    rest = leaves.select(F.explode(inner).alias("x")).select("x.a", "x.b")
-    large = at.where("large").select("p", member.alias("x"))
-    hub = large.groupBy("p").agg(F.min("x").alias("h"))
-    outside = large.join(hub, "p").where(F.col("x.comp") != F.col("h.comp")).select("p", "x")
-    facing = large.withColumnRenamed("x", "y")
-    across = outside.join(facing, ["p"]).where((F.col("x.comp") != F.col("y.comp")) & _may_link(F.col("x"), F.col("y"), percent))
-    rest = rest.unionByName(across.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))).distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_confirmed(docs, nodes, rest, width, percent))
+    open_to = lambda x, y: (x["comp"] != y["comp"]) & _may_link(x, y, percent)
+    asked = leaves.select(F.explode(F.filter("m", lambda x: F.exists("m", lambda y: open_to(x, y)))).alias("x")).select("x.node")
+    split = at.where("large").groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("p")
+    asked = written(asked.union(at.where("large").join(split, "p", "left_semi").select("node")).distinct(), "open")
+    if not asked.isEmpty():
+        sets = _sets(docs, nodes, asked, width)
+        at = written(met.join(_shared_counts(sets), "node").where(F.col("c") * 100 >= F.col("n") * percent), "at")
+        may = lambda x, y: _may_link(x, y, percent) & _may_share(x, y, percent)
+        for draw in range(1, DRAWS + 1):
+            again = written(_apart(_stars(at, may, draw), comps), "again")
+            links = links.unionByName(_confirmed(again, sets, percent))
+            comps = written(components(links), "comps")
+        at = written(_with_comps(at, comps), "at")
+        member = F.struct("node", "n", "s1", "s2", "comp", "c")
+        both = lambda x, y: (x["comp"] != y["comp"]) & may(x, y)
+        pair = lambda x, y: (F.greatest(x["node"], y["node"]).alias("a"), F.least(x["node"], y["node"]).alias("b"))
+        leaves = at.where("NOT large").groupBy("p").agg(F.collect_list(member).alias("m"))
+        inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: both(x, y)), lambda y: F.struct(*pair(x, y)))))
+        rest = leaves.select(F.explode(inner).alias("x")).select("x.a", "x.b")
+        large = at.where("large")
+        # the component with most members of a tree node is not paired with itself
+        sizes = large.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("k"))
+        hubs = written(sizes.groupBy("p").agg(F.max(F.struct("k", "comp")).alias("h")).select("p", F.col("h.comp").alias("hub")), "hubs")
+        outside = large.join(hubs, "p").where("comp != hub").select("p", member.alias("x"))
+        across = outside.join(large.select("p", member.alias("y")), "p").where(both(F.col("x"), F.col("y")))
+        rest = written(rest.unionByName(across.select(*pair(F.col("x"), F.col("y")))).distinct(), "rest")
+        links = links.unionByName(_confirmed(rest, sets, percent))
         comps = written(components(links), "comps")
 
     named = same.join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")

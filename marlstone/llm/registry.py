@@ -7,11 +7,13 @@ from .licenses import OP10_SQL, op10_license_rules
 from .lines import OP8_SQL, op8_line_winnowing
 from .mixing import OP5_SQL, op5_weighted_fair_queue
 from .near import OP4_SQL, op4_chosen_path
+from .pieces import op1_sentencepiece
 from .pii import op7_pii
 from .quality import OP2_SQL, op2_quality_rules
 from .sharding import OP3_SQL, op3_weighted_hash_tree
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_chosen_path": op4_chosen_path,
