@@ -202,6 +202,12 @@ def _may_share(x, y, percent: int) -> Column:
     return most * 100 >= (x["n"] + y["n"] - most) * percent
 
 
+def _similar(x, y, percent: int) -> Column:
+    """The full sets of two structs (n, shingles) have the similarity."""
+    shared = F.size(F.array_intersect(x["shingles"], y["shingles"]))
+    return shared * 100 >= (x["n"] + y["n"] - shared) * percent
+
+
 def _stars(met: DataFrame, may, draw: int = 0) -> DataFrame:
     """Distinct pairs (a, b): a member of a tree node and the one drawn there."""
     drawn = met.groupBy("p").agg(F.min_by(F.struct([c for c in met.columns if c not in ("p", "large")]), F.xxhash64("p", "node", F.lit(draw))).alias("y"))
@@ -260,22 +266,23 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
             again = written(_apart(_stars(at, may, draw), comps), "again")
             links = links.unionByName(_confirmed(again, sets, percent))
             comps = written(components(links), "comps")
-        at = written(_with_comps(at, comps), "at")
-        member = F.struct("node", "n", "s1", "s2", "comp", "c")
-        both = lambda x, y: (x["comp"] != y["comp"]) & may(x, y)
+        # all that is left, compared where it meets: only links leave the join
+        at = _with_comps(at, comps).join(sets, "node")
+        at = written(at, "at")
+        member = F.struct("node", "n", "s1", "s2", "comp", "c", "shingles")
+        linked = lambda x, y: (x["comp"] != y["comp"]) & may(x, y) & _similar(x, y, percent)
         pair = lambda x, y: (F.greatest(x["node"], y["node"]).alias("a"), F.least(x["node"], y["node"]).alias("b"))
-        leaves = at.where("NOT large").groupBy("p").agg(F.collect_list(member).alias("m"))
-        inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: both(x, y)), lambda y: F.struct(*pair(x, y)))))
-        rest = leaves.select(F.explode(inner).alias("x")).select("x.a", "x.b")
+        leaves = at.where("NOT large").groupBy("p").agg(F.collect_list(member).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+        inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: linked(x, y)), lambda y: F.struct(*pair(x, y)))))
+        found = leaves.select(F.explode(inner).alias("x")).select("x.a", "x.b")
         large = at.where("large")
         # the component with most members of a tree node is not paired with itself
         sizes = large.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("k"))
         hubs = written(sizes.groupBy("p").agg(F.max(F.struct("k", "comp")).alias("h")).select("p", F.col("h.comp").alias("hub")), "hubs")
         outside = large.join(hubs, "p").where("comp != hub").select("p", member.alias("x"))
-        across = outside.join(large.select("p", member.alias("y")), "p").where(both(F.col("x"), F.col("y")))
-        rest = written(rest.unionByName(across.select(*pair(F.col("x"), F.col("y")))).distinct(), "rest")
-        links = links.unionByName(_confirmed(rest, sets, percent))
-        comps = written(components(links), "comps")
+        across = outside.join(large.select("p", member.alias("y")), "p").where(linked(F.col("x"), F.col("y")))
+        found = written(found.unionByName(across.select(*pair(F.col("x"), F.col("y")))).distinct(), "found")
+        comps = written(components(links.unionByName(found)), "comps")
 
     named = same.join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
     named = named.where((F.col("copies") > 1) | F.col("comp").isNotNull()).withColumn("comp", F.coalesce("comp", "node"))

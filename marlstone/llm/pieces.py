@@ -27,13 +27,14 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, shipped
 
@@ -41,8 +42,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments remembered by a worker: twice this many at most.
 REMEMBER = 250_000
-#: Up to this length, beginnings of segments are remembered too.
-SHORT = 24
+#: Verdicts on pairs of pieces: two to this power are kept.
+SLOT_BITS = 21
+#: Rows whose ids are sent to Spark at once.
+FEW = 1200
+#: Segments up to this length are remembered.
+SHORT = 32
+_HASH = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ʯ]"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -121,7 +127,18 @@ class Transducer:
                 by_end.setdefault(p[-2:], set()).add(len(p))
         #: last two characters -> lengths of the pieces that end so
         self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in by_end.items()}
-        self.known: dict[str, str] = {}
+        self.codes = {p: self._code(p) for p in self.made}
+        self.names = [p for p, *_ in pieces]
+        self.met = np.full(1 << SLOT_BITS, -1, np.int64)
+        self.verdicts = np.zeros(1 << SLOT_BITS, bool)
+        self.hashed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in {len(p) for p in self.made}:
+            same = [p for p in self.made if len(p) == k]
+            h = np.zeros(len(same), np.uint64)
+            for c in np.frombuffer("".join(same).encode("utf-32-le"), np.uint32).reshape(-1, k).T:
+                h = h * _HASH + c.astype(np.uint64)
+            order = np.argsort(h)
+            self.hashed[k] = h[order], np.array([self.made[p] for p in same], np.int32)[order]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -173,7 +190,7 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 100_000:
                 self.pairs.clear()
             self.pairs[a, b] = ok
         return ok
@@ -196,27 +213,101 @@ class Transducer:
         return s[i - 1]
 
     def _path_bpe(self, s: str) -> list[str]:
-        if len(s) > SHORT:
-            last = [""] * (len(s) + 1)
-            for i in range(1, len(s) + 1):
-                last[i] = self._last_bpe(s, i, last.__getitem__)
-            at = last.__getitem__
-        else:  # words share beginnings: the path to a place depends on them only
-            known = self.known
-            if len(known) > 2 * REMEMBER:
-                known.clear()
-            at = lambda j: known[s[:j]]
-            i = len(s)
-            while i and s[:i] not in known:
-                i -= 1
-            for i in range(i + 1, len(s) + 1):
-                known[s[:i]] = self._last_bpe(s, i, at)
+        last = [""] * (len(s) + 1)
+        for i in range(1, len(s) + 1):
+            last[i] = self._last_bpe(s, i, last.__getitem__)
         out, i = [], len(s)
         while i:
-            out.append(at(i))
+            out.append(last[i])
             i -= len(out[-1])
         return out[::-1]
 
+    def _allowed(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The constraint's verdicts on pairs of ids, from a table of pairs
+        met before; pairs that it lacks are worked out once each."""
+        keys = before.astype(np.int64) * len(self.surface) + ids
+        slots = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+        out = self.verdicts[slots]
+        lacking = np.flatnonzero(self.met[slots] != keys)
+        if len(lacking):
+            new, at = np.unique(keys[lacking], return_inverse=True)
+            names = self.names
+            ok = np.array([self._accepts(names[k // len(names)], names[k % len(names)]) for k in new.tolist()])
+            out[lacking] = ok[at]
+            self.met[slots[lacking]] = keys[lacking]
+            self.verdicts[slots[lacking]] = out[lacking]
+        return out
+
+    def _paths(self, group: list[str]) -> list[bytes]:
+        """Ids of segments of one length: the same paths, place by place for
+        all segments at once."""
+        n_chars, n = len(group[0]), len(group)
+        chars = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32).reshape(n, n_chars).astype(np.uint64)
+        found: dict[int, np.ndarray] = {}
+        h = np.zeros((n, n_chars + 1), np.uint64)
+        for k in range(1, min(n_chars, self.longest) + 1):
+            h = h[:, : n_chars - k + 1] * _HASH + chars[:, k - 1 :]
+            if k in self.hashed:
+                keys, ids = self.hashed[k]
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                found[k] = np.where(keys[at] == h, ids[at], -1)
+        last = np.full((n, n_chars + 1), -1, np.int32)
+        size = np.ones((n, n_chars + 1), np.int64)
+        for i in range(1, n_chars + 1):
+            left = np.arange(n)
+            for k in range(min(i, self.longest), 0, -1):  # the longest piece first
+                if k not in found or not len(left):
+                    continue
+                ids = found[k][left, i - k]
+                here = np.flatnonzero(ids >= 0)
+                if i > k and len(here):
+                    before = last[left[here], i - k]
+                    here = here[(before < 0) | self._allowed(before, ids[here])]
+                rows = left[here]
+                last[rows, i], size[rows, i] = ids[here], k
+                left = np.delete(left, here)
+        place, rows = np.full(n, n_chars), np.arange(n)
+        back = np.empty((n, n_chars), np.int32)
+        count = np.zeros(n, np.int64)
+        while len(rows):
+            at = place[rows]
+            count[rows] += 1
+            back[rows, n_chars - count[rows]] = last[rows, at]
+            place[rows] = at - size[rows, at]
+            rows = rows[place[rows] > 0]
+        ends = np.cumsum(count) * 4
+        flat = back[np.arange(n_chars) >= (n_chars - count)[:, None]].tobytes()
+        out = [flat[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        if 1 in found:  # characters that no piece holds are rare: one by one
+            for r in np.flatnonzero((found[1] < 0).any(axis=1)).tolist():
+                out[r] = self._ids(group[r])
+        return out
+
+    def remember(self, segments: Iterable[str]) -> None:
+        """Find the paths of many segments that are not remembered."""
+        if len(self.young) >= REMEMBER:
+            self.old, self.young = self.young, {}
+        groups: dict[int, list[str]] = {}
+        for s in segments:
+            if s not in self.young:
+                if s in self.old:
+                    self.young[s] = self.old[s]
+                else:
+                    groups.setdefault(len(s), []).append(s)
+        for n, group in groups.items():
+            if n <= SHORT:
+                self.young.update(zip(group, self._paths(group)) if self.kind == BPE and len(group) > 3 else ((s, self._ids(s)) for s in group))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """:meth:`encode` of each text."""
+        if self.cut is None or self.squeeze:
+            return [self.encode(t) for t in texts]
+        front = SPACE if self.prefix else ""
+        cut = [self.cut.findall(front + t.replace(" ", SPACE)) if t else [] for t in texts]
+        self.remember({x for c in cut for x in c})
+        young, one = self.young, self._segment
+        return [b"".join([young[x] if x in young else one(x) for x in c]) for c in cut]
+
     def _path_unigram(self, s: str) -> list[str]:
         cost, last = [0.0] + [np.inf] * len(s), [""] * (len(s) + 1)
         for i in range(len(s)):
@@ -231,27 +322,28 @@ class Transducer:
             i -= len(last[i])
         return out[::-1]
 
-    def _ids(self, s: str) -> bytes:
-        ids: list[int] = []
-        for p in self._path_bpe(s) if self.kind == BPE else self._path_unigram(s):
-            i = self.made.get(p)
-            if i is not None:
-                ids.append(i)
-            elif self.bytes:
-                ids.extend(self.bytes[x] for x in p.encode())
-            elif not ids or ids[-1] != self.unknown:
-                ids.append(self.unknown)
+    def _code(self, p: str) -> bytes:
+        i = self.made.get(p)
+        ids = [i] if i is not None else [self.bytes[x] for x in p.encode()] if self.bytes else [self.unknown]
         return np.array(ids, np.int32).tobytes()
 
+    def _ids(self, s: str) -> bytes:
+        path = self._path_bpe(s) if self.kind == BPE else self._path_unigram(s)
+        codes = self.codes
+        try:
+            return b"".join([codes[p] for p in path])
+        except KeyError:  # characters that no piece holds
+            if not self.bytes:  # neighbours of them are one unknown piece
+                path = [p for k, p in enumerate(path) if p in codes or not k or path[k - 1] in codes]
+            return b"".join([codes.get(p) or self._code(p) for p in path])
+
     def _segment(self, s: str) -> bytes:
         ids = self.young.get(s)
         if ids is None:
             ids = self.old.get(s)
             if ids is None:
                 ids = self._ids(s)
-            if len(s) <= 64:
-                if len(self.young) >= REMEMBER:
-                    self.old, self.young = self.young, {}
+            if len(s) <= SHORT:
                 self.young[s] = ids
         return ids
 
@@ -321,53 +413,71 @@ def load(path: str = MODEL) -> bytes:
         return f.read()
 
 
+def _ids_array(ids: list[bytes]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def _by_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: ids take several times the room of their text."""
+    for b in batches:
+        for at in range(0, b.num_rows, FEW):
+            yield b.slice(at, FEW)
+
+
 def encoded(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, text and ids (array of int) of each document."""
+    """doc_id and ids (array of int) of each document."""
     spark = docs.sparkSession
     shipped(spark)
     sent = spark.sparkContext.broadcast(model)  # under a megabyte, whatever the corpus
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled(sent.value)
-        for b in batches:
-            ids = [t.encode(x.as_py() or "") for x in b.column(1)]
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "text", "ids"])
+        for b in _by_few(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), _ids_array(t.encode_all([x or "" for x in b.column(1).to_pylist()]))], names=["doc_id", "ids"])
 
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(encode, "doc_id long, text string, ids array<int>")
+    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, model: bytes) -> DataFrame:
-    """``rows`` (doc_id, text, ids) with the text that the ids decode to."""
+    """doc_id and the text that the ids of ``rows`` (doc_id, ids) decode to."""
     spark = rows.sparkSession
     shipped(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled(sent.value)
-        for b in batches:
-            texts = pa.array([t.decode(x.values.to_pylist() if x.values is not None else []) for x in b.column(2)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=["doc_id", "text", "ids", "decoded"])
+        for b in _by_few(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.decode(x.as_py() or []) for x in b.column(1)], pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "text", "ids").mapInArrow(decode, "doc_id long, text string, ids array<int>, decoded string")
+    return rows.selectExpr("CAST(doc_id AS LONG) AS doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
 
 
 def segmented(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, n_bytes (byte pieces), ids, decoded_sha256 and
-    round_trip (the ids decode to the text) of each document."""
-    model = load(model_path)
-    t = compiled(model)
-    lo, hi = (min(t.bytes), max(t.bytes)) if t.bytes else (-1, -1)
-    text = F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
-    return decoded(encoded(docs, model), model).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.size(F.filter("ids", lambda i: i.between(lo, hi))).cast("long").alias("n_bytes"),
-        "ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == text).alias("round_trip"),
-    )
+    """doc_id, n_pieces, n_bytes (byte pieces), ids, decoded_sha256 (of what
+    the ids decode to) and round_trip (that is the text) of each document."""
+    spark = docs.sparkSession
+    shipped(spark)
+    sent = spark.sparkContext.broadcast(load(model_path))
+
+    def there_and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = compiled(sent.value)
+        is_byte = np.array(t.is_byte)
+        for b in _by_few(batches):
+            n_bytes, digests, same = [], [], []
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            ids = t.encode_all(texts)
+            for text, code in zip(texts, ids, strict=True):
+                at = np.frombuffer(code, np.int32)
+                back = t.decode(at.tolist())
+                n_bytes.append(int(is_byte[at].sum()))
+                digests.append(hashlib.sha256(back.encode()).hexdigest())
+                same.append(back == text.replace(SPACE, " "))
+            n = [len(x) // 4 for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(n_bytes, pa.int64()), _ids_array(ids), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "n_bytes", "ids", "decoded_sha256", "round_trip"])
+
+    schema = "doc_id long, n_pieces long, n_bytes long, ids array<int>, decoded_sha256 string, round_trip boolean"
+    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(there_and_back, schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
