@@ -1,10 +1,20 @@
-"""A corpus pipeline over ``documents``: each stage calls one operator."""
+"""A corpus pipeline over ``documents``: each stage calls one operator.
+
+Quality rules drop what they reject; of exact copies and of near copies (five
+words, similarity 0.8) one stays; sources are mixed to target weights, so a
+document may be left out or stand several times; what is left is segmented.
+All stages but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.common import documents, written
+from marlstone.llm.exact import distinct_documents
+from marlstone.llm.mixing import mixed
+from marlstone.llm.near import one_of_each
+from marlstone.llm.pieces import segmented
 from marlstone.llm.quality import good_documents
 
 
@@ -12,9 +22,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return good_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return distinct_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return segmented(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mixing),
+    ("sentencepiece", sentencepiece),
+]
 
-#: The last stage (SentencePiece segmentation) has no SQL form.
+#: The last stage has no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact import OP9_SQL, op9_golomb_exchange
 from .licenses import OP10_SQL, op10_license_rules
 from .lines import OP8_SQL, op8_line_winnowing
+from .lm import op6_log_frequency_bloom
 from .mixing import OP5_SQL, op5_weighted_fair_queue
 from .near import OP4_SQL, op4_chosen_path
 from .pieces import op1_sentencepiece
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_chosen_path": op4_chosen_path,
     "op5_weighted_fair_queue": op5_weighted_fair_queue,
+    "op6_log_frequency_bloom": op6_log_frequency_bloom,
     "op7_pii": op7_pii,
     "op8_line_winnowing": op8_line_winnowing,
     "op9_golomb_exchange": op9_golomb_exchange,
