@@ -1,6 +1,33 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries and their DuckDB equivalents.
+
+``query`` registers a function (spark, sf_dir) -> DataFrame under its name.
+Importing the operator modules fills the two tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from marlstone.operators import audits, belief, evaluation, groups, scoring, splits, text, training  # noqa: F401
+    from marlstone.sources import episode_log, resources  # noqa: F401
+    from marlstone.streaming import monitors, streams  # noqa: F401
