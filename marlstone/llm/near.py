@@ -41,8 +41,6 @@ from .hashing import functions, mix, shingle_sets, slices
 TREES = 16
 DEPTHS = (2, 4, 7)
 LEAF = 48
-#: Further draws of stars among members that are still apart.
-DRAWS = 2
 SKETCH = 128
 #: Ids of documents to confirm, up to this many, are broadcast to the scan; a
 #: larger set is joined by shuffle.
@@ -152,7 +150,6 @@ def components(edges: DataFrame) -> DataFrame:
     reachable.  Large-star and small-star steps until nothing changes; each
     step is two shuffles by node, and hubs are combined map-side."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
@@ -161,10 +158,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, F.col("u") == F.col("w"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
         e = written(small.where("u != v").distinct(), "star")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # done when every edge leads to a node that leads nowhere, each node to one
+        once = e.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
+        if once.where("k > 1").select("u").union(e.join(once.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").select("u")).isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        before = now
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
@@ -185,6 +182,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y") - shared).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b"), "links")
 
 
+def _linked(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """Edges (a, b) that join what ``comps`` and ``more`` join."""
+    return comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
@@ -239,16 +241,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
     nodes = signed.join(same.select("node"), F.col("rid") == F.col("node"), "left_semi").withColumnRenamed("rid", "node")
     met = written(_grown(nodes), "met")
 
-    # round 1: members of a tree node against one of them, drawn by hash;
-    # at first one such pair a member, then those that are still apart
+    # round 1: members of a tree node against one of them, drawn by hash
     stars = written(_stars(met, lambda x, y: _may_link(x, y, percent)), "stars")
-    sets = _sets(docs, nodes, _ends(stars), width)
-    first = written(stars.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b")), "first")
-    links = _confirmed(first, sets, percent)
-    comps = written(components(links), "comps")
-    more = written(_apart(stars, comps).join(first, ["a", "b"], "left_anti"), "more")
-    links = links.unionByName(_confirmed(more, sets, percent))
-    comps = written(components(links), "comps")
+    comps = written(components(_confirmed(stars, _sets(docs, nodes, _ends(stars), width), percent)), "comps")
 
     # round 2: pairs whose components still differ; first who may be in one
     at = written(_with_comps(met, comps), "at")
@@ -262,13 +257,10 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
         sets = _sets(docs, nodes, asked, width)
         at = written(met.join(_shared_counts(sets), "node").where(F.col("c") * 100 >= F.col("n") * percent), "at")
         may = lambda x, y: _may_link(x, y, percent) & _may_share(x, y, percent)
-        for draw in range(1, DRAWS + 1):
-            again = written(_apart(_stars(at, may, draw), comps), "again")
-            links = links.unionByName(_confirmed(again, sets, percent))
-            comps = written(components(links), "comps")
+        again = _apart(_stars(at, may, 1), comps)
+        comps = written(components(_linked(comps, _confirmed(again, sets, percent))), "comps")
         # all that is left, compared where it meets: only links leave the join
-        at = _with_comps(at, comps).join(sets, "node")
-        at = written(at, "at")
+        at = written(_with_comps(at, comps).join(sets, "node"), "at")
         member = F.struct("node", "n", "s1", "s2", "comp", "c", "shingles")
         linked = lambda x, y: (x["comp"] != y["comp"]) & may(x, y) & _similar(x, y, percent)
         pair = lambda x, y: (F.greatest(x["node"], y["node"]).alias("a"), F.least(x["node"], y["node"]).alias("b"))
@@ -282,7 +274,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
         outside = large.join(hubs, "p").where("comp != hub").select("p", member.alias("x"))
         across = outside.join(large.select("p", member.alias("y")), "p").where(linked(F.col("x"), F.col("y")))
         found = written(found.unionByName(across.select(*pair(F.col("x"), F.col("y")))).distinct(), "found")
-        comps = written(components(links.unionByName(found)), "comps")
+        if not found.isEmpty():
+            comps = written(components(_linked(comps, found)), "comps")
 
     named = same.join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
     named = named.where((F.col("copies") > 1) | F.col("comp").isNotNull()).withColumn("comp", F.coalesce("comp", "node"))
