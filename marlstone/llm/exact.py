@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, packed, shipped, written
+from .common import documents, packed, shipped, tidy, written
 
 FP_BITS = 48
 ROWS_PER_OWNER = 2_000_000
@@ -104,7 +104,7 @@ def exchanged(meta: DataFrame, bits: int = FP_BITS, rows_per_owner: int = ROWS_P
     """Fingerprints (fp) that occur more than once in ``meta`` (rid, fp)."""
     shipped(meta.sparkSession)
     owners = max(16, -(-meta.count() // rows_per_owner))
-    sent = written(meta.select("rid", "fp").mapInArrow(_sender(owners, bits), _SENT), "sent")
+    sent = written(meta.select("rid", "fp").mapInArrow(tidy(_sender(owners, bits)), _SENT), "sent")
     answers = sent.groupBy("owner").applyInArrow(_owner, "chunk string, owner int, answer binary")
     back = sent.select("chunk", "owner", "n", "shift", "unary", "rest").join(answers, ["chunk", "owner"])
     return written(back.mapInArrow(_suspects, "fp long").distinct(), "suspects")

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, packed, shipped, written
+from .common import documents, packed, shipped, tidy, written
 from .hashing import functions, mix, shingle_sets, slices
 
 TREES = 16
@@ -170,7 +170,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> Da
     ids = wanted.select(F.col("doc_id").alias("id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_setter(width), _SETS).join(wanted.select("node", "k1", "k2"), ["k1", "k2"])
+    sets = texts.mapInArrow(tidy(_setter(width)), _SETS).join(wanted.select("node", "k1", "k2"), ["k1", "k2"])
     return written(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
 
 
@@ -236,7 +236,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
     each set that more than one row has or that is linked with another."""
     shipped(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(rows.mapInArrow(_signer(width), _SIGNED), "signed")
+    signed = written(rows.mapInArrow(tidy(_signer(width)), _SIGNED), "signed")
     same = written(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "same")
     nodes = signed.join(same.select("node"), F.col("rid") == F.col("node"), "left_semi").withColumnRenamed("rid", "node")
     met = written(_grown(nodes), "met")

@@ -31,17 +31,20 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, shipped
+from .common import documents, shipped, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments remembered by a worker: twice this many at most.
 REMEMBER = 250_000
+#: Segments kept from one task to the next.
+KEEP = 50_000
 #: Verdicts on pairs of pieces: two to this power are kept.
 SLOT_BITS = 21
 #: Rows whose ids are sent to Spark at once.
@@ -359,6 +362,11 @@ class Transducer:
         young = self.young
         return b"".join([young[x] if x in young else self._segment(x) for x in self.cut.findall(s)])
 
+    def forget(self) -> None:
+        """Keep the segments met first, which are the frequent ones."""
+        self.young, self.old = dict(islice(self.young.items(), KEEP)), {}
+        self.pairs.clear()
+
     def decode(self, ids: list[int]) -> str:
         if not ids:
             return ""
@@ -435,8 +443,9 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
         t = compiled(sent.value)
         for b in _by_few(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), _ids_array(t.encode_all([x or "" for x in b.column(1).to_pylist()]))], names=["doc_id", "ids"])
+        t.forget()
 
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>")
+    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(tidy(encode), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, model: bytes) -> DataFrame:
@@ -450,7 +459,7 @@ def decoded(rows: DataFrame, model: bytes) -> DataFrame:
         for b in _by_few(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.decode(x.as_py() or []) for x in b.column(1)], pa.string())], names=["doc_id", "text"])
 
-    return rows.selectExpr("CAST(doc_id AS LONG) AS doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
+    return rows.selectExpr("CAST(doc_id AS LONG) AS doc_id", "ids").mapInArrow(tidy(decode), "doc_id long, text string")
 
 
 def segmented(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -475,9 +484,10 @@ def segmented(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
                 same.append(back == text.replace(SPACE, " "))
             n = [len(x) // 4 for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(n_bytes, pa.int64()), _ids_array(ids), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "n_bytes", "ids", "decoded_sha256", "round_trip"])
+        t.forget()
 
     schema = "doc_id long, n_pieces long, n_bytes long, ids array<int>, decoded_sha256 string, round_trip boolean"
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(there_and_back, schema)
+    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(tidy(there_and_back), schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, shipped
+from .common import documents, shipped, tidy
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "local_phone")
@@ -136,7 +136,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     of (kind, start, end, score)."""
     shipped(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, found array<struct<kind:string,start:int,end:int,score:double>>"
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(_finder, schema)
+    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(tidy(_finder), schema)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
