@@ -105,7 +105,7 @@ def test_text_rules(spark):
 
 
 def test_grounding_wants_rank_and_number(spark):
-    turns = spark.createDataFrame([(1, "alpha 0.52 and beta seem likely, gamma too")], "turn_id long, text string")
+    turns = spark.createDataFrame([(1, "alpha 0.51 and beta seem likely, gamma too")], "turn_id long, text string")
     b = spark.createDataFrame([(1, "A", 0.5, 1), (1, "B", 0.3, 2), (1, "C", 0.01, 9)], "turn_id long, label string, p double, rank int")
     f = spark.createDataFrame([("A", "alpha"), ("B", "beta"), ("C", "gamma")], "label string, form string")
     assert {(r.label, r.kind) for r in grounding_findings(turns, b, f).collect()} == {("B", "ungrounded_assertion"), ("C", "unearned_mention")}
