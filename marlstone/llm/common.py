@@ -65,6 +65,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table (a key, an id or two, a few numbers) up to which it is
+#: broadcast: some tens of megabytes.
+BROADCAST_ROWS = 300_000
+
+
+def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a written table), to be broadcast if it was counted to have few
+    rows; above that joins shuffle as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 _SHIPPED: set[str] = set()
 
 

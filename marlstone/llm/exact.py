@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, packed, shipped, tidy, written
+from .common import documents, packed, sent_if_small, shipped, tidy, written
 
 FP_BITS = 48
 ROWS_PER_OWNER = 2_000_000
@@ -138,7 +138,7 @@ def distinct_documents(docs: DataFrame, **how: int) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns."""
     _, groups = copy_groups(docs, **how)
     rows = packed(docs, text_sha(F.col("text")).alias("sha"), F.col("doc_id"))
-    j = rows.join(groups.select("sha", "keep_id", F.lit(True).alias("copied")), "sha", "left")
+    j = rows.join(sent_if_small(groups).select("sha", "keep_id", F.lit(True).alias("copied")), "sha", "left")
     alone = j.where("copied IS NULL").select("row")
     keepers = j.where(F.col("copied") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["sha"]).select("row")
     return alone.unionByName(keepers).select("row.*")

@@ -27,7 +27,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import documents, n_words, packed, written
+from .common import documents, n_words, packed, sent_if_small, written
 
 PASSES = 3
 WEIGHTS = (1, 2, 3)
@@ -95,7 +95,7 @@ def shares(sized: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
 def with_times(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     """Joins ``rows`` (source, size, ord and others) with their source's share
     and adds ``times``: how often the mix passes the document."""
-    s = per_source.withColumnRenamed("source", "s_source")
+    s = sent_if_small(per_source).withColumnRenamed("source", "s_source")
     joined = rows.join(s, rows["source"].eqNullSafe(s["s_source"])).drop("s_source")
     return joined.withColumn("times", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("passes") + (F.col("ord") <= F.col("last")).cast("int")))
 

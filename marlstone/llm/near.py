@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, packed, shipped, tidy, written
+from .common import documents, packed, sent_if_small, shipped, tidy, written
 from .hashing import functions, mix, shingle_sets, slices
 
 TREES = 16
@@ -297,7 +297,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     smallest doc_id, and every row that is linked with nothing."""
     _, groups = near_groups(docs, width, percent)
     rows = packed(docs, F.col("doc_id"), _named(width)(F.col("text")).alias("k")).select("row", "doc_id", "k.k1", "k.k2")
-    j = rows.join(groups, ["k1", "k2"], "left")
+    j = rows.join(sent_if_small(groups), ["k1", "k2"], "left")
     alone = j.where("comp IS NULL").select("row")
     kept = j.where(F.col("comp").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["comp"]).select("row")
     return alone.unionByName(kept).select("row.*")

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD_CLASS, documents, words, written
+from .common import WORD_CLASS, documents, sent_if_small, words, written
 
 SIG_BITS = 6
 #: A group of fewer rows takes its thresholds from its language, then from all.
@@ -128,7 +128,7 @@ def judged(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
     """``row``, the counts, the ratios, ``base_failed``, ``outlier`` (a ratio
     beyond its fence) and ``kept`` for each document of ``docs``."""
     m = with_ratios(written(measured(docs, carry), "measured"))
-    limits = _limits(written(sketches(m), "sketches"))
+    limits = sent_if_small(written(_limits(written(sketches(m), "sketches")), "limits"))
     j = m.join(limits, m["lang"].eqNullSafe(limits["g_lang"]) & m["source"].eqNullSafe(limits["g_source"]), "left")
     out = F.lit(False)
     for r, (_, low) in RATIOS.items():
