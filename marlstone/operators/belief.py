@@ -13,6 +13,7 @@ from math import pi
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from marlstone.functions.normal import normal_cdf
 from marlstone.operators.scoring import r6, weight
 from marlstone.plans.config import DEFAULT
 from marlstone.plans.registry import query
@@ -231,3 +232,27 @@ def hindsight_test(spark, sf_dir):
     s = log_gains(evidence(spark, sf_dir)).where(F.col("dim") >= SEEN).withColumn("per", F.round(F.col("gain") / F.pow(1.0 + F.col("dim"), COST), 9))
     b = s.groupBy("key").agg(F.max("per").alias("best"), F.min_by("dim", F.struct(-F.col("per"), F.col("dim"))).alias("d"))
     return b.select("key", F.when(F.col("best") >= MIN_GAIN, F.col("d")).alias("test"), r6("best").alias("best"))
+
+
+def truncated(lik: DataFrame, lo: float, hi: float) -> DataFrame:
+    """``lik`` with log_norm: the constant of a normal truncated to [lo, hi]."""
+    mass = normal_cdf((F.lit(hi) - F.col("mean")) / F.col("sd")) - normal_cdf((F.lit(lo) - F.col("mean")) / F.col("sd"))
+    return lik.withColumn("log_norm", 0.5 * F.ln(F.lit(2 * pi)) + F.ln("sd") + F.ln(mass))
+
+
+@query()
+def bel_truncated(spark, sf_dir):
+    """Likelihood constants truncated to four units either side."""
+    return truncated(likelihoods(evidence(spark, sf_dir)), -4.0, 4.0).select("dim", "label", r6("log_norm").alias("log_norm"))
+
+
+@query()
+def bucket_prior_normal(spark, sf_dir):
+    """(dim, bucket, prior) from the untruncated normals, weighted by label."""
+    ev = evidence(spark, sf_dir)
+    j = likelihoods(ev).join(F.broadcast(priors(ev)), "label")
+    below = lambda x: normal_cdf((F.lit(x) - F.col("mean")) / F.col("sd"))
+    j = j.select("dim", "prior", below(-0.5).alias("lo"), below(0.5).alias("hi"))
+    parts = F.array(*[F.struct(F.lit(n).alias("bucket"), p.alias("p")) for n, p in (("low", F.col("lo")), ("normal", F.col("hi") - F.col("lo")), ("high", 1 - F.col("hi")))])
+    x = j.select("dim", "prior", F.explode(parts).alias("x"))
+    return x.groupBy("dim", "x.bucket").agg(r6(F.sum(F.col("prior") * F.col("x.p"))).alias("prior"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from marlstone.functions.normal import normal_quantile
 from marlstone.operators.evaluation import uniform
 from marlstone.plans.registry import query
 from marlstone.sources.views import ctes, table, view
@@ -147,11 +148,7 @@ def k_slots(spark, sf_dir):
 @query()
 def synth_table(spark, sf_dir):
     """A seeded table of synthetic records, one a customer: label by prior, age
-    by an inverse normal CDF clipped to 0..100, sex uniform.  The normal
-    quantile has no SQL form; it is computed from uniform pairs."""
-    from math import pi
-
+    by the inverse normal CDF clipped to 0..100, sex uniform."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    u, v = F.greatest(uniform(1, F.col("id"), "u"), F.lit(1e-12)), uniform(1, F.col("id"), "v")
-    z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * pi * v)
-    return c.select("id", F.least(F.greatest(F.round(52 + 21 * z), F.lit(0.0)), F.lit(100.0)).cast("int").alias("age"), F.when(uniform(1, F.col("id"), "sex") < 0.5, "female").otherwise("male").alias("sex"), F.concat(F.lit("label_"), (F.col("id") % 10).cast("string")).alias("label"))
+    age = 52 + 21 * normal_quantile(uniform(1, F.col("id"), "age"))
+    return c.select("id", F.least(F.greatest(F.round(age), F.lit(0.0)), F.lit(100.0)).cast("int").alias("age"), F.when(uniform(1, F.col("id"), "sex") < 0.5, "female").otherwise("male").alias("sex"), F.concat(F.lit("label_"), (F.col("id") % 10).cast("string")).alias("label"))

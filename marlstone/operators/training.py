@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from marlstone.functions.normal import general
 from marlstone.operators.belief import SEQ, entropy, evidence, sequences
 from marlstone.operators.evaluation import RANKED, posteriors, ranked
 from marlstone.operators.scoring import r6
@@ -140,3 +141,28 @@ def gen_align(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("turn > 0").select("conv_id", "turn")
     p = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("turn"))
     return c.join(p, ["conv_id", "turn"], "left_anti")
+
+
+@query("SELECT vec_id AS key, 'RECORD ' || vec_id || chr(10) || string_agg('d' || dim || ': ' || printf('%.4g', v) || ' (ref -0.5 to 0.5)', chr(10) ORDER BY dim) AS sheet FROM (SELECT vec_id, unnest(range(8)) AS dim, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings) GROUP BY vec_id")
+def case_text(spark, sf_dir):
+    """A record's sheet: its values to four digits beside their references."""
+    ev = evidence(spark, sf_dir)
+    line = F.concat(F.lit("d"), F.col("dim").cast("string"), F.lit(": "), general(F.col("value")), F.lit(" (ref -0.5 to 0.5)"))
+    rows = ev.select("key", "dim", line.alias("line")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("dim", "line"))).alias("x"))
+    return rows.select("key", F.concat(F.lit("RECORD "), F.col("key").cast("string"), F.lit("\n"), F.array_join(F.transform("x", lambda s: s["line"]), "\n")).alias("sheet"))
+
+
+@query("SELECT conv_id, turn, '[{\"role\":\"system\",\"content\":\"Report a distribution.\"},{\"role\":\"user\",\"content\":' || to_json(text) || '}]' AS messages FROM conversations WHERE role = 'user'")
+def chat(spark, sf_dir):
+    """Chat messages of each user turn, as compact JSON."""
+    u = table(spark, sf_dir, "conversations").where("role = 'user'")
+    said = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return u.select("conv_id", "turn", F.to_json(F.array(said("system", F.lit("Report a distribution.")), said("user", F.col("text")))).alias("messages"))
+
+
+@query("WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS nth, role FROM conversations WHERE length(text) < 60) SELECT role, conv_id, turn FROM p WHERE nth <= 40")
+def failure_sample(spark, sf_dir):
+    """At most forty unusable generations of each role, for inspection."""
+    c = table(spark, sf_dir, "conversations").where(F.length("text") < 60)
+    nth = F.row_number().over(W.partitionBy("role").orderBy("conv_id", "turn"))
+    return c.withColumn("nth", nth).where("nth <= 40").select("role", "conv_id", "turn")
