@@ -42,13 +42,13 @@ from .common import documents, shipped, tidy
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments remembered by a worker: twice this many at most.
-REMEMBER = 250_000
+REMEMBER = 100_000
 #: Segments kept from one task to the next.
-KEEP = 50_000
+KEEP = 20_000
 #: Verdicts on pairs of pieces: two to this power are kept.
 SLOT_BITS = 21
 #: Rows whose ids are sent to Spark at once.
-FEW = 1200
+FEW = 800
 #: Segments up to this length are remembered.
 SHORT = 32
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -366,6 +366,7 @@ class Transducer:
         """Keep the segments met first, which are the frequent ones."""
         self.young, self.old = dict(islice(self.young.items(), KEEP)), {}
         self.pairs.clear()
+        self.histories.clear()
 
     def decode(self, ids: list[int]) -> str:
         if not ids:
