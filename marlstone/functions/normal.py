@@ -3,12 +3,16 @@ They run as Arrow-batched functions, on dimension tables or once a row."""
 
 from __future__ import annotations
 
+import sys
 from math import erf, sqrt
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
+
 _STANDARD = NormalDist()
 
 

@@ -6,13 +6,18 @@ streamed, never held.  ``streams`` has the same rules as stateful queries.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from marlstone.operators.scoring import r6
 from marlstone.plans.registry import query
 from marlstone.sources.views import ctes, table, view
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
+
 CEILING, COST, GROUPS, COMMIT = 512, 512, 128, 640
 SLACK = 0.02
 _E = f"WITH {ctes('run_event')}"

@@ -8,9 +8,11 @@ arrival, by (ts, event_id) inside a micro-batch; late rows are appended.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
@@ -20,6 +22,8 @@ from marlstone.plans.registry import query
 from marlstone.sources.views import SQL, table
 from marlstone.streaming.monitors import COMMIT, advance
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
+
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log, read as files arrive."""
