@@ -9,25 +9,34 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
 
 _STANDARD = NormalDist()
 
 
-@F.pandas_udf("double")
-def normal_cdf(z: pd.Series) -> pd.Series:
+def _cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: 0.5 * (1 + erf(x / sqrt(2))), na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
-def normal_quantile(p: pd.Series) -> pd.Series:
-    """Inverse of the CDF; probabilities are kept off 0 and 1."""
+def _quantile(p: pd.Series) -> pd.Series:
     return p.map(lambda x: _STANDARD.inv_cdf(min(max(x, 1e-12), 1 - 1e-12)), na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("string")
-def general(x: pd.Series) -> pd.Series:
-    """Four significant digits, without trailing zeros."""
+def _general(x: pd.Series) -> pd.Series:
     return x.map(lambda v: f"{v:.4g}", na_action="ignore")
+
+
+def normal_cdf(z: Column) -> Column:
+    return F.pandas_udf(_cdf, "double")(z)
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the CDF; probabilities are kept off 0 and 1."""
+    return F.pandas_udf(_quantile, "double")(p)
+
+
+def general(x: Column) -> Column:
+    """Four significant digits, without trailing zeros."""
+    return F.pandas_udf(_general, "string")(x)

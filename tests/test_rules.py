@@ -134,3 +134,13 @@ def test_plans_have_no_cartesian_product(spark):
     for name in ("policy_summary", "grp_keep_best", "bel_sequence", "mention", "split_ids"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
