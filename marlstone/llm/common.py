@@ -76,12 +76,18 @@ def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Rows of an Arrow batch that carries texts.
+ARROW_ROWS = "1000"
+
 _SHIPPED: set[str] = set()
 
 
 def shipped(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers, once a session, so
     that it need not be installed there."""
+    # texts may be long: few rows at a time, unless the session says otherwise
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
