@@ -1,13 +1,17 @@
 """Near duplicates by a chosen-path similarity join.
 
 Documents become sets of hashed word shingles.  Equal sets are one *node*.
-``TREES`` independent trees branch the nodes by minwise tokens: two nodes share
+Independent trees branch the nodes by minwise tokens: two nodes share
 a branch with the probability of their Jaccard similarity, so similar ones stay
 together down the tree while others part.  A tree node of at most ``LEAF``
 members is compared exhaustively; larger ones branch on (``DEPTHS`` tokens deep
-at most).  Independent trees are repeated to the target recall: at similarity
-0.85 a pair parts in every tree with probability 1e-9 when its leaves are two
-tokens deep and 1e-5 when they are four deep.
+at most).  Trees are repeated to the target recall: a pair at the threshold
+parts in all of them with a probability of at most ``MISS``.  How many that
+takes depends on the depth, (1 - s^d)^trees: every node is in the trees that
+suffice where leaves are two tokens deep, a node of a branch that stayed large
+is in those for four tokens too, and what stayed large there in those for
+seven (11, 19 and 36 at 0.85; 14, 27 and 59 at 0.80).  The added trees start
+at their depth.
 
 Links serve components, so they are confirmed in two rounds.  First members are
 compared with one drawn in each tree node (stars, never all pairs); after
@@ -29,7 +33,7 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import sqrt
+from math import ceil, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import documents, packed, sent_if_small, shipped, tidy, written
 from .hashing import functions, mix, shingle_sets, slices
 
-TREES = 16
+#: A pair at the threshold is in no common leaf with this probability at most.
+MISS = 1e-6
 DEPTHS = (2, 4, 7)
 LEAF = 48
 SKETCH = 128
@@ -59,10 +64,24 @@ def _longs(offsets: list[int] | np.ndarray, flat: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def _signer(width: int):
+def _trees(percent: int) -> list[tuple[int, int]]:
+    """Per depth of ``DEPTHS`` the trees (from, to) that start there: with the
+    trees before them they keep a pair's miss at that depth below ``MISS``."""
+    ends = [ceil(log(MISS) / log1p(-((percent / 100) ** d))) if percent < 100 else 1 for d in DEPTHS]
+    return list(zip([0, *ends], ends))
+
+
+def _levels(percent: int) -> list[tuple[int, int]]:
+    """(tree, index of its depth) of a node's paths, in their order."""
+    return [(t, j) for i, (lo, hi) in enumerate(_trees(percent)) for t in range(lo, hi) for j in range(i, len(DEPTHS))]
+
+
+def _signer(width: int, percent: int):
     """Rows (rid, doc_id, text) to set size, set name, sketch and tree paths."""
     depth = max(DEPTHS)
-    fs = functions(max(TREES * depth, SKETCH), 7)
+    place = {level: k for k, level in enumerate(_levels(percent))}
+    trees = _trees(percent)[-1][1]
+    fs = functions(max(trees * depth, SKETCH), 7)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,7 +91,7 @@ def _signer(width: int):
                 keys = [_set_keys(s) for s in sets]
                 full = np.flatnonzero(n)
                 sketch = np.zeros((2, len(sets)), np.uint64)
-                paths = np.zeros((len(sets), TREES, len(DEPTHS)), np.uint64)
+                paths = np.zeros((len(sets), len(place)), np.uint64)
                 if len(full):
                     flat = np.concatenate(sets)
                     heads = np.concatenate([[0], np.cumsum(n[full])[:-1]])
@@ -81,12 +100,11 @@ def _signer(width: int):
                         if f < SKETCH:
                             sketch[f // 64, full] |= ((low >> np.uint64(21)) & np.uint64(1)) << np.uint64(f % 64)
                         tree, level = divmod(f, depth)
-                        if tree < TREES:
+                        if tree < trees:
                             path = mix((np.full(len(full), tree, np.uint64) if level == 0 else path) * np.uint64(0x9E3779B97F4A7C15) + low)  # noqa: F821
-                            if level + 1 in DEPTHS:
-                                paths[full, tree, DEPTHS.index(level + 1)] = path
-                per = TREES * len(DEPTHS)
-                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, per, 0))])
+                            if level + 1 in DEPTHS and (tree, DEPTHS.index(level + 1)) in place:
+                                paths[full, place[tree, DEPTHS.index(level + 1)]] = path
+                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, len(place), 0))])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int32()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array(sketch[0].view(np.int64)), pa.array(sketch[1].view(np.int64)), _longs(ends, paths[full].ravel())],
                     names=["rid", "doc_id", "n", "k1", "k2", "s1", "s2", "paths"],
@@ -128,20 +146,28 @@ def _may_link(x, y, percent: int) -> Column:
     return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & (differ <= most)
 
 
-def _grown(nodes: DataFrame) -> DataFrame:
+def _grown(nodes: DataFrame, percent: int) -> DataFrame:
     """The trees' final nodes that have company: (p, large, node, n, s1, s2),
     one row per member; large ones stayed above ``LEAF`` at the last depth."""
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(*[F.get("paths", t * len(DEPTHS) + i).alias(f"p{i}") for i in range(len(DEPTHS))]))
-    rows = nodes.select("node", "n", "s1", "s2", F.inline(trees))
-    done = None
-    for i in range(len(DEPTHS)):
+    rows = done = None
+    who, at = nodes, 0
+    for i, (lo, hi) in enumerate(_trees(percent)):
+        # nodes of large branches get the trees that the next depth asks for
+        per = len(DEPTHS) - i
+        trees = F.transform(F.sequence(F.lit(0), F.lit(hi - lo - 1)), lambda t: F.struct(*[F.get("paths", t * per + at + j).alias(f"p{i + j}") for j in range(per)]))
+        fresh = who.select("node", "n", "s1", "s2", F.inline(trees)) if hi > lo else None
+        at += (hi - lo) * per
+        rows = fresh if rows is None else rows if fresh is None else rows.unionByName(fresh)
         p = f"p{i}"
         size = rows.groupBy(F.col(p).alias("q")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         rows = written(rows.join(size, F.col(p) == F.col("q")).drop("q"), f"branch{i}")
         last = i == len(DEPTHS) - 1
         found = (rows if last else rows.where(F.col("size") <= LEAF)).select(F.col(p).alias("p"), (F.col("size") > LEAF).alias("large"), "node", "n", "s1", "s2")
         done = found if done is None else done.unionByName(found)
-        rows = rows.where(F.col("size") > LEAF).drop("size", p)
+        if not last:
+            rows = rows.where(F.col("size") > LEAF).drop("size", p)
+            deep = written(rows.select("node").distinct(), f"deep{i}")
+            who = nodes.join(sent_if_small(deep, BROADCAST_IDS), "node", "left_semi")
     return done
 
 
@@ -236,10 +262,10 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
     each set that more than one row has or that is linked with another."""
     shipped(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(rows.mapInArrow(tidy(_signer(width)), _SIGNED), "signed")
+    signed = written(rows.mapInArrow(tidy(_signer(width, percent)), _SIGNED), "signed")
     same = written(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "same")
     nodes = signed.join(same.select("node"), F.col("rid") == F.col("node"), "left_semi").withColumnRenamed("rid", "node")
-    met = written(_grown(nodes), "met")
+    met = written(_grown(nodes, percent), "met")
 
     # round 1: members of a tree node against one of them, drawn by hash
     stars = written(_stars(met, lambda x, y: _may_link(x, y, percent)), "stars")

@@ -175,6 +175,23 @@ def test_near_groups_by_brute_force(spark, width, percent):
     assert kept == {find(i) for i in range(len(sets))}
 
 
+def test_near_trees_reach_the_recall_at_their_last_depth():
+    import pyarrow as pa
+
+    share = [f"t{k}" for k in range(74)]  # a template: all texts are 0.7 similar, pairs 0.80
+    texts = [" ".join(share + [f"b{i}.{k}" for k in range(6)] + [f"o{i}.{j}.{k}" for k in range(10)]) for i in range(300) for j in (0, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(range(600)), pa.array(texts)], names=["rid", "doc_id", "text"])
+    signed = pa.Table.from_batches(near._signer(1, 80)([batch]))
+    paths = np.array(signed["paths"].to_pylist())
+    deep = paths[:, [k for k, (_, j) in enumerate(near._levels(80)) if j == len(near.DEPTHS) - 1]]
+    met = deep[::2] == deep[1::2]
+    assert met.any(axis=1).all() and not met[:, :16].any(axis=1).all()  # 16 trees lose pairs
+    for percent in (80, 85, 95):
+        for d, (_, trees) in zip(near.DEPTHS, near._trees(percent)):
+            assert (1 - (percent / 100) ** d) ** trees <= 1e-6
+    assert near._trees(85)[-1][1] == 36 and near._trees(80)[-1][1] == 59 and near._trees(100)[-1][1] == 1
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {r.node: r.comp for r in near.components(e).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
