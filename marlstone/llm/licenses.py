@@ -1,8 +1,9 @@
 """Licence scans by sentence rules (DataFrame functions only).
 
-Texts are cut into sentences, sentences that speak of licences are normalised
-(lower case, runs of other characters than letters, digits, dot and hyphen to
-one space) and mapped to the identifiers of known licence sentences.  The
+Texts are cut into sentences, sentences that speak of licences or hold a known
+licence sentence are normalised (lower case, runs of other characters than
+letters, digits, dot and hyphen to one space) and mapped to the identifiers of
+all known licence sentences in them, in text order.  The
 sequence of identifiers is then matched against ordered licence rules; what a
 rule matches is consumed, so that a full text is not also read as its parts.
 Each text is cut twice, at line ends and across them, because licence texts are
@@ -21,7 +22,7 @@ from .common import documents
 # Words that make a sentence worth reading.
 SPEAKS = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|spdx|public domain|endorse or promote|liable"
 
-# Known licence sentences, first match wins.
+# Known licence sentences; the SQL form takes a sentence's first.
 SENTENCES = (
     ("APACHE2", r"licensed under the apache license version 2\.0|apache license version 2\.0|spdx-license-identifier apache-2\.0"),
     ("APACHE2_USE", r"you may not use this file except in compliance with the license"),
@@ -77,11 +78,20 @@ RULES = (
 )
 
 
-def _identifier(s: Column) -> Column:
-    out = F.when(s.rlike(SENTENCES[0][1]), F.lit(SENTENCES[0][0]))
-    for name, pattern in SENTENCES[1:]:
-        out = out.when(s.rlike(pattern), F.lit(name))
-    return out.otherwise(F.lit("UNKNOWN"))
+# A text or sentence without a match holds no known sentence once normalised:
+# where a pattern has a space, the raw text has what normalising turns into one.
+# "All rights reserved" alone is still passed over, as in the SQL form.
+HINTS = "(?s)" + "|".join(p.replace("^", "").replace("( |$)", "").replace("$", "").replace(" ", r"[.\-]*[^a-z0-9.\-]+") for n, p in SENTENCES if n != "COPYRIGHT")
+
+
+def _worth(s: Column) -> Column:
+    return s.rlike(SPEAKS) | F.lower(s).rlike(HINTS)
+
+
+def _identifiers(s: Column) -> Column:
+    """The identifiers of a normalised sentence in text order, each once."""
+    at = F.array(*[F.struct(F.regexp_instr(s, F.lit(p)).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, p) in enumerate(SENTENCES)])
+    return F.transform(F.sort_array(F.filter(at, lambda x: x["at"] > 0)), lambda x: x["name"])
 
 
 def _normal(s: Column) -> Column:
@@ -91,15 +101,16 @@ def _normal(s: Column) -> Column:
 def _sequence(text: Column, across: bool) -> Column:
     flat = F.regexp_replace(text, r"[ \t\r]*\n[ \t\r]*", " ") if across else text
     cut = F.split(F.regexp_replace(flat, r"([.!?;:])[ \t\r]+", "$1\n"), "\n")
-    spoken = F.filter(cut, lambda s: s.rlike(SPEAKS))
-    return F.array_join(F.transform(F.transform(spoken, _normal), lambda s: F.concat(_identifier(s), F.lit(";"))), "")
+    spoken = F.transform(F.filter(cut, _worth), lambda s: F.struct(s.rlike(SPEAKS).alias("speaks"), _identifiers(_normal(s)).alias("ids")))
+    named = F.transform(spoken, lambda x: F.when((F.size(x["ids"]) == 0) & x["speaks"], F.array(F.lit("UNKNOWN"))).otherwise(x["ids"]))
+    return F.array_join(F.transform(F.flatten(named), lambda n: F.concat(n, F.lit(";"))), "")
 
 
 def licensed(docs: DataFrame) -> DataFrame:
     """doc_id, licenses (sorted names), sentence_ids of both readings and
     n_unknown (sentences that speak of licences but are not known)."""
     # a text that says nothing about licences is read no further
-    rows = docs.select("doc_id", F.when(F.col("text").rlike(SPEAKS), F.col("text")).alias("t"))
+    rows = docs.select("doc_id", F.when(_worth(F.col("text")), F.col("text")).alias("t"))
     rows = rows.select("doc_id", *[F.coalesce(_sequence(F.col("t"), a), F.lit("")).alias(n) for n, a in (("by_line", False), ("across", True))])
     names = F.array().cast("array<string>")
     for seq in ("by_line", "across"):

@@ -247,6 +247,18 @@ def test_personal_data_is_linear():
         pii.find(t)
 
 
+def test_licence_sentences_without_licence_words_and_with_several(spark):
+    texts = [
+        "Available under CC BY-SA 4.0.", "See Creative\n Commons Attribution 4.0 International", "CC0 1.0", "Text by CC BY\n4.0.",
+        "Licensed under the MIT License and the Apache License, Version 2.0.", "Apache License, Version 2.0, or released under the MIT License.", "Nothing here. A reserved seat.", "A licence is asked for.",
+    ]
+    got = [(r.licenses, r.by_line, r.n_unknown) for r in licenses.licensed(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert got == [
+        (["CC-BY-SA-4.0"], "CC_BY_SA;", 0), (["CC-BY-4.0"], "", 0), (["CC0-1.0"], "CC0;", 0), (["CC-BY-4.0"], "", 0),
+        (["Apache-2.0", "MIT"], "MIT;APACHE2;", 0), (["Apache-2.0", "MIT"], "APACHE2;MIT;", 0), ([], "", 0), ([], "UNKNOWN;", 1),
+    ]
+
+
 def test_licence_rules(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that:\nRedistributions of source code must retain the above copyright\nnotice. Redistributions in binary form must reproduce the above copyright notice."
     rows = [(1, "Licensed under the Apache License,\nVersion 2.0.", "en", "s"), (2, bsd, "en", "s"), (3, bsd + " Neither the name may be used to endorse or promote products derived from it.", "en", "s"), (4, "A licence of another kind is needed.", "en", "s"), (5, "x\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", "en", "s")]
