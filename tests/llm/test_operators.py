@@ -108,8 +108,8 @@ def test_heavier_subtree_only_takes(spark):
 
 def test_mix_meets_targets(spark):
     rows = [(i, words(i, 20 + i % 50), "en", s) for i, s in enumerate(["a"] * 300 + ["b"] * 300 + ["c"] * 30)]
-    sized = docs(spark, rows).select("source", mixing.n_words(F.col("text")).alias("size"), "doc_id")
-    per = {r.source: r for r in mixing.shares(sized.withColumn("ord", mixing.order_key(F.col("doc_id"), F.col("size")))).collect()}
+    sized = docs(spark, rows).select("source", mixing.n_words(F.col("text")).alias("size"), "doc_id", "text")
+    per = {r.source: r for r in mixing.shares(sized.withColumn("ord", mixing.order_key(F.col("doc_id"), F.col("size"), F.col("text")))).collect()}
     total = sum(len(WORD.findall(t)) for _, t, *_ in rows)
     assert per["c"].target == 3 * per["c"].source_size
     left = total - per["c"].target
@@ -122,6 +122,25 @@ def test_mix_meets_targets(spark):
     assert all(abs(taken[s] - per[s].target) <= 150 for s in "abc") and sum(taken.values()) <= total and max(copies.values()) <= 3
 
 
+def test_mix_of_repeated_rows(spark, tmp_path):
+    """Repeats are passed one by one: by brute force, and as in DuckDB."""
+    rng = random.Random(8)
+    rows = [(1, words(1, 90), "en", "a")] * 40 + [(2, words(2, 70), "en", "b")] * 25 + [(2, words(3, 70), "en", "b")] * 5
+    rows += [(100 + i, words(i, rng.randint(1, 60)), "en", rng.choice("abc")) for i in range(90)] + [(7, None, "en", None), (7, " ", "en", "c"), (8, "one", "en", None)]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["op5_weighted_fair_queue"](spark, str(tmp_path))
+    same(df, str(tmp_path), ORACLES["op5_weighted_fair_queue"])
+    got = df.collect()
+    assert len(got) == len(rows)
+    for s in ("a", "b", "c", None):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 90 and all(r.taken <= 3 * r.size for r in own)
+    assert {len({r.times for r in got if r.doc_id == i}) for i in (1, 2)} <= {1, 2}
+    budget = sum(len(WORD.findall(t or "")) for _, t, *_ in rows)
+    assert budget - 4 * 90 <= sum(r.taken for r in got) <= budget
+    assert sum(len(WORD.findall(r.text or "")) for r in mixing.mixed(docs(spark, rows)).collect()) == sum(r.taken for r in got)
+
+
 @pytest.mark.parametrize("bits", [48, 6])
 def test_exact_copies_by_brute_force(spark, bits):
     rows = [(i, f"text {i % 37}" if i % 3 else f"own {i}", "en", "s") for i in range(400)] + [(7, None, "en", "s"), (9, "", "en", "s")]
