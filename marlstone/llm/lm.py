@@ -2,20 +2,26 @@
 
 Training documents' unigrams and bigrams are counted whole: tasks send sorted,
 Golomb-coded hashes with their counts to buckets of the hash range, buckets add
-them up.  Each bucket then stores its n-grams in a Bloom filter under quantised
-counts: an n-gram whose count has level q (a power of two) is entered q times,
-as (n-gram, 1) to (n-gram, q).  A reader probes upwards until a probe misses and
-so reads back the level, too high with a small probability and never too low.
-The buckets' filters, side by side, are broadcast; their size follows the number
-of entries up to ``FILTER_BITS`` and is fixed beyond, where the error rate rises
-instead.  Bigrams seen once are left to smoothing at every size of corpus.
-
-A token's probability is ``1 - MIX`` of its smoothed unigram estimate plus
-``MIX`` of the bigram's share of its history, from the levels read.
-
-The base score needs exact unigram counts.  They are broadcast up to
-``BROADCAST_UNIGRAMS`` entries, beyond that joined by shuffle, per distinct
-token of a document.
+them up.  Each bucket enters all its bigrams, those seen once too, in Bloom
+filters under quantised counts: a bigram whose count has level q (1 for 1, 2 for
+2 and 3, 3 from 4, and so on by powers of two) is entered q times, as (bigram, 1)
+to (bigram, q).  A reader probes upwards until a probe misses and so reads back
+the level, too high with a small probability and never too low.  An entry sets
+``FLAGS`` bits in each of several 64-bit words: five at level 1 (32 bits per
+entry; an unseen bigram is taken for a seen one about once in a million), two
+above.
+
+The probability of a word after another is ``(v + MU * p1) / (S + MU)``: v stands
+for the level read, p1 is the word's add-one unigram estimate (one class for all
+unknown words), and S the sum of v over what was seen after the other word.
+Buckets read their own filters back to find S, so a level read too high counts
+there too, and the probabilities after a word sum to 1 but for unseen bigrams
+that are taken for seen ones: by V * 1e-6 / (S + MU) in the mean of V words.
+
+Filters grow with the number of bigrams.  Where they and the exact table of
+words (counts for the base score, S) stay below counted bounds they are
+broadcast.  Beyond, distinct bigrams are probed in their bucket and their
+probabilities joined to the documents by shuffle; scores are the same.
 
 Edge cases: a null text has the end token only; a null doc_id is crc32 of an
 empty string and trains; rows that repeat train and are scored each; with no
@@ -36,21 +42,28 @@ from .exact import rice_decode, rice_encode
 from .hashing import mix, slices, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
-MIX = 0.4
-PROBES = 5
-BITS_PER_ENTRY = 8
-#: Bits of the whole filter at most: the broadcast is bounded at 128 MB.
-FILTER_BITS = 1 << 30
-#: Entries (12 bytes each) of the exact unigram table that are broadcast.
-BROADCAST_UNIGRAMS = 8_000_000
+#: Weight of the unigram estimate, in counts.
+MU = 100.0
+#: Bits and 64-bit words per entry, at level 1 and above.
+BITS, WORDS = (32, 16), (5, 2)
+FLAGS = 4
+#: What may be broadcast: bytes of all filters, words of the exact table.
+BROADCAST_BYTES = 320_000_000
+BROADCAST_WORDS = 12_000_000
 #: Text per bucket and n-grams gathered by a task before it sends them.
-BUCKET_BYTES = 2_000_000
-SEND = 1_000_000
+BUCKET_BYTES = 8_000_000
+SEND = 2_000_000
 HASH_BITS = 58  # what buckets tell n-grams apart by
+NAME_BYTES = 6  # what names the first word of a bigram on its way to S
 END, START = np.uint64(0x1F3A5C7E9B2D4F61), np.uint64(0x2B4D6F8193A5C7E9)
 
 _U = np.uint64
 _KEEP = _U(64 - HASH_BITS)
+_NAME = _U((1 << 8 * NAME_BYTES) - 1)
+_rng = np.random.default_rng(77)
+_MASKS = np.bitwise_or.reduce(_U(1) << np.argsort(_rng.random((4096, 64)), axis=1)[:, :FLAGS].astype(np.uint64), axis=1)
+#: What a level stands for: 0, 1, 2, 5, 11, 22, ...: its middle, by ratio.
+_VALUE = np.array([0] + [int(2**q * 2**0.5 / 2 + (q == 1) * 0.5) for q in range(1, 60)], np.int64)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,93 +81,149 @@ def bigrams(hist: np.ndarray, toks: np.ndarray) -> np.ndarray:
     return mix(hist * _U(0x9E3779B97F4A7C15) + toks) >> _KEEP
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> _U(HASH_BITS - 32)) * _U(buckets)) >> _U(32)  # by range
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
+def _heads(k: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(k, prepend=k[:1] + _U(1)))
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Parts (keys, counts, other...) as one: sorted keys, summed counts."""
+    k, c, *more = (np.concatenate(p) for p in zip(*parts, strict=True))
     order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    heads = np.flatnonzero(np.diff(k, prepend=k[:1] + _U(1)))
-    return k[heads], np.add.reduceat(c, heads)
+    heads = _heads(k[order])
+    return k[order][heads], np.add.reduceat(c[order], heads), *(m[order][heads] for m in more)
+
+
+_SENT = "bucket int, kind int, n int, shift int, unary binary, rest binary, counts binary, names binary"
+_MODEL = "bucket int, n_unigrams long, n_tokens long, keys binary, counts binary, seen binary, above binary, names binary, masses binary"
 
 
-_SENT = "bucket int, kind int, n int, shift int, unary binary, rest binary, counts binary"
-_MODEL = "bucket int, n_unigrams long, n_tokens long, keys binary, counts binary, bits binary"
+def _cut(names: np.ndarray) -> bytes:
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()
+
+
+def _grown(cut: bytes) -> np.ndarray:
+    out = np.zeros((len(cut) // NAME_BYTES, 8), np.uint8)
+    out[:, :NAME_BYTES] = np.frombuffer(cut, np.uint8).reshape(-1, NAME_BYTES)
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 def _sender(buckets: int):
-    def packed(kind: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        k, c = _summed(keys, counts)
-        b = _bucket(k, buckets)
-        heads = np.flatnonzero(np.diff(b, prepend=b[:1] + _U(1)))
+    def packed(kind: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        k, c, *names = _summed(parts)
+        b = bucket_of(k, buckets)
         rows = []
-        for x, z in zip(heads, [*heads[1:], len(b)]):
+        for x, z in zip(heads := _heads(b), [*heads[1:], len(b)]):
             own = c[x:z]
             small = own.astype(np.uint8) if own.max() < 256 else own.astype(np.int64)  # told apart by length
-            rows.append((int(b[x]), kind, int(z - x), *rice_encode(k[x:z].astype(np.int64)), small.tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(list(col), t) for col, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "n", "shift", "unary", "rest", "counts"])
+            rows.append((int(b[x]), kind, int(z - x), *rice_encode(k[x:z].astype(np.int64)), small.tobytes(), *(_cut(n[x:z]) for n in names), *([b""] if not names else [])))
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(list(col), t) for col, t in zip(zip(*rows), types, strict=True)], names=["bucket", "kind", "n", "shift", "unary", "rest", "counts", "names"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {1: ([], []), 2: ([], [])}
+        held: dict[int, list] = {1: [], 2: []}
         n = 0
         for b in batches:
             for _, _, data, offsets in slices(b.column(0)):
                 toks, hist, _ = tokens(data, offsets)
-                for kind, grams in ((1, toks), (2, bigrams(hist, toks))):
-                    k, c = np.unique(grams, return_counts=True)
-                    held[kind][0].append(k)
-                    held[kind][1].append(c)
-                    n += len(k)
-                if n > 2 * SEND:
-                    for kind, (k, c) in held.items():
-                        yield packed(kind, k, c)
-                    held, n = {1: ([], []), 2: ([], [])}, 0
+                held[1].append(np.unique(toks, return_counts=True))
+                k, i, c = np.unique(bigrams(hist, toks), return_index=True, return_counts=True)
+                held[2].append((k, c, hist[i] & _NAME))
+                n += len(k)
+                if n > SEND:
+                    for kind, parts in held.items():
+                        yield packed(kind, parts)
+                    held, n = {1: [], 2: []}, 0
         if n:
-            for kind, (k, c) in held.items():
-                yield packed(kind, k, c)
+            for kind, parts in held.items():
+                yield packed(kind, parts)
 
     return send
 
 
-def _places(h: np.ndarray, level: int, m: np.ndarray | int) -> Iterator[np.ndarray]:
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 c)."""
+    return np.frexp(counts.astype(np.float64))[1]
+
+
+def _probes(h: np.ndarray, level: int, m: np.ndarray | int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, mask) of each of an entry's words among ``m``."""
     g = mix(h * _U(64) + _U(level))
-    a, step = g >> _U(32), (g & _U(0xFFFFFFFF)) | _U(1)
-    for i in range(PROBES):
-        yield (a + _U(i) * step) % m
+    for i in range(WORDS[level > 1]):
+        x = mix(g + _U(i))
+        yield ((x >> _U(32)) * m) >> _U(32), _MASKS[(x & _U(4095)).astype(np.int64)]
 
 
-def _levels(counts: np.ndarray, kind: int) -> np.ndarray:
-    """Unigrams: 1 + floor(log2 c), from c = 1.  Bigrams: floor(log2 c), from 2."""
-    return np.frexp(counts.astype(np.float64))[1] - (kind - 1)
+class Filter:
+    """The filters of ``buckets`` ranges of the hash, side by side."""
+
+    def __init__(self, buckets: int, words: tuple[int, int] = (0, 0)):
+        self.buckets = buckets
+        self.m, self.start = np.ones((2, buckets), np.uint64), np.zeros((2, buckets), np.uint64)
+        self.words = [np.zeros(w + 1, np.uint64) for w in words]  # a first word for buckets without entries
+        self.end = [1, 1]
+
+    def put(self, bucket: int, seen: bytes, above: bytes) -> None:
+        for i, part in enumerate((seen, above)):
+            part = np.frombuffer(part, np.uint64)
+            if len(part):
+                self.m[i, bucket], self.start[i, bucket] = len(part), self.end[i]
+                self.words[i][self.end[i] : self.end[i] + len(part)] = part
+                self.end[i] += len(part)
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.int64)
+        left, b = np.arange(len(h)), bucket_of(h, self.buckets).astype(np.int64)
+        q = 0
+        while len(left) and q < len(_VALUE) - 1:
+            q += 1
+            i = int(q > 1)
+            words, m, start = self.words[i], self.m[i], self.start[i]
+            for p in range(WORDS[i]):
+                x = mix(mix(h[left] * _U(64) + _U(q)) + _U(p))
+                at = b[left]
+                mask = _MASKS[(x & _U(4095)).astype(np.int64)]
+                word = words[(start[at] + (((x >> _U(32)) * m[at]) >> _U(32))).astype(np.int64)]
+                left = left[(word & mask) == mask]
+            out[left] = q
+        return out
 
 
-def _count_of(level: np.ndarray, kind: int) -> np.ndarray:
-    """The middle of a level's counts; 0 for level 0."""
-    top = np.exp2(level + (kind - 2.0)) * np.sqrt(2.0)
-    return np.where(level == 0, 0.0, np.where((level == 1) & (kind == 1), 1.0, top))
+def filters(keys: np.ndarray, levels: np.ndarray) -> tuple[bytes, bytes]:
+    """The filters (level 1, above) of one bucket's bigrams."""
+    out = []
+    for i, entries in enumerate((len(keys), int(levels.sum()) - len(keys))):
+        words = np.zeros(-(-entries * BITS[i] // 64), np.uint64)
+        for q in range(i + 1, (1 if i == 0 else int(levels.max(initial=0))) + 1):
+            for at, mask in _probes(keys[levels >= q], q, _U(len(words))):
+                np.bitwise_or.at(words, at.astype(np.int64), mask)
+        out.append(words.tobytes())
+    return out[0], out[1]
 
 
 def _builder(buckets: int):
     def build(t: pa.Table) -> pa.Table:
-        got: dict[int, tuple[list, list]] = {1: ([], []), 2: ([], [])}
+        got: dict[int, list] = {1: [], 2: []}
         for i in range(t.num_rows):
             r = {c: t.column(c)[i].as_py() for c in t.column_names}
-            small = len(r["counts"]) == r["n"]
-            got[r["kind"]][0].append(rice_decode(r["n"], r["shift"], r["unary"], r["rest"]).astype(np.uint64))
-            got[r["kind"]][1].append(np.frombuffer(r["counts"], np.uint8 if small else np.int64).astype(np.int64))
-        uni, bi = (_summed(*got[k]) if got[k][0] else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in (1, 2))
-        entries = [(k, _levels(c, kind), kind) for kind, (k, c) in ((1, uni), (2, (bi[0][bi[1] > 1], bi[1][bi[1] > 1])))]
-        total = sum(int(lv.sum()) for _, lv, _ in entries)
-        m = max(64, min(total * BITS_PER_ENTRY, FILTER_BITS // buckets)) // 8 * 8
-        bits = np.zeros(m, np.uint8)
-        for k, lv, kind in entries:
-            for q in range(1, int(lv.max(initial=0)) + 1):
-                for p in _places(k[lv >= q] ^ _U(kind), q, _U(m)):
-                    bits[p] = 1
-        row = {"bucket": [t.column("bucket")[0].as_py()], "n_unigrams": [len(uni[0])], "n_tokens": [int(uni[1].sum())], "keys": [uni[0].tobytes()], "counts": [uni[1].tobytes()], "bits": [np.packbits(bits, bitorder="little").tobytes()]}
-        return pa.table(row, schema=pa.schema([("bucket", pa.int32()), ("n_unigrams", pa.int64()), ("n_tokens", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary())]))
+            counts = np.frombuffer(r["counts"], np.uint8 if len(r["counts"]) == r["n"] else np.int64).astype(np.int64)
+            keys = rice_decode(r["n"], r["shift"], r["unary"], r["rest"]).astype(np.uint64)
+            got[r["kind"]].append((keys, counts) if r["kind"] == 1 else (keys, counts, _grown(r["names"])))
+        bucket = t.column("bucket")[0].as_py()
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        uni, (keys, counts, names) = _summed(got[1]) if got[1] else none[:2], _summed(got[2]) if got[2] else none
+        seen, above = filters(keys, levels_of(counts))
+        f = Filter(buckets, (len(seen) // 8, len(above) // 8))
+        f.put(bucket, seen, above)
+        order = np.argsort(names, kind="stable")
+        heads = _heads(names[order])
+        masses = np.add.reduceat(_VALUE[f.level(keys)][order], heads) if len(heads) else none[1]
+        row = {"bucket": [bucket], "n_unigrams": [len(uni[0])], "n_tokens": [int(uni[1].sum())], "keys": [uni[0].tobytes()], "counts": [uni[1].tobytes()], "seen": [seen], "above": [above], "names": [names[order][heads].tobytes()], "masses": [masses.tobytes()]}
+        types = {"bucket": pa.int32(), "n_unigrams": pa.int64(), "n_tokens": pa.int64()}
+        return pa.table(row, schema=pa.schema([(c, types.get(c, pa.binary())) for c in row]))
 
     return build
 
@@ -164,8 +233,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def trained(docs: DataFrame) -> DataFrame:
-    """The model: per bucket of the hash range its exact unigram counts and its
-    filter, from the training fold of ``docs``."""
+    """The model: per bucket of the hash range its exact unigram counts, its
+    filters and its part of S, from the training fold of ``docs``."""
     shipped(docs.sparkSession)
     train = docs.where(~held_out(F.col("doc_id"))).select("text")
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -174,114 +243,153 @@ def trained(docs: DataFrame) -> DataFrame:
     return written(sent.groupBy("bucket").applyInArrow(_builder(buckets), _MODEL).withColumn("buckets", F.lit(buckets)), "model")
 
 
-class Filter:
-    """The filters of all buckets side by side."""
-
-    def __init__(self, buckets: int, rows: list[tuple[int, bytes]]):
-        self.buckets, self.m, self.start = buckets, np.full(buckets, 64, np.uint64), np.zeros(buckets, np.uint64)
-        parts, at = [np.zeros(8, np.uint8)], 8
-        for b, bits in sorted(rows):
-            self.m[b], self.start[b] = len(bits) * 8, at * 8
-            parts.append(np.frombuffer(bits, np.uint8))
-            at += len(bits)
-        self.bits = np.concatenate(parts)
-
-    def level(self, h: np.ndarray, kind: int) -> np.ndarray:
-        out = np.zeros(len(h), np.int64)
-        b = _bucket(h, self.buckets)
-        left, h, m, start = np.arange(len(h)), h ^ _U(kind), self.m[b], self.start[b]
-        q = 0
-        while len(left) and q < 62:
-            q += 1
-            hit = np.arange(len(left))
-            for p in _places(h, q, m):
-                p = start[hit] + p[hit]
-                hit = hit[(self.bits[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1 == 1]
-                if not len(hit):
-                    break
-            left, h, m, start = left[hit], h[hit], m[hit], start[hit]
-            out[left] = q
-        return out
+def _pairs(names: tuple[str, str]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)), pa.array(np.frombuffer(y.as_py(), np.int64))], names=list(names))
 
+    return rows
 
-class Scorer:
-    """Scores of texts from a filter, and base scores from exact counts."""
 
-    def __init__(self, f: Filter, n: int, v: int, n_docs: int, keys: np.ndarray | None, counts: np.ndarray | None):
-        self.filter, self.n, self.v, self.n_docs, self.keys, self.counts = f, n, v, n_docs, keys, counts
+def word_table(model: DataFrame) -> tuple[DataFrame, int]:
+    """(k, c, s) of every word: hash, count and S; and S of text starts."""
+    sums = model.select("names", "masses").mapInArrow(_pairs(("name", "m")), "name long, m long").groupBy("name").agg(F.sum("m").alias("s"))
+    words = model.select("keys", "counts").mapInArrow(_pairs(("k", "c")), "k long, c long")
+    j = words.join(sums, (F.col("k").bitwiseAND(F.lit(int(_NAME)))) == F.col("name"), "left").select("k", "c", F.coalesce("s", F.lit(0)).alias("s"))
+    start = int((START >> _KEEP) & _NAME)
+    at_start = written(model.select("names", "masses").mapInArrow(_start_mass(start), "m long"), "start").agg(F.sum("m")).first()[0]
+    return written(j, "words"), at_start or 0
+
+
+def _start_mass(start: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1)):
+                hit = np.frombuffer(x.as_py(), np.uint64) == _U(start)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(y.as_py(), np.int64)[hit])], names=["m"])
+
+    return rows
+
+
+class Scorer:
+    """Scores of texts from a filter and the exact table of words; words that
+    occur once and are followed once are kept by their hash alone."""
+
+    def __init__(self, f: Filter, n: int, v: int, at_start: int, once: np.ndarray, often: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.filter, self.n, self.v, self.at_start, self.once, self.often = f, n, v, at_start, once, often
+
+    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and S of hashes."""
+        c, s = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        s[h == START >> _KEEP] = self.at_start
+        for keys, count, mass in ((self.once, None, None), self.often):
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[i] == h
+                c[hit] = 1 if count is None else count[i[hit]]
+                s[hit] = 1 if mass is None else mass[i[hit]]
+        return c, s
+
+    def probabilities(self, hist: np.ndarray, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's count, add-one estimate, and probability after ``hist``."""
+        some, where = np.unique(np.concatenate([toks, hist]), return_inverse=True)
+        c, s = self.known(some)
+        c, s = c[where[: len(toks)]], s[where[len(toks) :]]
+        first = (c + 1) / (self.n + self.v + 1)
+        return c, first, (_VALUE[self.filter.level(bigrams(hist, toks))] + MU * first) / (s + MU)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """n_tokens, n_known, base_score (0 without exact counts) and score."""
+        """n_tokens, n_known, base_score and score."""
         toks, hist, at = tokens(data, offsets)
-        n_tokens = np.diff(at, append=len(toks))
-        some, where = np.unique(np.concatenate([toks, hist]), return_inverse=True)
-        where, before = where[: len(toks)], where[len(toks) :]
-        read = _count_of(self.filter.level(some, 1), 1)
-        read[some == START >> _KEEP] = self.n_docs
-        pairs = _count_of(self.filter.level(bigrams(hist, toks), 2), 2)
-        whole = self.n + self.v + 1
-        first = (read[where] + 1) / whole
-        share = np.minimum(1.0, pairs / np.maximum(read[before], 1.0))
-        score = np.add.reduceat(np.log10(np.minimum(1.0, (1 - MIX) * first + MIX * share)), at)
-        known, base = np.zeros(len(at), np.int64), np.zeros(len(at))
-        if self.keys is not None:
-            c = np.zeros(len(some), np.int64)
-            if len(self.keys):
-                i = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-                c = np.where(self.keys[i] == some, self.counts[i], 0)
-            known = np.add.reduceat((c[where] > 0).astype(np.int64), at)
-            base = np.add.reduceat(np.log10((c + 1) / whole)[where], at)
-        return n_tokens, known, base, score
-
-
-def _distinct_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rid, text) to rows (rid, h, tf) of each text's distinct tokens."""
-    for b in batches:
-        for lo, _, data, offsets in slices(b.column(1)):
-            toks, _, at = tokens(data, offsets)
-            for k, (x, z) in enumerate(zip(at, [*at[1:], len(toks)])):
-                h, tf = np.unique(toks[x:z], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b.column(0)[lo + k].as_py())), pa.array(h.astype(np.int64)), pa.array(tf)], names=["rid", "h", "tf"])
-
-
-def _unigram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k, c in zip(b.column(0), b.column(1)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k.as_py(), np.int64)), pa.array(np.frombuffer(c.as_py(), np.int64))], names=["k", "c"])
-
-
-def scored(docs: DataFrame, model: DataFrame, broadcast_unigrams: int = BROADCAST_UNIGRAMS) -> DataFrame:
+        c, first, p = self.probabilities(hist, toks)
+        return np.diff(at, append=len(toks)), np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(np.log10(first), at), np.add.reduceat(np.log10(p), at)
+
+
+_RESULT = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _gathered(model: DataFrame, words: DataFrame, sizes, n: int, v: int, at_start: int) -> Scorer:
+    """The whole model, once it was counted to be within its bounds."""
+    f = Filter(sizes.buckets, (sizes.seen // 8, sizes.above // 8))
+    for r in model.select("bucket", "seen", "above").toLocalIterator():
+        f.put(r.bucket, r.seen, r.above)
+    rare = (F.col("c") == 1) & (F.col("s") == 1)
+    once = np.sort(words.where(rare).select("k").toArrow()["k"].to_numpy()).astype(np.uint64)
+    rest = words.where(~rare).toArrow()
+    order = np.argsort(rest["k"].to_numpy())
+    small = lambda x: x.astype(np.int32) if x.max(initial=0) < 2**31 else x
+    return Scorer(f, n, v, at_start, once, (rest["k"].to_numpy()[order].astype(np.uint64), small(rest["c"].to_numpy()[order]), small(rest["s"].to_numpy()[order])))
+
+
+def _asked(buckets: int):
+    """Rows (rid, text) to rows (rid, bucket, g, h, w, tf) of each text's
+    distinct bigrams."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, _, data, offsets in slices(b.column(1)):
+                toks, hist, at = tokens(data, offsets)
+                for k, (x, z) in enumerate(zip(at, [*at[1:], len(toks)])):
+                    g, i, tf = np.unique(bigrams(hist[x:z], toks[x:z]), return_index=True, return_counts=True)
+                    columns = (np.full(len(g), b.column(0)[lo + k].as_py()), bucket_of(g, buckets).astype(np.int64), g.astype(np.int64), hist[x:z][i].astype(np.int64), toks[x:z][i].astype(np.int64), tf)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rid", "bucket", "g", "h", "w", "tf"])
+
+    return rows
+
+
+def _answer(buckets: int):
+    """A bucket's distinct bigrams (g, h, w) with what its filter reads."""
+
+    def rows(asked: pa.Table, model: pa.Table) -> pa.Table:
+        g = asked["g"].to_numpy()
+        v = np.zeros(len(g), np.int64)
+        if model.num_rows:
+            seen, above = model["seen"][0].as_py(), model["above"][0].as_py()
+            f = Filter(buckets, (len(seen) // 8, len(above) // 8))
+            f.put(model["bucket"][0].as_py(), seen, above)
+            v = _VALUE[f.level(g.astype(np.uint64))] if len(g) else v
+        return pa.table({"g": g, "h": asked["h"], "w": asked["w"], "v": v})
+
+    return rows
+
+
+def _joined(rows: DataFrame, model: DataFrame, words: DataFrame, buckets: int, n: int, v: int, at_start: int) -> DataFrame:
+    """Scores of ``rows`` (rid, doc_id, held_out, text) by shuffles alone."""
+    asked = written(rows.select("rid", "text").mapInArrow(tidy(_asked(buckets)), "rid long, bucket long, g long, h long, w long, tf long"), "asked")
+    distinct = asked.select("bucket", "g", "h", "w").dropDuplicates(["g"])
+    parts = model.select(F.col("bucket").cast("long").alias("bucket"), "seen", "above")
+    read = distinct.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(_answer(buckets), "g long, h long, w long, v long")
+    read = read.join(words.select(F.col("k").alias("w"), "c"), "w", "left").join(words.select(F.col("k").alias("h"), "s"), "h", "left")
+    mass = F.coalesce("s", F.when(F.col("h") == int(START >> _KEEP), at_start), F.lit(0))
+    c, first = F.coalesce("c", F.lit(0)), F.col("first")
+    read = read.withColumns({"known": c > 0, "first": (c + 1).cast("double") / F.lit(float(n + v + 1))}).select("g", "known", first, ((F.col("v") + MU * first) / (mass + MU)).alias("p"))
+    j = asked.select("rid", "g", "tf").join(read, "g")
+    sums = j.groupBy("rid").agg(F.sum("tf").alias("n_tokens"), F.sum(F.when(F.col("known"), F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10("first")).alias("base_score"), F.sum(F.col("tf") * F.log10("p")).alias("score"))
+    return rows.select("rid", "doc_id", "held_out").join(sums, "rid")
+
+
+def scored(docs: DataFrame, model: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    n, v, buckets = model.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_unigrams"), F.lit(0)), F.coalesce(F.max("buckets"), F.lit(16))).first()
-    small = v <= broadcast_unigrams
-    n_docs = docs.where(~held_out(F.col("doc_id"))).count()
-    # bounded: FILTER_BITS and broadcast_unigrams entries
-    got = model.select("bucket", "bits", *(["keys", "counts"] if small else [])).toArrow().sort_by("bucket")
-    f = Filter(buckets, list(zip(got["bucket"].to_pylist(), got["bits"].to_pylist(), strict=True)))
-    keys = counts = None
-    if small:
-        keys, counts = (np.frombuffer(b"".join(got[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
-    del got
-    sent = spark.sparkContext.broadcast(Scorer(f, n, v, n_docs, keys, counts))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = sent.value
-        for b in batches:
-            for lo, hi, data, offsets in slices(b.column(3)):
-                n_tokens, known, base, total = s.score(data, offsets)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(total)], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sizes = model.agg(zero(F.sum("n_tokens")).alias("n"), zero(F.sum("n_unigrams")).alias("v"), F.coalesce(F.max("buckets"), F.lit(16)).alias("buckets"), zero(F.sum(F.octet_length("seen"))).alias("seen"), zero(F.sum(F.octet_length("above"))).alias("above")).first()
+    n, v = sizes.n, sizes.v
+    words, at_start = word_table(model)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    out = rows.mapInArrow(tidy(score), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    if not small:
-        rows = written(rows, "rows")
-        out = rows.mapInArrow(tidy(score), out.schema).drop("n_known", "base_score")
-        asked = rows.select("rid", "text").mapInArrow(tidy(_distinct_tokens), "rid long, h long, tf long")
-        known = model.select("keys", "counts").mapInArrow(_unigram_rows, "k long, c long")
-        j = asked.join(known, F.col("h") == F.col("k"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        sums = j.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((F.col("c") + 1) / F.lit(n + v + 1))).alias("base_score"))
-        out = out.join(sums, "rid")
+    if sizes.seen + sizes.above <= broadcast_bytes and v <= broadcast_words:
+        sent = spark.sparkContext.broadcast(_gathered(model, words, sizes, n, v, at_start))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = sent.value
+            for b in batches:
+                for lo, hi, data, offsets in slices(b.column(3)):
+                    columns = [b.column(i).slice(lo, hi - lo) for i in range(3)] + [pa.array(x) for x in s.score(data, offsets)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+        out = rows.mapInArrow(tidy(score), _RESULT)
+    else:
+        out = _joined(written(rows, "rows"), model, words, sizes.buckets, n, v, at_start)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
