@@ -4,8 +4,9 @@ Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and without
 overlaps within a kind; a match that fails its check is dropped and not retried.
 Further kinds are proposed more widely and must earn their place: an IBAN by its
 mod-97 remainder, a social security number or a national phone number by its
-form and by words that name such a number nearby.  Every span gets a score; base
-spans stay whatever their score.
+form and by words that name such a number nearby.  Further spans overlap neither
+base spans nor each other.  Every span gets a score; base spans stay whatever
+their score.
 
 Patterns are matched in time linear in the text: an address is grown from its
 "@", digit runs are entered at their first digit only, and quantifiers that
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +40,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=\x20?[A-Z0-9])")
+# Characters of an account number by country (ISO 13616).
+_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+_IBAN_REST = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(_IBAN_LENGTHS.values())}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9+)(.-])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
 _DIGIT = re.compile("[0-9]")
@@ -90,6 +102,37 @@ def _score(t: str, kind: str, a: int, z: int) -> float:
     return round(min(1.0, max(0.0, _START[kind] + 0.3 * bool(near & _FOR[kind]) - 0.3 * bool(near & _AGAINST))), 2)
 
 
+def _ibans(t: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length; what follows is not theirs."""
+    for m in _IBAN.finditer(t):
+        rest = m[1] in _IBAN_LENGTHS and _IBAN_REST[_IBAN_LENGTHS[m[1]]].match(t, m.end())
+        if rest and mod97(t[m.start() : rest.end()].replace(" ", "")):
+            yield m.start(), rest.end()
+
+
+class _Taken:
+    """Places that spans cover, as disjoint runs in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, z in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], z)
+            else:
+                self.starts.append(a)
+                self.ends.append(z)
+
+    def take(self, a: int, z: int) -> bool:
+        """Cover [a, z) unless a part of it is covered."""
+        i = bisect_left(self.starts, z)
+        if i and self.ends[i - 1] > a:
+            return False
+        self.starts.insert(i, a)
+        self.ends.insert(i, z)
+        return True
+
+
 def find(t: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of all spans, by kind as listed, then start."""
     found: list[tuple[str, int, int]] = []
@@ -104,14 +147,12 @@ def find(t: str) -> list[tuple[str, int, int, float]]:
                     found.append(("card", *m.span()))
         if "+" in t:
             found += [("phone", *m.span()) for m in _PHONE.finditer(t) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
-        more = [("iban", *m.span()) for m in _IBAN.finditer(t) if 15 <= len(c := m.group().replace(" ", "")) <= 34 and mod97(c)]
+        more = [("iban", a, z) for a, z in _ibans(t)]
         if "-" in t:
             more += [("ssn", *m.span()) for m in _SSN.finditer(t) if m.group()[:3] not in ("000", "666") and m.group()[0] != "9" and m.group()[4:6] != "00" and m.group()[7:] != "0000"]
         more += [("local_phone", *m.span()) for m in _NATIONAL.finditer(t)]
-        taken = [(a, z) for _, a, z in found]
-        for kind, a, z in more:
-            if _score(t, kind, a, z) >= ACCEPT and not any(a < y and x < z for x, y in taken):
-                found.append((kind, a, z))
+        taken = _Taken([(a, z) for _, a, z in found])
+        found += [(kind, a, z) for kind, a, z in more if _score(t, kind, a, z) >= ACCEPT and taken.take(a, z)]
     return [(k, a, z, _score(t, k, a, z)) for k, a, z in found]
 
 

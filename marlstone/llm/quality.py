@@ -5,9 +5,12 @@ capitals, repeated lines and repeated three-word windows.  Each ratio is then
 summarised per language and source in a mergeable quantile sketch: a table of
 log-linear buckets (``SIG_BITS`` leading bits are kept, so a bucket is within
 2**-(SIG_BITS-1) of its values) with their counts.  Sketches of a language, or
-of everything, are sums of their parts' rows, so small groups borrow the
-thresholds of the next larger group.  A document is rejected when a ratio lies
-beyond its group's outer fence, or when it fails the fixed base rules.
+of everything, are sums of their parts' rows.  A group's fences are ``FENCE``
+spreads beyond its quartiles; they are drawn towards its language's fences, and
+those towards everything's, as if ``BORROWED`` of the larger group's rows were
+its own, so that small groups borrow and no size switches anything.  A document
+is rejected when a ratio lies beyond its group's fences, or when it fails the
+fixed base rules.
 
 Edge cases: a null text counts as empty (0 words, fails the base rule); null
 language or source is a group of its own; an empty table gives an empty result;
@@ -21,16 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from .common import WORD_CLASS, documents, sent_if_small, words, written
 
 SIG_BITS = 6
-#: A group of fewer rows takes its thresholds from its language, then from all.
-MIN_GROUP = 200
+#: Rows that a group borrows from the next larger one.
+BORROWED = 100
 FENCE = 3
 #: ratio -> (least spread that counts, whether low values are judged too)
 RATIOS = {
-    "symbol_milli": (50, False),
-    "upper_milli": (100, False),
-    "dup_milli": (150, False),
+    "symbol_milli": (30, False),
+    "upper_milli": (15, False),
+    "dup_milli": (120, False),
     "repeat_milli": (100, False),
-    "word_len_milli": (1000, True),
+    "word_len_milli": (300, True),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 
@@ -105,7 +108,7 @@ def _fences(sk: DataFrame, keys: list[str]) -> DataFrame:
         F.max("rows").alias("rows"),
     )
     spread = F.greatest(F.col("q3") - F.col("q1"), F.element_at(F.create_map(*[F.lit(x) for r, (s, _) in RATIOS.items() for x in (r, s)]), F.col("ratio")))
-    q = q.withColumns({"hi": F.col("q3") + FENCE * spread, "lo": F.col("q1") - FENCE * spread})
+    q = q.withColumns({"hi": F.col("q3") + FENCE * spread, "lo": F.greatest(F.col("q1") - FENCE * spread, F.lit(0))})
     cols = [F.max("rows").alias("rows")]
     for r, (_, low) in RATIOS.items():
         cols.append(F.max(F.when(F.col("ratio") == r, F.col("hi"))).alias(f"hi_{r}"))
@@ -115,13 +118,13 @@ def _fences(sk: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _limits(sk: DataFrame) -> DataFrame:
-    """One row of fences per (lang, source), taken from the smallest of group,
-    language and everything that has at least ``MIN_GROUP`` rows."""
+    """One row of fences per (lang, source), drawn towards the larger groups'."""
     names = [f"hi_{r}" for r in RATIOS] + [f"lo_{r}" for r, (_, low) in RATIOS.items() if low]
     group, lang, everything = _fences(sk, ["lang", "source"]).alias("g"), _fences(sk, ["lang"]).alias("l"), _fences(sk, []).alias("e")
     both = group.join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang"))).join(F.broadcast(everything), F.col("e.rows") > 0)  # one row
-    pick = lambda n: F.when(F.col("g.rows") >= MIN_GROUP, F.col(f"g.{n}")).when(F.col("l.rows") >= MIN_GROUP, F.col(f"l.{n}")).otherwise(F.col(f"e.{n}"))
-    return both.select(F.col("g.lang").alias("g_lang"), F.col("g.source").alias("g_source"), *[pick(n).alias(n) for n in names])
+    drawn = lambda own, n: f"(({own}.rows * {own}.{n} + {BORROWED} * %s) div ({own}.rows + {BORROWED}))"
+    limit = lambda n: F.expr(drawn("g", n) % (drawn("l", n) % f"e.{n}"))
+    return both.select(F.col("g.lang").alias("g_lang"), F.col("g.source").alias("g_source"), *[limit(n).alias(n) for n in names])
 
 
 def judged(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
@@ -157,7 +160,7 @@ _WITHIN = " AND ".join([f"{r} <= hi_{r}" for r in RATIOS] + [f"{r} >= lo_{r}" fo
 def _sql_fences(name: str, keys: str) -> str:
     part = f"{keys}, ratio" if keys else "ratio"
     lead = f"{keys}, " if keys else ""
-    cols = ", ".join([f"max(CASE WHEN ratio = '{r}' THEN q3 + {FENCE} * spread END) AS hi_{r}" for r in RATIOS] + [f"max(CASE WHEN ratio = '{r}' THEN q1 - {FENCE} * spread END) AS lo_{r}" for r, (_, low) in RATIOS.items() if low])
+    cols = ", ".join([f"max(CASE WHEN ratio = '{r}' THEN q3 + {FENCE} * spread END) AS hi_{r}" for r in RATIOS] + [f"max(CASE WHEN ratio = '{r}' THEN greatest(q1 - {FENCE} * spread, 0) END) AS lo_{r}" for r, (_, low) in RATIOS.items() if low])
     return f"""
 {name}_run AS (SELECT {lead}ratio, bucket, sum(count(*)) OVER (PARTITION BY {part} ORDER BY bucket) AS cum, sum(count(*)) OVER (PARTITION BY {part}) AS n
   FROM sk GROUP BY {part}, bucket),
@@ -166,7 +169,8 @@ def _sql_fences(name: str, keys: str) -> str:
 
 
 def _pick(n: str) -> str:
-    return f"CASE WHEN g.n >= {MIN_GROUP} THEN g.{n} WHEN l.n >= {MIN_GROUP} THEN l.{n} ELSE e.{n} END AS {n}"
+    lang = f"((l.n * l.{n} + {BORROWED} * e.{n}) // (l.n + {BORROWED}))"
+    return f"(g.n * g.{n} + {BORROWED} * {lang}) // (g.n + {BORROWED}) AS {n}"
 
 
 def judged_sql(table: str) -> str:

@@ -88,6 +88,21 @@ def test_quality_counts_and_outliers(spark):
         assert got[i].n_repeat_words == len({p + k for p in range(len(w) - 2) if c[tuple(w[p : p + 3])] > 1 for k in range(3)})
 
 
+def test_quality_thresholds_are_each_groups_own(spark, tmp_path):
+    """Long words are usual in one source and reject a document elsewhere; a
+    group of a few rows is judged by its language's fences."""
+    plain = lambda i: " ".join(f"w{random.Random(i * 997 + k).randrange(400)}" for k in range(80))
+    long = lambda i: " ".join(f"compound{random.Random(i * 997 + k).randrange(400)}word" for k in range(80))
+    rows = [(i, plain(i), "en", "news") for i in range(600)] + [(1000 + i, long(i), "en", "chem") for i in range(400)]
+    rows += [(2000, long(1), "en", "news"), (2001, plain(2), "en", "few"), (2002, long(3), "de", None), (2003, plain(5), "en", "chem")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["op2_quality_rules"](spark, str(tmp_path))
+    kept = {r.doc_id: r.kept for r in df.collect()}
+    assert all(kept[i] for i in range(600)) and all(kept[1000 + i] for i in range(400))
+    assert not kept[2000] and not kept[2003] and kept[2001]
+    same(df, str(tmp_path), ORACLES["op2_quality_rules"])
+
+
 def test_shards_move_only_into_what_grows(spark):
     ids = docs(spark, [(i, "t", "en", "s") for i in range(5000)])
     got = sharding.sharded(ids).collect()
@@ -283,10 +298,21 @@ def test_personal_data_by_brute_force(spark):
 
 
 def test_personal_data_is_linear():
-    for t in ("1" * 200_000, "a" * 200_000, "+1" + " " * 200_000, "1." * 100_000, "a.b@" * 50_000):
+    for t in ("1" * 200_000, "a" * 200_000, "+1" + " " * 200_000, "1." * 100_000, "a.b@" * 50_000, "tel (555) 123-4567, a@b.co " * 40_000, "DE89 " * 100_000):
         pii.find(t)
 
 
+def test_further_kinds_end_where_they_must_and_do_not_overlap():
+    assert [f[:3] for f in pii.find("IBAN DE89 3704 0044 0532 0130 00 PLEASE PAY")] == [("iban", 5, 32)]
+    assert [f[0] for f in pii.find("GB82WEST12345698765432, NO9386011117947; DE89370400440532013001")] == ["iban", "iban"]
+    for t in ("call tel 123-45-6789 123-45-6789", "phone 555-123-4567 555-123-4567, ssn 123-45-6789", "iban DE89370400440532013000 tel 370-400-4405"):
+        spans = sorted((a, z) for k, a, z, _ in pii.find(t) if k not in pii.BASE)
+        assert all(z <= a for (_, z), (a, _) in zip(spans, spans[1:])), t
+    taken = pii._Taken([(5, 9), (0, 2), (8, 12)])
+    assert (taken.starts, taken.ends) == ([0, 5], [2, 12])
+    assert [taken.take(*s) for s in ((2, 5), (4, 6), (11, 13), (12, 14), (13, 13 + 1))] == [True, False, False, True, False]
+
+
 def test_licence_sentences_without_licence_words_and_with_several(spark):
     texts = [
         "Available under CC BY-SA 4.0.", "See Creative\n Commons Attribution 4.0 International", "CC0 1.0", "Text by CC BY\n4.0.",
