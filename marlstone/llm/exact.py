@@ -1,8 +1,9 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
 1. Every document gets a fingerprint (``FP_BITS`` leading bits of its SHA-256).
-2. Each run of rows sorts its distinct fingerprints by owner and sends every
-   owner the Golomb-Rice coded differences with a bitmap of local repeats.
+2. Each partition (in runs of ``RUN`` rows, where it has more) sorts its distinct
+   fingerprints by owner and sends every owner the Golomb-Rice coded differences
+   with a bitmap of local repeats.
 3. Owners merge what they receive and answer each sender with a bitmap of the
    fingerprints seen more than once; the sender's list and the answer together
    name the suspects.
@@ -27,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import documents, packed, sent_if_small, shipped, tidy, written
 
 FP_BITS = 48
+#: Fingerprints that a task sorts and codes at once.
+RUN = 2_000_000
 ROWS_PER_OWNER = 2_000_000
 #: Suspect fingerprints (8 bytes each) up to this many are broadcast to filter
 #: the texts; above it the filter is a shuffled semi join.
@@ -65,57 +68,75 @@ def fingerprint(sha: Column, bits: int = FP_BITS) -> Column:
 _SENT = "chunk string, owner int, n int, shift int, unary binary, rest binary, repeats binary"
 
 
-def _sender(owners: int, bits: int):
+_SENT_TYPES = pa.schema([("chunk", pa.string()), ("owner", pa.int32()), ("n", pa.int32()), ("shift", pa.int32()), ("unary", pa.binary()), ("rest", pa.binary()), ("repeats", pa.binary())])
+
+
+def _sender(owners: int, bits: int, run: int):
+    def coded(chunk: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        owner = (values.astype(np.uint64) * np.uint64(owners) >> np.uint64(bits)).astype(np.int64)  # by range
+        heads = np.flatnonzero(np.diff(owner, prepend=-1))
+        rows = [(f"{chunk}", int(owner[x]), int(z - x), *rice_encode(values[x:z]), np.packbits(counts[x:z] > 1).tobytes()) for x, z in zip(heads, [*heads[1:], len(values)])]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _SENT_TYPES.types, strict=True)], schema=_SENT_TYPES)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chunk, n = [], None, 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            rid, fp = (np.asarray(b.column(i)) for i in (0, 1))
-            values, counts = np.unique(fp, return_counts=True)
-            owner = (values.astype(np.uint64) * np.uint64(owners) >> np.uint64(bits)).astype(np.int64)  # by range
-            rows = []
-            for o in np.unique(owner):
-                own = owner == o
-                rows.append((f"{rid[0]}", int(o), int(own.sum()), *rice_encode(values[own]), np.packbits(counts[own] > 1).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "owner", "n", "shift", "unary", "rest", "repeats"])
+            if b.num_rows:
+                chunk = b.column(0)[0].as_py() if chunk is None else chunk
+                held.append(np.asarray(b.column(1)))
+                n += b.num_rows
+            if n >= run:
+                yield coded(chunk, held)
+                held, chunk, n = [], None, 0
+        if held:
+            yield coded(chunk, held)
 
     return send
 
 
+def _columns(t: pa.Table | pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows of the named columns, one at a time."""
+    return ((*(x.as_py() for x in row),) for row in zip(*(t.column(c) for c in names), strict=True))
+
+
+def _flags(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
+
+
 def _owner(t: pa.Table) -> pa.Table:
-    rows = t.to_pylist()
-    lists = [rice_decode(r["n"], r["shift"], r["unary"], r["rest"]) for r in rows]
-    flags = [np.unpackbits(np.frombuffer(r["repeats"], np.uint8))[: r["n"]].astype(bool) for r in rows]
+    lists = [rice_decode(*row) for row in _columns(t, "n", "shift", "unary", "rest")]
+    repeats = [v[_flags(f, n)] for v, (f, n) in zip(lists, _columns(t, "repeats", "n"), strict=True)]
     values, counts = np.unique(np.concatenate(lists), return_counts=True)
-    more = np.union1d(values[counts > 1], np.concatenate([v[f] for v, f in zip(lists, flags, strict=True)]))
+    more = np.union1d(values[counts > 1], np.concatenate(repeats))
     answers = [np.packbits(np.isin(v, more, assume_unique=True)).tobytes() for v in lists]
-    return pa.table({"chunk": [r["chunk"] for r in rows], "owner": pa.array([r["owner"] for r in rows], pa.int32()), "answer": pa.array(answers, pa.binary())})
+    return pa.table({"chunk": t["chunk"], "owner": t["owner"], "answer": pa.array(answers, pa.binary())})
 
 
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for r in b.to_pylist():
-            hit = np.unpackbits(np.frombuffer(r["answer"], np.uint8))[: r["n"]].astype(bool)
+        for answer, n, *code in _columns(b, "answer", "n", "shift", "unary", "rest"):
+            hit = _flags(answer, n)
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rice_decode(r["n"], r["shift"], r["unary"], r["rest"])[hit])], names=["fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(rice_decode(n, *code)[hit])], names=["fp"])
 
 
-def exchanged(meta: DataFrame, bits: int = FP_BITS, rows_per_owner: int = ROWS_PER_OWNER) -> DataFrame:
+def exchanged(meta: DataFrame, bits: int = FP_BITS, rows_per_owner: int = ROWS_PER_OWNER, run: int = RUN) -> DataFrame:
     """Fingerprints (fp) that occur more than once in ``meta`` (rid, fp)."""
     shipped(meta.sparkSession)
     owners = max(16, -(-meta.count() // rows_per_owner))
-    sent = written(meta.select("rid", "fp").mapInArrow(tidy(_sender(owners, bits)), _SENT), "sent")
+    sent = written(meta.select("rid", "fp").mapInArrow(tidy(_sender(owners, bits, run)), _SENT), "sent")
     answers = sent.groupBy("owner").applyInArrow(_owner, "chunk string, owner int, answer binary")
     back = sent.select("chunk", "owner", "n", "shift", "unary", "rest").join(answers, ["chunk", "owner"])
     return written(back.mapInArrow(_suspects, "fp long").distinct(), "suspects")
 
 
-def copy_groups(docs: DataFrame, bits: int = FP_BITS, rows_per_owner: int = ROWS_PER_OWNER) -> tuple[DataFrame, DataFrame]:
+def copy_groups(docs: DataFrame, bits: int = FP_BITS, rows_per_owner: int = ROWS_PER_OWNER, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """(meta, groups).  meta: rid, doc_id, sha, fp of each row.  groups: sha,
     keep_id, keep_rid and group_size of each text that occurs more than once."""
     base = docs.select("doc_id", F.col("text").alias("t")).select("doc_id", text_sha(F.col("t")).alias("sha"))
     meta = written(base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "sha", fingerprint(F.col("sha"), bits).alias("fp")), "meta")
-    fps = exchanged(meta, bits, rows_per_owner)
+    fps = exchanged(meta, bits, rows_per_owner, run)
     fps = F.broadcast(fps) if fps.count() <= BROADCAST_FPS else fps
     rows = docs.select(F.coalesce("text", F.lit("")).alias("t")).withColumn("sha", text_sha(F.col("t")))
     texts = rows.withColumn("fp", fingerprint(F.col("sha"), bits)).join(fps, "fp", "left_semi")

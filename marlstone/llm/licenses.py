@@ -1,13 +1,18 @@
 """Licence scans by sentence rules (DataFrame functions only).
 
-Texts are cut into sentences, sentences that speak of licences or hold a known
-licence sentence are normalised (lower case, runs of other characters than
-letters, digits, dot and hyphen to one space) and mapped to the identifiers of
-all known licence sentences in them, in text order.  The
-sequence of identifiers is then matched against ordered licence rules; what a
-rule matches is consumed, so that a full text is not also read as its parts.
-Each text is cut twice, at line ends and across them, because licence texts are
-wrapped; the licences of both readings are united.
+Texts are cut into sentences; sentences are normalised (lower case, runs of
+other characters than letters, digits, dot and hyphen to one space) and mapped
+to the identifiers of all known licence sentences in them, in text order.  What
+follows a denial ("not licensed under ...") names nothing.  The sequence of
+identifiers is then matched against ordered licence rules; what a rule matches
+is consumed, so that a full text is not also read as its parts.  Each text is
+cut twice, at line ends and across them, because licence texts are wrapped; the
+licences of both readings are united.
+
+Texts and sentences are read further if they hold the letters of a known
+sentence, with anything that normalising turns into a space where it has one, or
+a word that speaks of licences: sentences with such a word that are not known
+are counted.
 
 Edge cases: a null text has no sentences; repeated sentences and rows count
 each by themselves; an empty table gives no rows; other columns are not read.
@@ -19,10 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import documents
 
-# Words that make a sentence worth reading.
+# Words that speak of licences.
 SPEAKS = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|spdx|public domain|endorse or promote|liable"
 
-# Known licence sentences; the SQL form takes a sentence's first.
+# Known licence sentences.
 SENTENCES = (
     ("APACHE2", r"licensed under the apache license version 2\.0|apache license version 2\.0|spdx-license-identifier apache-2\.0"),
     ("APACHE2_USE", r"you may not use this file except in compliance with the license"),
@@ -78,10 +83,12 @@ RULES = (
 )
 
 
+# What denies the licence that it is followed by.
+DENIED = r"(^| )(not|never|no longer|neither|nor|cannot be|isn t|aren t|wasn t|weren t) ((be|been|being|currently|yet|made|a|an|the|itself) )*(released|licensed|distributed|available|published|offered|covered|governed|provided) (by|under|as)( .*|$)"
+
 # A text or sentence without a match holds no known sentence once normalised:
 # where a pattern has a space, the raw text has what normalising turns into one.
-# "All rights reserved" alone is still passed over, as in the SQL form.
-HINTS = "(?s)" + "|".join(p.replace("^", "").replace("( |$)", "").replace("$", "").replace(" ", r"[.\-]*[^a-z0-9.\-]+") for n, p in SENTENCES if n != "COPYRIGHT")
+HINTS = "(?s)" + "|".join(p.replace("^", "").replace("( |$)", "").replace("$", "").replace(" ", r"[.\-]*[^a-z0-9.\-]+") for _, p in SENTENCES)
 
 
 def _worth(s: Column) -> Column:
@@ -90,6 +97,7 @@ def _worth(s: Column) -> Column:
 
 def _identifiers(s: Column) -> Column:
     """The identifiers of a normalised sentence in text order, each once."""
+    s = F.regexp_replace(s, DENIED, "")
     at = F.array(*[F.struct(F.regexp_instr(s, F.lit(p)).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, p) in enumerate(SENTENCES)])
     return F.transform(F.sort_array(F.filter(at, lambda x: x["at"] > 0)), lambda x: x["name"])
 
@@ -132,10 +140,13 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_sequence(flat: str) -> str:
-    case = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{n};'" for n, p in SENTENCES) + " ELSE 'UNKNOWN;' END"
+    at = ", ".join(f"{{'at': CASE WHEN regexp_matches(s, '{p}') THEN strpos(s, regexp_extract(s, '{p}')) ELSE 0 END, 'i': {i}, 'name': '{n};'}}" for i, (n, p) in enumerate(SENTENCES))
     cut = rf"string_split(regexp_replace({flat}, '([.!?;:])[ \t\r]+', '\1' || chr(10), 'g'), chr(10))"
     normal = r"trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.\-]+', ' ', 'g'), '[.\-]+( |$)', ' ', 'g'))"
-    return f"array_to_string(list_transform(list_transform(list_filter({cut}, lambda s: regexp_matches(s, '{SPEAKS}')), lambda s: {normal}), lambda s: {case}), '')"
+    ids = f"array_to_string(list_transform(list_sort(list_filter([{at}], lambda x: x.at > 0)), lambda x: x.name), '')"
+    read = f"list_transform({cut}, lambda s: {{'speaks': regexp_matches(s, '{SPEAKS}'), 's': regexp_replace({normal}, '{DENIED}', '')}})"
+    named = f"list_transform(list_transform({read}, lambda y: {{'speaks': y.speaks, 'ids': list_transform([y.s], lambda s: {ids})[1]}}), lambda y: CASE WHEN y.ids = '' AND y.speaks THEN 'UNKNOWN;' ELSE y.ids END)"
+    return f"array_to_string({named}, '')"
 
 
 def _sql() -> str:

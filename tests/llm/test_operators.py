@@ -156,10 +156,10 @@ def test_mix_of_repeated_rows(spark, tmp_path):
     assert sum(len(WORD.findall(r.text or "")) for r in mixing.mixed(docs(spark, rows)).collect()) == sum(r.taken for r in got)
 
 
-@pytest.mark.parametrize("bits", [48, 6])
-def test_exact_copies_by_brute_force(spark, bits):
+@pytest.mark.parametrize(("bits", "run"), [(48, exact.RUN), (6, exact.RUN), (48, 7)])
+def test_exact_copies_by_brute_force(spark, bits, run):
     rows = [(i, f"text {i % 37}" if i % 3 else f"own {i}", "en", "s") for i in range(400)] + [(7, None, "en", "s"), (9, "", "en", "s")]
-    got = exact.labelled(docs(spark, rows), bits=bits, rows_per_owner=10).collect()
+    got = exact.labelled(docs(spark, rows), bits=bits, rows_per_owner=10, run=run).collect()
     groups = {}
     for i, t, *_ in rows:
         groups.setdefault(t or "", []).append(i)
@@ -325,6 +325,45 @@ def test_licence_sentences_without_licence_words_and_with_several(spark):
     ]
 
 
+def read_licences(t):
+    """The same rules in plain Python, without any test of what is worth reading."""
+    found, sequences = set(), []
+    for flat in (t, re.sub(r"[ \t\r]*\n[ \t\r]*", " ", t)):
+        seq = ""
+        for s in re.sub(r"([.!?;:])[ \t\r]+", r"\1\n", flat).split("\n"):
+            norm = re.sub(r"[.\-]+( |$)", " ", re.sub(r"[^a-z0-9.\-]+", " ", s.lower())).strip(" ")
+            norm = re.sub(licenses.DENIED, "", norm)
+            at = sorted((m.start(), i, n) for i, (n, p) in enumerate(licenses.SENTENCES) if (m := re.search(p, norm)))
+            seq += "".join(f"{n};" for _, _, n in at) or ("UNKNOWN;" if re.search(licenses.SPEAKS, s) else "")
+        sequences.append(seq)
+        left = seq.replace("UNKNOWN;", "")
+        for name, p in licenses.RULES:
+            whole = rf"(^|;)(?:{re.sub(r'[(](?![?])', '(?:', p)})"
+            if re.search(whole, left):
+                found.add(name)
+                left = re.sub(whole, r"\1", left)
+    return sorted(found), sequences[0]
+
+
+def test_licences_by_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    bits = [
+        "Licensed under the MIT License", "not licensed under the MIT License", "It is no longer available under CC BY 4.0", "CC BY-SA 4.0", "Creative Commons\nAttribution 4.0 International", "CC0 1.0 Universal",
+        "All rights reserved", "Copyright (c) 2019 A. Nobody", 'The software is provided "as is"', "Apache License,\nVersion 2.0", "you may not use this file except in compliance with the License", "GNU General Public License version 3",
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "Redistribution and use in source and binary forms", "Redistributions of source code must retain", "Redistributions in binary form must reproduce", "a licence of another kind",
+        "The MIT License", "This is never distributed under the Mozilla Public License 2.0", "Nothing here", "SPDX-License-Identifier: Apache-2.0", "\n", "in no event shall the authors be liable", "not yet released under the BSD license but under the MIT license",
+    ]
+    rows = [(i, "".join(rng.choice(bits) + rng.choice([". ", "\n", " ", "; ", ".\n", " - "]) for _ in range(rng.randint(1, 7))), "en", "s") for i in range(400)] + [(500, None, "en", "s"), (501, "", "en", "s")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["op10_license_rules"](spark, str(tmp_path))
+    got = {r.doc_id: (r.licenses, r.sentence_ids, r.n_unknown) for r in df.collect()}
+    for i, t, *_ in rows:
+        names, ids = read_licences(t or "")
+        assert got[i] == (",".join(names), ids, ids.count("UNKNOWN;")), t
+    same(df, str(tmp_path), ORACLES["op10_license_rules"])
+    assert read_licences("not licensed under the MIT License")[0] == [] and read_licences("CC0 1.0 Universal")[0] == ["CC0-1.0"]
+
+
 def test_licence_rules(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that:\nRedistributions of source code must retain the above copyright\nnotice. Redistributions in binary form must reproduce the above copyright notice."
     rows = [(1, "Licensed under the Apache License,\nVersion 2.0.", "en", "s"), (2, bsd, "en", "s"), (3, bsd + " Neither the name may be used to endorse or promote products derived from it.", "en", "s"), (4, "A licence of another kind is needed.", "en", "s"), (5, "x\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", "en", "s")]
