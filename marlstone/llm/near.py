@@ -17,12 +17,15 @@ Links serve components, so they are confirmed in two rounds.  First members are
 compared with one drawn in each tree node (stars, never all pairs); after
 joining what is linked, stars are drawn again among those still apart, and then
 every pair whose components still differ is compared: all such pairs inside
-leaves, and in deep nodes that stayed large (clusters of near copies) members
-outside the largest component against all members, exactly.  Before a comparison lengths and 128 one-bit minhashes must
-allow the threshold; the latter cut lies six standard deviations below it.  In
-the second round the shingles that a member shares with no other open member
-bound its similarities as well, exactly: copies that were edited too far apart
-drop out without being paired.  Every link is confirmed on the full sets.
+leaves, and in deep nodes that stayed large (clusters of near copies) all such
+pairs too, exactly.  A large node is dealt into blocks of bounded size, and each
+pair of blocks is a *tile* whose set intersections are counted at once, as a
+product of membership matrices, so that no pair leaves a tile but a link.
+Before other comparisons lengths and 128 one-bit minhashes must allow the
+threshold; the latter cut lies six standard deviations below it.  In the second
+round the shingles that a member shares with no other open member bound its
+similarities as well, exactly: copies that were edited too far apart drop out
+without being paired.  Every link is confirmed on the full sets.
 
 Edge cases: a null or blank text has no shingles and is linked with nothing; a
 text of fewer words than a shingle is one shingle; equal ids or rows are linked
@@ -47,6 +50,8 @@ MISS = 1e-6
 DEPTHS = (2, 4, 7)
 LEAF = 48
 SKETCH = 128
+#: Members, and shingles of all of them, of a block of a large node.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 #: Ids of documents to confirm, up to this many, are broadcast to the scan; a
 #: larger set is joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -236,6 +241,63 @@ def _similar(x, y, percent: int) -> Column:
     return shared * 100 >= (x["n"] + y["n"] - shared) * percent
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets share (0 on the diagonal)."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    flat, row = np.concatenate(sets)[order], row[order]
+    heads = np.flatnonzero(np.diff(flat, prepend=flat[:1] - 1))
+    often = np.diff(heads, append=len(flat))
+    out = np.zeros(n * n, np.int64)
+    for f in range(2, 9):  # rare ones pair by pair
+        at = heads[often == f]
+        if len(at):
+            r = row[at[:, None] + np.arange(f)]
+            x, y = np.triu_indices(f, 1)
+            out += np.bincount((r[:, x] * n + r[:, y]).ravel(), minlength=n * n)
+    out = out.reshape(n, n)
+    out += out.T
+    common = np.flatnonzero(often > 8)
+    for lo in range(0, len(common), 2048):  # common ones as matrices
+        some = common[lo : lo + 2048]
+        m = np.zeros((n, len(some)), np.float32)
+        size = often[some]
+        at = np.repeat(heads[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        m[row[at], np.repeat(np.arange(len(some)), size)] = 1
+        out += np.rint(m @ m.T).astype(np.int64)
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def _tile(percent: int):
+    """A tile's links (a, b) between members of different components; pairs
+    inside one of its two blocks are left to the tile of that block alone."""
+
+    def links(t: pa.Table) -> pa.Table:
+        node, n, comp, block = (t[c].to_numpy() for c in ("node", "n", "comp", "block"))
+        flat = t["shingles"].combine_chunks()
+        sets = np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1])
+        alone = t["i"][0].as_py() == t["j"][0].as_py()
+        shared = _overlaps(sets)
+        ok = (shared * 100 >= (n[:, None] + n[None, :] - shared) * percent) & (comp[:, None] != comp[None, :])
+        if not alone:
+            ok &= block[:, None] != block[None, :]
+        a, b = np.nonzero(np.triu(ok, 1))
+        return pa.table({"a": np.maximum(node[a], node[b]), "b": np.minimum(node[a], node[b])})
+
+    return links
+
+
+def _tiles(large: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the members (p, node, n, comp, shingles) of large nodes."""
+    sizes = large.groupBy("p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    dealt = large.join(written(sizes, "sizes"), "p").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("p", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "comp", "shingles")
+    return dealt.groupBy("p", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+
+
 def _stars(met: DataFrame, may, draw: int = 0) -> DataFrame:
     """Distinct pairs (a, b): a member of a tree node and the one drawn there."""
     drawn = met.groupBy("p").agg(F.min_by(F.struct([c for c in met.columns if c not in ("p", "large")]), F.xxhash64("p", "node", F.lit(draw))).alias("y"))
@@ -294,12 +356,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
         inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: linked(x, y)), lambda y: F.struct(*pair(x, y)))))
         found = leaves.select(F.explode(inner).alias("x")).select("x.a", "x.b")
         large = at.where("large")
-        # the component with most members of a tree node is not paired with itself
-        sizes = large.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("k"))
-        hubs = written(sizes.groupBy("p").agg(F.max(F.struct("k", "comp")).alias("h")).select("p", F.col("h.comp").alias("hub")), "hubs")
-        outside = large.join(hubs, "p").where("comp != hub").select("p", member.alias("x"))
-        across = outside.join(large.select("p", member.alias("y")), "p").where(linked(F.col("x"), F.col("y")))
-        found = written(found.unionByName(across.select(*pair(F.col("x"), F.col("y")))).distinct(), "found")
+        found = written(found.unionByName(_tiles(large.select("p", "node", "n", "comp", "shingles"), percent)).distinct(), "found")
         if not found.isEmpty():
             comps = written(components(_linked(comps, found)), "comps")
 

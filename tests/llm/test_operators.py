@@ -226,6 +226,38 @@ def test_near_trees_reach_the_recall_at_their_last_depth():
     assert near._trees(85)[-1][1] == 36 and near._trees(80)[-1][1] == 59 and near._trees(100)[-1][1] == 1
 
 
+def test_overlaps_by_brute_force():
+    rng = np.random.default_rng(3)
+    core = rng.integers(-(2**63), 2**63 - 1, 60)
+    sets = [np.unique(np.concatenate([rng.choice(core, 50, replace=False), rng.integers(0, 400, rng.integers(1, 60))])) for _ in range(70)]
+    got = near._overlaps(sets)
+    assert (got == np.array([[len(np.intersect1d(a, b)) * (i != j) for j, b in enumerate(sets)] for i, a in enumerate(sets)])).all()
+    assert near._overlaps([np.array([5]), np.array([5])]).tolist() == [[0, 1], [1, 0]]
+
+
+def test_near_groups_of_a_cluster_about_the_threshold(spark, monkeypatch):
+    """Copies with so many edits that most pairs lie below the threshold, in a
+    node of several tiles."""
+    monkeypatch.setattr(near, "BLOCK", 60)
+    rng = random.Random(15)
+    hub = words(77, 200, 9000).split()
+    texts = [" ".join(edited(rng, hub, rng.randint(3, 5))) for _ in range(260)]
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in combinations(range(len(sets)), 2):
+        i = len(sets[a] & sets[b])
+        if 100 * i >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert 10 < len({find(i) for i in range(len(sets))}) < 250
+    got = {r.doc_id: r.component_id for r in near.labelled(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), 3, 85).collect()}
+    assert [got[i] for i in range(len(sets))] == [find(i) for i in range(len(sets))]
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {r.node: r.comp for r in near.components(e).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
