@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from marlstone.operators.belief import LIK, POST, SEQ, evidence, likelihoods, log_likelihood, posteriors, priors, sequences, softmax
+from marlstone.operators.ordering import shuffled
 from marlstone.operators.scoring import brier, r6, weight
 from marlstone.plans.config import DEFAULT
 from marlstone.plans.registry import query
@@ -53,7 +54,7 @@ def audit_no_tests(spark, sf_dir):
     return _probe(both, "no_test_ablation", gap, F.lit(0.2), lambda o, b: o > b)
 
 
-_PERM = """sh AS (SELECT key, truth, row_number() OVER (ORDER BY key) AS i, row_number() OVER (ORDER BY md5('shuffle:' || key), key) AS j FROM (SELECT DISTINCT key, truth FROM post)),
+_PERM = """sh AS (SELECT key, truth, row_number() OVER (ORDER BY md5('order:' || key), key) AS i, row_number() OVER (ORDER BY md5('shuffle:' || key), key) AS j FROM (SELECT DISTINCT key, truth FROM post)),
 pm AS (SELECT a.key, b.truth AS other FROM sh a JOIN sh b ON a.i = b.j)"""
 
 
@@ -63,9 +64,9 @@ def audit_shuffled(spark, sf_dir):
     p = posteriors(evidence(spark, sf_dir))
     t = p.select("key", "truth").distinct()
     # two orders of the evaluation set, joined on their places
-    i = t.select("key", F.row_number().over(W.orderBy("key")).alias("i"))
-    j = t.select(F.col("truth").alias("other"), F.row_number().over(W.orderBy(F.md5(F.concat(F.lit("shuffle:"), F.col("key").cast("string"))), "key")).alias("i"))
-    s = _scored(p.drop("truth").join(i.join(j, "i").select("key", F.col("other").alias("truth")), "key"))
+    order = lambda seed: shuffled(t, F.md5(F.concat(F.lit(seed), F.col("key").cast("string"))), "key")
+    i, j = order("order:").select("key", "place"), order("shuffle:").select(F.col("truth").alias("other"), "place")
+    s = _scored(p.drop("truth").join(i.join(j, "place").select("key", F.col("other").alias("truth")), "key"))
     both = s.withColumn("x", F.lit(0)).unionByName(_scored(p).withColumn("x", F.lit(1)))
     mean = lambda x: F.avg(F.when(F.col("x") == x, F.col("s")))
     return _probe(both, "shuffled_labels", mean(0), mean(1), lambda o, b: (o < 0.1) & (b - o > 0.5))

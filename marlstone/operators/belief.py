@@ -19,15 +19,14 @@ from marlstone.plans.config import DEFAULT
 from marlstone.plans.registry import query
 from marlstone.sources.views import table
 
-DIMS = 8
 FLOOR = -700.0
 MIN_SD = 0.001
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, truth, dim, value) of the first components of each vector."""
+    """(key, truth, dim, value) of every component of each vector."""
     e = table(spark, sf_dir, "embeddings")
-    parts = F.posexplode(F.slice("embedding", 1, DIMS)).alias("dim", "value")
+    parts = F.posexplode("embedding").alias("dim", "value")
     return e.select(F.col("vec_id").alias("key"), F.col("label").cast("int").alias("truth"), parts).withColumn("value", F.col("value").cast("double"))
 
 
@@ -62,7 +61,7 @@ def posteriors(ev: DataFrame) -> DataFrame:
 
 
 def sequences(ev: DataFrame) -> DataFrame:
-    """(key, truth, k, label, p) after k = 0 .. DIMS observations; k = 0 is the
+    """(key, truth, k, label, p) after k = 0, 1, ... observations; k = 0 is the
     prior.  One exchange by key serves both windows."""
     j = ev.join(F.broadcast(likelihoods(ev)), "dim").withColumn("ll", log_likelihood(F.col("value")))
     start = ev.where("dim = 0").select("key", "truth").join(F.broadcast(priors(ev)), F.lit(True)).select("key", "truth", "label", F.lit(0).alias("k"), F.ln("prior").alias("ll"))  # labels are a dimension
@@ -75,7 +74,7 @@ def entropy(p: Column) -> Column:
     return -F.sum(F.when(p > 0, p * F.ln(p)).otherwise(0.0))
 
 
-EV = f"""ev AS (SELECT vec_id AS key, label::INT AS truth, unnest(range({DIMS})) AS dim, unnest(embedding[1:{DIMS}])::DOUBLE AS value FROM embeddings)"""
+EV = """ev AS (SELECT vec_id AS key, label::INT AS truth, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS value FROM embeddings)"""
 LIK = f"""{EV},
 lik AS (SELECT dim, truth AS label, avg(value) AS mean, greatest(stddev_pop(value), {MIN_SD}) AS sd FROM ev GROUP BY 1, 2),
 pri AS (SELECT truth AS label, count(*) * 1.0e0 / sum(count(*)) OVER () AS prior FROM ev WHERE dim = 0 GROUP BY 1)"""

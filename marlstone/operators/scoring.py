@@ -22,18 +22,75 @@ def weight(urgency: Column, cfg: RewardConfig = DEFAULT) -> Column:
     return F.when(urgency == 1, cfg.weight_1).when(urgency == 2, cfg.weight_2).when(urgency == 3, cfg.weight_3).when(urgency == 4, cfg.weight_4).otherwise(F.raise_error(F.concat(F.lit("urgency "), urgency.cast("string"))))
 
 
-def completed(named: DataFrame, labels: DataFrame) -> DataFrame:
-    """Partial reports (episode_id, label, p) as distributions over all labels:
-    repeats add up; mass that was not named is spread over the labels not named;
-    more than 1 is scaled down; all zero goes to the others."""
-    per = named.groupBy("episode_id", "label").agg(F.sum("p").alias("p"))
-    totals = per.groupBy("episode_id").agg(F.sum("p").alias("total"), F.count(F.lit(1)).alias("k"))
-    full = totals.crossJoin(F.broadcast(labels.select("label", F.count(F.lit(1)).over(W.partitionBy()).alias("n"))))  # the label set is a dimension
-    full = full.join(per, ["episode_id", "label"], "left")
-    unnamed = F.col("n") - F.col("k")
-    share = F.when(F.col("total") <= 0, 1.0 / unnamed).when((F.col("total") > 1) | (unnamed == 0), 0.0).otherwise((1.0 - F.col("total")) / unnamed)
-    own = F.when((F.col("total") > 1) | ((unnamed == 0) & (F.col("total") > 0)), F.col("p") / F.col("total")).otherwise(F.col("p"))
-    return full.select("episode_id", "label", F.coalesce(own, share).alias("p"))
+def report_violations(reports: DataFrame, labels: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(episode_id, label, violation) of entries (episode_id, label, p) that
+    name an unknown label or whose p is negative, not finite or missing; with
+    ``asked`` (episode_id), also of episodes that have no entry at all."""
+    known = F.broadcast(labels.select("label", F.lit(True).alias("known")))  # a dimension
+    j = reports.join(known, "label", "left")
+    p = F.col("p")
+    kind = F.when(F.col("known").isNull(), "unknown_label").when(p.isNull() | F.isnan(p) | (F.abs(p) == float("inf")), "not_finite").when(p < 0, "negative")
+    bad = j.select("episode_id", "label", kind.alias("violation")).where("violation IS NOT NULL")
+    if asked is None:
+        return bad
+    none = asked.select("episode_id").join(reports, "episode_id", "left_anti")
+    return bad.unionByName(none.select("episode_id", F.lit(None).cast("string").alias("label"), F.lit("empty").alias("violation")))
+
+
+def stated(reports: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row a report: episode_id, names (the sorted label set), ``named``
+    (label, p) and ``share``, the mass of each label that is not named.
+
+    Entries of a label add up; mass that was not named is spread over the labels
+    not named; more than 1 is scaled down; all zero goes to the others.  An
+    entry that :func:`report_violations` finds is an error.
+    """
+    every = labels.agg(F.array_sort(F.collect_set("label")).alias("names"))  # one row
+    known = F.broadcast(labels.select("label", F.lit(True).alias("known")))
+    p = F.col("p")
+    wrong = F.col("known").isNull() | p.isNull() | F.isnan(p) | (F.abs(p) == float("inf")) | (p < 0)
+    checked = reports.join(known, "label", "left").select("episode_id", "label", F.when(wrong, F.raise_error(F.concat(F.lit("bad entry of a report: "), F.coalesce("label", F.lit("null")), F.lit(" "), p.cast("string"))).cast("double")).otherwise(p).alias("p"))
+    per = checked.groupBy("episode_id", "label").agg(F.sum("p").alias("p"))
+    r = per.groupBy("episode_id").agg(F.sum("p").alias("total"), F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list(F.struct("label", "p"))).alias("named"))
+    r = r.join(F.broadcast(every), F.lit(True)).withColumn("unnamed", F.size("names") - F.col("k"))
+    down = (F.col("total") > 1) | ((F.col("unnamed") == 0) & (F.col("total") > 0))
+    r = r.withColumn("named", F.when(down, F.transform("named", lambda x: F.struct(x["label"].alias("label"), (x["p"] / F.col("total")).alias("p")))).otherwise(F.col("named")))
+    nothing = F.raise_error(F.lit("a report that names every label gives none of them mass")).cast("double")
+    share = F.when(down, 0.0).when(F.col("unnamed") == 0, nothing).when(F.col("total") <= 0, 1.0 / F.col("unnamed")).otherwise((1.0 - F.col("total")) / F.col("unnamed"))
+    return r.select("episode_id", "names", "named", "unnamed", share.alias("share"))
+
+
+def completed(reports: DataFrame, labels: DataFrame) -> DataFrame:
+    """Partial reports (episode_id, label, p) as distributions over all labels;
+    what rounding leaves of 1 goes to the largest entry."""
+    r = stated(reports, labels)
+    own = lambda x: F.coalesce(F.get(F.filter("named", lambda y: y["label"] == x), F.lit(0))["p"], F.col("share"))
+    r = r.withColumn("full", F.transform("names", lambda x: F.struct(x.alias("label"), own(x).alias("p"))))
+    r = r.withColumns({"drift": 1.0 - F.aggregate("full", F.lit(0.0), lambda a, x: a + x["p"]), "top": F.array_min(F.transform("full", lambda x: F.struct((-x["p"]).alias("p"), x["label"].alias("label"))))["label"]})
+    r = r.select("episode_id", "drift", "top", F.inline("full"))
+    return r.select("episode_id", "label", (F.col("p") + F.when(F.col("label") == F.col("top"), F.col("drift")).otherwise(0.0)).alias("p"))
+
+
+def mass_on(label: Column) -> Column:
+    """The mass that a stated report puts on a label; 0 without a report."""
+    own = F.get(F.filter("named", lambda x: x["label"] == label), F.lit(0))["p"]
+    return F.coalesce(own, F.when(F.array_contains("names", label), F.col("share")), F.lit(0.0))
+
+
+def declared() -> Column:
+    """The label with most mass in a stated report; of equals the first."""
+    first = F.array_except("names", F.transform("named", lambda x: x["label"]))
+    best = F.transform("named", lambda x: F.struct((-x["p"]).alias("p"), x["label"].alias("label")))
+    rest = F.when(F.size(first) > 0, F.array(F.struct((-F.col("share")).alias("p"), F.get(first, F.lit(0)).alias("label")))).otherwise(F.array().cast("array<struct<p:double,label:string>>"))
+    return F.array_min(F.concat(best, rest))["label"]
+
+
+def stated_brier(label: Column) -> Column:
+    """:func:`brier` of a stated report in closed form: labels that are not
+    named share one mass."""
+    n = F.size("names")
+    square = F.aggregate("named", F.lit(0.0), lambda a, x: a + x["p"] * x["p"]) + F.col("unnamed") * F.col("share") * F.col("share")
+    return (1.0 - 1.0 / n) - (square - 2.0 * mass_on(label) + 1.0)
 
 
 def brier(p: Column, hit: Column, n: int = N_LABELS) -> Column:
@@ -51,80 +108,129 @@ def bucket_priors(charged: DataFrame) -> DataFrame:
     return b.select("prediction", (F.col("k") / F.sum("k").over(W.partitionBy())).alias("prior"))
 
 
-def step_terms(charged: DataFrame, cfg: RewardConfig = DEFAULT) -> DataFrame:
-    """Cost, turn and verification terms, in one pass over the steps."""
-    j = charged.join(F.broadcast(bucket_priors(charged)), "prediction", "left")
-    order = cfg.lam * F.col("price")
-    correct = (bucket(F.col("value_number")) == F.col("prediction")).cast("double")
-    paid = F.col("cost_charged") > 0
-    return j.groupBy("episode_id").agg(
-        F.sum(F.when(paid, -order).otherwise(0.0)).alias("test_cost"),
-        (-cfg.mu * F.count(F.lit(1))).alias("turn_penalty"),
-        F.sum(F.when(paid, cfg.verify_fraction * order * (correct - F.coalesce("prior", F.lit(0.0)))).otherwise(0.0)).alias("verify"),
-        F.count_if(paid).alias("n_tests"),
-        F.count(F.lit(1)).alias("n_turns"),
-    )
-
-
-def diagnosis(episodes: DataFrame, reports: DataFrame, labels: DataFrame, cfg: RewardConfig = DEFAULT) -> DataFrame:
-    """The terminal term of each episode; an unknown ending is an error."""
-    full = completed(reports, labels).join(episodes.select("episode_id", "condition"), "episode_id")
-    b = full.groupBy("episode_id").agg(brier(F.col("p"), F.col("label") == F.col("condition")).alias("brier"))
-    truth = F.broadcast(labels.select(F.col("label").alias("condition"), weight(F.col("urgency"), cfg).alias("w")))
-    e = episodes.join(truth, "condition").join(b, "episode_id", "left")
+BUCKETS = ("low", "normal", "high")
+
+
+def facts(charged: DataFrame) -> DataFrame:
+    """One row an episode: all that any weights need of its steps.  The steps
+    come partitioned by episode, so this is a pass without a further shuffle."""
+    paid, seen = F.col("cost_charged") > 0, bucket(F.col("value_number"))
+    price = lambda ok: F.sum(F.when(paid & ok, F.col("price")).otherwise(0.0))
+    return charged.groupBy("episode_id").agg(
+        price(F.lit(True)).alias("paid"), price(seen == F.col("prediction")).alias("paid_right"), *[price(F.col("prediction") == b).alias(f"paid_{b}") for b in BUCKETS],
+        *[F.count_if(paid & (seen == b)).alias(f"seen_{b}") for b in BUCKETS], F.count_if(paid).alias("n_tests"), F.count(F.lit(1)).alias("n_turns"),
+        F.min("value_number").alias("lo"), F.max("value_number").alias("hi"), F.array_sort(F.collect_list(F.when(F.col("kind") == "prescribe", F.col("treatment_key")))).alias("drugs"),
+    )
+
+
+def with_bucket_priors(f: DataFrame) -> DataFrame:
+    """Episode facts with the priors of the buckets (one row, broadcast)."""
+    seen = f.agg(*[F.sum(f"seen_{b}").alias(b) for b in BUCKETS])
+    total = sum((F.col(b) for b in BUCKETS[1:]), F.col(BUCKETS[0]))
+    return f.join(F.broadcast(seen.select(*[(F.col(b) / total).alias(f"prior_{b}") for b in BUCKETS])), F.lit(True))
+
+
+def step_terms(cfg: RewardConfig = DEFAULT) -> dict[str, Column]:
+    """Cost, turn and verification terms of episode facts with priors.  A right
+    prediction earns what it was worth beyond its bucket's prior."""
+    expected = sum((F.col(f"paid_{b}") * F.coalesce(f"prior_{b}", F.lit(0.0)) for b in BUCKETS), F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return {
+        "test_cost": zero(-cfg.lam * F.col("paid")),
+        "turn_penalty": zero(-cfg.mu * F.col("n_turns")),
+        "verify": zero(cfg.verify_fraction * cfg.lam * (F.col("paid_right") - expected)),
+    }
+
+
+def diagnosis(cfg: RewardConfig = DEFAULT) -> Column:
+    """The terminal term; an unknown ending is an error."""
     price = cfg.abstain_value - cfg.abstain_penalty
     reason = F.col("termination_reason")
-    term = F.when(reason == "diagnose", F.col("brier") * F.col("w")).when(reason == "abstain", F.lit(price)).when(reason.isin("max_turns", "decode_failure"), F.lit(price - cfg.no_commit_penalty)).otherwise(F.raise_error(F.concat(F.lit("unknown ending "), reason)))
-    return e.withColumn("diagnosis", term).drop("w", "brier")
+    return F.when(reason == "diagnose", F.col("brier") * weight(F.col("urgency"), cfg)).when(reason == "abstain", F.lit(price)).when(reason.isin("max_turns", "decode_failure"), F.lit(price - cfg.no_commit_penalty)).otherwise(F.raise_error(F.concat(F.lit("unknown ending "), reason)).cast("double"))
+
+
+def drug_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a treatment with the rules that bear on it: class, what it is
+    appropriate for, limits, and partners it must not be given with."""
+    d = view(spark, sf_dir, "drug")
+    per = lambda name, *cols: view(spark, sf_dir, name).groupBy("treatment_key").agg(F.collect_list(F.struct(*cols)).alias(name))
+    for name, cols in (("rule_appropriate", ("condition", "score")), ("rule_threshold", ("rule", "op", "limit", "scale")), ("rule_pair", ("partner", "scale"))):
+        d = d.join(F.broadcast(per(name, *cols)), "treatment_key", "left")
+    return d
+
+
+def violation_list() -> Column:
+    """Violated rules of one prescription: an array of (treatment, rule, scale).
+    Repeats repeat; a pair counts once an episode."""
+    t = F.col("treatment_key")
+    allergy = F.array(F.struct(t.alias("treatment"), F.lit("allergy").alias("rule"), F.lit(1.0).alias("scale")))
+    none = F.filter(allergy, lambda x: F.lit(False))
+    beyond = lambda x: F.when(x["op"] == "<", F.col("lo") < x["limit"]).otherwise(F.col("hi") > x["limit"])
+    limits = F.transform(F.filter(F.coalesce("rule_threshold", F.array().cast("array<struct<rule:string,op:string,limit:double,scale:double>>")), beyond), lambda x: F.struct(t.alias("treatment"), x["rule"].alias("rule"), x["scale"].alias("scale")))
+    first = F.array_position("drugs", t) == F.col("pos") + 1
+    partners = F.filter(F.coalesce("rule_pair", F.array().cast("array<struct<partner:string,scale:double>>")), lambda x: first & F.array_contains("drugs", x["partner"]))
+    pairs = F.transform(partners, lambda x: F.struct(F.concat(t, F.lit("+"), x["partner"]).alias("treatment"), F.lit("interaction").alias("rule"), x["scale"].alias("scale")))
+    return F.concat(F.when(F.col("class") == F.col("patient_id") % 6, allergy).otherwise(none), limits, pairs)
+
+
+def prescriptions(b: DataFrame, rules: DataFrame) -> DataFrame:
+    """``b`` (episode rows) once for each prescription, with its rules; rows
+    without prescriptions stay once.  An unknown treatment is an error."""
+    x = b.select("*", F.posexplode_outer("drugs").alias("pos", "treatment_key"))
+    j = x.join(F.broadcast(rules.withColumn("listed", F.lit(True))), "treatment_key", "left")
+    known = F.col("treatment_key").isNull() | F.col("listed")
+    return j.withColumn("treatment_key", F.when(F.coalesce(known, F.lit(False)), F.col("treatment_key")).otherwise(F.raise_error(F.concat(F.lit("unknown treatment "), "treatment_key"))))
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(episode_id, treatment, rule, scale) of each violated rule.  Allergy:
-    the patient's class; renal, bleeding: a value beyond a limit with a listed
-    treatment; interaction: both of a pair (once an episode)."""
-    steps = view(spark, sf_dir, "step")
-    e = view(spark, sf_dir, "episode")
-    given = steps.where("kind = 'prescribe'").withColumn("d", F.substring("treatment_key", 2, 9).cast("int"))
-    low = steps.groupBy("episode_id").agg(F.min("value_number").alias("lo"), F.max("value_number").alias("hi"))
-    j = given.join(e.select("episode_id", "patient_id"), "episode_id").join(low, "episode_id")
-    rules = F.array(
-        F.struct(F.lit("allergy").alias("rule"), F.lit(1.0).alias("scale"), (F.col("d") % 6 == F.col("patient_id") % 6).alias("hit")),
-        F.struct(F.lit("renal").alias("rule"), F.lit(1.0).alias("scale"), ((F.col("lo") < 5) & F.col("d").isin(3, 9, 27, 36, 45)).alias("hit")),
-        F.struct(F.lit("hyperkalemia").alias("rule"), F.lit(0.8).alias("scale"), ((F.col("hi") > 48) & (F.col("d") % 9 == 4)).alias("hit")),
-    )
-    single = j.select("episode_id", F.col("treatment_key").alias("treatment"), F.explode(rules).alias("x")).where("x.hit").select("episode_id", "treatment", "x.rule", "x.scale")
-    sets = given.groupBy("episode_id").agg(F.collect_set("d").alias("s"))
-    pairs = spark.range(36).select((F.col("id") * 2).cast("int").alias("a"), (F.col("id") * 2 + 1).cast("int").alias("b"))
-    both = sets.join(F.broadcast(pairs), F.array_contains("s", F.col("a")) & F.array_contains("s", F.col("b")))  # 36 rule rows
-    return single.unionByName(both.select("episode_id", F.concat(F.lit("d"), "a", F.lit("+d"), "b").alias("treatment"), F.lit("interaction").alias("rule"), F.lit(0.6).alias("scale")))
-
-
-def treatments(spark: SparkSession, sf_dir: str, cfg: RewardConfig = DEFAULT) -> DataFrame:
-    """(episode_id, treatment): appropriateness under the declared label and,
-    by the mass on it, under the true one, less the penalty.  Episodes without
-    prescriptions have no row (their score is 0)."""
-    e = view(spark, sf_dir, "episode")
-    given = view(spark, sf_dir, "step").where("kind = 'prescribe'").withColumn("d", F.substring("treatment_key", 2, 9).cast("int"))
-    full = completed(view(spark, sf_dir, "report"), view(spark, sf_dir, "label"))
-    top = full.groupBy("episode_id").agg(F.min_by("label", F.struct(-F.col("p"), F.col("label"))).alias("declared"))
-    on_truth = full.withColumnRenamed("label", "condition").withColumnRenamed("p", "mass")
-    j = given.join(e.select("episode_id", "condition"), "episode_id").join(top, "episode_id", "left").join(on_truth, ["episode_id", "condition"], "left")
-    app = lambda label: F.when(F.col("d") % 10 == F.substring(label, 7, 3).cast("int"), 1.0).when(F.col("d") % 5 == F.substring(label, 7, 3).cast("int") % 5, 0.5).otherwise(0.0)
-    score = j.groupBy("episode_id").agg(F.avg(F.coalesce(app(F.col("declared")), F.lit(0.0))).alias("coh"), F.avg(app(F.col("condition"))).alias("cor"), F.coalesce(F.max("mass"), F.lit(0.0)).alias("mass"))
-    pen = violations(spark, sf_dir).groupBy("episode_id").agg(F.sum("scale").alias("scale"))
-    s = score.join(pen, "episode_id", "left")
-    total = cfg.coherence_scale * F.col("coh") + cfg.correctness_scale * F.col("mass") * F.col("cor") - cfg.contraindication_penalty * F.coalesce("scale", F.lit(0.0))
-    return s.select("episode_id", total.alias("treatment"))
+    the patient's class; limits: a value beyond one with a listed treatment;
+    interaction: both of a pair (once an episode)."""
+    f = facts(view(spark, sf_dir, "charged")).select("episode_id", "lo", "hi", "drugs").where(F.size("drugs") > 0)
+    b = f.join(view(spark, sf_dir, "episode").select("episode_id", "patient_id"), "episode_id")
+    return prescriptions(b, drug_rules(spark, sf_dir)).select("episode_id", F.inline(violation_list()))
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an episode with all that scores depend on, under any weights:
+    steps are read once, reports are kept in closed form."""
+    labels = view(spark, sf_dir, "label")
+    truth = F.broadcast(labels.select(F.col("label").alias("condition"), "urgency", F.lit(True).alias("listed_label")))
+    e = view(spark, sf_dir, "episode").join(truth, "condition", "left")
+    e = e.withColumn("condition", F.when(F.col("listed_label"), F.col("condition")).otherwise(F.raise_error(F.concat(F.lit("unknown label "), "condition")))).drop("listed_label")
+    r = stated(view(spark, sf_dir, "report"), labels)
+    j = e.join(with_bucket_priors(facts(view(spark, sf_dir, "charged"))), "episode_id", "left").join(r, "episode_id", "left")
+    j = j.withColumns({"brier": stated_brier(F.col("condition")), "mass": mass_on(F.col("condition")), "declared": declared()}).drop("names", "named", "unnamed", "share")
+    x = prescriptions(j, drug_rules(spark, sf_dir))
+    app = lambda label: F.coalesce(F.get(F.filter("rule_appropriate", lambda r: r["condition"] == label), F.lit(0))["score"], F.lit(0.0))
+    given = F.col("treatment_key").isNotNull()
+    scale = F.aggregate(violation_list(), F.lit(0.0), lambda a, v: a + v["scale"])
+    x = x.withColumns({"fit_declared": F.when(given, app(F.col("declared"))), "fit_truth": F.when(given, app(F.col("condition"))), "scale": F.when(given, scale), "given": given})
+    keep = [c for c in j.columns if c not in ("episode_id", "drugs", "lo", "hi")]
+    return x.groupBy("episode_id").agg(
+        *[F.first(c).alias(c) for c in keep],
+        F.coalesce(F.avg("fit_declared"), F.lit(0.0)).alias("coherence"), F.coalesce(F.avg("fit_truth"), F.lit(0.0)).alias("correctness"),
+        F.coalesce(F.sum("scale"), F.lit(0.0)).alias("contraindicated"), F.count_if("given").alias("n_drugs"),
+    )
+
+
+def terms(cfg: RewardConfig = DEFAULT) -> dict[str, Column]:
+    """Every term of a row of :func:`base`, and the total; a total that is not
+    finite is an error."""
+    t = {"diagnosis": diagnosis(cfg), **step_terms(cfg)}
+    t["treatment"] = cfg.coherence_scale * F.col("coherence") + cfg.correctness_scale * F.col("mass") * F.col("correctness") - cfg.contraindication_penalty * F.col("contraindicated")
+    total = sum(t.values(), F.lit(0.0))
+    finite = lambda x: F.when(F.abs(x) < float("inf"), x).otherwise(F.raise_error(F.lit("a score is not finite")).cast("double"))
+    t["total"] = F.get(F.transform(F.array(total), finite), F.lit(0))
+    return t
 
 
 def scores(spark: SparkSession, sf_dir: str, cfg: RewardConfig = DEFAULT) -> DataFrame:
     """One row an episode with every term and the total."""
-    d = diagnosis(view(spark, sf_dir, "episode"), view(spark, sf_dir, "report"), view(spark, sf_dir, "label"), cfg)
-    j = d.join(step_terms(view(spark, sf_dir, "charged"), cfg), "episode_id", "left").join(treatments(spark, sf_dir, cfg), "episode_id", "left")
-    terms = ["test_cost", "turn_penalty", "verify", "treatment"]
-    j = j.fillna(0.0, terms).fillna(0, ["n_tests", "n_turns"])  # an episode without steps has empty sums
-    total = F.col("diagnosis") + sum((F.col(t) for t in terms), F.lit(0.0))
-    return j.withColumn("total", F.when(F.isnan(total), F.raise_error(F.lit("a score is not finite")).cast("double")).otherwise(total))
+    b = base(spark, sf_dir)
+    keep = ["episode_id", "patient_id", "policy", "seed", "budget", "termination_reason", "condition"]
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return b.select(*keep, *[c.alias(n) for n, c in terms(cfg).items()], number("n_tests"), number("n_turns"))
 
 
 _PRIOR = f"""bp AS (SELECT CASE WHEN value_number < {LOW} THEN 'low' WHEN value_number > {HIGH} THEN 'high' ELSE 'normal' END AS prediction, count(*) * 1.0e0 / sum(count(*)) OVER () AS prior FROM charged WHERE cost_charged > 0 GROUP BY 1)"""
@@ -178,9 +284,12 @@ _OTHER = RewardConfig(lam=0.01, no_commit_penalty=0.0)
 @query(f"WITH a AS (WITH {scores_sql()} SELECT episode_id, policy, total FROM scores), b AS (WITH {scores_sql(_OTHER)} SELECT episode_id, total AS again FROM scores) SELECT policy, count(*) AS n, round(avg(again), 6) AS mean_rescored, round(avg(total), 6) AS mean_stored, round(avg(again - total), 6) AS mean_delta FROM a JOIN b USING (episode_id) GROUP BY policy")
 def ep_score_rescore(spark, sf_dir):
     """A stored run under other weights, against its stored totals."""
-    again = scores(spark, sf_dir, _OTHER).select("episode_id", F.col("total").alias("again"))
-    j = scores(spark, sf_dir).select("episode_id", "policy", "total").join(again, "episode_id")
-    return j.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("again")).alias("mean_rescored"), r6(F.avg("total")).alias("mean_stored"), r6(F.avg(F.col("again") - F.col("total"))).alias("mean_delta"))
+    return rescored(base(spark, sf_dir).select("policy", terms(DEFAULT)["total"].alias("total"), terms(_OTHER)["total"].alias("again")))
+
+
+def rescored(rows: DataFrame) -> DataFrame:
+    """Of (policy, total, again), ``again`` by any rule: n and means."""
+    return rows.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("again")).alias("mean_rescored"), r6(F.avg("total")).alias("mean_stored"), r6(F.avg(F.col("again") - F.col("total"))).alias("mean_delta"))
 
 
 @query(f"WITH {ctes('charged')}, {_PRIOR} SELECT prediction, round(prior, 6) AS prior FROM bp")
@@ -190,7 +299,8 @@ def bucket_prior(spark, sf_dir):
 
 @query(f"WITH {ctes('charged')}, {_PRIOR} SELECT episode_id, round(sum(CASE WHEN cost_charged > 0 THEN {DEFAULT.verify_fraction * DEFAULT.lam} * price * ((CASE WHEN value_number < 15 THEN 'low' WHEN value_number > 35 THEN 'high' ELSE 'normal' END = prediction)::INT - prior) ELSE 0 END), 6) AS verify FROM charged JOIN bp USING (prediction) GROUP BY episode_id")
 def ep_verify(spark, sf_dir):
-    return step_terms(view(spark, sf_dir, "charged")).select("episode_id", r6("verify").alias("verify"))
+    f = with_bucket_priors(facts(view(spark, sf_dir, "charged")))
+    return f.select("episode_id", r6(step_terms()["verify"]).alias("verify"))
 
 
 @query(f"WITH {scores_sql()} SELECT episode_id, rule, count(*) AS n, round(sum(scale), 6) AS scale, string_agg(treatment, ',' ORDER BY treatment) AS treatments FROM vi GROUP BY episode_id, rule")
@@ -201,7 +311,8 @@ def treat_violations(spark, sf_dir):
 
 @query(f"WITH {scores_sql()} SELECT episode_id, round(treatment, 6) AS treatment FROM tr")
 def treat_score(spark, sf_dir):
-    return treatments(spark, sf_dir).select("episode_id", r6("treatment").alias("treatment"))
+    b = base(spark, sf_dir).where("n_drugs > 0")
+    return b.select("episode_id", r6(terms()["treatment"]).alias("treatment"))
 
 
 @query(f"WITH {ctes('report', 'label')}, {_COMPLETE} SELECT episode_id, label, round(p, 6) AS p FROM full_report")
@@ -209,6 +320,30 @@ def complete_report(spark, sf_dir):
     return completed(view(spark, sf_dir, "report"), view(spark, sf_dir, "label")).select("episode_id", "label", r6("p").alias("p"))
 
 
+@query(f"WITH {ctes('filed', 'label', 'episode')} SELECT episode_id, label, CASE WHEN label NOT IN (SELECT label FROM label) THEN 'unknown_label' WHEN p IS NULL OR isnan(p) OR isinf(p) THEN 'not_finite' WHEN p < 0 THEN 'negative' END AS violation FROM filed WHERE label NOT IN (SELECT label FROM label) OR p IS NULL OR isnan(p) OR isinf(p) OR p < 0 UNION ALL SELECT episode_id, NULL, 'empty' FROM episode WHERE termination_reason = 'diagnose' AND episode_id NOT IN (SELECT episode_id FROM filed)")
+def report_checks(spark, sf_dir):
+    """What is wrong with the reports as they were filed."""
+    asked = view(spark, sf_dir, "episode").where("termination_reason = 'diagnose'")
+    return report_violations(view(spark, sf_dir, "filed"), view(spark, sf_dir, "label"), asked)
+
+
+@query(f"WITH {ctes('filed', 'label', 'episode')}, bad AS (SELECT DISTINCT episode_id FROM filed WHERE label NOT IN (SELECT label FROM label) OR p IS NULL OR isnan(p) OR isinf(p) OR p < 0), good AS (SELECT * FROM filed WHERE episode_id NOT IN (SELECT episode_id FROM bad)), {_COMPLETE.replace('FROM report', 'FROM good')} SELECT e.termination_reason, count(*) AS asked, count(x.episode_id) AS valid, round(count(x.episode_id) / count(*), 6) AS schema_valid_fraction, round(avg(brier), 6) AS mean_brier FROM episode e LEFT JOIN (SELECT f.episode_id, 0.9 - (sum(p * p) - 2 * max(CASE WHEN label = condition THEN p ELSE 0 END) + 1) AS brier FROM full_report f JOIN episode USING (episode_id) GROUP BY 1) x ON x.episode_id = e.episode_id GROUP BY 1")
+def report_valid(spark, sf_dir):
+    """How many of the filed reports are valid, and what those score."""
+    filed, labels = view(spark, sf_dir, "filed"), view(spark, sf_dir, "label")
+    bad = report_violations(filed, labels).select("episode_id").distinct()
+    r = stated(filed.join(bad, "episode_id", "left_anti"), labels)
+    j = view(spark, sf_dir, "episode").join(r, "episode_id", "left").select("termination_reason", F.col("named").isNotNull().cast("int").alias("ok"), F.when(F.col("named").isNotNull(), stated_brier(F.col("condition"))).alias("b"))
+    return j.groupBy("termination_reason").agg(F.count(F.lit(1)).alias("asked"), F.sum("ok").alias("valid"), r6(F.avg("ok")).alias("schema_valid_fraction"), r6(F.avg("b")).alias("mean_brier"))
+
+
+@query(f"WITH {ctes('report')}, k AS (SELECT episode_id, string_agg(DISTINCT label, ',' ORDER BY label) AS keys FROM report GROUP BY 1) SELECT keys, count(*) AS reports, (SELECT count(DISTINCT keys) FROM k) = 1 AS constant FROM k GROUP BY 1")
+def report_key_sets(spark, sf_dir):
+    """The label sets that reports name; other than one says that they differ."""
+    k = view(spark, sf_dir, "report").groupBy("episode_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("keys")).groupBy("keys").agg(F.count(F.lit(1)).alias("reports"))
+    return k.withColumn("constant", F.count(F.lit(1)).over(W.partitionBy()) == 1)  # one row a label set
+
+
 @query(f"WITH {ctes('charged', 'episode')} SELECT episode_id, turn, round(sum(cost_charged) OVER w, 6) AS spent, round(budget - sum(cost_charged) OVER w, 6) AS remaining, sum(cost_charged) OVER w >= budget - 1e-9 AS capped, 20 - turn AS turns_left FROM charged JOIN episode USING (episode_id) WINDOW w AS (PARTITION BY episode_id ORDER BY turn)")
 def ledger_running(spark, sf_dir):
     """Spending so far, what is left, and turns left of twenty."""

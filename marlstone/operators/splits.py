@@ -3,10 +3,13 @@ row's own key, so results do not depend on partitions or order."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from marlstone.functions.normal import normal_quantile
 from marlstone.operators.evaluation import uniform
+from marlstone.operators.ordering import lowest
 from marlstone.plans.registry import query
 from marlstone.sources.views import ctes, table, view
 
@@ -17,12 +20,6 @@ def order_key(seed: int, key: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string")), 256)
 
 
-def lowest(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """The ``n`` rows first in a seeded order: a top-n of each partition, then of
-    those; the rest is never sorted in one task."""
-    return rows.withColumn("h", order_key(seed, F.col(key))).orderBy("h", key).limit(n).drop("h")
-
-
 def split(docs: DataFrame, fraction: float = FRACTION, seed: int = SEED) -> DataFrame:
     """(doc_id, split): held-out languages, a seeded share for evaluation and
     the rest for training."""
@@ -30,8 +27,9 @@ def split(docs: DataFrame, fraction: float = FRACTION, seed: int = SEED) -> Data
         raise ValueError("the fraction must lie in (0, 1)")
     ids = docs.select("doc_id", "lang")
     held, rest = ids.where(F.col("lang").isin(*HELD_OUT)), ids.where(~F.coalesce(F.col("lang").isin(*HELD_OUT), F.lit(False)))
-    n = max(1, round(rest.count() * fraction))
-    chosen = lowest(rest, n, seed, "doc_id").select("doc_id", F.lit(True).alias("chosen"))
+    n = rest.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(fraction))).cast("long").alias("n"))
+    rows = rest.join(F.broadcast(n), F.lit(True))  # one row
+    chosen = lowest(rows, F.col("n"), order_key(seed, F.col("doc_id")), "doc_id").select("doc_id", F.lit(True).alias("chosen"))
     j = rest.join(chosen, "doc_id", "left").select("doc_id", F.when(F.col("chosen"), "eval").otherwise("train").alias("split"))
     return j.unionByName(held.select("doc_id", F.lit("holdout").alias("split")))
 
@@ -45,11 +43,50 @@ def split_ids(spark, sf_dir):
     return split(table(spark, sf_dir, "documents"))
 
 
-@query(f"WITH {SPLIT} SELECT split, count(*) AS n, sha256('[' || string_agg('\"' || doc_id || '\"', ',' ORDER BY doc_id::VARCHAR) || ']') AS ids_sha256 FROM split GROUP BY 1")
+def manifest(parts: DataFrame) -> DataFrame:
+    """(split, n, ids_sha256): each part's canonical hash.  Ids are hashed in
+    blocks (three digits of their md5), sorted inside; the part's hash is that
+    of its blocks' hashes in order, so no task holds a part's ids."""
+    ids = parts.select("split", F.col("doc_id").cast("string").alias("id")).withColumn("block", F.substring(F.md5("id"), 1, 3))
+    blocks = ids.groupBy("split", "block").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.to_json(F.array_sort(F.collect_list("id"))), 256).alias("h"))
+    return blocks.groupBy("split").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), ""), 256).alias("ids_sha256"))
+
+
+_BLOCKS = "bk AS (SELECT split, substr(md5(doc_id::VARCHAR), 1, 3) AS block, count(*) AS n, sha256('[' || string_agg('\"' || doc_id || '\"', ',' ORDER BY doc_id::VARCHAR) || ']') AS h FROM split GROUP BY 1, 2), mf AS (SELECT split, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY block)) AS ids_sha256 FROM bk GROUP BY 1)"
+
+
+@query(f"WITH {SPLIT}, {_BLOCKS} SELECT * FROM mf")
 def split_freeze(spark, sf_dir):
-    """Counts and the canonical hash of each part's sorted ids."""
-    s = split(table(spark, sf_dir, "documents")).withColumn("id", F.col("doc_id").cast("string"))
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.to_json(F.array_sort(F.collect_list("id"))), 256).alias("ids_sha256"))
+    """Counts and the canonical hash of each part's ids."""
+    return manifest(split(table(spark, sf_dir, "documents")))
+
+
+PROVENANCE = ("seed", "fraction", "held_out", "algorithm")
+
+
+def provenance(**given: object) -> dict[str, str]:
+    """What a frozen split must say of its making; a missing key is an error."""
+    missing = [k for k in PROVENANCE if given.get(k) in (None, "")]
+    if missing:
+        raise ValueError(f"a frozen split needs {', '.join(missing)}")
+    return {k: str(given[k]) for k in PROVENANCE}
+
+
+def split_drifted(frozen: DataFrame, now: DataFrame) -> DataFrame:
+    """(split, field, frozen, now) of what differs between two manifests."""
+    fields = lambda m, c: m.select("split", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(c)) for f in ("n", "ids_sha256")])))
+    j = fields(frozen, "frozen").join(fields(now, "now"), ["split", "field"], "full_outer")
+    return j.where(~F.col("frozen").eqNullSafe(F.col("now")))
+
+
+_SPLIT_OF = lambda t: SPLIT.replace("FROM documents", f"FROM {t}")
+
+
+@query(f"WITH {SPLIT}, {_BLOCKS}, documents2 AS (SELECT * FROM documents WHERE n_chars >= 300), {re.sub(r'(?<![a-z_])(rest|hs|split)(?![a-z_])', r'\1_2', _SPLIT_OF('documents2')).replace('AS split_2', 'AS split')}, {re.sub(r'(?<![a-z_])(bk|mf)(?![a-z_])', r'\1_2', _BLOCKS).replace('FROM split', 'FROM split_2')}, o AS (SELECT split, unnest(['n', 'ids_sha256']) AS field, unnest([n::VARCHAR, ids_sha256]) AS frozen FROM mf), p AS (SELECT split, unnest(['n', 'ids_sha256']) AS field, unnest([n::VARCHAR, ids_sha256]) AS now FROM mf_2) SELECT split, field, frozen, now FROM o FULL JOIN p USING (split, field) WHERE frozen IS DISTINCT FROM now")
+def split_drift(spark, sf_dir):
+    """A frozen split against the one that a changed corpus gives."""
+    d = table(spark, sf_dir, "documents")
+    return split_drifted(manifest(split(d)), manifest(split(d.where("n_chars >= 300"))))
 
 
 @query(f"WITH {SPLIT}, p AS (SELECT split, count(*) AS n, bit_xor(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT) AS fingerprint FROM split GROUP BY 1) SELECT * FROM p")
@@ -71,10 +108,11 @@ def guarded(requested: DataFrame, evaluation: DataFrame) -> DataFrame:
     return requested.join(evaluation.select("doc_id"), "doc_id", "left_semi")
 
 
-@query(f"WITH {SPLIT} SELECT doc_id FROM split WHERE split = 'eval' AND doc_id % 10 = 0")
+@query(f"WITH {SPLIT} SELECT doc_id FROM split WHERE split = 'eval' AND doc_id IN (SELECT doc_id FROM labels)")
 def split_guard(spark, sf_dir):
+    """Labelled documents that training must not ask for."""
     s = split(table(spark, sf_dir, "documents"))
-    return guarded(table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id"), s.where("split = 'eval'"))
+    return guarded(table(spark, sf_dir, "labels").select("doc_id").distinct(), s.where("split = 'eval'"))
 
 
 DEV = 32
@@ -84,7 +122,7 @@ DEV = 32
 def dev_set(spark, sf_dir):
     """A fixed development set out of training, and the pool that is left."""
     t = split(table(spark, sf_dir, "documents")).where("split = 'train'").select("doc_id")
-    dev = lowest(t, DEV, 5, "doc_id")
+    dev = lowest(t, F.lit(DEV), order_key(5, F.col("doc_id")), "doc_id")
     return dev.select("doc_id", F.lit("dev").alias("part")).unionByName(t.join(dev, "doc_id", "left_anti").select("doc_id", F.lit("pool").alias("part")))
 
 
@@ -92,7 +130,7 @@ def dev_set(spark, sf_dir):
 def batches(spark, sf_dir):
     """Eight training ids for each of four steps, drawn without replacement."""
     t = split(table(spark, sf_dir, "documents")).where("split = 'train'").select("doc_id")
-    parts = [lowest(t, 8, step, "doc_id").select(F.lit(step).cast("long").alias("step"), "doc_id") for step in range(4)]
+    parts = [lowest(t, F.lit(8), order_key(step, F.col("doc_id")), "doc_id").select(F.lit(step).cast("long").alias("step"), "doc_id") for step in range(4)]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from marlstone.functions.normal import general
 from marlstone.operators.belief import SEQ, entropy, evidence, sequences
 from marlstone.operators.evaluation import RANKED, posteriors, ranked
+from marlstone.operators.ordering import placed
 from marlstone.operators.scoring import r6
 from marlstone.plans.registry import query
 from marlstone.sources.views import table
@@ -94,8 +95,9 @@ def abstentions(h: DataFrame) -> DataFrame:
     """Of (key, h): the most uncertain share, out of those above a quantile."""
     cut = h.agg(F.percentile("h", ABSTAIN_QUANTILE).alias("cut"), F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * ABSTAIN_FRACTION).cast("int")).alias("n"))
     pool = h.join(F.broadcast(cut), F.col("h") >= F.col("cut"))  # one row
-    n = cut.first()["n"]
-    return pool.orderBy(F.desc(F.round("h", 9)), "key").limit(n).select("key", "h")
+    # the highest first: blocks are ten-thousandths of the entropy
+    high = placed(pool.withColumn("low", -F.round("h", 9)), F.floor(F.col("h") * -10_000), "low", "key")
+    return high.where("place < n").select("key", "h")
 
 
 @query(f"WITH {SEQ}, h AS (SELECT key, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h FROM seq WHERE k = 2 GROUP BY 1), r AS (SELECT key, h, row_number() OVER (ORDER BY round(h, 9) DESC, key) AS i, (SELECT greatest(1, round_even(count(*) * {ABSTAIN_FRACTION}, 0)) FROM h) AS n, (SELECT quantile_cont(h, {ABSTAIN_QUANTILE}) FROM h) AS cut FROM h) SELECT key, round(h, 6) AS h FROM r WHERE i <= n AND h >= cut")
@@ -112,13 +114,13 @@ def trainset_union(spark, sf_dir):
     return both.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {RANKED} SELECT key, 'On {{n}} results the leading hypotheses are ' || string_agg('label_' || label || ' ' || format('{{:.2f}}', p), ', ' ORDER BY rank) || '.' AS reasoning FROM rk WHERE rank <= 3 GROUP BY key".replace("{n}", "8"))
+@query(f"WITH {RANKED} SELECT key, 'After {{n}} results these are most likely: ' || string_agg('label_' || label || ' ' || format('{{:.2f}}', p), ', ' ORDER BY rank) || '.' AS reasoning FROM rk WHERE rank <= 3 GROUP BY key".replace("{n}", "64"))
 def blind_reasoning(spark, sf_dir):
     """Reasoning from the visible posterior alone."""
     r = ranked(posteriors(evidence(spark, sf_dir))).where("rank <= 3")
     said = F.format_string("label_%d %.2f", F.col("label"), F.col("p"))
     g = r.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", said.alias("s")))).alias("x"))
-    return g.select("key", F.concat(F.lit("On 8 results the leading hypotheses are "), F.array_join(F.transform("x", lambda s: s["s"]), ", "), F.lit(".")).alias("reasoning"))
+    return g.select("key", F.concat(F.format_string("After %d results these are most likely: ", F.lit(64)), F.array_join(F.transform("x", lambda s: s["s"]), ", "), F.lit(".")).alias("reasoning"))
 
 
 @query("SELECT conv_id, turn, role, text IS NULL OR trim(text) = '' AS empty, role = 'assistant' AND length(text) < 60 AS stub FROM conversations")
@@ -143,7 +145,7 @@ def gen_align(spark, sf_dir):
     return c.join(p, ["conv_id", "turn"], "left_anti")
 
 
-@query("SELECT vec_id AS key, 'RECORD ' || vec_id || chr(10) || string_agg('d' || dim || ': ' || printf('%.4g', v) || ' (ref -0.5 to 0.5)', chr(10) ORDER BY dim) AS sheet FROM (SELECT vec_id, unnest(range(8)) AS dim, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings) GROUP BY vec_id")
+@query("SELECT vec_id AS key, 'RECORD ' || vec_id || chr(10) || string_agg('d' || dim || ': ' || printf('%.4g', v) || ' (ref -0.5 to 0.5)', chr(10) ORDER BY dim) AS sheet FROM (SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY vec_id")
 def case_text(spark, sf_dir):
     """A record's sheet: its values to four digits beside their references."""
     ev = evidence(spark, sf_dir)

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from marlstone.operators.ordering import ranked_by
 from marlstone.plans.config import DEFAULT
 from marlstone.plans.registry import query
 from marlstone.sources.views import ctes, table, view
@@ -109,7 +110,7 @@ def menu_fingerprint(spark, sf_dir):
     return m.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("action_id")), "|"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("actions"), (F.count(F.lit(1)) - F.count_distinct("action_id")).alias("collisions"))
 
 
-@query("SELECT vec_id AS key, count(*) AS n_evidence, string_agg(dim, ',' ORDER BY dim) AS dims FROM (SELECT vec_id, unnest(range(8)) AS dim FROM embeddings) GROUP BY 1")
+@query("SELECT vec_id AS key, count(*) AS n_evidence, string_agg(dim, ',' ORDER BY dim) AS dims FROM (SELECT vec_id, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY 1")
 def evidence_assembly(spark, sf_dir):
     """Evidence of a record from three projections, later ones winning."""
     from marlstone.operators.belief import evidence
@@ -136,4 +137,4 @@ def bundle_ingest(spark, sf_dir):
 def label_index(spark, sf_dir):
     """A dimension's canonical index: the rank of its sorted names."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name")
-    return c.select("custkey", (F.row_number().over(W.orderBy("c_name")) - 1).cast("long").alias("idx"))
+    return ranked_by(c, "c_name").select("custkey", F.col("place").alias("idx"))

@@ -27,6 +27,18 @@ SQL = {
     "report": """SELECT episode_id, concat('label_', CAST(episode_id % 10 AS VARCHAR(20))) AS label, 0.6 AS p FROM {episode} WHERE termination_reason = 'diagnose'
  UNION ALL SELECT episode_id, condition AS label, 0.3 AS p FROM {episode} WHERE termination_reason = 'diagnose' AND episode_id % 3 <> 0""",
     "label": """SELECT concat('label_', CAST(c AS VARCHAR(20))) AS label, CAST(c AS INT) AS idx, 1 + CAST(c AS INT) % 4 AS urgency, CAST(c AS INT) % 5 AS system FROM (SELECT DISTINCT c_custkey % 10 AS c FROM {customer}) x""",
+    # reports as they are filed: some name what is no label, or give it no mass
+    "filed": """SELECT episode_id, label, p FROM {report} WHERE episode_id % 71 <> 0
+ UNION ALL SELECT episode_id, 'zzz' AS label, 0.1 AS p FROM {report} WHERE episode_id % 97 = 0
+ UNION ALL SELECT episode_id, label, -0.2 AS p FROM {report} WHERE episode_id % 89 = 0
+ UNION ALL SELECT episode_id, label, CAST('NaN' AS DOUBLE) AS p FROM {report} WHERE episode_id % 83 = 0
+ UNION ALL SELECT episode_id, label, CAST('Infinity' AS DOUBLE) AS p FROM {report} WHERE episode_id % 79 = 0""",
+    # treatments and the rules that bear on them, as tables
+    "drug": """SELECT DISTINCT concat('d', CAST(p_partkey % 72 AS VARCHAR(20))) AS treatment_key, CAST(p_partkey % 72 AS INT) AS d, CAST(p_partkey % 72 AS INT) % 6 AS class FROM {part}""",
+    "rule_appropriate": """SELECT treatment_key, label AS condition, CASE WHEN d % 10 = idx THEN 1.0e0 ELSE 0.5e0 END AS score FROM {drug} AS dr JOIN {label} AS la ON dr.d % 5 = la.idx % 5""",
+    "rule_threshold": """SELECT treatment_key, 'renal' AS rule, '<' AS op, 5.0e0 AS limit, 1.0e0 AS scale FROM {drug} AS dr WHERE d IN (3, 9, 27, 36, 45)
+ UNION ALL SELECT treatment_key, 'hyperkalemia' AS rule, '>' AS op, 48.0e0 AS limit, 0.8e0 AS scale FROM {drug} AS dr WHERE d % 9 = 4""",
+    "rule_pair": """SELECT a.treatment_key AS treatment_key, b.treatment_key AS partner, 0.6e0 AS scale FROM {drug} AS a JOIN {drug} AS b ON a.d % 2 = 0 AND b.d = a.d + 1""",
     "run_event": """SELECT event_id, ts, CAST(user_id % 4 AS INT) AS run_id, user_id AS group_id, value / 100.0 - 1.0 AS reward, CAST(4 AS DOUBLE) AS hard_ceiling, CAST(0.5 AS DOUBLE) AS expected_ceiling,
  CASE event_type WHEN 'purchase' THEN 'diagnose' WHEN 'signup' THEN 'abstain' WHEN 'error' THEN 'decode_failure' ELSE 'max_turns' END AS termination_reason,
  CAST(event_id % 8 AS INT) AS n_tests FROM {events}""",

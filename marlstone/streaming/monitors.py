@@ -1,7 +1,8 @@
 """Run monitors over an ordered log, in batch: trailing-count windows per run.
 
-Each run's log is one window partition; frames are bounded, so a partition is
-streamed, never held.  ``streams`` has the same rules as stateful queries.
+A run's log is cut into chunks that carry the last rows of the one before, so a
+long run is many window partitions.  ``streams`` has the same rules as stateful
+queries.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from marlstone.operators.ordering import trailing
 from marlstone.operators.scoring import r6
 from marlstone.plans.registry import query
 from marlstone.sources.views import ctes, table, view
@@ -23,10 +25,6 @@ SLACK = 0.02
 _E = f"WITH {ctes('run_event')}"
 
 
-def trailing(n: int):
-    return W.partitionBy("run_id").orderBy("ts", "event_id").rowsBetween(-(n - 1), 0)
-
-
 def _win(n: int) -> str:
     return f"(PARTITION BY run_id ORDER BY ts, event_id ROWS {n - 1} PRECEDING)"
 
@@ -34,36 +32,36 @@ def _win(n: int) -> str:
 @query(f"{_E} SELECT event_id, count(*) OVER w >= {CEILING // 2} AND avg(reward) OVER w > avg(expected_ceiling) OVER w + {SLACK} AS alert, round(sum(reward) OVER w, 4) AS total FROM run_event WINDOW w AS {_win(CEILING)}")
 def mon_ceiling(spark, sf_dir):
     """Running mean reward above the running mean of the expected ceiling."""
-    w = trailing(CEILING)
+    rows, w = trailing(view(spark, sf_dir, "run_event"), CEILING, "run_id", "ts", "event_id")
     mean = F.avg("reward").over(w)
     alert = (F.count(F.lit(1)).over(w) >= CEILING // 2) & (mean > F.avg("expected_ceiling").over(w) + SLACK)
-    return view(spark, sf_dir, "run_event").select("event_id", alert.alias("alert"), F.round(F.sum("reward").over(w), 4).alias("total"))
+    return rows.select("own", "event_id", alert.alias("alert"), F.round(F.sum("reward").over(w), 4).alias("total")).where("own").drop("own")
 
 
 @query(f"{_E} SELECT event_id, count(*) OVER w >= {COST // 2} AND (avg((n_tests = 0)::INT) OVER w > 0.95 OR avg((n_tests >= 7)::INT) OVER w > 0.5) AS alert, round(avg((n_tests = 0)::INT) OVER w, 6) AS zero_fraction FROM run_event WINDOW w AS {_win(COST)}")
 def mon_cost(spark, sf_dir):
     """Collapse of spending: nearly all without tests, or most at the cap."""
-    w = trailing(COST)
+    rows, w = trailing(view(spark, sf_dir, "run_event"), COST, "run_id", "ts", "event_id")
     zero, capped = (F.avg(c.cast("int")).over(w) for c in (F.col("n_tests") == 0, F.col("n_tests") >= 7))
     alert = (F.count(F.lit(1)).over(w) >= COST // 2) & ((zero > 0.95) | (capped > 0.5))
-    return view(spark, sf_dir, "run_event").select("event_id", alert.alias("alert"), r6(zero).alias("zero_fraction"))
+    return rows.select("own", "event_id", alert.alias("alert"), r6(zero).alias("zero_fraction")).where("own").drop("own")
 
 
 @query(f"{_E}, g AS (SELECT run_id, group_id, max(event_id) AS event_id, max(ts) AS ts, stddev_pop(reward) AS std FROM run_event GROUP BY 1, 2) SELECT run_id, group_id, count(*) OVER w >= {GROUPS // 2} AND avg((std < 1e-6)::INT) OVER w > 0.5 AS alert, round(avg((std < 1e-6)::INT) OVER w, 6) AS flat_fraction FROM g WINDOW w AS {_win(GROUPS)}")
 def mon_degenerate(spark, sf_dir):
     """Most of the last groups have no spread."""
     g = view(spark, sf_dir, "run_event").groupBy("run_id", "group_id").agg(F.max("event_id").alias("event_id"), F.max("ts").alias("ts"), F.stddev_pop("reward").alias("std"))
-    w = trailing(GROUPS)
+    g, w = trailing(g, GROUPS, "run_id", "ts", "event_id")
     flat = F.avg((F.col("std") < 1e-6).cast("int")).over(w)
-    return g.select("run_id", "group_id", ((F.count(F.lit(1)).over(w) >= GROUPS // 2) & (flat > 0.5)).alias("alert"), r6(flat).alias("flat_fraction"))
+    return g.select("own", "run_id", "group_id", ((F.count(F.lit(1)).over(w) >= GROUPS // 2) & (flat > 0.5)).alias("alert"), r6(flat).alias("flat_fraction")).where("own").drop("own")
 
 
 @query(f"{_E} SELECT event_id, count(*) OVER w >= {COMMIT // 2} AND avg((termination_reason = 'diagnose')::INT) OVER w < 0.1 AS alert, round(avg((termination_reason = 'diagnose')::INT) OVER w, 6) AS fraction FROM run_event WINDOW w AS {_win(COMMIT)}")
 def mon_commit(spark, sf_dir):
     """Too few of the last episodes end in a diagnosis."""
-    w = trailing(COMMIT)
+    rows, w = trailing(view(spark, sf_dir, "run_event"), COMMIT, "run_id", "ts", "event_id")
     f = F.avg((F.col("termination_reason") == "diagnose").cast("int")).over(w)
-    return view(spark, sf_dir, "run_event").select("event_id", ((F.count(F.lit(1)).over(w) >= COMMIT // 2) & (f < 0.1)).alias("alert"), r6(f).alias("fraction"))
+    return rows.select("own", "event_id", ((F.count(F.lit(1)).over(w) >= COMMIT // 2) & (f < 0.1)).alias("alert"), r6(f).alias("fraction")).where("own").drop("own")
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
