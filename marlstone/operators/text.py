@@ -1,24 +1,28 @@
 """Text checks: redaction, label leaks, mentions, similarity, grounding.
 
-Label forms are a dimension of a dozen words.  Mentions are found by one
-alternation per text or by an equi-join of its words with the forms, never by
-pairing every text with every form.
+Label forms are a dimension of some words and phrases.  Mentions are found by
+one alternation per text or by an equi-join of its words and runs of words with
+the forms, never by pairing every text with every form.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from marlstone.plans.registry import query
 from marlstone.sources.views import table
 
 #: label -> forms: fixed values.
-FORMS = {"en": ("that", "with", "this", "from"), "fr": ("pour", "dans", "avec", "elle"), "de": ("sich", "nicht", "eine"), "es": ("para",)}
+FORMS = {"en": ("that", "with", "this", "from", "eriner thanea"), "fr": ("pour", "dans", "avec", "elle", "en enmentai"), "de": ("sich", "nicht", "eine", "stteen erachtz"), "es": ("para", "ci nmente")}
 _PAIRS = [(lab, f) for lab, fs in FORMS.items() for f in fs]
 _LONGEST = sorted((f for _, f in _PAIRS), key=lambda f: (-len(f), f))
 _ALT = "|".join(_LONGEST)
 _FORMS_SQL = "forms(label, form) AS (VALUES " + ", ".join(f"('{a}', '{f}')" for a, f in _PAIRS) + ")"
 NGRAM = 4
+#: Words of the longest form.
+WORDS = max(len(f.split()) for f in _LONGEST)
 
 
 def forms(spark: SparkSession) -> DataFrame:
@@ -36,18 +40,33 @@ def scrub(spark, sf_dir):
     return d.select("doc_id", ((F.length("t") - F.length(F.replace("t", F.lit("[redacted]"), F.lit("")))) / 10).cast("long").alias("n_redacted"))
 
 
+def phrases(text: Column, most: int = WORDS) -> Column:
+    """Every word of a text and every run of up to ``most`` words, joined by
+    single spaces."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+
+    def runs(w: Column, k: int) -> Column:
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - k + 1, F.lit(0))), lambda x, i: F.array_join(F.slice(w, i + 1, k), " "))
+
+    # bound once: inside a lambda an expression would be taken again for each word
+    return F.get(F.transform(F.array(words), lambda w: F.concat(w, *[runs(w, k) for k in range(2, most + 1)])), F.lit(0))
+
+
 def mentions(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, label, n): whole-word mentions, by an equi-join on words."""
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("form"))
+    """(doc_id, label, n): whole-word mentions, by an equi-join on phrases."""
+    words = docs.select("doc_id", F.explode(phrases(F.col("text"))).alias("form"))
     return words.join(F.broadcast(forms(spark)), "form").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(rf"WITH {_FORMS_SQL}, w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\pL\pN_]+')) AS form FROM documents) SELECT doc_id, label, count(*) AS n FROM w JOIN forms USING (form) GROUP BY 1, 2")
+_WORDS_SQL = r"ws AS (SELECT doc_id, lang, text, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN_]+'), lambda x: x <> '') AS ws FROM documents), w AS (SELECT doc_id, lang, unnest(list_concat(ws, [ws[i] || ' ' || ws[i+1] for i in range(1, len(ws))])) AS form FROM ws)"
+
+
+@query(f"WITH {_FORMS_SQL}, {_WORDS_SQL} SELECT doc_id, label, count(*) AS n FROM w JOIN forms USING (form) GROUP BY 1, 2")
 def mention(spark, sf_dir):
     return mentions(table(spark, sf_dir, "documents"), spark)
 
 
-@query(rf"WITH {_FORMS_SQL}, w AS (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\pL\pN_]+')) AS form FROM documents), l AS (SELECT doc_id, lang FROM w JOIN forms USING (form) WHERE label = lang GROUP BY 1, 2) SELECT lang, count(*) AS leaking FROM l GROUP BY 1")
+@query(f"WITH {_FORMS_SQL}, {_WORDS_SQL}, l AS (SELECT doc_id, lang FROM w JOIN forms USING (form) WHERE label = lang GROUP BY 1, 2) SELECT lang, count(*) AS leaking FROM l GROUP BY 1")
 def leak_pred(spark, sf_dir):
     """Texts that name their own label, by label."""
     d = table(spark, sf_dir, "documents")
@@ -111,6 +130,65 @@ def leak_sentences(spark, sf_dir):
     return w.groupBy("label").agg(F.count_distinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("hits"))
 
 
+SIMILAR, AROUND = 0.55, 30
+_FORM_EDGE = r"(?<![\p{L}\p{N}_])"
+_FORM_END = r"(?![\p{L}\p{N}_])"
+
+
+def gram_similarity(a: Column, b: Column) -> Column:
+    return similarity(ngrams(a), ngrams(b))
+
+
+def leaks(docs: DataFrame, forms_: DataFrame, like: Callable[[Column, Column], Column] = gram_similarity, least: float = SIMILAR) -> DataFrame:
+    """(doc_id, label, kind, form, sim, excerpt) of texts (doc_id, text, label)
+    that give their label away: by a form as whole words ("word"), or else by a
+    sentence that is like a form ("similar": the most similar one).
+
+    ``like`` is any similarity of two squashed texts; the default compares
+    four-character grams.  Sentences so long that the default cannot reach
+    ``least`` are passed over when it is the one in use.
+    """
+    d = docs.select("doc_id", "label", "text")
+    named = d.select("doc_id", "label", "text", F.explode(phrases(F.col("text"))).alias("form")).join(F.broadcast(forms_), ["label", "form"])
+    spot = F.regexp_instr(F.lower("text"), F.concat(F.lit(_FORM_EDGE), F.replace("form", F.lit(" "), F.lit(r"[^\p{L}\p{N}_]+")), F.lit(_FORM_END)))
+    words = named.groupBy("doc_id", "label").agg(F.min(F.struct(spot.alias("at"), "form")).alias("m"), F.first("text").alias("text"))
+    cut = F.substr("text", F.greatest(F.col("m.at") - AROUND, F.lit(1)), F.length("m.form") + 2 * AROUND)
+    words = words.select("doc_id", "label", F.lit("word").alias("kind"), "m.form", F.lit(1.0).alias("sim"), cut.alias("excerpt"))
+    rest = d.join(words.select("doc_id"), "doc_id", "left_anti")
+    s = rest.select("doc_id", "label", F.explode(F.split("text", r"[.;\n]")).alias("s")).select("doc_id", "label", F.trim("s").alias("s")).where(F.length("s") >= 8)
+    s = s.withColumn("q", squashed(F.col("s")))
+    if like is gram_similarity:
+        longest = forms_.agg(F.max(F.length("form"))).first()[0] or 0
+        s = s.where(F.length("q") <= (longest + NGRAM) / least + NGRAM)
+    near = s.join(F.broadcast(forms_), "label").withColumn("sim", like(F.col("q"), squashed(F.col("form")))).where(F.col("sim") >= least)
+    best = near.groupBy("doc_id", "label").agg(F.min(F.struct((-F.round("sim", 9)).alias("o"), "form", "s")).alias("m"))
+    similar = best.select("doc_id", "label", F.lit("similar").alias("kind"), "m.form", (-F.col("m.o")).alias("sim"), F.col("m.s").alias("excerpt"))
+    return words.unionByName(similar)
+
+
+@query(rf"""WITH {_FORMS_SQL}, {_WORDS_SQL}, h AS (SELECT DISTINCT doc_id, label, form FROM w JOIN forms USING (form) WHERE label = lang),
+wd AS (SELECT doc_id, label, 'word' AS kind, 1.0 AS sim FROM h GROUP BY 1, 2),
+x AS (SELECT doc_id, lang AS label, trim(unnest(regexp_split_to_array(text, '[.;
+]'))) AS s FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM wd)),
+z AS (SELECT doc_id, label, {_SQUASH.format('s')} AS q FROM x WHERE length(s) >= 8),
+g AS (SELECT doc_id, label, q, list_distinct([q[i:i+3] for i in range(1, greatest(length(q) - 3, 1) + 1)]) AS g FROM z),
+f AS (SELECT label, form, list_distinct([form[i:i+3] for i in range(1, greatest(length(form) - 3, 1) + 1)]) AS fg FROM forms),
+p AS (SELECT doc_id, label, len(list_intersect(g, fg))::DOUBLE / (len(g) + len(fg) - len(list_intersect(g, fg))) AS sim FROM g JOIN f USING (label))
+SELECT * FROM wd UNION ALL SELECT doc_id, label, 'similar', round(max(sim), 6) FROM p WHERE sim >= {SIMILAR} GROUP BY 1, 2""")
+def leak_detect(spark, sf_dir):
+    """Texts that give their language's forms away, by words or by likeness."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    return leaks(d, forms(spark)).select("doc_id", "label", "kind", F.round("sim", 6).alias("sim"))
+
+
+@query("WITH n AS (SELECT n_nationkey AS key, lower(n_name) AS d FROM nation), f AS (SELECT key, unnest(list_concat([d, replace(d, ' ', '_')], list_filter(string_split(d, ' '), lambda x: length(x) >= 5))) AS form FROM n) SELECT key, string_agg(DISTINCT form, ',' ORDER BY form) AS forms FROM f GROUP BY 1")
+def label_forms(spark, sf_dir):
+    """Forms of a label: its display, its slug, and its words of five letters."""
+    d = F.lower("n_name")
+    every = F.concat(F.array(d, F.replace(d, F.lit(" "), F.lit("_"))), F.filter(F.split(d, " "), lambda x: F.length(x) >= 5))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("forms"))
+
+
 @query(f"WITH {_FORMS_SQL}, c AS (SELECT a.form AS short, b.form AS long FROM forms a, forms b WHERE a.form <> b.form AND contains(b.form, a.form)), n AS (SELECT a.n_name AS short, b.n_name AS long FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey AND contains(' ' || b.n_name || ' ', ' ' || a.n_name || ' ')) SELECT short, long FROM c UNION ALL SELECT short, long FROM n")
 def subphrases(spark, sf_dir):
     """Forms inside other forms and names that are whole phrases of others."""
@@ -127,15 +205,26 @@ PROB_NEAR, TOLERANCE, MIN_CHARS = 60, 0.02, 60
 def grounding_findings(turns: DataFrame, beliefs: DataFrame, forms_: DataFrame, top_n: int = 3) -> DataFrame:
     """(turn_id, label, kind) of labels named in ``turns`` (turn_id, text) that
     the belief (turn_id, label, p, rank) does not rank among its first, or that
-    have no number near them that is their probability."""
-    words = turns.select("turn_id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("form"))
-    at = words.join(F.broadcast(forms_), "form").select("turn_id", "label", "text", F.regexp_instr(F.lower("text"), F.concat(F.lit(r"\b"), "form", F.lit(r"\b"))).alias("at"))
-    first = at.groupBy("turn_id", "label").agg(F.min("at").alias("at"), F.first("text").alias("text"))
-    j = first.join(beliefs, ["turn_id", "label"], "left")
-    numbers = F.transform(F.regexp_extract_all(F.substr("text", F.col("at"), F.lit(PROB_NEAR)), F.lit(r"\d*\.\d+"), 0), lambda x: x.cast("double"))
-    near = F.exists(numbers, lambda x: F.abs(x - F.coalesce("p", F.lit(0.0))) <= TOLERANCE)
-    kind = F.when(F.coalesce(F.col("rank") > top_n, F.lit(True)), "unearned_mention").when(~near, "ungrounded_assertion")
-    return j.select("turn_id", "label", kind.alias("kind")).where("kind IS NOT NULL")
+    are named somewhere without a number near that is their probability."""
+    words = turns.select("turn_id", "text", F.explode(F.array_distinct(phrases(F.col("text")))).alias("form"))
+    j = words.join(F.broadcast(forms_), "form").join(beliefs, ["turn_id", "label"], "left")
+    # every mention with what follows it: a look-ahead finds those that overlap
+    after = F.concat(F.lit("(?s)(?=" + _FORM_EDGE + "("), F.replace("form", F.lit(" "), F.lit(r"[^\p{L}\p{N}_]+")), F.lit(_FORM_END + f".{{0,{PROB_NEAR}}}))"))
+    spots = F.regexp_extract_all(F.lower("text"), after, F.lit(1))
+    numbers = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\d*\.\d+"), F.lit(0)), lambda x: x.cast("double"))
+    near = lambda t: F.exists(numbers(t), lambda x: F.abs(x - F.coalesce("p", F.lit(0.0))) <= TOLERANCE + 1e-9)
+    kind = F.when(F.coalesce(F.col("rank") > top_n, F.lit(True)), "unearned_mention").when(~F.forall(spots, near), "ungrounded_assertion")
+    return j.select("turn_id", "label", kind.alias("kind")).where("kind IS NOT NULL").distinct()
+
+
+def traces_rejected(turns: DataFrame, findings: DataFrame, least: int = 60) -> DataFrame:
+    """(turn_id, reasons) of turns (turn_id, text, concludes) with findings or
+    with too little reasoning; what concludes may be short."""
+    f = findings.groupBy("turn_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    j = turns.join(f, "turn_id", "left")
+    stub = F.when(~F.col("concludes") & (F.coalesce(F.length("text"), F.lit(0)) < least), F.array(F.lit("stub_reasoning")))
+    none = F.array().cast("array<string>")
+    return j.select("turn_id", F.concat(F.coalesce(stub, none), F.coalesce("kinds", none)).alias("reasons")).where(F.size("reasons") > 0)
 
 
 def _word_beliefs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +237,7 @@ def _word_beliefs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return d.select(F.col("doc_id").alias("turn_id"), "text"), b
 
 
-_GROUND = rf"""WITH {_FORMS_SQL}, w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\pL\pN_]+')) AS form FROM documents), m AS (SELECT doc_id, label, count(*) AS n FROM w JOIN forms USING (form) GROUP BY 1, 2),
+_GROUND = f"""WITH {_FORMS_SQL}, {_WORDS_SQL}, m AS (SELECT doc_id, label, count(*) AS n FROM w JOIN forms USING (form) GROUP BY 1, 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, label) AS rank FROM m),
 f AS (SELECT doc_id AS turn_id, label, CASE WHEN rank > 1 THEN 'unearned_mention' END AS kind FROM b)"""
 
@@ -170,10 +259,27 @@ def trace_filter(spark, sf_dir):
     return j.select("turn_id", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-@query(f"{_GROUND} SELECT lang, round(avg(EXISTS (SELECT 1 FROM m WHERE m.doc_id = d.doc_id AND label = lang)::INT), 6) AS truth_rate, round(avg(EXISTS (SELECT 1 FROM m WHERE m.doc_id = d.doc_id AND label <> lang)::INT), 6) AS null_rate FROM documents d GROUP BY 1")
+_DRAWN = f"pr AS (SELECT lang AS label, count(*) * 1.0e0 / sum(count(*)) OVER () AS p FROM documents GROUP BY 1), cd AS (SELECT label, sum(p) OVER (ORDER BY label) AS c FROM pr), dl AS (SELECT doc_id, lang, coalesce((SELECT min(label) FROM cd WHERE c >= u), (SELECT max(label) FROM cd)) AS drawn FROM (SELECT doc_id, lang, ('0x' || substr(md5('13:' || doc_id), 1, 13))::BIGINT::DOUBLE / {2.0**52} AS u FROM documents))"
+
+
+@query(f"{_GROUND}, {_DRAWN} SELECT lang, round(avg(EXISTS (SELECT 1 FROM m WHERE m.doc_id = d.doc_id AND label = lang)::INT), 6) AS truth_rate, round(avg(EXISTS (SELECT 1 FROM m WHERE m.doc_id = d.doc_id AND label = drawn)::INT), 6) AS null_rate FROM dl d GROUP BY 1")
 def deleak_ablation(spark, sf_dir):
-    """How often texts name their label, against how often they name others."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    m = mentions(table(spark, sf_dir, "documents"), spark).withColumnRenamed("doc_id", "m_id")
-    j = d.join(m, F.col("doc_id") == F.col("m_id"), "left").groupBy("doc_id", "lang").agg(F.coalesce(F.bool_or(F.col("label") == F.col("lang")), F.lit(False)).alias("own"), F.coalesce(F.bool_or(F.col("label") != F.col("lang")), F.lit(False)).alias("other"))
+    """How often texts name their label, against a label drawn from the prior."""
+    from marlstone.operators.splits import drawn
+
+    d = table(spark, sf_dir, "documents")
+    prior = d.groupBy(F.col("lang").alias("label")).agg(F.count(F.lit(1)).alias("k")).withColumn("p", F.col("k") / F.sum("k").over(W.partitionBy())).select("label", "p")
+    x = drawn(d.select("doc_id", "lang"), prior, 13, "doc_id")
+    m = mentions(d, spark).withColumnRenamed("doc_id", "m_id")
+    j = x.join(m, F.col("doc_id") == F.col("m_id"), "left").groupBy("doc_id", "lang").agg(F.coalesce(F.bool_or(F.col("label") == F.col("lang")), F.lit(False)).alias("own"), F.coalesce(F.bool_or(F.col("label") == F.col("drawn")), F.lit(False)).alias("other"))
     return j.groupBy("lang").agg(F.round(F.avg(F.col("own").cast("int")), 6).alias("truth_rate"), F.round(F.avg(F.col("other").cast("int")), 6).alias("null_rate"))
+
+
+@query("WITH a AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, 'stub_reasoning' AS reasons FROM a WHERE turn <> last AND length(text) < 200")
+def turn_filter(spark, sf_dir):
+    """Assistant turns with too little text; the last of each is exempt."""
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    last = F.col("turn") == F.max("turn").over(W.partitionBy("conv_id"))
+    turns = c.select(F.struct("conv_id", "turn").alias("turn_id"), "text", last.alias("concludes"))
+    none = turns.select("turn_id", F.lit("").alias("kind")).where("false")
+    return traces_rejected(turns, none, 200).select("turn_id.conv_id", "turn_id.turn", F.array_join("reasons", ",").alias("reasons"))

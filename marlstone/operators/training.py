@@ -9,6 +9,7 @@ from marlstone.operators.belief import SEQ, entropy, evidence, sequences
 from marlstone.operators.evaluation import RANKED, posteriors, ranked
 from marlstone.operators.ordering import placed
 from marlstone.operators.scoring import r6
+from marlstone.operators.text import TOLERANCE, grounding_findings
 from marlstone.plans.registry import query
 from marlstone.sources.views import table
 
@@ -123,6 +124,45 @@ def blind_reasoning(spark, sf_dir):
     return g.select("key", F.concat(F.format_string("After %d results these are most likely: ", F.lit(64)), F.array_join(F.transform("x", lambda s: s["s"]), ", "), F.lit(".")).alias("reasoning"))
 
 
+def blind_text(top: DataFrame) -> DataFrame:
+    """(key, reasoning) from a posterior's best labels (key, label, rank, p)
+    alone: nothing of the truth enters."""
+    said = F.format_string("label_%d %.2f", F.col("label"), F.col("p"))
+    g = top.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", said.alias("s")))).alias("x"))
+    return g.select("key", F.array_join(F.transform("x", lambda s: s["s"]), ", ").alias("reasoning"))
+
+
+def privileged_text(top: DataFrame) -> DataFrame:
+    """(key, reasoning) that names the truth: a positive control only."""
+    return top.where("rank = 1").select("key", F.format_string("It is label_%d.", F.col("truth")).alias("reasoning"))
+
+
+def swapped(top: DataFrame, text) -> DataFrame:
+    """How many rows' text changes if their truth is another: (checked, changed)."""
+    other = text(top.withColumn("truth", (F.col("truth") + 1) % 10)).withColumnRenamed("reasoning", "other")
+    return text(top).join(other, "key").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("reasoning") != F.col("other")).alias("changed"))
+
+
+@query(f"WITH {RANKED}, t AS (SELECT key, truth, string_agg('label_' || label || ' ' || format('{{:.2f}}', p), ', ' ORDER BY rank) FILTER (rank <= 3) AS blind FROM rk GROUP BY 1, 2), o AS (SELECT key, string_agg('label_' || label || ' ' || format('{{:.2f}}', p), ', ' ORDER BY rank) FILTER (rank <= 3) AS blind FROM (SELECT *, (truth + 1) % 10 AS swapped FROM rk) GROUP BY key, swapped) SELECT 'blind' AS text, count(*) AS checked, count_if(t.blind <> o.blind)::BIGINT AS changed FROM t JOIN o USING (key) UNION ALL SELECT 'privileged', count(*), count_if('label_' || truth <> 'label_' || (truth + 1) % 10)::BIGINT FROM t")
+def label_swap(spark, sf_dir):
+    """Reasoning that must not change with the truth, and a control that must."""
+    top = ranked(posteriors(evidence(spark, sf_dir))).where("rank <= 3")
+    return swapped(top, blind_text).withColumn("text", F.lit("blind")).unionByName(swapped(top, privileged_text).withColumn("text", F.lit("privileged")))
+
+
+@query(f"""WITH {RANKED}, n AS (SELECT key, label, rank, p, round(p, 2) + CASE WHEN rank = 2 AND key % 3 = 0 THEN 0.05 ELSE 0 END AS said FROM rk WHERE rank <= 3 OR (rank = 4 AND key % 5 = 0))
+SELECT a.key AS turn_id, 'label_' || a.label AS label, CASE WHEN a.rank > 3 THEN 'unearned_mention' ELSE 'ungrounded_assertion' END AS kind FROM n a JOIN n b ON a.key = b.key AND b.rank >= a.rank GROUP BY a.key, a.label, a.rank HAVING a.rank > 3 OR NOT bool_or(abs(b.said - a.p) <= {TOLERANCE} + 1e-9)""")
+def grounding_numbers(spark, sf_dir):
+    """Reasoning with wrong numbers and a label beyond the first three, checked
+    against the belief that it should come from."""
+    r = ranked(posteriors(evidence(spark, sf_dir)))
+    said = r.where("rank <= 3 OR (rank = 4 AND key % 5 = 0)").withColumn("said", F.round("p", 2) + F.when((F.col("rank") == 2) & (F.col("key") % 3 == 0), 0.05).otherwise(0.0))
+    turns = blind_text(said.select("key", "label", "rank", F.col("said").alias("p"))).select(F.col("key").alias("turn_id"), F.col("reasoning").alias("text"))
+    beliefs = r.select(F.col("key").alias("turn_id"), F.format_string("label_%d", F.col("label")).alias("label"), "p", "rank")
+    names = r.select("label").distinct().select(F.format_string("label_%d", F.col("label")).alias("label"), F.format_string("label_%d", F.col("label")).alias("form"))
+    return grounding_findings(turns, beliefs, names)
+
+
 @query("SELECT conv_id, turn, role, text IS NULL OR trim(text) = '' AS empty, role = 'assistant' AND length(text) < 60 AS stub FROM conversations")
 def case_text_checks(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
