@@ -255,3 +255,33 @@ def bucket_prior_normal(spark, sf_dir):
     parts = F.array(*[F.struct(F.lit(n).alias("bucket"), p.alias("p")) for n, p in (("low", F.col("lo")), ("normal", F.col("hi") - F.col("lo")), ("high", 1 - F.col("hi")))])
     x = j.select("dim", "prior", F.explode(parts).alias("x"))
     return x.groupBy("dim", "x.bucket").agg(r6(F.sum(F.col("prior") * F.col("x.p"))).alias("prior"))
+
+
+#: Tests ordered after which a record is reported, greedily and in hindsight.
+STOP, STOP_HINDSIGHT = 6, 5
+
+
+def affordable(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, dim, ...) whose test a record has not ordered and can pay.
+    A record has ordered the first 4 + key % 4 and has 5 + key % 60 left."""
+    had, left = SEEN + F.col("key") % 4, 5 + F.col("key") % 60
+    return rows.withColumn("ordered", had).where((F.col("dim") >= had) & (1 + F.col("dim") <= left))
+
+
+@query(f"WITH {_EIG}, a AS (SELECT *, {SEEN} + key % 4 AS ordered FROM eig WHERE dim >= {SEEN} + key % 4 AND 1 + dim <= 5 + key % 60), b AS (SELECT key, first(dim ORDER BY round(eig * sqrt(1 + dim), 9), dim) AS d FROM a WHERE ordered < {STOP} GROUP BY 1) SELECT k.key, d AS next_dim FROM (SELECT DISTINCT key FROM eig) k LEFT JOIN b USING (key)")
+def next_test_budget(spark, sf_dir):
+    """The next test of each record under its own budget and orders; none when
+    it has ordered enough or can pay for none."""
+    ev = evidence(spark, sf_dir)
+    e = affordable(expected_entropies(partial(ev), likelihoods(ev))).where(F.col("ordered") < STOP)
+    best = e.groupBy("key").agg(F.min_by("dim", F.struct(F.round(F.col("eig") * F.pow(1.0 + F.col("dim"), COST), 9), F.col("dim"))).alias("next_dim"))
+    return ev.where("dim = 0").select("key").join(best, "key", "left")
+
+
+@query(f"WITH {_GAIN}, a AS (SELECT *, {SEEN} + key % 4 AS ordered FROM gain WHERE dim >= {SEEN} + key % 4 AND 1 + dim <= 5 + key % 60), b AS (SELECT key, max(round(gain / sqrt(1 + dim), 9)) AS best, first(dim ORDER BY round(gain / sqrt(1 + dim), 9) DESC, dim) AS d FROM a WHERE ordered < {STOP_HINDSIGHT} GROUP BY 1) SELECT k.key, CASE WHEN best >= {MIN_GAIN} THEN d END AS test FROM (SELECT DISTINCT key FROM gain) k LEFT JOIN b USING (key)")
+def hindsight_test_budget(spark, sf_dir):
+    """The most telling test per cost in hindsight, within budget and orders."""
+    ev = evidence(spark, sf_dir)
+    g = affordable(log_gains(ev)).where(F.col("ordered") < STOP_HINDSIGHT).withColumn("per", F.round(F.col("gain") / F.pow(1.0 + F.col("dim"), COST), 9))
+    b = g.groupBy("key").agg(F.max("per").alias("best"), F.min_by("dim", F.struct(-F.col("per"), F.col("dim"))).alias("d"))
+    return ev.where("dim = 0").select("key").join(b.select("key", F.when(F.col("best") >= MIN_GAIN, F.col("d")).alias("test")), "key", "left")

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from marlstone.operators.scoring import r6, scores, scores_sql
+from marlstone.operators.scoring import N_LABELS, base, r6, scores, scores_sql, terms, weight
+from marlstone.plans.config import DEFAULT
 from marlstone.plans.registry import query
 
 BAR = 0.0
@@ -144,3 +145,55 @@ def monotone(spark, sf_dir):
     f = scores(spark, sf_dir).groupBy("budget").agg(F.avg("total").alias("t"))
     lag = f.withColumn("before", F.lag("t").over(W.orderBy("budget")))  # one row a budget
     return lag.agg(F.bool_and(F.col("before").isNull() | (F.col("t") >= F.col("before") - 0.05)).alias("monotone"), F.count(F.lit(1)).alias("budgets"))
+
+
+_VALID = "vl AS (SELECT e.policy, avg((r.episode_id IS NOT NULL)::INT) AS valid FROM episode e LEFT JOIN (SELECT DISTINCT episode_id FROM report) r USING (episode_id) WHERE termination_reason = 'diagnose' GROUP BY 1)"
+
+
+@query(f"{_G}, {_VALID}, gp AS (SELECT policy, avg(mean) AS mean, avg(best) AS best, avg(first) AS first, avg(std) AS std FROM g GROUP BY 1), ep AS (SELECT policy, avg(n_tests) AS tests, avg(0.9 * {DEFAULT.weight_sql()}) AS ceiling, avg((termination_reason = 'diagnose')::INT) AS diagnose FROM scores JOIN label ON label = condition GROUP BY 1) SELECT policy, round(mean, 6) AS mean, round(best, 6) AS best_of_k, round(first, 6) AS first, round(std, 6) AS group_std, round(tests, 6) AS mean_tests, round(ceiling, 6) AS mean_ceiling, round(diagnose, 6) AS diagnose_fraction, round(coalesce(valid, 1), 6) AS schema_valid_fraction FROM gp JOIN ep USING (policy) LEFT JOIN vl USING (policy)")
+def policy_report(spark, sf_dir):
+    """A policy's row: means over its groups, then over its episodes, and how
+    many of the reports it was asked for are there (1 if none was)."""
+    b = base(spark, sf_dir)
+    s = b.select("policy", "patient_id", "seed", "n_tests", "urgency", "termination_reason", (F.col("brier").isNotNull()).cast("int").alias("ok"), terms()["total"].alias("total"))
+    asked = F.col("termination_reason") == "diagnose"
+    g = s.groupBy(*GROUP).agg(
+        F.avg("total").alias("mean"), F.max("total").alias("best"), F.min_by("total", "seed").alias("first"), F.stddev_pop("total").alias("std"), F.count(F.lit(1)).alias("k"), F.sum(F.coalesce("n_tests", F.lit(0))).alias("tests"),
+        F.sum((1 - 1 / N_LABELS) * weight(F.col("urgency"))).alias("ceiling"), F.count_if(asked).alias("asked"), F.sum(F.when(asked, F.col("ok")).otherwise(0)).alias("valid"),
+    )
+    share = lambda top, below: F.sum(top) / F.sum(below)
+    return g.groupBy("policy").agg(
+        r6(F.avg("mean")).alias("mean"), r6(F.avg("best")).alias("best_of_k"), r6(F.avg("first")).alias("first"), r6(F.avg("std")).alias("group_std"), r6(share("tests", "k")).alias("mean_tests"), r6(share("ceiling", "k")).alias("mean_ceiling"),
+        r6(share("asked", "k")).alias("diagnose_fraction"), r6(F.when(F.sum("asked") == 0, 1.0).otherwise(F.try_divide(F.sum("valid"), F.sum("asked")))).alias("schema_valid_fraction"),
+    )
+
+
+@query(f"{_S}, sp AS (SELECT episode_id, sum(CASE WHEN cost_charged > 0 THEN price ELSE 0 END) AS spent FROM charged GROUP BY 1) SELECT policy, budget, count(*) AS n, round(quantile_cont(n_tests, 0.9), 6) AS p90_tests, round(avg((n_tests = 0)::INT), 6) AS zero_fraction, round(avg((coalesce(spent, 0) >= budget - 1e-9)::INT), 6) AS capped_fraction, round(avg(0.9 * {DEFAULT.weight_sql()} - total), 6) AS ceiling_gap FROM scores JOIN label ON label = condition LEFT JOIN sp USING (episode_id) GROUP BY 1, 2")
+def spend_report(spark, sf_dir):
+    """Spending by policy and budget: tests, who spent nothing or all, and how
+    far scores stay below the ceiling."""
+    tests, spent = F.coalesce("n_tests", F.lit(0)), F.coalesce("paid", F.lit(0.0))
+    s = base(spark, sf_dir).select("policy", "budget", tests.alias("tests"), (spent >= F.col("budget") - 1e-9).cast("int").alias("capped"), ((1 - 1 / N_LABELS) * weight(F.col("urgency")) - terms()["total"]).alias("gap"))
+    return s.groupBy("policy", "budget").agg(F.count(F.lit(1)).alias("n"), r6(F.percentile("tests", 0.9)).alias("p90_tests"), r6(F.avg((F.col("tests") == 0).cast("int"))).alias("zero_fraction"), r6(F.avg("capped")).alias("capped_fraction"), r6(F.avg("gap")).alias("ceiling_gap"))
+
+
+@query(f"{_S}, a AS (SELECT episode_id, total - avg(total) OVER (PARTITION BY policy, patient_id) AS advantage FROM scores) SELECT episode_id, turn, kind, round(advantage, 6) AS advantage FROM a JOIN step USING (episode_id)")
+def turn_advantages(spark, sf_dir):
+    """Each turn as a training sequence with its episode's advantage."""
+    from marlstone.sources.views import view
+
+    a = advantages(scores(spark, sf_dir)).select("episode_id", "advantage")
+    return view(spark, sf_dir, "step").join(a, "episode_id").select("episode_id", "turn", "kind", r6("advantage").alias("advantage"))
+
+
+MIN_PROCESS = 0.5
+
+
+@query(f"{_S}, pf AS (SELECT episode_id, avg((CASE WHEN value_number < 15 THEN 'low' WHEN value_number > 35 THEN 'high' ELSE 'normal' END = prediction)::INT) AS f FROM charged WHERE cost_charged > 0 GROUP BY 1), v AS (SELECT episode_id, list_filter([CASE WHEN termination_reason <> 'diagnose' THEN 'ended' END, CASE WHEN total < {MIN_REWARD} THEN 'reward' END, CASE WHEN n_tests > {MAX_TESTS} THEN 'tests' END, CASE WHEN coalesce(f, 1) < {MIN_PROCESS} THEN 'process' END], lambda x: x IS NOT NULL) AS r FROM scores LEFT JOIN pf USING (episode_id)) SELECT episode_id, array_to_string(r, ',') AS reasons FROM v WHERE len(r) > 0")
+def process_verdicts(spark, sf_dir):
+    """Reasons against each episode, the share of right predictions included."""
+    b = base(spark, sf_dir)
+    right = F.when(F.col("n_tests") > 0, sum((F.col(c) for c in ("right_low", "right_normal")), F.col("right_high")) / F.col("n_tests"))
+    s = b.select("episode_id", "termination_reason", terms()["total"].alias("total"), F.coalesce("n_tests", F.lit(0)).alias("n_tests"), F.coalesce(right, F.lit(1.0)).alias("process"))
+    reasons = F.array_compact(F.array(F.when(F.col("termination_reason") != "diagnose", F.lit("ended")), F.when(F.col("total") < MIN_REWARD, F.lit("reward")), F.when(F.col("n_tests") > MAX_TESTS, F.lit("tests")), F.when(F.col("process") < MIN_PROCESS, F.lit("process"))))
+    return s.select("episode_id", F.array_join(reasons, ",").alias("reasons")).where("reasons <> ''")

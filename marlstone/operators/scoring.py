@@ -118,7 +118,7 @@ def facts(charged: DataFrame) -> DataFrame:
     price = lambda ok: F.sum(F.when(paid & ok, F.col("price")).otherwise(0.0))
     return charged.groupBy("episode_id").agg(
         price(F.lit(True)).alias("paid"), price(seen == F.col("prediction")).alias("paid_right"), *[price(F.col("prediction") == b).alias(f"paid_{b}") for b in BUCKETS],
-        *[F.count_if(paid & (seen == b)).alias(f"seen_{b}") for b in BUCKETS], F.count_if(paid).alias("n_tests"), F.count(F.lit(1)).alias("n_turns"),
+        *[F.count_if(paid & (seen == b)).alias(f"seen_{b}") for b in BUCKETS], *[F.count_if(paid & (seen == b) & (F.col("prediction") == b)).alias(f"right_{b}") for b in BUCKETS], F.count_if(paid).alias("n_tests"), F.count(F.lit(1)).alias("n_turns"),
         F.min("value_number").alias("lo"), F.max("value_number").alias("hi"), F.array_sort(F.collect_list(F.when(F.col("kind") == "prescribe", F.col("treatment_key")))).alias("drugs"),
     )
 
@@ -391,3 +391,10 @@ def headroom(spark, sf_dir):
     s = scores(spark, sf_dir).join(F.broadcast(view(spark, sf_dir, "label").withColumnRenamed("label", "condition")), "condition")
     top = (1 - 1 / N_LABELS) * weight(F.col("urgency"))
     return s.groupBy("policy").agg(r6(F.avg(top - F.col("total"))).alias("mean_headroom"), r6(F.max("total")).alias("best"), F.count_if(F.col("total") > 0.9 * DEFAULT.weight_4 + 1e-6).alias("above_hard_ceiling"))
+
+
+@query(f"WITH {ctes('step')}, p AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY turn DESC) AS back FROM step WHERE kind = 'prescribe') SELECT episode_id, turn, treatment_key FROM p WHERE back = 1")
+def last_report(spark, sf_dir):
+    """What counts of an episode that concludes more than once: the last."""
+    p = view(spark, sf_dir, "step").where("kind = 'prescribe'").groupBy("episode_id").agg(F.max(F.struct("turn", "treatment_key")).alias("x"))
+    return p.select("episode_id", "x.turn", "x.treatment_key")

@@ -208,3 +208,16 @@ def failure_sample(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where(F.length("text") < 60)
     nth = F.row_number().over(W.partitionBy("role").orderBy("conv_id", "turn"))
     return c.withColumn("nth", nth).where("nth <= 40").select("role", "conv_id", "turn")
+
+
+LEAST_ENTROPY, LEAST_ABSTAIN = 0.25, 0.02
+
+
+@query(f"WITH {SEQ}, h AS (SELECT key, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h FROM seq WHERE k = 2 GROUP BY 1), a AS (SELECT count(*) AS n, greatest(1, round_even(count(*) * {ABSTAIN_FRACTION}, 0)) AS m, avg(h) AS e FROM h) SELECT n, round(m / (n + m), 6) AS abstain_fraction, round(e, 6) AS mean_target_entropy, e >= {LEAST_ENTROPY} AND m / (n + m) >= {LEAST_ABSTAIN} AS valid FROM a")
+def trainset_targets(spark, sf_dir):
+    """Whether soft targets stay uncertain enough and abstentions are many
+    enough: n, their share, the mean entropy, and both floors."""
+    h = sequences(evidence(spark, sf_dir)).where("k = 2").groupBy("key").agg(entropy(F.col("p")).alias("h"))
+    a = h.agg(F.count(F.lit(1)).alias("n"), F.avg("h").alias("e"), F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * ABSTAIN_FRACTION)).alias("m"))
+    share = F.col("m") / (F.col("n") + F.col("m"))
+    return a.select("n", r6(share).alias("abstain_fraction"), r6("e").alias("mean_target_entropy"), ((F.col("e") >= LEAST_ENTROPY) & (share >= LEAST_ABSTAIN)).alias("valid"))

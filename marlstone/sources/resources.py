@@ -45,12 +45,26 @@ def allowlist_disjoint(spark, sf_dir):
     return t.where(F.col("resource_type").isin(*BLOCKED)).intersect(t.where(F.col("resource_type").isin(*ALLOWED))).agg(F.count(F.lit(1)).alias("overlap"))
 
 
-@query("SELECT event_id, event_type AS display, CASE WHEN event_type IN ('click', 'view') THEN round_even(value, 1) END AS value_number, CASE WHEN event_type NOT IN ('click', 'view') THEN event_type END AS value_code FROM events")
+def strictly(rows: DataFrame) -> DataFrame:
+    """``rows`` (event_id, resource_type, body); a type that no list names, or
+    none, is an error."""
+    known = F.coalesce(F.col("resource_type").isin(*BLOCKED, *ALLOWED), F.lit(False))
+    return rows.withColumn("resource_type", F.when(known, F.col("resource_type")).otherwise(F.raise_error(F.concat(F.lit("unknown resource type "), F.coalesce("resource_type", F.lit("null"))))))
+
+
+#: Type, display, unit, and reference range of numbers.
+CATALOGUE = (("click", "Clicks", "n", 10.0, 60.0), ("view", "Views", "s", 5.0, 80.0), ("signup", "Sign-up", None, None, None), ("error", "Error", None, None, None), ("purchase", "Purchase", None, None, None))
+_CATALOGUE_SQL = "cat(event_type, display, unit, low, high) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in CATALOGUE) + ")"
+
+
+@query(f"WITH {_CATALOGUE_SQL} SELECT event_id, display, unit, CASE WHEN low IS NOT NULL THEN round_even(value / 7, 4) END AS value_number, CASE WHEN low IS NULL THEN event_type END AS value_code, low AS ref_low, high AS ref_high FROM events JOIN cat USING (event_type)")
 def allowlist_typed_result(spark, sf_dir):
-    """Exactly one of a number and a code, by the catalogue's kind."""
-    e = table(spark, sf_dir, "events")
-    number = F.col("event_type").isin("click", "view")
-    return e.select("event_id", F.col("event_type").alias("display"), F.when(number, F.bround("value", 1)).alias("value_number"), F.when(~number, F.col("event_type")).alias("value_code"))
+    """Exactly one of a number (to four decimals) and a code; display, unit and
+    range come from the catalogue, never from the record."""
+    cat = spark.createDataFrame(list(CATALOGUE), "event_type string, display string, unit string, low double, high double")
+    e = table(spark, sf_dir, "events").join(F.broadcast(cat), "event_type")
+    number = F.col("low").isNotNull()
+    return e.select("event_id", "display", "unit", F.when(number, F.bround(F.col("value") / 7, 4)).alias("value_number"), F.when(~number, F.col("event_type")).alias("value_code"), F.col("low").alias("ref_low"), F.col("high").alias("ref_high"))
 
 
 @query("SELECT user_id, count(*) AS n, string_agg(event_type || ':' || k, ',' ORDER BY event_type, k) AS results, count(DISTINCT event_type) AS kinds FROM (SELECT user_id, event_type, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events WHERE event_type IN ('click', 'view')) GROUP BY 1")
