@@ -49,14 +49,15 @@ def stated(reports: DataFrame, labels: DataFrame) -> DataFrame:
     known = F.broadcast(labels.select("label", F.lit(True).alias("known")))
     p = F.col("p")
     wrong = F.col("known").isNull() | p.isNull() | F.isnan(p) | (F.abs(p) == float("inf")) | (p < 0)
-    checked = reports.join(known, "label", "left").select("episode_id", "label", F.when(wrong, F.raise_error(F.concat(F.lit("bad entry of a report: "), F.coalesce("label", F.lit("null")), F.lit(" "), p.cast("string"))).cast("double")).otherwise(p).alias("p"))
+    checked = reports.join(known, "label", "left").select("episode_id", "label", F.when(wrong, F.raise_error(F.concat(F.lit("bad entry of a report: "), F.coalesce("label", F.lit("null")), F.lit(" "), F.coalesce(p.cast("string"), F.lit("null")))).cast("double")).otherwise(p).alias("p"))
     per = checked.groupBy("episode_id", "label").agg(F.sum("p").alias("p"))
     r = per.groupBy("episode_id").agg(F.sum("p").alias("total"), F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list(F.struct("label", "p"))).alias("named"))
     r = r.join(F.broadcast(every), F.lit(True)).withColumn("unnamed", F.size("names") - F.col("k"))
     down = (F.col("total") > 1) | ((F.col("unnamed") == 0) & (F.col("total") > 0))
     r = r.withColumn("named", F.when(down, F.transform("named", lambda x: F.struct(x["label"].alias("label"), (x["p"] / F.col("total")).alias("p")))).otherwise(F.col("named")))
-    nothing = F.raise_error(F.lit("a report that names every label gives none of them mass")).cast("double")
-    share = F.when(down, 0.0).when(F.col("unnamed") == 0, nothing).when(F.col("total") <= 0, 1.0 / F.col("unnamed")).otherwise((1.0 - F.col("total")) / F.col("unnamed"))
+    nothing = F.raise_error(F.lit("a report that names every label gives none of them mass")).cast("array<struct<label:string,p:double>>")
+    r = r.withColumn("named", F.when((F.col("unnamed") == 0) & (F.col("total") <= 0), nothing).otherwise(F.col("named")))
+    share = F.when(down | (F.col("unnamed") == 0), 0.0).when(F.col("total") <= 0, 1.0 / F.col("unnamed")).otherwise((1.0 - F.col("total")) / F.col("unnamed"))
     return r.select("episode_id", "names", "named", "unnamed", share.alias("share"))
 
 

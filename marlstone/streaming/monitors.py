@@ -113,7 +113,12 @@ def _stages(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["run_id", "step", "stage"])
 
 
-@query()
+@query(f"""{_STEPS.replace('WITH', 'WITH RECURSIVE')}, nn AS (SELECT run_id, step, reward, row_number() OVER (PARTITION BY run_id ORDER BY step) AS i FROM st),
+f AS (SELECT DISTINCT run_id, 0::BIGINT AS i, 0::BIGINT AS step, 0 AS stage, []::DOUBLE[] AS recent FROM nn UNION ALL
+ SELECT run_id, i, step, CASE WHEN up THEN stage + 1 ELSE stage END, CASE WHEN up THEN [] ELSE recent END FROM (
+  SELECT *, stage < {STAGES} AND len(recent) = {STAGE_WINDOW} AND list_sum(recent) / {STAGE_WINDOW} >= {CRITERION} AS up FROM (
+   SELECT nn.run_id, nn.i, nn.step, f.stage, list_append(f.recent, nn.reward)[-{STAGE_WINDOW}:] AS recent FROM f JOIN nn ON nn.run_id = f.run_id AND nn.i = f.i + 1)))
+SELECT run_id, step, stage FROM f WHERE i > 0""")
 def stage_advance(spark, sf_dir):
     """The stage after each step.  The window empties when a stage is left, so
     the rule folds over a run's steps (one row a step: thousands at most)."""

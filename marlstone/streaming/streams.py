@@ -8,7 +8,10 @@ arrival, by (ts, event_id) inside a micro-batch; late rows are appended.
 
 from __future__ import annotations
 
+import json
+import math
 import sys
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +23,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from marlstone.plans.config import DEFAULT
 from marlstone.plans.registry import query
 from marlstone.sources.views import SQL, table
-from marlstone.streaming.monitors import COMMIT, advance
+from marlstone.streaming.monitors import CEILING, COMMIT, COST, CRITERION, GROUPS, SLACK, STAGE_WINDOW, STAGES, advance
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
 
@@ -45,21 +48,50 @@ def _columns(select: str) -> list[str]:
     return [*out, part]
 
 
-def drained(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything there is; rows end in the shared folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; only a local master may do without one."""
     import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-marlstone-")
+    return base.rstrip("/")
+
+
+def drained(df: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over everything there is; rows end in the shared folder.
+    With a ``folder`` of an earlier run the stream goes on where that stopped:
+    its state and what it has read are kept there."""
     import uuid
 
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-marlstone-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = folder or f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
     schema = df.schema
 
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
     df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema.add("epoch", "long")).parquet(f"{base}/out")
+    return df.sparkSession.read.schema(schema.add("epoch", "long")).parquet(f"{base}/out")
+
+
+class Halted(RuntimeError):
+    """A run was stopped by an alert."""
+
+
+def until_alert(alerts: DataFrame, folder: str | None = None) -> None:
+    """Run a stream of alerts (event_id, ...) and stop it at the first one."""
+    import uuid
+
+    base = folder or f"{shared_folder(alerts.sparkSession)}/halt-{uuid.uuid4().hex}"
+
+    def stop(batch: DataFrame, epoch: int) -> None:
+        first = batch.orderBy("event_id").limit(1).collect()
+        if first:
+            raise Halted(f"event {first[0].event_id} is above its ceiling")
+
+    alerts.writeStream.foreachBatch(stop).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def ceiling_alerts(events: DataFrame) -> DataFrame:
@@ -89,6 +121,11 @@ def st_duplicates(spark, sf_dir):
     return drained(twice.select("event_id", "ts")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("events"))
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator:
+    """A micro-batch's rows of one key, by (ts, event_id)."""
+    yield from pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples()
+
+
 class CommitMonitor(StatefulProcessor):
     """Alerts when too few of a run's last episodes end in a diagnosis."""
 
@@ -97,9 +134,8 @@ class CommitMonitor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         flags = self.recent.get()[0] if self.recent.exists() else ""
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         out = []
-        for r in batch.itertuples():
+        for r in _in_order(rows):
             flags = (flags + ("1" if r.termination_reason == "diagnose" else "0"))[-COMMIT:]
             share = flags.count("1") / len(flags)
             out.append((r.event_id, len(flags) >= COMMIT // 2 and share < 0.1, flags.count("1")))
@@ -110,6 +146,85 @@ class CommitMonitor(StatefulProcessor):
         pass
 
 
+class WindowMonitor(StatefulProcessor):
+    """A rule over a run's last ``n`` rows, with a half-window warm-up.  A row
+    adds a list of numbers; the rule sees the sums of those in the window, and
+    how many rows they are of."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getValueState("recent", StructType([StructField("rows", StringType())]))
+
+    def numbers(self, r) -> list[float]:
+        raise NotImplementedError
+
+    def alert(self, sums: list[float], k: int) -> bool:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        recent = deque(json.loads(self.recent.get()[0]) if self.recent.exists() else [], maxlen=self.n)
+        out = []
+        for r in _in_order(rows):
+            recent.append(self.numbers(r))
+            sums = [math.fsum(c) for c in zip(*recent)]
+            out.append((r.event_id, len(recent) >= self.n // 2 and self.alert(sums, len(recent)), sums[0]))
+        self.recent.update((json.dumps(list(recent)),))
+        yield pd.DataFrame(out, columns=["event_id", "alert", "total"])
+
+    def close(self) -> None:
+        pass
+
+
+class CeilingMonitor(WindowMonitor):
+    """Mean reward above the mean of the expected ceiling."""
+
+    def numbers(self, r) -> list[float]:
+        return [r.reward, r.expected_ceiling]
+
+    def alert(self, sums: list[float], k: int) -> bool:
+        return sums[0] / k > sums[1] / k + SLACK
+
+
+class CostMonitor(WindowMonitor):
+    """Nearly all without tests, or most at the cap."""
+
+    def numbers(self, r) -> list[float]:
+        return [float(r.n_tests == 0), float(r.n_tests >= 7)]
+
+    def alert(self, sums: list[float], k: int) -> bool:
+        return sums[0] / k > 0.95 or sums[1] / k > 0.5
+
+
+#: Episodes of a group on a stream.
+K = 8
+
+
+class DegenerateMonitor(StatefulProcessor):
+    """Most of a run's last groups have no spread.  A group is complete when its
+    ``K`` episodes are in; open groups wait in the state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("groups", StructType([StructField("v", StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = json.loads(self.state.get()[0]) if self.state.exists() else {"open": {}, "flat": []}
+        flat, out = deque(state["flat"], maxlen=GROUPS), []
+        for r in _in_order(rows):
+            group = state["open"].setdefault(str(r.group_id), [])
+            group.append(r.reward)
+            if len(group) == K:
+                flat.append(int(max(group) - min(group) < 1e-6))
+                del state["open"][str(r.group_id)]
+                out.append((r.event_id, len(flat) >= GROUPS // 2 and sum(flat) / len(flat) > 0.5, float(sum(flat))))
+        self.state.update((json.dumps({"open": state["open"], "flat": list(flat)}),))
+        yield pd.DataFrame(out, columns=["event_id", "alert", "total"])
+
+    def close(self) -> None:
+        pass
+
+
 class Stages(StatefulProcessor):
     """The stage rule over a stream of (run_id, step, reward).  The state keeps
     the configuration's hash; a restart under another one is refused."""
@@ -128,7 +243,7 @@ class Stages(StatefulProcessor):
         if config != self.config:
             raise ValueError("the run was started under another configuration")
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+        for r in _in_order(rows):
             stage, recent = advance(stage, recent, r.reward)
             out.append((key[0], r.event_id, stage))
         self.state.update((f"{config}|{stage}|{','.join(map(repr, recent))}",))
@@ -151,7 +266,7 @@ class Ledger(StatefulProcessor):
         spent, had, ended = self.state.get()[0].split("|") if self.state.exists() else ("0.0", "", "")
         spent, had = float(spent), set(filter(None, had.split(",")))
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+        for r in _in_order(rows):
             test, price = str(r.n_tests), float(1 + r.n_tests)
             if ended:
                 outcome, cost = "after_end", 0.0
@@ -183,11 +298,47 @@ def st_commit_monitor(spark, sf_dir):
     return drained(_stateful(spark, stream(spark, sf_dir), "run_id", CommitMonitor(), "event_id long, alert boolean, hits long")).drop("epoch")
 
 
-@query()
+_E = f"WITH e AS ({SQL['run_event'].replace('{events}', 'events')})"
+_ALERTS = "event_id long, alert boolean, total double"
+
+
+@query(f"{_E} SELECT event_id, count(*) OVER w >= {CEILING // 2} AND avg(reward) OVER w > avg(expected_ceiling) OVER w + {SLACK} AS alert, round(sum(reward) OVER w, 4) AS total FROM e WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id ROWS {CEILING - 1} PRECEDING)")
+def st_ceiling_monitor(spark, sf_dir):
+    """The ceiling monitor as state; equal to its batch twin."""
+    out = drained(_stateful(spark, stream(spark, sf_dir), "run_id", CeilingMonitor(CEILING), _ALERTS))
+    return out.select("event_id", "alert", F.round("total", 4).alias("total"))
+
+
+@query(f"{_E} SELECT event_id, count(*) OVER w >= {COST // 2} AND (avg((n_tests = 0)::INT) OVER w > 0.95 OR avg((n_tests >= 7)::INT) OVER w > 0.5) AS alert, sum((n_tests = 0)::INT) OVER w::DOUBLE AS total FROM e WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id ROWS {COST - 1} PRECEDING)")
+def st_cost_monitor(spark, sf_dir):
+    """The cost monitor as state; equal to its batch twin."""
+    return drained(_stateful(spark, stream(spark, sf_dir), "run_id", CostMonitor(COST), _ALERTS)).drop("epoch")
+
+
+@query(f"{_E}, n AS (SELECT *, (row_number() OVER (PARTITION BY run_id, group_id ORDER BY ts, event_id) - 1) // {K} AS g FROM e), c AS (SELECT run_id, group_id, g, max(ts) AS ts, max_by(event_id, (ts, event_id)) AS event_id, max(reward) - min(reward) < 1e-6 AS flat FROM n GROUP BY 1, 2, 3 HAVING count(*) = {K}) SELECT event_id, count(*) OVER w >= {GROUPS // 2} AND avg(flat::INT) OVER w > 0.5 AS alert, (sum(flat::INT) OVER w)::DOUBLE AS total FROM c WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id ROWS {GROUPS - 1} PRECEDING)")
+def st_degenerate_monitor(spark, sf_dir):
+    """The monitor of flat groups as state; equal to its batch twin."""
+    return drained(_stateful(spark, stream(spark, sf_dir), "run_id", DegenerateMonitor(), _ALERTS)).drop("epoch")
+
+
+_STAGE = """st AS (SELECT run_id, event_id, reward, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS i FROM e),
+f AS (SELECT DISTINCT run_id, 0::BIGINT AS i, 0::BIGINT AS event_id, 0 AS stage, []::DOUBLE[] AS recent FROM st UNION ALL
+ SELECT run_id, i, event_id, CASE WHEN up THEN stage + 1 ELSE stage END, CASE WHEN up THEN [] ELSE recent END FROM (
+  SELECT *, stage < {s} AND len(recent) = {w} AND list_sum(recent) / {w} >= {c} AS up FROM (
+   SELECT st.run_id, st.i, st.event_id, f.stage, list_append(f.recent, st.reward)[-{w}:] AS recent FROM f JOIN st ON st.run_id = f.run_id AND st.i = f.i + 1)))""".format(s=STAGES, w=STAGE_WINDOW, c=CRITERION)
+
+
+@query(f"{_E.replace('WITH', 'WITH RECURSIVE')}, {_STAGE} SELECT run_id, event_id, stage FROM f WHERE i > 0")
 def st_stage_advance(spark, sf_dir):
     return drained(_stateful(spark, stream(spark, sf_dir), "run_id", Stages(DEFAULT.hash()), "run_id int, event_id long, stage int")).drop("epoch")
 
 
-@query()
+@query(f"""{_E.replace('WITH', 'WITH RECURSIVE')}, o AS (SELECT group_id, event_id, n_tests, termination_reason, row_number() OVER (PARTITION BY group_id ORDER BY ts, event_id) AS i FROM e),
+f AS (SELECT DISTINCT group_id, 0::BIGINT AS i, 0::BIGINT AS event_id, 0.0::DOUBLE AS spent, []::INT[] AS had, false AS ended, '' AS outcome, 0.0::DOUBLE AS cost FROM o UNION ALL
+ SELECT group_id, i, event_id, spent + cost, CASE WHEN outcome = 'charged' THEN list_append(had, t) ELSE had END, outcome IN ('end', 'after_end'), outcome, cost FROM (
+  SELECT *, CASE WHEN outcome = 'charged' THEN 1.0 + t ELSE 0.0 END AS cost FROM (
+   SELECT o.group_id, o.i, o.event_id, f.spent, f.had, o.n_tests AS t, CASE WHEN f.ended THEN 'after_end' WHEN o.termination_reason = 'diagnose' AND o.n_tests = 7 THEN 'end' WHEN list_contains(f.had, o.n_tests) THEN 'duplicate' WHEN 1.0 + o.n_tests > 100.0 - f.spent + 1e-9 THEN 'refused' ELSE 'charged' END AS outcome
+   FROM f JOIN o ON o.group_id = f.group_id AND o.i = f.i + 1)))
+SELECT event_id, outcome, cost FROM f WHERE i > 0""")
 def st_ledger(spark, sf_dir):
     return drained(_stateful(spark, stream(spark, sf_dir), "group_id", Ledger(), "event_id long, outcome string, cost double")).drop("epoch")

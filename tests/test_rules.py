@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.evaluation import gated, inherited, paired, reading
 from marlstone.operators.groups import balanced
-from marlstone.operators.scoring import brier, completed, diagnosis, folded
-from marlstone.operators.text import grounding_findings, ngrams, scrubbed, similarity, squashed
+from marlstone.operators import categorical, ordering
+from marlstone.operators.scoring import brier, completed, declared, diagnosis, folded, mass_on, report_violations, stated, stated_brier, terms
+from marlstone.operators.text import grounding_findings, leaks, ngrams, scrubbed, similarity, squashed
 from marlstone.plans.config import RewardConfig
-from marlstone.sources import episode_log as log
+from marlstone.sources import dimensions, episode_log as log, sinks
+from marlstone.sources.resources import strictly
+from marlstone.streaming import streams
 from marlstone.streaming.monitors import advance
 
 GOOD = {"trajectory": {"patient_id": 1, "seed": 1, "config_hash": "a", "budget": 1.0, "termination_reason": "abstain", "steps": []}, "ground_truth": {"condition": "x", "patient_id": 1}, "tags": {}}
@@ -41,10 +44,152 @@ def test_brier_is_zero_for_the_uniform_report_and_proper(spark):
 
 
 def test_an_unknown_ending_is_an_error(spark):
-    e = spark.createDataFrame([(1, "l0", "vanished")], "episode_id long, condition string, termination_reason string")
-    none = spark.createDataFrame([], "episode_id long, label string, p double")
+    e = spark.createDataFrame([(0.1, 1, "vanished")], "brier double, urgency int, termination_reason string")
     with pytest.raises(PySparkException, match="unknown ending"):
-        diagnosis(e, none, labels(spark)).collect()
+        e.select(diagnosis().alias("d")).collect()
+    total = spark.createDataFrame([(float("inf"),), (float("nan"),)], "x double")
+    for r in total.collect():
+        row = spark.createDataFrame([(r.x, 0.0)], "brier double, zero double").selectExpr("brier", "1 AS urgency", "'diagnose' AS termination_reason", *[f"zero AS {c}" for c in ("paid", "n_turns", "paid_right", "paid_low", "paid_normal", "paid_high", "prior_low", "prior_normal", "prior_high", "coherence", "correctness", "mass", "contraindicated")])
+        with pytest.raises(PySparkException, match="not finite"):
+            row.select(terms()["total"].alias("t")).collect()
+
+
+@pytest.mark.parametrize(("pairs", "kind"), [([("zzz", 0.5), ("l0", 0.5)], "unknown_label"), ([("l0", -0.5), ("l1", 0.2)], "negative"), ([("l0", float("nan"))], "not_finite"), ([("l0", float("inf"))], "not_finite"), ([("l0", None)], "not_finite")])
+def test_a_bad_report_is_found_and_raises(spark, pairs, kind):
+    rows = spark.createDataFrame([(1, k, p) for k, p in pairs], "episode_id long, label string, p double")
+    assert kind in {r.violation for r in report_violations(rows, labels(spark)).collect()}
+    for f in (completed, stated):
+        with pytest.raises(PySparkException, match="bad entry"):
+            f(rows, labels(spark)).collect()
+
+
+def test_empty_reports_and_full_ones_without_mass(spark):
+    none = spark.createDataFrame([], "episode_id long, label string, p double")
+    asked = spark.createDataFrame([(1,), (2,)], "episode_id long")
+    assert [(r.episode_id, r.violation) for r in report_violations(none, labels(spark), asked).orderBy("episode_id").collect()] == [(1, "empty"), (2, "empty")]
+    zero = spark.createDataFrame([(1, f"l{i}", 0.0) for i in range(4)], "episode_id long, label string, p double")
+    with pytest.raises(PySparkException, match="none of them mass"):
+        completed(zero, labels(spark)).collect()
+
+
+def test_completed_reports_sum_to_one_and_agree_with_the_closed_form(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(e, f"l{rng.randrange(4)}", rng.random() * rng.choice([0.1, 0.5, 1.0])) for e in range(200) for _ in range(rng.randint(1, 5))]
+    rows = spark.createDataFrame([r for r in rows if True], "episode_id long, label string, p double")
+    full = completed(rows, labels(spark)).groupBy("episode_id").agg(F.sum("p").alias("s"), brier(F.col("p"), F.col("label") == "l1", 4).alias("b"), F.sum(F.when(F.col("label") == "l1", F.col("p"))).alias("m"), F.min_by("label", F.struct(-F.round("p", 12), F.col("label"))).alias("d"))
+    short = stated(rows, labels(spark)).select("episode_id", stated_brier(F.lit("l1")).alias("b2"), mass_on(F.lit("l1")).alias("m2"), declared().alias("d2"))
+    got = full.join(short, "episode_id").collect()
+    assert len(got) == 200
+    for r in got:
+        assert r.s == pytest.approx(1, abs=1e-15) and r.b == pytest.approx(r.b2) and r.m == pytest.approx(r.m2) and r.d == r.d2
+
+
+def test_manifests_and_sinks(spark, tmp_path):
+    fields = dict(run_id="a", config_hash="c", menu_fingerprint="m", label_fingerprint="l", prices_hash="p")
+    sinks.write_manifest(spark, str(tmp_path / "m1"), **fields)
+    sinks.write_manifest(spark, str(tmp_path / "m2"), **fields | {"run_id": "b"})
+    sinks.write_manifest(spark, str(tmp_path / "m3"), **fields | {"config_hash": "x"})
+    sinks.compatible(spark, str(tmp_path / "m1"), str(tmp_path / "m2"))
+    with pytest.raises(ValueError, match="config_hash"):
+        sinks.compatible(spark, str(tmp_path / "m1"), str(tmp_path / "m3"))
+    with pytest.raises(ValueError, match="prices_hash"):
+        sinks.write_manifest(spark, str(tmp_path / "m4"), run_id="a", config_hash="c", menu_fingerprint="m", label_fingerprint="l")
+    rows = spark.createDataFrame([(1, "x", None), (2, "y", 0.5)], "b int, a string, target double")
+    sinks.write_training_set(rows, str(tmp_path / "t"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ['{"a":"x","b":1}', '{"a":"y","b":2,"target":0.5}']
+    assert {r.target for r in sinks.read_training_set(spark, str(tmp_path / "t"), "a string, b int, target double", target=1.0).collect()} == {1.0, 0.5}
+    (tmp_path / "steps.json").write_text('{"step": 2, "reward": 0.5}\n{"step": 1, "loss": 3}\n')
+    got = sinks.read_metrics(spark, str(tmp_path / "steps.json"), ("reward", "loss")).collect()
+    assert [r.step for r in got] == [1, 2] and got[0].loss == 3 and got[0].reward != got[0].reward
+    tags = spark.createDataFrame([({"policy": "p", "prompt": "long"},)], "tags map<string,string>").select(sinks.slim(F.col("tags")).alias("t")).first().t
+    assert tags == {"policy": "p"}
+
+
+def test_run_log_is_partitioned_and_guarded(spark, tmp_path):
+    rows = log.stored_episodes(spark, "/root/testdata/sf0.001").withColumn("run_id", F.lit("r1"))
+    known = spark.createDataFrame([(RewardConfig().hash(),)], "config_hash string")
+    with pytest.raises(ValueError, match="undeclared"):
+        sinks.append_run(rows, known.where("false"), str(tmp_path / "log"))
+    sinks.append_run(rows, known, str(tmp_path / "log"))
+    back = log.read_log(spark, str(tmp_path / "log"))
+    assert back.count() == rows.count() and (tmp_path / "log" / "run_id=r1").is_dir()
+
+
+def test_dimension_loads_raise(spark):
+    bad = spark.createDataFrame([("a", 1, 0.5), ("a", 9, 0.0)], "slug string, urgency int, prior double")
+    got = {r.rule: r.violations for r in dimensions.label_violations(bad).collect()}
+    assert got == {"slug_unique": 2, "slug_given": 0, "urgency_tier": 1, "prior_positive": 1}
+    with pytest.raises(ValueError, match="urgency_tier"):
+        dimensions.strict(bad, dimensions.label_violations(bad))
+
+
+def test_categorical_likelihoods(spark):
+    frame = spark.createDataFrame
+    base = frame([(8, "low", 0.5), (8, "mid", 0.3), (8, "high", 0.2)], "dim int, value string, p double")
+    own = frame([(8, 1, "low", 1.0)], "dim int, label int, value string, p double")
+    t = categorical.likelihood_table(frame([(8,)], "dim int"), frame([(0,), (1,)], "label int"), frame([(v,) for v in ("low", "mid", "high")], "value string"), base, own, eps=0.3)
+    got = {(r.label, r.value): round(r.p, 9) for r in t.collect()}
+    assert got == {(0, "low"): 0.45, (0, "mid"): 0.31, (0, "high"): 0.24, (1, "low"): 0.8, (1, "mid"): 0.1, (1, "high"): 0.1}
+    with pytest.raises(PySparkException, match="unknown value"):
+        categorical.looked_up(frame([(1, 0, 8, "odd")], "key int, truth int, dim int, value string"), t).collect()
+
+
+def test_leaks_by_words_and_by_likeness(spark):
+    forms = spark.createDataFrame([("anemia", "iron deficiency anemia"), ("anemia", "anemia"), ("gout", "gouty arthritis")], "label string, form string")
+    docs = spark.createDataFrame([(1, "This is Iron-Deficiency  ANEMIA, surely.", "anemia"), (2, "Iron deficiency anemias. Something else.", "anemia"), (3, "Nothing of the kind is said here; at all", "gout"), (4, "gouty artritis\nother", "gout"), (5, None, "gout"), (6, "anemias", "anemia")], "doc_id long, text string, label string")
+    got = {r.doc_id: r for r in leaks(docs, forms).collect()}
+    assert set(got) == {1, 2, 4} and got[1].kind == "word" and got[2].kind == "similar" and got[2].form == "iron deficiency anemia" and got[4].sim >= 0.55
+    assert "Iron-Deficiency" in got[1].excerpt and got[2].excerpt == "Iron deficiency anemias"
+    every = {r.doc_id for r in leaks(docs, forms, like=lambda a, b: F.lit(1.0)).collect()}
+    assert every == {1, 2, 3, 4}
+
+
+def test_places_in_an_order_without_one_task(spark):
+    rows = spark.range(5000).select("id", F.concat(F.lit("n"), F.format_string("%05d", (F.col("id") * 7919) % 5000)).alias("name"))
+    got = {r.id: r.place for r in ordering.shuffled(rows, F.md5(F.col("id").cast("string")), "id").collect()}
+    import hashlib
+
+    want = sorted(range(5000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert [got[i] for i in want] == list(range(5000))
+    for n in (0, 1, 777, 5000, 9000):
+        assert {r.id for r in ordering.lowest(rows, F.lit(n), F.md5(F.col("id").cast("string")), "id").collect()} == set(want[:n])
+    assert all(r.place == int(r.name[1:]) for r in ordering.ranked_by(rows, "name").collect())
+
+
+def test_strict_resources(spark):
+    r = spark.createDataFrame([(1, "click", "{}"), (2, "weird", "{}")], "event_id long, resource_type string, body string")
+    with pytest.raises(PySparkException, match="unknown resource type weird"):
+        strictly(r).collect()
+    assert strictly(r.where("event_id = 1")).count() == 1
+
+
+EVENT = "event_id long, ts timestamp_ntz, run_id int, group_id long, reward double, hard_ceiling double, expected_ceiling double, termination_reason string, n_tests int"
+
+
+def events(spark, path, first, reward=0.0, n=4):
+    spark.range(first, first + n).selectExpr("id AS event_id", "CAST(TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS timestamp_ntz) AS ts", "0 AS run_id", "id AS group_id", f"CAST({reward} AS DOUBLE) AS reward", "CAST(4 AS DOUBLE) AS hard_ceiling", "CAST(0.5 AS DOUBLE) AS expected_ceiling", "'diagnose' AS termination_reason", "1 AS n_tests").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_a_run_halts_at_its_ceiling(spark, tmp_path):
+    events(spark, str(tmp_path / "in"), 0)
+    read = lambda: spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
+    streams.until_alert(streams.ceiling_alerts(read()), str(tmp_path / "s"))
+    events(spark, str(tmp_path / "in"), 10, reward=4.5, n=1)
+    with pytest.raises(Exception, match="event 10 is above its ceiling"):
+        streams.until_alert(streams.ceiling_alerts(read()), str(tmp_path / "s"))
+
+
+def test_a_restart_goes_on_and_refuses_another_configuration(spark, tmp_path):
+    run = lambda config: streams.drained(streams._stateful(spark, spark.readStream.schema(EVENT).parquet(str(tmp_path / "in")), "run_id", streams.Stages(config), "run_id int, event_id long, stage int"), folder=str(tmp_path / "s"))
+    events(spark, str(tmp_path / "in"), 0, reward=9.0, n=3)
+    assert [r.stage for r in run("a").orderBy("event_id").collect()] == [0, 0, 0]
+    events(spark, str(tmp_path / "in"), 10, reward=9.0, n=3)
+    assert [r.stage for r in run("a").orderBy("event_id").collect()] == [0, 0, 0, 0, 1, 1]  # five of both runs make a window
+    events(spark, str(tmp_path / "in"), 20, reward=9.0, n=1)
+    with pytest.raises(Exception, match="another configuration"):
+        run("b").collect()
 
 
 def test_ledger_refuses_and_repeats(spark):
