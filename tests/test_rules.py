@@ -138,7 +138,7 @@ def test_categorical_likelihoods(spark):
 
 def test_leaks_by_words_and_by_likeness(spark):
     forms = spark.createDataFrame([("anemia", "iron deficiency anemia"), ("anemia", "anemia"), ("gout", "gouty arthritis")], "label string, form string")
-    docs = spark.createDataFrame([(1, "This is Iron-Deficiency  ANEMIA, surely.", "anemia"), (2, "Iron deficiency anemias. Something else.", "anemia"), (3, "Nothing of the kind is said here; at all", "gout"), (4, "gouty artritis\nother", "gout"), (5, None, "gout"), (6, "anemias", "anemia")], "doc_id long, text string, label string")
+    docs = spark.createDataFrame([(1, "This is Iron-Deficiency  ANEMIA, surely.", "anemia"), (2, "Iron deficiency anemias. Something else.", "anemia"), (3, "Nothing of the kind is said here; at all", "gout"), (4, "gouty arthritiss\nother", "gout"), (5, None, "gout"), (6, "anemias", "anemia")], "doc_id long, text string, label string")
     got = {r.doc_id: r for r in leaks(docs, forms).collect()}
     assert set(got) == {1, 2, 4} and got[1].kind == "word" and got[2].kind == "similar" and got[2].form == "iron deficiency anemia" and got[4].sim >= 0.55
     assert "Iron-Deficiency" in got[1].excerpt and got[2].excerpt == "Iron deficiency anemias"
