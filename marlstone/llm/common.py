@@ -46,11 +46,13 @@ def packed(docs: DataFrame, *parts: Column) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) a temporary
-    folder is made and set.
+    Only a local master (tests) may do without one: a temporary folder is made
+    and set.  On a cluster executors do not see each other's folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
         base = "file://" + tempfile.mkdtemp(prefix="spark-marlstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"

@@ -419,6 +419,48 @@ def test_pieces_equal_the_library():
         assert t.decode(ids) == sp.decode(ids)
 
 
+def message(*fields):
+    """A protocol-buffer message of (number, int, float, str or bytes)."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for k, v in fields:
+        if isinstance(v, float):
+            out += varint(k << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(k << 3) + varint(v)
+        else:
+            v = v.encode() if isinstance(v, str) else v
+            out += varint(k << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+@pytest.mark.parametrize(("fallback", "squeeze"), [(1, 1), (0, 1), (1, 0), (0, 0)])
+def test_unigram_pieces_equal_the_library(fallback, squeeze):
+    """The shortest path over scores, with and without byte fallback and the
+    squeezing of spaces, for a model written by hand."""
+    spm = pytest.importorskip("sentencepiece")
+    rng = random.Random(31)
+    text = [c for c in "aeinrst"] + ["an", "en", "in", "st", "er", "▁", "▁a", "▁the", "ing", "▁st", "é", "ter", "▁in", "▁an"]
+    pieces_ = [message((1, "<unk>"), (2, 0.0), (3, 2)), message((1, "<s>"), (2, 0.0), (3, 3)), message((1, "</s>"), (2, 0.0), (3, 3))]
+    pieces_ += [message((1, f"<0x{b:02X}>"), (2, 0.0), (3, 6)) for b in range(256)] if fallback else []
+    pieces_ += [message((1, p), (2, -1.0 - rng.random() * 6 - 0.001 * i)) for i, p in enumerate(text)]
+    model = b"".join(message((1, p)) for p in pieces_) + message((2, message((3, 1), (35, fallback)))) + message((3, message((1, "identity"), (3, 1), (4, squeeze))))
+    sp = spm.SentencePieceProcessor(model_proto=model)
+    t = pieces.Transducer(model)
+    alphabet = "aeinrst  thg é日x\n"
+    texts = ["", " ", "  a  in ", "the string", "x", "xx yy", "日日", "a" * 60] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 50))) for _ in range(400)]
+    many = [np.frombuffer(b, np.int32).tolist() for b in t.encode_all(texts)]
+    assert many == sp.encode(texts)
+    assert [t.decode(ids) for ids in many] == [sp.decode(ids) for ids in many]
+
+
 def test_pieces_round_trip_in_spark(spark, odd):
     model = pieces.load()
     back = {r.doc_id: r.text for r in pieces.decoded(pieces.encoded(odd, model), model).where("doc_id != 8").collect()}
@@ -495,3 +537,23 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     near_ = corpus_pipeline.near_dedup(spark, once, "")
     assert {r.doc_id for r in near_.collect()} == {i for i, *_ in clean[10:]} | {200 + i for i in range(10)}
     assert corpus_pipeline.run(spark, str(tmp_path)).where("NOT round_trip").count() == 0
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, repeated rows, clashing columns and an empty table through run()."""
+    import corpus_pipeline
+
+    good = "\n".join(words(5000 + k, 30, 3000) + "." for k in range(4))
+    rows = [(None, good, "en", None), (1, None, None, "a"), (2, "", "en", "a"), (3, words(9000, 200, 4000), "en", "a"), (3, words(9000, 200, 4000), "en", "a"), (4, words(9001, 150, 4000), None, "b"), (5, LONG, "en", "b"), (6, words(9001, 150, 4000), "xx", "c")]
+    for name, some in (("odd", rows), ("none", [])):
+        docs(spark, some, clash=True).write.parquet(str(tmp_path / name / "documents.parquet"))
+        d = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, "")
+            assert sorted(d.columns) == sorted(docs(spark, [], clash=True).columns)
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert not some and got == [] or {r.doc_id for r in got} <= {None, 3, 4, 5, 6} and all(r.round_trip for r in got)
+        if some:
+            once = corpus_pipeline.near_dedup(spark, corpus_pipeline.exact_dedup(spark, corpus_pipeline.quality_rules(spark, spark.read.parquet(str(tmp_path / name / "documents.parquet")), ""), ""), "")
+            ids = sorted([r.doc_id for r in once.collect()], key=str)
+            assert ids.count(3) == 1 and len([i for i in ids if i in (4, 6)]) == 1 and ids.count(None) == 1
