@@ -4,6 +4,12 @@ Quality rules drop what they reject; of exact copies and of near copies (five
 words, similarity 0.8) one stays; sources are mixed to target weights, so a
 document may be left out or stand several times; what is left is segmented.
 All stages but the last return the columns of their input.
+
+Every stage takes null ids, texts, languages and sources, empty and very long
+texts, repeated rows, an empty table and extra columns of any name: a null text
+is empty (and falls to the quality rules), equal rows are exact copies of each
+other, nulls of a source are a source of their own, and an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -19,22 +25,27 @@ from marlstone.llm.quality import good_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass; null and empty texts do not."""
     return good_documents(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text: that with the largest doc_id (null ranks last)."""
     return distinct_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: that with the smallest doc_id; texts without words are in no group."""
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix passes them, 0 to 3 times; texts without words never."""
     return mixed(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, pieces and whether they decode to the text, for each row."""
     return segmented(docs)
 
 
