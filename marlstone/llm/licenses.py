@@ -20,12 +20,17 @@ each by themselves; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import documents
 
-# Words that speak of licences.
-SPEAKS = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|spdx|public domain|endorse or promote|liable"
+# Words that speak of licences, as they begin.
+SPEAKS_WORDS = ("license", "licence", "copyright", "permission", "warrant", "redistribut", "spdx", "public domain", "endorse or promote", "liable")
+SPEAKS = "(?i)" + "|".join(SPEAKS_WORDS)
 
 # Known licence sentences.
 SENTENCES = (
@@ -91,13 +96,36 @@ DENIED = r"(^| )(not|never|no longer|neither|nor|cannot be|isn t|aren t|wasn t|w
 HINTS = "(?s)" + "|".join(p.replace("^", "").replace("( |$)", "").replace("$", "").replace(" ", r"[.\-]*[^a-z0-9.\-]+") for _, p in SENTENCES)
 
 
+
+
+def _needed(pattern: str) -> list[str]:
+    """For each alternative of a pattern a word that every match of it holds:
+    its longest outside groups."""
+    alternatives, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            alternatives.append("")
+        else:
+            alternatives[-1] += c
+    bare = (re.sub(r"\([^()]*\)\??|\[[^]]*\](\{[0-9]+\})?|\\.|.[?*]", " ", a) for a in alternatives)
+    return [max(re.findall(r"[a-z0-9-]+", a), key=len) for a in bare]
+
+
+NEEDED = tuple(sorted({w for _, p in SENTENCES for w in _needed(p)} | set(SPEAKS_WORDS)))
+
+
+def _gate(low: Column) -> Column:
+    """A lower-case text holds a word that everything worth reading holds."""
+    return reduce(or_, (F.contains(low, F.lit(w)) for w in NEEDED))
+
+
 def _worth(s: Column) -> Column:
     return s.rlike(SPEAKS) | F.lower(s).rlike(HINTS)
 
 
 def _identifiers(s: Column) -> Column:
     """The identifiers of a normalised sentence in text order, each once."""
-    s = F.regexp_replace(s, DENIED, "")
     at = F.array(*[F.struct(F.regexp_instr(s, F.lit(p)).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, p) in enumerate(SENTENCES)])
     return F.transform(F.sort_array(F.filter(at, lambda x: x["at"] > 0)), lambda x: x["name"])
 
@@ -109,7 +137,9 @@ def _normal(s: Column) -> Column:
 def _sequence(text: Column, across: bool) -> Column:
     flat = F.regexp_replace(text, r"[ \t\r]*\n[ \t\r]*", " ") if across else text
     cut = F.split(F.regexp_replace(flat, r"([.!?;:])[ \t\r]+", "$1\n"), "\n")
-    spoken = F.transform(F.filter(cut, _worth), lambda s: F.struct(s.rlike(SPEAKS).alias("speaks"), _identifiers(_normal(s)).alias("ids")))
+    # normalised once: what a lambda is given is a value, not an expression
+    read = F.transform(F.filter(cut, _worth), lambda s: F.struct(s.rlike(SPEAKS).alias("speaks"), F.regexp_replace(_normal(s), DENIED, "").alias("s")))
+    spoken = F.transform(read, lambda x: F.struct(x["speaks"].alias("speaks"), _identifiers(x["s"]).alias("ids")))
     named = F.transform(spoken, lambda x: F.when((F.size(x["ids"]) == 0) & x["speaks"], F.array(F.lit("UNKNOWN"))).otherwise(x["ids"]))
     return F.array_join(F.transform(F.flatten(named), lambda n: F.concat(n, F.lit(";"))), "")
 
@@ -118,7 +148,8 @@ def licensed(docs: DataFrame) -> DataFrame:
     """doc_id, licenses (sorted names), sentence_ids of both readings and
     n_unknown (sentences that speak of licences but are not known)."""
     # a text that says nothing about licences is read no further
-    rows = docs.select("doc_id", F.when(_worth(F.col("text")), F.col("text")).alias("t"))
+    rows = docs.select("doc_id", "text", F.lower("text").alias("low"))
+    rows = rows.select("doc_id", F.when(_gate(F.col("low")) & _worth(F.col("text")), F.col("text")).alias("t"))
     rows = rows.select("doc_id", *[F.coalesce(_sequence(F.col("t"), a), F.lit("")).alias(n) for n, a in (("by_line", False), ("across", True))])
     names = F.array().cast("array<string>")
     for seq in ("by_line", "across"):
