@@ -31,10 +31,11 @@ def forms(spark: SparkSession) -> DataFrame:
 
 def scrubbed(text: Column) -> Column:
     """Every label form, longest first, between non-letters, redacted."""
-    return F.regexp_replace(text, f"(?i)(?<![A-Za-z])(?:{_ALT})(?![A-Za-z])", "[redacted]")
+    forms_ = _ALT.replace(" ", "[^A-Za-z]")
+    return F.regexp_replace(text, f"(?i)(?<![A-Za-z])(?:{forms_})(?![A-Za-z])", "[redacted]")
 
 
-@query(rf"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[^A-Za-z]', '  ', 'g'), '(?i)(^| )({_ALT})( |$)'))::BIGINT AS n_redacted FROM documents")
+@query(rf"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[^A-Za-z]', '  ', 'g'), '(?i)(^| )({_ALT.replace(" ", "  ")})( |$)'))::BIGINT AS n_redacted FROM documents")
 def scrub(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", scrubbed(F.col("text")).alias("t"))
     return d.select("doc_id", ((F.length("t") - F.length(F.replace("t", F.lit("[redacted]"), F.lit("")))) / 10).cast("long").alias("n_redacted"))
