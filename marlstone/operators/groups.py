@@ -21,6 +21,7 @@ def groups(s: DataFrame, bar: float = BAR) -> DataFrame:
     return s.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("k"), F.avg("total").alias("mean"), F.stddev_pop("total").alias("std"), F.max("total").alias("best"),
         F.min_by("total", "seed").alias("first"), F.bool_or(F.col("total") >= bar).alias("pass_k"), (F.min_by("total", "seed") >= bar).alias("pass_1"),
+        F.count_if(F.col("termination_reason") == "diagnose").alias("diagnosed"),
     )
 
 
