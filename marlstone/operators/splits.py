@@ -185,8 +185,8 @@ def k_slots(spark, sf_dir):
 
 @query()
 def synth_table(spark, sf_dir):
-    """A seeded table of synthetic records, one a customer: label by prior, age
-    by the inverse normal CDF clipped to 0..100, sex uniform."""
+    """A seeded table of stand-in records, one a customer: label by the id's last
+    digit, age by the inverse normal CDF clipped to 0..100, sex uniform."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     age = 52 + 21 * normal_quantile(uniform(1, F.col("id"), "age"))
     return c.select("id", F.least(F.greatest(F.round(age), F.lit(0.0)), F.lit(100.0)).cast("int").alias("age"), F.when(uniform(1, F.col("id"), "sex") < 0.5, "female").otherwise("male").alias("sex"), F.concat(F.lit("label_"), (F.col("id") % 10).cast("string")).alias("label"))
