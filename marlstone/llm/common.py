@@ -102,6 +102,15 @@ def shipped(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def give_back() -> None:
+    """Hand free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``f`` over a partition, after which the worker hands free memory back:
     it stays alive between tasks, beside whatever runs next."""
@@ -111,10 +120,6 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
         try:
             yield from f(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return run

@@ -31,13 +31,13 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, shipped, tidy, written
+from .common import documents, give_back, shipped, tidy, written
 from .exact import rice_decode, rice_encode
 from .hashing import mix, slices, word_hashes
 
@@ -50,9 +50,13 @@ FLAGS = 4
 #: What may be broadcast: bytes of all filters, words of the exact table.
 BROADCAST_BYTES = 320_000_000
 BROADCAST_WORDS = 12_000_000
+#: Bytes of filters that the driver gathers before it broadcasts them.
+PART_BYTES = 24_000_000
 #: Text per bucket and n-grams gathered by a task before it sends them.
-BUCKET_BYTES = 8_000_000
-SEND = 2_000_000
+BUCKET_BYTES = 3_000_000
+SEND = 800_000
+#: Bytes of text tokenised, bigrams probed, and tokens gathered at once.
+SCORED, PROBED, GATHERED = 300_000, 100_000, 600_000
 HASH_BITS = 58  # what buckets tell n-grams apart by
 NAME_BYTES = 6  # what names the first word of a bigram on its way to S
 END, START = np.uint64(0x1F3A5C7E9B2D4F61), np.uint64(0x2B4D6F8193A5C7E9)
@@ -166,7 +170,7 @@ class Filter:
         self.words = [np.zeros(w + 1, np.uint64) for w in words]  # a first word for buckets without entries
         self.end = [1, 1]
 
-    def put(self, bucket: int, seen: bytes, above: bytes) -> None:
+    def put(self, bucket: int, seen: bytes | pa.Buffer, above: bytes | pa.Buffer) -> None:
         for i, part in enumerate((seen, above)):
             part = np.frombuffer(part, np.uint64)
             if len(part):
@@ -192,6 +196,25 @@ class Filter:
         return out
 
 
+class Parts:
+    """Filters of different buckets, each broadcast by itself: neither the
+    driver nor a worker holds more than one of them at a time."""
+
+    def __init__(self, buckets: int, parts: list, part_of: np.ndarray):
+        self.buckets, self.parts, self.part_of = buckets, parts, part_of
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.int8)
+        which = self.part_of[bucket_of(h, self.buckets).astype(np.int64)]
+        for i, part in enumerate(self.parts):
+            own = np.flatnonzero(which == i)
+            for x in range(0, len(own), PROBED):
+                some = own[x : x + PROBED]
+                out[some] = getattr(part, "value", part).level(h[some])
+            getattr(part, "__dict__", {}).pop("_value", None)  # read again from its file when next asked for
+        return out
+
+
 def filters(keys: np.ndarray, levels: np.ndarray) -> tuple[bytes, bytes]:
     """The filters (level 1, above) of one bucket's bigrams."""
     out = []
@@ -276,7 +299,7 @@ class Scorer:
     """Scores of texts from a filter and the exact table of words; words that
     occur once and are followed once are kept by their hash alone."""
 
-    def __init__(self, f: Filter, n: int, v: int, at_start: int, once: np.ndarray, often: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    def __init__(self, f: Filter | Parts, n: int, v: int, at_start: int, once: np.ndarray, often: tuple[np.ndarray, np.ndarray, np.ndarray]):
         self.filter, self.n, self.v, self.at_start, self.once, self.often = f, n, v, at_start, once, often
 
     def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,35 +314,81 @@ class Scorer:
                 s[hit] = 1 if mass is None else mass[i[hit]]
         return c, s
 
-    def probabilities(self, hist: np.ndarray, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's count, add-one estimate, and probability after ``hist``."""
+    def terms(self, hist: np.ndarray, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's count and add-one estimate, and S of its history."""
         some, where = np.unique(np.concatenate([toks, hist]), return_inverse=True)
         c, s = self.known(some)
         c, s = c[where[: len(toks)]], s[where[len(toks) :]]
-        first = (c + 1) / (self.n + self.v + 1)
-        return c, first, (_VALUE[self.filter.level(bigrams(hist, toks))] + MU * first) / (s + MU)
+        return c, (c + 1) / (self.n + self.v + 1), s
+
+    def values(self, grams: np.ndarray) -> np.ndarray:
+        """What is read of bigrams."""
+        return _VALUE[self.filter.level(grams)]
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """n_tokens, n_known, base_score and score."""
-        toks, hist, at = tokens(data, offsets)
-        c, first, p = self.probabilities(hist, toks)
-        return np.diff(at, append=len(toks)), np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(np.log10(first), at), np.add.reduceat(np.log10(p), at)
+    def probabilities(self, hist: np.ndarray, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's count, add-one estimate, and probability after ``hist``."""
+        c, first, s = self.terms(hist, toks)
+        return c, first, (self.values(bigrams(hist, toks)) + MU * first) / (s + MU)
+
+    def scored(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (rid, doc_id, held_out, text) to their scores.  Texts are read
+        until ``GATHERED`` tokens wait; then each part of the filter is asked
+        once for all of them."""
+        held: list[tuple] = []
+        waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            read = self.values(np.concatenate([h[1] for h in held]))
+            x = 0
+            for columns, grams, first, s, at in held:
+                p = (read[x : x + len(grams)] + MU * first) / (s + MU)
+                x += len(grams)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.add.reduceat(np.log10(p), at))], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+        for b in batches:
+            for lo, hi, data, offsets in slices(b.column(3), SCORED):
+                toks, hist, at = tokens(data, offsets)
+                c, first, s = self.terms(hist, toks)
+                counted = [np.diff(at, append=len(toks)), np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(np.log10(first), at)]
+                held.append(([*(b.column(i).slice(lo, hi - lo) for i in range(3)), *map(pa.array, counted)], bigrams(hist, toks), first, s.astype(np.int32) if s.max() < 2**31 else s, at))
+                waiting += len(toks)
+                if waiting >= GATHERED:
+                    yield from flush()
+                    held, waiting = [], 0
+                    give_back()
+        if held:
+            yield from flush()
 
 
 _RESULT = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _gathered(model: DataFrame, words: DataFrame, sizes, n: int, v: int, at_start: int) -> Scorer:
-    """The whole model, once it was counted to be within its bounds."""
-    f = Filter(sizes.buckets, (sizes.seen // 8, sizes.above // 8))
-    for r in model.select("bucket", "seen", "above").toLocalIterator():
-        f.put(r.bucket, r.seen, r.above)
+def _gathered(model: DataFrame, words: DataFrame, sizes, n: int, v: int, at_start: int, ship: Callable = lambda x: x) -> Scorer:
+    """The whole model, once it was counted to be within its bounds; ``ship``
+    sends a part of it to the workers."""
+    buckets = sizes.buckets
+    parts, part_of = [], np.zeros(buckets, np.int64)
+    step = max(1, buckets * PART_BYTES // max(1, sizes.seen + sizes.above))  # buckets at a time
+    for lo in range(0, buckets, step):
+        t = model.where(F.col("bucket").between(lo, lo + step - 1)).select("bucket", "seen", "above").toArrow()
+        rows = [(t["bucket"][i].as_py(), t["seen"][i].as_buffer(), t["above"][i].as_buffer()) for i in range(t.num_rows)]
+        f = Filter(buckets, tuple(sum(len(r[i]) for r in rows) // 8 for i in (1, 2)))
+        for r in rows:
+            f.put(*r)
+            part_of[r[0]] = len(parts)
+        del t, rows
+        parts.append(ship(f))
+        del f
+        give_back()
     rare = (F.col("c") == 1) & (F.col("s") == 1)
-    once = np.sort(words.where(rare).select("k").toArrow()["k"].to_numpy()).astype(np.uint64)
-    rest = words.where(~rare).toArrow()
-    order = np.argsort(rest["k"].to_numpy())
+    once = words.where(rare).select("k").orderBy("k").toArrow()["k"].to_numpy().copy().view(np.uint64)
+    rest = words.where(~rare).orderBy("k").toArrow()
     small = lambda x: x.astype(np.int32) if x.max(initial=0) < 2**31 else x
-    return Scorer(f, n, v, at_start, once, (rest["k"].to_numpy()[order].astype(np.uint64), small(rest["c"].to_numpy()[order]), small(rest["s"].to_numpy()[order])))
+    # copies, so that the driver gives Arrow's memory back
+    often = rest["k"].to_numpy().copy().view(np.uint64), small(rest["c"].to_numpy()), small(rest["s"].to_numpy())
+    del rest
+    give_back()
+    return Scorer(Parts(buckets, parts, part_of), n, v, at_start, once, often)
 
 
 def _asked(buckets: int):
@@ -378,14 +447,17 @@ def scored(docs: DataFrame, model: DataFrame, broadcast_bytes: int = BROADCAST_B
     words, at_start = word_table(model)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     if sizes.seen + sizes.above <= broadcast_bytes and v <= broadcast_words:
-        sent = spark.sparkContext.broadcast(_gathered(model, words, sizes, n, v, at_start))
+        send = spark.sparkContext.broadcast
+        scorer = _gathered(model, words, sizes, n, v, at_start, send)
+        parts, scorer.filter.parts = scorer.filter.parts, []  # a function names the broadcasts that it needs
+        sent = send(scorer)
+        del scorer
+        give_back()
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = sent.value
-            for b in batches:
-                for lo, hi, data, offsets in slices(b.column(3)):
-                    columns = [b.column(i).slice(lo, hi - lo) for i in range(3)] + [pa.array(x) for x in s.score(data, offsets)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            s.filter.parts = parts
+            yield from s.scored(batches)
 
         out = rows.mapInArrow(tidy(score), _RESULT)
     else:
