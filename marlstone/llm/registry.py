@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .centroids import OP13_SQL, op13_geometric_drift
 from .exact import OP9_SQL, op9_golomb_exchange
+from .factorisation import op11_factorisation_machine
+from .interaction import OP12_SQL, op12_radix_tries
 from .licenses import OP10_SQL, op10_license_rules
 from .lines import OP8_SQL, op8_line_winnowing
 from .lm import op6_log_frequency_bloom
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_line_winnowing": op8_line_winnowing,
     "op9_golomb_exchange": op9_golomb_exchange,
     "op10_license_rules": op10_license_rules,
+    "op11_factorisation_machine": op11_factorisation_machine,
+    "op12_radix_tries": op12_radix_tries,
+    "op13_geometric_drift": op13_geometric_drift,
 }
 
 ORACLES = {
@@ -34,4 +40,6 @@ ORACLES = {
     "op8_line_winnowing": OP8_SQL,
     "op9_golomb_exchange": OP9_SQL,
     "op10_license_rules": OP10_SQL,
+    "op12_radix_tries": OP12_SQL,
+    "op13_geometric_drift": OP13_SQL,
 }
