@@ -20,7 +20,9 @@ every pair whose components still differ is compared: all such pairs inside
 leaves, and in deep nodes that stayed large (clusters of near copies) all such
 pairs too, exactly.  A large node is dealt into blocks of bounded size, and each
 pair of blocks is a *tile* whose set intersections are counted at once, as a
-product of membership matrices, so that no pair leaves a tile but a link.
+product of membership matrices, so that no pair leaves a tile but a link.  A
+component larger than a block has its own blocks, and no tile lies within it:
+copies that are joined already meet only those that are not.
 Before other comparisons lengths and 128 one-bit minhashes must allow the
 threshold; the latter cut lies six standard deviations below it.  In the second
 round the shingles that a member shares with no other open member bound its
@@ -40,7 +42,7 @@ from math import ceil, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import documents, packed, sent_if_small, shipped, tidy, written
 from .hashing import functions, mix, shingle_sets, slices
@@ -290,10 +292,21 @@ def _tile(percent: int):
 
 
 def _tiles(large: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the members (p, node, n, comp, shingles) of large nodes."""
-    sizes = large.groupBy("p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    dealt = large.join(written(sizes, "sizes"), "p").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    """Links (a, b) of the members (p, node, n, comp, shingles) of large nodes.
+    A component that fills more than a block has blocks of its own, which meet
+    the others' but not each other; small ones share blocks."""
+    blocks = F.greatest(F.ceil(F.sum("members") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k")
+    comps = written(large.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n")), "members")
+    whole = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)) > 1
+    comps = comps.withColumn("own", F.when(whole, F.col("comp")).otherwise(-1))  # no node is below 0
+    several = comps.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("p")
+    groups = comps.join(several, "p", "left_semi").groupBy("p", "own").agg(blocks)
+    w = Window.partitionBy("p")
+    groups = groups.withColumns({"at": F.sum("k").over(w.orderBy("own").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"), "all": F.sum("k").over(w)})
+    dealt = large.join(written(comps.select("p", "comp", "own").join(groups, ["p", "own"]), "sizes"), ["p", "comp"])
+    dealt = dealt.withColumn("block", (F.col("at") + F.pmod(F.xxhash64("node", F.lit(5)), F.col("k"))).cast("int"))
+    meets = lambda i: (F.col("own") == -1) | (i < F.col("at")) | (i >= F.col("at") + F.col("k"))
+    dealt = dealt.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("all").cast("int") - 1), meets)))
     dealt = dealt.select("p", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "comp", "shingles")
     return dealt.groupBy("p", "i", "j").applyInArrow(_tile(percent), "a long, b long")
 
