@@ -51,19 +51,20 @@ FLAGS = 4
 BROADCAST_BYTES = 320_000_000
 BROADCAST_WORDS = 12_000_000
 #: Bytes of filters that the driver gathers before it broadcasts them.
-PART_BYTES = 24_000_000
+PART_BYTES = 16_000_000
+#: Words of the exact table that the driver gathers at once.
+RANGE_WORDS = 400_000
 #: Text per bucket and n-grams gathered by a task before it sends them.
 BUCKET_BYTES = 3_000_000
 SEND = 800_000
 #: Bytes of text tokenised, bigrams probed, and tokens gathered at once.
-SCORED, PROBED, GATHERED = 300_000, 100_000, 600_000
-HASH_BITS = 58  # what buckets tell n-grams apart by
-NAME_BYTES = 6  # what names the first word of a bigram on its way to S
+SCORED, PROBED, GATHERED = 300_000, 100_000, 400_000
+HASH_BITS = 63  # what tells words and bigrams apart, everywhere alike
 END, START = np.uint64(0x1F3A5C7E9B2D4F61), np.uint64(0x2B4D6F8193A5C7E9)
 
 _U = np.uint64
 _KEEP = _U(64 - HASH_BITS)
-_NAME = _U((1 << 8 * NAME_BYTES) - 1)
+_STEP = _U(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(77)
 _MASKS = np.bitwise_or.reduce(_U(1) << np.argsort(_rng.random((4096, 64)), axis=1)[:, :FLAGS].astype(np.uint64), axis=1)
 #: What a level stands for: 0, 1, 2, 5, 11, 22, ...: its middle, by ratio.
@@ -105,16 +106,6 @@ _SENT = "bucket int, kind int, n int, shift int, unary binary, rest binary, coun
 _MODEL = "bucket int, n_unigrams long, n_tokens long, keys binary, counts binary, seen binary, above binary, names binary, masses binary"
 
 
-def _cut(names: np.ndarray) -> bytes:
-    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()
-
-
-def _grown(cut: bytes) -> np.ndarray:
-    out = np.zeros((len(cut) // NAME_BYTES, 8), np.uint8)
-    out[:, :NAME_BYTES] = np.frombuffer(cut, np.uint8).reshape(-1, NAME_BYTES)
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
 def _sender(buckets: int):
     def packed(kind: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         k, c, *names = _summed(parts)
@@ -123,7 +114,7 @@ def _sender(buckets: int):
         for x, z in zip(heads := _heads(b), [*heads[1:], len(b)]):
             own = c[x:z]
             small = own.astype(np.uint8) if own.max() < 256 else own.astype(np.int64)  # told apart by length
-            rows.append((int(b[x]), kind, int(z - x), *rice_encode(k[x:z].astype(np.int64)), small.tobytes(), *(_cut(n[x:z]) for n in names), *([b""] if not names else [])))
+            rows.append((int(b[x]), kind, int(z - x), *rice_encode(k[x:z].astype(np.int64)), small.tobytes(), *(n[x:z].tobytes() for n in names), *([b""] if not names else [])))
         types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
         return pa.RecordBatch.from_arrays([pa.array(list(col), t) for col, t in zip(zip(*rows), types, strict=True)], names=["bucket", "kind", "n", "shift", "unary", "rest", "counts", "names"])
 
@@ -135,7 +126,7 @@ def _sender(buckets: int):
                 toks, hist, _ = tokens(data, offsets)
                 held[1].append(np.unique(toks, return_counts=True))
                 k, i, c = np.unique(bigrams(hist, toks), return_index=True, return_counts=True)
-                held[2].append((k, c, hist[i] & _NAME))
+                held[2].append((k, c, hist[i]))
                 n += len(k)
                 if n > SEND:
                     for kind, parts in held.items():
@@ -155,7 +146,7 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 def _probes(h: np.ndarray, level: int, m: np.ndarray | int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word, mask) of each of an entry's words among ``m``."""
-    g = mix(h * _U(64) + _U(level))
+    g = mix(h + _U(level) * _STEP)
     for i in range(WORDS[level > 1]):
         x = mix(g + _U(i))
         yield ((x >> _U(32)) * m) >> _U(32), _MASKS[(x & _U(4095)).astype(np.int64)]
@@ -187,7 +178,7 @@ class Filter:
             i = int(q > 1)
             words, m, start = self.words[i], self.m[i], self.start[i]
             for p in range(WORDS[i]):
-                x = mix(mix(h[left] * _U(64) + _U(q)) + _U(p))
+                x = mix(mix(h[left] + _U(q) * _STEP) + _U(p))
                 at = b[left]
                 mask = _MASKS[(x & _U(4095)).astype(np.int64)]
                 word = words[(start[at] + (((x >> _U(32)) * m[at]) >> _U(32))).astype(np.int64)]
@@ -234,7 +225,7 @@ def _builder(buckets: int):
             r = {c: t.column(c)[i].as_py() for c in t.column_names}
             counts = np.frombuffer(r["counts"], np.uint8 if len(r["counts"]) == r["n"] else np.int64).astype(np.int64)
             keys = rice_decode(r["n"], r["shift"], r["unary"], r["rest"]).astype(np.uint64)
-            got[r["kind"]].append((keys, counts) if r["kind"] == 1 else (keys, counts, _grown(r["names"])))
+            got[r["kind"]].append((keys, counts) if r["kind"] == 1 else (keys, counts, np.frombuffer(r["names"], np.uint64)))
         bucket = t.column("bucket")[0].as_py()
         none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         uni, (keys, counts, names) = _summed(got[1]) if got[1] else none[:2], _summed(got[2]) if got[2] else none
@@ -279,8 +270,8 @@ def word_table(model: DataFrame) -> tuple[DataFrame, int]:
     """(k, c, s) of every word: hash, count and S; and S of text starts."""
     sums = model.select("names", "masses").mapInArrow(_pairs(("name", "m")), "name long, m long").groupBy("name").agg(F.sum("m").alias("s"))
     words = model.select("keys", "counts").mapInArrow(_pairs(("k", "c")), "k long, c long")
-    j = words.join(sums, (F.col("k").bitwiseAND(F.lit(int(_NAME)))) == F.col("name"), "left").select("k", "c", F.coalesce("s", F.lit(0)).alias("s"))
-    start = int((START >> _KEEP) & _NAME)
+    j = words.join(sums, F.col("k") == F.col("name"), "left").select("k", "c", F.coalesce("s", F.lit(0)).alias("s"))
+    start = int(START >> _KEEP)
     at_start = written(model.select("names", "masses").mapInArrow(_start_mass(start), "m long"), "start").agg(F.sum("m")).first()[0]
     return written(j, "words"), at_start or 0
 
@@ -380,13 +371,20 @@ def _gathered(model: DataFrame, words: DataFrame, sizes, n: int, v: int, at_star
         parts.append(ship(f))
         del f
         give_back()
-    rare = (F.col("c") == 1) & (F.col("s") == 1)
-    once = words.where(rare).select("k").orderBy("k").toArrow()["k"].to_numpy().copy().view(np.uint64)
-    rest = words.where(~rare).orderBy("k").toArrow()
-    small = lambda x: x.astype(np.int32) if x.max(initial=0) < 2**31 else x
-    # copies, so that the driver gives Arrow's memory back
-    often = rest["k"].to_numpy().copy().view(np.uint64), small(rest["c"].to_numpy()), small(rest["s"].to_numpy())
-    del rest
+    # a range of the hashes at a time, so that the driver holds little beside the table
+    once, often, ranges = [], [], max(1, -(-v // RANGE_WORDS))
+    ends = [(i << HASH_BITS) // ranges for i in range(ranges + 1)]
+    for lo, hi in zip(ends, ends[1:]):
+        t = words.where((F.col("k") >= lo) & (F.col("k") <= hi - 1)).toArrow()
+        k, c, x = (t[name].to_numpy() for name in ("k", "c", "s"))
+        order = np.argsort(k)
+        rare = (c[order] == 1) & (x[order] == 1)
+        once.append(k[order][rare].view(np.uint64))
+        small = lambda y: y.astype(np.int32) if y.max(initial=0) < 2**31 else y
+        often.append((k[order][~rare].view(np.uint64), small(c[order][~rare]), small(x[order][~rare])))
+        del t, k, c, x, order, rare
+        give_back()
+    once, often = np.concatenate(once), tuple(map(np.concatenate, zip(*often, strict=True)))
     give_back()
     return Scorer(Parts(buckets, parts, part_of), n, v, at_start, once, often)
 
