@@ -5,12 +5,17 @@ capitals, repeated lines and repeated three-word windows.  Each ratio is then
 summarised per language and source in a mergeable quantile sketch: a table of
 log-linear buckets (``SIG_BITS`` leading bits are kept, so a bucket is within
 2**-(SIG_BITS-1) of its values) with their counts.  Sketches of a language, or
-of everything, are sums of their parts' rows.  A group's fences are ``FENCE``
-spreads beyond its quartiles; they are drawn towards its language's fences, and
-those towards everything's, as if ``BORROWED`` of the larger group's rows were
-its own, so that small groups borrow and no size switches anything.  A document
-is rejected when a ratio lies beyond its group's fences, or when it fails the
-fixed base rules.
+of everything, are sums of their parts' rows; a group's sketch borrows
+``BORROWED`` rows of its language's, and that as many of everything's, so that
+small groups borrow and no size switches anything.
+
+No ratio has a cutoff or a least spread of its own.  A group's fence stands where
+the half of its sketch beyond the median falls apart into two classes: of all
+buckets at which it can be cut the one with the largest variance between the
+classes, halfway between their means, if these are at least ``APART`` of the
+classes' common deviations apart.  Otherwise nothing there is an outlier, and
+there is no fence.  A document is rejected when a ratio lies beyond its group's
+fences, or when it fails the fixed base rules.
 
 Edge cases: a null text counts as empty (0 words, fails the base rule); null
 language or source is a group of its own; an empty table gives an empty result;
@@ -26,15 +31,14 @@ from .common import WORD_CLASS, documents, sent_if_small, words, written
 SIG_BITS = 6
 #: Rows that a group borrows from the next larger one.
 BORROWED = 100
-FENCE = 3
-#: ratio -> (least spread that counts, whether low values are judged too)
-RATIOS = {
-    "symbol_milli": (30, False),
-    "upper_milli": (15, False),
-    "dup_milli": (120, False),
-    "repeat_milli": (100, False),
-    "word_len_milli": (300, True),
-}
+#: Deviations between the means of what counts as two classes; the halves of a
+#: uniform distribution are 3.46 apart.
+APART = 3.5
+#: Weight of a row, so that borrowed parts of rows are integers.
+ROW = 1000
+#: ratio -> whether low values are judged too
+RATIOS = {"symbol_milli": False, "upper_milli": False, "dup_milli": False, "repeat_milli": False, "word_len_milli": True}
+FENCES = tuple(f"hi_{r}" for r in RATIOS) + tuple(f"lo_{r}" for r, low in RATIOS.items() if low)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 
 
@@ -97,49 +101,59 @@ def sketches(m: DataFrame) -> DataFrame:
     return long.withColumn("bucket", F.expr("shiftleft(shiftright(v, s), s)")).groupBy("lang", "source", "ratio", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fences(sk: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rows, lo_<ratio>, hi_<ratio>): outer fences from merged sketches."""
-    merged = sk.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
-    w = W.partitionBy(*keys, "ratio")
-    run = merged.withColumns({"cum": F.sum("n").over(w.orderBy("bucket")), "rows": F.sum("n").over(w)})
-    q = run.groupBy(*keys, "ratio").agg(
-        F.min(F.when(F.col("cum") * 4 >= F.col("rows"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("cum") * 4 >= F.col("rows") * 3, F.col("bucket"))).alias("q3"),
-        F.max("rows").alias("rows"),
-    )
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.element_at(F.create_map(*[F.lit(x) for r, (s, _) in RATIOS.items() for x in (r, s)]), F.col("ratio")))
-    q = q.withColumns({"hi": F.col("q3") + FENCE * spread, "lo": F.greatest(F.col("q1") - FENCE * spread, F.lit(0))})
-    cols = [F.max("rows").alias("rows")]
-    for r, (_, low) in RATIOS.items():
-        cols.append(F.max(F.when(F.col("ratio") == r, F.col("hi"))).alias(f"hi_{r}"))
-        if low:
-            cols.append(F.max(F.when(F.col("ratio") == r, F.col("lo"))).alias(f"lo_{r}"))
-    return q.groupBy(*keys).agg(*cols)
-
-
-def _limits(sk: DataFrame) -> DataFrame:
-    """One row of fences per (lang, source), drawn towards the larger groups'."""
-    names = [f"hi_{r}" for r in RATIOS] + [f"lo_{r}" for r, (_, low) in RATIOS.items() if low]
-    group, lang, everything = _fences(sk, ["lang", "source"]).alias("g"), _fences(sk, ["lang"]).alias("l"), _fences(sk, []).alias("e")
-    both = group.join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang"))).join(F.broadcast(everything), F.col("e.rows") > 0)  # one row
-    drawn = lambda own, n: f"(({own}.rows * {own}.{n} + {BORROWED} * %s) div ({own}.rows + {BORROWED}))"
-    limit = lambda n: F.expr(drawn("g", n) % (drawn("l", n) % f"e.{n}"))
-    return both.select(F.col("g.lang").alias("g_lang"), F.col("g.source").alias("g_source"), *[limit(n).alias(n) for n in names])
+def pooled(sk: DataFrame) -> DataFrame:
+    """(lang, source, ratio, bucket, w): every group's sketch with what it
+    borrows; ``ROW`` is the weight of a row."""
+    everything = sk.groupBy("ratio", "bucket").agg(F.sum("n").alias("n"))  # some thousand rows at most: buckets are log-linear
+    everything = everything.withColumn("rows", F.sum("n").over(W.partitionBy("ratio"))).select(F.col("ratio").alias("r"), "bucket", F.expr(f"({ROW} * {BORROWED} * n) div rows").alias("w"))
+    lang = sk.groupBy("lang", "ratio", "bucket").agg((ROW * F.sum("n")).alias("w"))
+    rows = sk.groupBy("lang", "ratio").agg(F.sum("n").alias("rows"))
+    lent = rows.join(F.broadcast(everything), F.col("ratio") == F.col("r")).select("lang", "ratio", "bucket", "w")
+    lang = lang.unionByName(lent).groupBy("lang", "ratio", "bucket").agg(F.sum("w").alias("w"))
+    share = lang.alias("l").join(rows.alias("r"), F.col("l.lang").eqNullSafe(F.col("r.lang")) & (F.col("l.ratio") == F.col("r.ratio")))
+    share = share.select(F.col("l.lang").alias("m_lang"), F.col("l.ratio").alias("m_ratio"), "bucket", F.expr(f"({BORROWED} * w) div (rows + {BORROWED})").alias("w"))
+    groups = sk.select("lang", "source", "ratio").distinct()
+    lent = groups.join(share, F.col("lang").eqNullSafe(F.col("m_lang")) & (F.col("ratio") == F.col("m_ratio"))).select("lang", "source", "ratio", "bucket", "w")
+    own = sk.select("lang", "source", "ratio", "bucket", (ROW * F.col("n")).alias("w"))
+    return own.unionByName(lent).groupBy("lang", "source", "ratio", "bucket").agg(F.sum("w").cast("double").alias("w")).where("w > 0")
+
+
+def fences(sk: DataFrame) -> DataFrame:
+    """(g_lang, g_source, ``FENCES``): null where a group has no fence."""
+    keys = ["lang", "source", "ratio"]
+    g = W.partitionBy(*keys)
+    run = pooled(sk).withColumns({"cum": F.sum("w").over(g.orderBy("bucket")), "all": F.sum("w").over(g)})
+    run = run.withColumn("median", F.min(F.when(F.col("cum") * 2 >= F.col("all"), F.col("bucket"))).over(g))
+    low = run.where(F.col("ratio").isin(*[r for r, judged_low in RATIOS.items() if judged_low]) & (F.col("bucket") <= F.col("median")))
+    sides = run.where(F.col("bucket") >= F.col("median")).withColumns({"side": F.lit("hi"), "o": F.col("bucket")}).unionByName(low.withColumns({"side": F.lit("lo"), "o": -F.col("bucket")}))
+    half = W.partitionBy(*keys, "side")
+    v = F.col("bucket").cast("double")
+    sums = {"w": F.col("w"), "s": F.col("w") * v, "q": F.col("w") * v * v}
+    cut = sides.select(*keys, "side", "o", *[F.sum(c).over(half.orderBy("o")).alias(f"{n}1") for n, c in sums.items()], *[F.sum(c).over(half).alias(f"{n}0") for n, c in sums.items()])
+    cut = cut.where("w1 < w0").selectExpr(*keys, "side", "o", "w1", "w0 - w1 AS w2", "s1 / w1 AS m1", "(s0 - s1) / (w0 - w1) AS m2", "q1 / w1 AS q1", "(q0 - q1) / (w0 - w1) AS q2")
+    cut = cut.selectExpr(*keys, "side", "o", "m1", "m2", "(m1 - m2) * (m1 - m2) AS d", "w1 * w2 * ((m1 - m2) * (m1 - m2)) AS between", "greatest(q1 - m1 * m1, 0.0D) + greatest(q2 - m2 * m2, 0.0D) AS spread")
+    best = cut.groupBy(*keys, "side").agg(F.min(F.struct((-F.col("between")).alias("b"), "o", "m1", "m2", "d", "spread")).alias("x"))
+    at = F.when(2 * F.col("x.d") >= APART * APART * F.col("x.spread"), F.floor((F.col("x.m1") + F.col("x.m2")) / 2))
+    best = best.select("lang", "source", F.concat("side", F.lit("_"), "ratio").alias("fence"), at.alias("at"))
+    groups = sk.select("lang", "source").distinct()
+    named = best.groupBy("lang", "source").agg(*[F.max(F.when(F.col("fence") == f, F.col("at"))).alias(f) for f in FENCES]).toDF("g_lang", "g_source", *FENCES)
+    j = groups.join(named, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    return j.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *FENCES)
 
 
 def judged(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
     """``row``, the counts, the ratios, ``base_failed``, ``outlier`` (a ratio
     beyond its fence) and ``kept`` for each document of ``docs``."""
     m = with_ratios(written(measured(docs, carry), "measured"))
-    limits = sent_if_small(written(_limits(written(sketches(m), "sketches")), "limits"))
+    limits = sent_if_small(written(fences(written(sketches(m), "sketches")), "limits"))
     j = m.join(limits, m["lang"].eqNullSafe(limits["g_lang"]) & m["source"].eqNullSafe(limits["g_source"]), "left")
     out = F.lit(False)
-    for r, (_, low) in RATIOS.items():
-        out = out | (F.col(r) > F.col(f"hi_{r}"))
+    for r, low in RATIOS.items():  # null where there is no fence
+        out = out | F.coalesce(F.col(r) > F.col(f"hi_{r}"), F.lit(False))
         if low:
-            out = out | (F.col(r) < F.col(f"lo_{r}"))
+            out = out | F.coalesce(F.col(r) < F.col(f"lo_{r}"), F.lit(False))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    j = j.withColumns({"base_failed": base, "outlier": F.coalesce(out, F.lit(False))})
+    j = j.withColumns({"base_failed": base, "outlier": out})
     return j.withColumn("kept", ~F.col("base_failed") & ~F.col("outlier")).select("row", *COUNTS, *RATIOS, "base_failed", "outlier", "kept")
 
 
@@ -153,30 +167,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "outlier", *RATIOS)
 
 
-_SLACK = " ".join(f"WHEN '{r}' THEN {s}" for r, (s, _) in RATIOS.items())
-_WITHIN = " AND ".join([f"{r} <= hi_{r}" for r in RATIOS] + [f"{r} >= lo_{r}" for r, (_, low) in RATIOS.items() if low])
-
-
-def _sql_fences(name: str, keys: str) -> str:
-    part = f"{keys}, ratio" if keys else "ratio"
-    lead = f"{keys}, " if keys else ""
-    cols = ", ".join([f"max(CASE WHEN ratio = '{r}' THEN q3 + {FENCE} * spread END) AS hi_{r}" for r in RATIOS] + [f"max(CASE WHEN ratio = '{r}' THEN greatest(q1 - {FENCE} * spread, 0) END) AS lo_{r}" for r, (_, low) in RATIOS.items() if low])
-    return f"""
-{name}_run AS (SELECT {lead}ratio, bucket, sum(count(*)) OVER (PARTITION BY {part} ORDER BY bucket) AS cum, sum(count(*)) OVER (PARTITION BY {part}) AS n
-  FROM sk GROUP BY {part}, bucket),
-{name}_q AS (SELECT {part}, min(CASE WHEN cum * 4 >= n THEN bucket END) AS q1, min(CASE WHEN cum * 4 >= 3 * n THEN bucket END) AS q3, max(n) AS n FROM {name}_run GROUP BY {part}),
-{name} AS (SELECT {lead}max(n) AS n, {cols} FROM (SELECT *, greatest(q3 - q1, CASE ratio {_SLACK} END) AS spread FROM {name}_q) {f'GROUP BY {keys}' if keys else ''}),"""
-
-
-def _pick(n: str) -> str:
-    lang = f"((l.n * l.{n} + {BORROWED} * e.{n}) // (l.n + {BORROWED}))"
-    return f"(g.n * g.{n} + {BORROWED} * {lang}) // (g.n + {BORROWED}) AS {n}"
+_WITHIN = " AND ".join([f"coalesce({r} <= hi_{r}, true)" for r in RATIOS] + [f"coalesce({r} >= lo_{r}, true)" for r, low in RATIOS.items() if low])
 
 
 def judged_sql(table: str) -> str:
     """CTEs that end in ``judged`` (doc_id, counts, ratios, verdicts, text,
     lang, source, n_chars) over a table with the columns of documents."""
-    names = [f"hi_{r}" for r in RATIOS] + [f"lo_{r}" for r, (_, low) in RATIOS.items() if low]
+    judged_low = ", ".join(f"'{r}'" for r, low in RATIOS.items() if low)
+    at = ", ".join(f"max(cut) FILTER (fence = '{f}') AS {f}" for f in FENCES)
     return rf"""
 raw AS (SELECT *, coalesce(text, '') AS t FROM {table}),
 wl AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -193,9 +191,26 @@ m AS (SELECT *, CASE WHEN n_words = 0 THEN 0 ELSE n_symbols * 1000 // n_words EN
   CASE WHEN n_words = 0 THEN 0 ELSE n_repeat_words * 1000 // n_words END AS repeat_milli,
   CASE WHEN n_words = 0 THEN 0 ELSE word_chars * 1000 // n_words END AS word_len_milli FROM cn),
 lg AS (SELECT lang, source, unnest([{', '.join(f"'{r}'" for r in RATIOS)}]) AS ratio, unnest([{', '.join(RATIOS)}]) AS v FROM m),
-sk AS (SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - {SIG_BITS}, 0)) << greatest(length(bin(v)) - {SIG_BITS}, 0) AS bucket FROM lg),
-{_sql_fences('g', 'lang, source')}{_sql_fences('l', 'lang')}{_sql_fences('e', '')}
-lim AS (SELECT g.lang AS g_lang, g.source AS g_source, {', '.join(_pick(n) for n in names)} FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang, e),
+sk AS (SELECT lang, source, ratio, bucket, count(*) AS n FROM (SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - {SIG_BITS}, 0)) << greatest(length(bin(v)) - {SIG_BITS}, 0) AS bucket FROM lg) GROUP BY ALL),
+ev AS (SELECT ratio, bucket, (1000 * {BORROWED} * sum(n)::BIGINT) // (sum(sum(n)) OVER (PARTITION BY ratio))::BIGINT AS w FROM sk GROUP BY 1, 2),
+lr AS (SELECT lang, ratio, sum(n)::BIGINT AS n FROM sk GROUP BY 1, 2),
+lw AS (SELECT lang, ratio, bucket, sum(w)::BIGINT AS w FROM (SELECT lang, ratio, bucket, 1000 * n AS w FROM sk UNION ALL SELECT lr.lang, lr.ratio, ev.bucket, ev.w FROM lr JOIN ev ON lr.ratio = ev.ratio) GROUP BY 1, 2, 3),
+gr AS (SELECT DISTINCT lang, source, ratio FROM sk),
+pw AS (SELECT lang, source, ratio, bucket, sum(w)::DOUBLE AS w FROM (SELECT lang, source, ratio, bucket, 1000 * n AS w FROM sk
+  UNION ALL SELECT gr.lang, gr.source, gr.ratio, bucket, ({BORROWED} * w) // (lr.n + {BORROWED}) FROM gr JOIN lw ON gr.lang IS NOT DISTINCT FROM lw.lang AND gr.ratio = lw.ratio JOIN lr ON gr.lang IS NOT DISTINCT FROM lr.lang AND gr.ratio = lr.ratio)
+  GROUP BY 1, 2, 3, 4 HAVING sum(w) > 0),
+cm AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, ratio ORDER BY bucket) AS cum, sum(w) OVER (PARTITION BY lang, source, ratio) AS tot FROM pw),
+md AS (SELECT *, min(CASE WHEN cum * 2 >= tot THEN bucket END) OVER (PARTITION BY lang, source, ratio) AS median FROM cm),
+sd AS (SELECT lang, source, ratio, 'hi' AS side, bucket AS o, w, bucket::DOUBLE AS v FROM md WHERE bucket >= median
+  UNION ALL SELECT lang, source, ratio, 'lo', -bucket, w, bucket::DOUBLE FROM md WHERE bucket <= median AND ratio IN ({judged_low})),
+ct AS (SELECT *, sum(w) OVER c AS w1, sum(w * v) OVER c AS s1, sum(w * v * v) OVER c AS q1, sum(w) OVER a AS w0, sum(w * v) OVER a AS s0, sum(w * v * v) OVER a AS q0 FROM sd
+  WINDOW c AS (PARTITION BY lang, source, ratio, side ORDER BY o), a AS (PARTITION BY lang, source, ratio, side)),
+mn AS (SELECT *, w0 - w1 AS w2, s1 / w1 AS m1, (s0 - s1) / (w0 - w1) AS m2, q1 / w1 AS e1, (q0 - q1) / (w0 - w1) AS e2 FROM ct WHERE w1 < w0),
+bt AS (SELECT *, w1 * w2 * ((m1 - m2) * (m1 - m2)) AS between_, greatest(e1 - m1 * m1, 0) + greatest(e2 - m2 * m2, 0) AS spread FROM mn),
+bs AS (SELECT *, CASE WHEN 2 * ((m1 - m2) * (m1 - m2)) >= {APART * APART} * spread THEN floor((m1 + m2) / 2)::BIGINT END AS cut, side || '_' || ratio AS fence FROM bt
+  QUALIFY row_number() OVER (PARTITION BY lang, source, ratio, side ORDER BY between_ DESC, o) = 1),
+gs AS (SELECT DISTINCT lang, source FROM sk),
+lim AS (SELECT gs.lang AS g_lang, gs.source AS g_source, {at} FROM gs LEFT JOIN bs ON gs.lang IS NOT DISTINCT FROM bs.lang AND gs.source IS NOT DISTINCT FROM bs.source GROUP BY 1, 2),
 judged AS (SELECT *, base_failed AS bf, NOT base_failed AND NOT outlier AS kept FROM (SELECT *,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT ({_WITHIN}) AS outlier
   FROM m JOIN lim ON m.lang IS NOT DISTINCT FROM g_lang AND m.source IS NOT DISTINCT FROM g_source))"""
