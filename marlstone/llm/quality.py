@@ -13,9 +13,11 @@ No ratio has a cutoff or a least spread of its own.  A group's fence stands wher
 the half of its sketch beyond the median falls apart into two classes: of all
 buckets at which it can be cut the one with the largest variance between the
 classes, halfway between their means, if these are at least ``APART`` of the
-classes' common deviations apart.  Otherwise nothing there is an outlier, and
-there is no fence.  A document is rejected when a ratio lies beyond its group's
-fences, or when it fails the fixed base rules.
+classes' common deviations apart.  A deviation includes what one event (a symbol,
+a repeated line) makes in a document of the group, so that the first document
+with one symbol is no outlier.  Otherwise nothing there is an outlier, and there
+is no fence.  A document is rejected when a ratio lies beyond its group's fences,
+or when it fails the fixed base rules; sketches are of those that pass them.
 
 Edge cases: a null text counts as empty (0 words, fails the base rule); null
 language or source is a group of its own; an empty table gives an empty result;
@@ -38,6 +40,10 @@ APART = 3.5
 ROW = 1000
 #: ratio -> whether low values are judged too
 RATIOS = {"symbol_milli": False, "upper_milli": False, "dup_milli": False, "repeat_milli": False, "word_len_milli": True}
+#: ratio -> (what one event adds to its count, the count it is a share of); one
+#: repeated window is two windows of three words
+EVENTS = {"symbol_milli": (1, "n_words"), "upper_milli": (1, "word_chars"), "dup_milli": (1, "n_lines"), "repeat_milli": (6, "n_words"), "word_len_milli": (0, "n_words")}
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 FENCES = tuple(f"hi_{r}" for r in RATIOS) + tuple(f"lo_{r}" for r, low in RATIOS.items() if low)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 
@@ -93,29 +99,32 @@ def with_ratios(m: DataFrame) -> DataFrame:
 
 
 def sketches(m: DataFrame) -> DataFrame:
-    """Quantile sketches: (lang, source, ratio, bucket, n).  Summing ``n`` over
-    any grouping of rows merges the sketches of that grouping."""
-    pairs = F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(r).alias("v")) for r in RATIOS])
-    long = m.select("lang", "source", F.explode(pairs).alias("x")).select("lang", "source", "x.ratio", "x.v")
+    """Quantile sketches: (lang, source, ratio, bucket, n, e) of the documents
+    that pass the base rules; e sums the squares of one event's part.  Summing n
+    and e over any grouping of rows merges the sketches of that grouping."""
+    event = lambda r: F.expr(f"CASE WHEN {EVENTS[r][1]} = 0 THEN 0 ELSE ({EVENTS[r][0]} * 1000) div {EVENTS[r][1]} END").cast("long")
+    pairs = F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(r).alias("v"), (event(r) * event(r)).alias("e")) for r in RATIOS])
+    long = m.where(f"NOT ({BASE_FAILED})").select("lang", "source", F.explode(pairs).alias("x")).select("lang", "source", "x.ratio", "x.v", "x.e")
     long = long.withColumn("s", F.greatest(F.length(F.bin("v")) - SIG_BITS, F.lit(0)))
-    return long.withColumn("bucket", F.expr("shiftleft(shiftright(v, s), s)")).groupBy("lang", "source", "ratio", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return long.withColumn("bucket", F.expr("shiftleft(shiftright(v, s), s)")).groupBy("lang", "source", "ratio", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("e"))
 
 
 def pooled(sk: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bucket, w): every group's sketch with what it
+    """(lang, source, ratio, bucket, w, e): every group's sketch with what it
     borrows; ``ROW`` is the weight of a row."""
-    everything = sk.groupBy("ratio", "bucket").agg(F.sum("n").alias("n"))  # some thousand rows at most: buckets are log-linear
-    everything = everything.withColumn("rows", F.sum("n").over(W.partitionBy("ratio"))).select(F.col("ratio").alias("r"), "bucket", F.expr(f"({ROW} * {BORROWED} * n) div rows").alias("w"))
-    lang = sk.groupBy("lang", "ratio", "bucket").agg((ROW * F.sum("n")).alias("w"))
+    both = lambda k: [F.sum(c).alias(c) for c in k]
+    weighed = sk.withColumns({"w": ROW * F.col("n"), "e": ROW * F.col("e")})
+    everything = weighed.groupBy("ratio", "bucket").agg(*both(("w", "e")))  # some thousand rows at most: buckets are log-linear
+    everything = everything.withColumn("rows", F.sum("w").over(W.partitionBy("ratio"))).selectExpr("ratio AS r", "bucket", f"({ROW * BORROWED} * w) div rows AS w", f"({ROW * BORROWED} * e) div rows AS e")
     rows = sk.groupBy("lang", "ratio").agg(F.sum("n").alias("rows"))
-    lent = rows.join(F.broadcast(everything), F.col("ratio") == F.col("r")).select("lang", "ratio", "bucket", "w")
-    lang = lang.unionByName(lent).groupBy("lang", "ratio", "bucket").agg(F.sum("w").alias("w"))
+    lent = rows.join(F.broadcast(everything), F.col("ratio") == F.col("r")).select("lang", "ratio", "bucket", "w", "e")
+    lang = weighed.select("lang", "ratio", "bucket", "w", "e").unionByName(lent).groupBy("lang", "ratio", "bucket").agg(*both(("w", "e")))
     share = lang.alias("l").join(rows.alias("r"), F.col("l.lang").eqNullSafe(F.col("r.lang")) & (F.col("l.ratio") == F.col("r.ratio")))
-    share = share.select(F.col("l.lang").alias("m_lang"), F.col("l.ratio").alias("m_ratio"), "bucket", F.expr(f"({BORROWED} * w) div (rows + {BORROWED})").alias("w"))
+    share = share.selectExpr("l.lang AS m_lang", "l.ratio AS m_ratio", "bucket", f"({BORROWED} * w) div (rows + {BORROWED}) AS w", f"({BORROWED} * e) div (rows + {BORROWED}) AS e")
     groups = sk.select("lang", "source", "ratio").distinct()
-    lent = groups.join(share, F.col("lang").eqNullSafe(F.col("m_lang")) & (F.col("ratio") == F.col("m_ratio"))).select("lang", "source", "ratio", "bucket", "w")
-    own = sk.select("lang", "source", "ratio", "bucket", (ROW * F.col("n")).alias("w"))
-    return own.unionByName(lent).groupBy("lang", "source", "ratio", "bucket").agg(F.sum("w").cast("double").alias("w")).where("w > 0")
+    lent = groups.join(share, F.col("lang").eqNullSafe(F.col("m_lang")) & (F.col("ratio") == F.col("m_ratio"))).select("lang", "source", "ratio", "bucket", "w", "e")
+    own = weighed.select("lang", "source", "ratio", "bucket", "w", "e")
+    return own.unionByName(lent).groupBy("lang", "source", "ratio", "bucket").agg(*[F.sum(c).cast("double").alias(c) for c in ("w", "e")]).where("w > 0")
 
 
 def fences(sk: DataFrame) -> DataFrame:
@@ -128,7 +137,8 @@ def fences(sk: DataFrame) -> DataFrame:
     sides = run.where(F.col("bucket") >= F.col("median")).withColumns({"side": F.lit("hi"), "o": F.col("bucket")}).unionByName(low.withColumns({"side": F.lit("lo"), "o": -F.col("bucket")}))
     half = W.partitionBy(*keys, "side")
     v = F.col("bucket").cast("double")
-    sums = {"w": F.col("w"), "s": F.col("w") * v, "q": F.col("w") * v * v}
+    width = F.expr(f"pow(2.0D, greatest(length(bin(bucket)) - {SIG_BITS}, 0))")  # values are even within a bucket
+    sums = {"w": F.col("w"), "s": F.col("w") * v, "q": F.col("w") * (v * v + width * width / 12) + F.col("e")}
     cut = sides.select(*keys, "side", "o", *[F.sum(c).over(half.orderBy("o")).alias(f"{n}1") for n, c in sums.items()], *[F.sum(c).over(half).alias(f"{n}0") for n, c in sums.items()])
     cut = cut.where("w1 < w0").selectExpr(*keys, "side", "o", "w1", "w0 - w1 AS w2", "s1 / w1 AS m1", "(s0 - s1) / (w0 - w1) AS m2", "q1 / w1 AS q1", "(q0 - q1) / (w0 - w1) AS q2")
     cut = cut.selectExpr(*keys, "side", "o", "m1", "m2", "(m1 - m2) * (m1 - m2) AS d", "w1 * w2 * ((m1 - m2) * (m1 - m2)) AS between", "greatest(q1 - m1 * m1, 0.0D) + greatest(q2 - m2 * m2, 0.0D) AS spread")
@@ -152,8 +162,7 @@ def judged(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
         out = out | F.coalesce(F.col(r) > F.col(f"hi_{r}"), F.lit(False))
         if low:
             out = out | F.coalesce(F.col(r) < F.col(f"lo_{r}"), F.lit(False))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    j = j.withColumns({"base_failed": base, "outlier": out})
+    j = j.withColumns({"base_failed": F.expr(BASE_FAILED), "outlier": out})
     return j.withColumn("kept", ~F.col("base_failed") & ~F.col("outlier")).select("row", *COUNTS, *RATIOS, "base_failed", "outlier", "kept")
 
 
@@ -173,6 +182,7 @@ _WITHIN = " AND ".join([f"coalesce({r} <= hi_{r}, true)" for r in RATIOS] + [f"c
 def judged_sql(table: str) -> str:
     """CTEs that end in ``judged`` (doc_id, counts, ratios, verdicts, text,
     lang, source, n_chars) over a table with the columns of documents."""
+    events = ", ".join(f"CASE WHEN {below} = 0 THEN 0 ELSE {1000 * n} // {below} END" for n, below in (EVENTS[r] for r in RATIOS))
     judged_low = ", ".join(f"'{r}'" for r, low in RATIOS.items() if low)
     at = ", ".join(f"max(cut) FILTER (fence = '{f}') AS {f}" for f in FENCES)
     return rf"""
@@ -190,20 +200,20 @@ m AS (SELECT *, CASE WHEN n_words = 0 THEN 0 ELSE n_symbols * 1000 // n_words EN
   CASE WHEN n_lines = 0 THEN 0 ELSE n_dup_lines * 1000 // n_lines END AS dup_milli,
   CASE WHEN n_words = 0 THEN 0 ELSE n_repeat_words * 1000 // n_words END AS repeat_milli,
   CASE WHEN n_words = 0 THEN 0 ELSE word_chars * 1000 // n_words END AS word_len_milli FROM cn),
-lg AS (SELECT lang, source, unnest([{', '.join(f"'{r}'" for r in RATIOS)}]) AS ratio, unnest([{', '.join(RATIOS)}]) AS v FROM m),
-sk AS (SELECT lang, source, ratio, bucket, count(*) AS n FROM (SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - {SIG_BITS}, 0)) << greatest(length(bin(v)) - {SIG_BITS}, 0) AS bucket FROM lg) GROUP BY ALL),
-ev AS (SELECT ratio, bucket, (1000 * {BORROWED} * sum(n)::BIGINT) // (sum(sum(n)) OVER (PARTITION BY ratio))::BIGINT AS w FROM sk GROUP BY 1, 2),
+lg AS (SELECT lang, source, unnest([{', '.join(f"'{r}'" for r in RATIOS)}]) AS ratio, unnest([{', '.join(RATIOS)}]) AS v, unnest([{events}]) AS e FROM m WHERE NOT ({BASE_FAILED})),
+sk AS (SELECT lang, source, ratio, bucket, count(*) AS n, sum(e * e)::BIGINT AS e FROM (SELECT lang, source, ratio, e, (v >> greatest(length(bin(v)) - {SIG_BITS}, 0)) << greatest(length(bin(v)) - {SIG_BITS}, 0) AS bucket FROM lg) GROUP BY ALL),
+ev AS (SELECT ratio, bucket, ({ROW * BORROWED} * sum(n)::BIGINT) // (sum(sum(n)) OVER (PARTITION BY ratio))::BIGINT AS w, ({ROW * BORROWED} * sum(e)::BIGINT) // (sum(sum(n)) OVER (PARTITION BY ratio))::BIGINT AS e FROM sk GROUP BY 1, 2),
 lr AS (SELECT lang, ratio, sum(n)::BIGINT AS n FROM sk GROUP BY 1, 2),
-lw AS (SELECT lang, ratio, bucket, sum(w)::BIGINT AS w FROM (SELECT lang, ratio, bucket, 1000 * n AS w FROM sk UNION ALL SELECT lr.lang, lr.ratio, ev.bucket, ev.w FROM lr JOIN ev ON lr.ratio = ev.ratio) GROUP BY 1, 2, 3),
+lw AS (SELECT lang, ratio, bucket, sum(w)::BIGINT AS w, sum(e)::BIGINT AS e FROM (SELECT lang, ratio, bucket, {ROW} * n AS w, {ROW} * e AS e FROM sk UNION ALL SELECT lr.lang, lr.ratio, ev.bucket, ev.w, ev.e FROM lr JOIN ev ON lr.ratio = ev.ratio) GROUP BY 1, 2, 3),
 gr AS (SELECT DISTINCT lang, source, ratio FROM sk),
-pw AS (SELECT lang, source, ratio, bucket, sum(w)::DOUBLE AS w FROM (SELECT lang, source, ratio, bucket, 1000 * n AS w FROM sk
-  UNION ALL SELECT gr.lang, gr.source, gr.ratio, bucket, ({BORROWED} * w) // (lr.n + {BORROWED}) FROM gr JOIN lw ON gr.lang IS NOT DISTINCT FROM lw.lang AND gr.ratio = lw.ratio JOIN lr ON gr.lang IS NOT DISTINCT FROM lr.lang AND gr.ratio = lr.ratio)
+pw AS (SELECT lang, source, ratio, bucket, sum(w)::DOUBLE AS w, sum(e)::DOUBLE AS e FROM (SELECT lang, source, ratio, bucket, {ROW} * n AS w, {ROW} * e AS e FROM sk
+  UNION ALL SELECT gr.lang, gr.source, gr.ratio, bucket, ({BORROWED} * w) // (lr.n + {BORROWED}), ({BORROWED} * e) // (lr.n + {BORROWED}) FROM gr JOIN lw ON gr.lang IS NOT DISTINCT FROM lw.lang AND gr.ratio = lw.ratio JOIN lr ON gr.lang IS NOT DISTINCT FROM lr.lang AND gr.ratio = lr.ratio)
   GROUP BY 1, 2, 3, 4 HAVING sum(w) > 0),
 cm AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, ratio ORDER BY bucket) AS cum, sum(w) OVER (PARTITION BY lang, source, ratio) AS tot FROM pw),
 md AS (SELECT *, min(CASE WHEN cum * 2 >= tot THEN bucket END) OVER (PARTITION BY lang, source, ratio) AS median FROM cm),
-sd AS (SELECT lang, source, ratio, 'hi' AS side, bucket AS o, w, bucket::DOUBLE AS v FROM md WHERE bucket >= median
-  UNION ALL SELECT lang, source, ratio, 'lo', -bucket, w, bucket::DOUBLE FROM md WHERE bucket <= median AND ratio IN ({judged_low})),
-ct AS (SELECT *, sum(w) OVER c AS w1, sum(w * v) OVER c AS s1, sum(w * v * v) OVER c AS q1, sum(w) OVER a AS w0, sum(w * v) OVER a AS s0, sum(w * v * v) OVER a AS q0 FROM sd
+sd AS (SELECT lang, source, ratio, 'hi' AS side, bucket AS o, w, e, bucket::DOUBLE AS v FROM md WHERE bucket >= median
+  UNION ALL SELECT lang, source, ratio, 'lo', -bucket, w, e, bucket::DOUBLE FROM md WHERE bucket <= median AND ratio IN ({judged_low})),
+ct AS (SELECT *, sum(w) OVER c AS w1, sum(w * v) OVER c AS s1, sum(w * (v * v + wd * wd / 12) + e) OVER c AS q1, sum(w) OVER a AS w0, sum(w * v) OVER a AS s0, sum(w * (v * v + wd * wd / 12) + e) OVER a AS q0 FROM (SELECT *, pow(2.0::DOUBLE, greatest(length(bin(abs(o))) - {SIG_BITS}, 0)) AS wd FROM sd)
   WINDOW c AS (PARTITION BY lang, source, ratio, side ORDER BY o), a AS (PARTITION BY lang, source, ratio, side)),
 mn AS (SELECT *, w0 - w1 AS w2, s1 / w1 AS m1, (s0 - s1) / (w0 - w1) AS m2, q1 / w1 AS e1, (q0 - q1) / (w0 - w1) AS e2 FROM ct WHERE w1 < w0),
 bt AS (SELECT *, w1 * w2 * ((m1 - m2) * (m1 - m2)) AS between_, greatest(e1 - m1 * m1, 0) + greatest(e2 - m2 * m2, 0) AS spread FROM mn),
@@ -213,7 +223,7 @@ gs AS (SELECT DISTINCT lang, source FROM sk),
 lim AS (SELECT gs.lang AS g_lang, gs.source AS g_source, {at} FROM gs LEFT JOIN bs ON gs.lang IS NOT DISTINCT FROM bs.lang AND gs.source IS NOT DISTINCT FROM bs.source GROUP BY 1, 2),
 judged AS (SELECT *, base_failed AS bf, NOT base_failed AND NOT outlier AS kept FROM (SELECT *,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT ({_WITHIN}) AS outlier
-  FROM m JOIN lim ON m.lang IS NOT DISTINCT FROM g_lang AND m.source IS NOT DISTINCT FROM g_source))"""
+  FROM m LEFT JOIN lim ON m.lang IS NOT DISTINCT FROM g_lang AND m.source IS NOT DISTINCT FROM g_source))"""
 
 
 OP2_SQL = f"""WITH {judged_sql('documents')}

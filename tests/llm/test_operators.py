@@ -109,8 +109,8 @@ def test_quality_fences_follow_their_groups(spark):
     shout = lambda i, every: " ".join(w.upper() if k % every == i % every else w for k, w in enumerate(words(i, 120).split()))
     rows = [(i, words(i, 100 + i % 40), "en", "quiet") for i in range(500)] + [(1000 + i, shout(i, 3), "en", "loud") for i in range(500)]
     rows += [(2000 + i, shout(i, 3), "en", "quiet") for i in range(6)] + [(3000 + i, shout(i, 1), "en", "loud") for i in range(6)] + [(4000 + i, words(i, 100), "fr", "plain") for i in range(300)]
-    m = quality.with_ratios(quality.measured(docs(spark, rows), ("doc_id",)))
-    got = {r.g_source: r for r in quality.fences(quality.sketches(m)).collect()}
+    m = quality.with_ratios(quality.written(quality.measured(docs(spark, rows), ("doc_id",)), "measured"))
+    got = {r.g_source: r for r in quality.fences(quality.written(quality.sketches(m), "sketches")).collect()}
     assert got["quiet"].hi_upper_milli < 170 < got["loud"].hi_upper_milli < 500
     assert got["quiet"].hi_symbol_milli is None and got["plain"].hi_dup_milli is None
     kept = {r.doc_id: r.kept for r in quality.judged(docs(spark, rows), carry=("doc_id",)).select("row.doc_id", "kept").collect()}
