@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from marlstone.operators.belief import LIK, POST, SEQ, evidence, likelihoods, log_likelihood, posteriors, priors, sequences, softmax
+from marlstone.operators.belief import LIK, POST, SEQ, evidence, likelihoods, log_likelihood, posterior_rows, priors, sequence_rows, softmax
 from marlstone.operators.ordering import shuffled
 from marlstone.operators.scoring import brier, r6, weight
 from marlstone.plans.config import DEFAULT
@@ -32,7 +32,7 @@ _BLANK = f"bl AS (SELECT ev.key, ev.truth, (0.9 - ((SELECT sum(prior * prior) FR
 
 def _blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of reporting the prior."""
-    return _scored(sequences(evidence(spark, sf_dir)).where("k = 0"))
+    return _scored(sequence_rows(spark, sf_dir).where("k = 0"))
 
 
 @query(f"WITH {LIK}, {_BLANK} SELECT 'blank_floor' AS probe, round(avg(s), 6) AS observed, round((SELECT sum(prior * (0.9 - (s2 - 2 * prior + 1)) * {DEFAULT.weight_sql('1 + label % 4')}) FROM pri, (SELECT sum(prior * prior) AS s2 FROM pri)), 6) AS bound, abs(avg(s) - (SELECT sum(prior * (0.9 - (s2 - 2 * prior + 1)) * {DEFAULT.weight_sql('1 + label % 4')}) FROM pri, (SELECT sum(prior * prior) AS s2 FROM pri))) < 0.15 AS passed FROM bl")
@@ -48,7 +48,7 @@ def audit_blank_floor(spark, sf_dir):
 @query(f"WITH {POST}, {_SC}, {_BLANK} SELECT 'no_test_ablation' AS probe, round((SELECT avg(s) FROM sc) - (SELECT avg(s) FROM bl), 6) AS observed, 0.2 AS bound, (SELECT avg(s) FROM sc) - (SELECT avg(s) FROM bl) > 0.2 AS passed")
 def audit_no_tests(spark, sf_dir):
     """Evidence must be worth something: full reports against blank ones."""
-    full = _scored(posteriors(evidence(spark, sf_dir)))
+    full = _scored(posterior_rows(spark, sf_dir))
     both = full.withColumn("x", F.lit(1)).unionByName(_blank(spark, sf_dir).withColumn("x", F.lit(0)))
     gap = F.avg(F.when(F.col("x") == 1, F.col("s"))) - F.avg(F.when(F.col("x") == 0, F.col("s")))
     return _probe(both, "no_test_ablation", gap, F.lit(0.2), lambda o, b: o > b)
@@ -61,7 +61,7 @@ pm AS (SELECT a.key, b.truth AS other FROM sh a JOIN sh b ON a.i = b.j)"""
 @query(f"WITH {POST}, {_SC}, {_PERM}, ss AS (SELECT post.key, (0.9 - (sum(p * p) - 2 * max(CASE WHEN label = other THEN p ELSE 0 END) + 1)) * max({DEFAULT.weight_sql('1 + other % 4')}) AS s FROM post JOIN pm USING (key) GROUP BY 1) SELECT 'shuffled_labels' AS probe, round((SELECT avg(s) FROM ss), 6) AS observed, round((SELECT avg(s) FROM sc), 6) AS bound, (SELECT avg(s) FROM ss) < 0.1 AND (SELECT avg(s) FROM sc) - (SELECT avg(s) FROM ss) > 0.5 AS passed")
 def audit_shuffled(spark, sf_dir):
     """Truths dealt to other records must not score."""
-    p = posteriors(evidence(spark, sf_dir))
+    p = posterior_rows(spark, sf_dir)
     t = p.select("key", "truth").distinct()
     # two orders of the evaluation set, joined on their places
     order = lambda seed: shuffled(t, F.md5(F.concat(F.lit(seed), F.col("key").cast("string"))), "key")
@@ -94,7 +94,7 @@ def audit_counterfactual(spark, sf_dir):
 
 @query(f"WITH {POST}, {_SC} SELECT 'ceiling' AS probe, round(max(s), 6) AS observed, 5.4 AS bound, max(s) <= 5.4 + 1e-6 AS passed FROM sc")
 def audit_ceiling(spark, sf_dir):
-    return _probe(_scored(posteriors(evidence(spark, sf_dir))), "ceiling", F.max("s"), F.lit(0.9 * DEFAULT.weight_4), lambda o, b: o <= b + 1e-6)
+    return _probe(_scored(posterior_rows(spark, sf_dir)), "ceiling", F.max("s"), F.lit(0.9 * DEFAULT.weight_4), lambda o, b: o <= b + 1e-6)
 
 
 @query(f"WITH {POST}, {_SC} SELECT 'held_out_gap' AS probe, round(avg(s) FILTER (truth % 5 NOT IN {HELD_OUT}) - avg(s) FILTER (truth % 5 IN {HELD_OUT}), 6) AS observed, 0.0 AS bound, true AS passed FROM sc")
@@ -102,7 +102,7 @@ def audit_held_out(spark, sf_dir):
     """Seen less held-out systems: reported, never gated."""
     held = (F.col("truth") % 5).isin(*HELD_OUT)
     gap = F.avg(F.when(~held, F.col("s"))) - F.avg(F.when(held, F.col("s")))
-    return _probe(_scored(posteriors(evidence(spark, sf_dir))), "held_out_gap", gap, F.lit(0.0), lambda o, b: F.lit(True))
+    return _probe(_scored(posterior_rows(spark, sf_dir)), "held_out_gap", gap, F.lit(0.0), lambda o, b: F.lit(True))
 
 
 @query(f"WITH {LIK}, s AS (SELECT key, string_agg(dim, ',' ORDER BY dim) AS d FROM ev GROUP BY 1) SELECT 'presence' AS probe, count(DISTINCT d)::DOUBLE AS observed, 1.0 AS bound, count(DISTINCT d) = 1 AS passed FROM s")
@@ -141,7 +141,7 @@ def audit_spot_checks(spark, sf_dir):
     some = lik.where(F.col("dim") < SPOTS)
     moved = some.join(some.groupBy("dim").agg(F.percentile("mean", 0.98).alias("x")), "dim").withColumn("l0", log_likelihood(F.col("x")))
     fav = moved.groupBy("dim").agg(F.min_by("label", F.struct(-F.round("l0", 9), F.col("label"))).alias("fav"))
-    p = posteriors(ev).select("key", "label", "p")
+    p = posterior_rows(spark, sf_dir).select("key", "label", "p")
     own = ev.where(F.col("dim") < SPOTS).join(F.broadcast(moved), "dim").select("key", "dim", "label", (F.col("l0") - log_likelihood(F.col("value"))).alias("change"))
     # the old belief times the change of one likelihood, normalised again
     w = own.join(p, ["key", "label"]).withColumn("w", F.ln(F.greatest("p", F.lit(1e-300))) + F.col("change"))

@@ -1,24 +1,34 @@
 """Beliefs over labels from evidence: likelihood tables, posteriors, entropies,
 ceilings, sequences and the choice of a next test.
 
-Evidence is one row (key, dim, value); a likelihood table has a row for each
-(dim, label).  Their join is the only step that multiplies rows (by the number
-of labels); it is a broadcast join followed by a partial aggregate, and is never
-shuffled before that.
+A record whose evidence lies in one row (an array) gets its belief in one pass:
+the fitted table (a number for each label and dim) goes to the tasks, which sum
+and normalise whole Arrow batches; nothing is shuffled (:func:`beliefs`,
+:func:`belief_sequences`).  Array functions would do the same inside the JVM, but
+are interpreted, and took four times the CPU of a join.  Evidence that comes as
+rows (key, dim, value) is joined with the table's rows and summed
+(:func:`posteriors`, :func:`sequences`).
 """
 
 from __future__ import annotations
 
+import sys
 from math import pi
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from marlstone.functions.normal import normal_cdf
+from marlstone.functions.normal import once
 from marlstone.operators.scoring import r6, weight
 from marlstone.plans.config import DEFAULT
 from marlstone.plans.registry import query
 from marlstone.sources.views import table
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
+
 FLOOR = -700.0
 MIN_SD = 0.001
 
@@ -70,6 +80,107 @@ def sequences(ev: DataFrame) -> DataFrame:
     return softmax(lp, ["key", "k"]).select("key", "truth", "k", "label", "p")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, truth, values): the same evidence as arrays."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("key"), F.col("label").cast("int").alias("truth"), F.col("embedding").cast("array<double>").alias("values")).where(F.size("values") > 0)
+
+
+class Fitted(NamedTuple):
+    """A fitted table: labels and log priors; means and deviations by (label, dim)."""
+
+    labels: np.ndarray
+    log_priors: np.ndarray
+    mean: np.ndarray
+    sd: np.ndarray
+
+    def log_likelihoods(self, values: pa.ListArray) -> np.ndarray:
+        """(record, label, dim); what a record lacks says nothing."""
+        dims = self.mean.shape[1]
+        given = values.flatten()
+        flat = given.to_numpy(zero_copy_only=False).astype(float)
+        if np.isfinite(flat).sum() != len(flat) - given.null_count:
+            raise ValueError("evidence is not finite")
+        sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        v = np.full((len(sizes), dims), np.nan)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        v[np.repeat(np.arange(len(sizes)), sizes)[at < dims], at[at < dims]] = flat[at < dims]
+        z = (v[:, None, :] - self.mean) / self.sd
+        return np.nan_to_num(-0.5 * z * z - np.log(self.sd) - 0.5 * np.log(2 * pi), nan=0.0)
+
+    def shares(self, logits: np.ndarray) -> np.ndarray:
+        """Softmax over the labels, shifted and floored."""
+        e = np.exp(np.maximum(logits - logits.max(axis=-1, keepdims=True), FLOOR))
+        return e / e.sum(axis=-1, keepdims=True)
+
+    def lists(self, p: np.ndarray) -> pa.ListArray:
+        """Rows of shares as lists of (label, p)."""
+        both = pa.StructArray.from_arrays([pa.array(np.tile(self.labels, len(p)), pa.int32()), pa.array(p.ravel())], names=["label", "p"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(self.labels), pa.int32()), both)
+
+
+def fitted(lik: DataFrame, pri: DataFrame) -> Fitted:
+    """The table as numbers: labels times dims, both dimensions."""
+    rows = lik.join(pri, "label").select("label", "dim", "mean", "sd", F.ln("prior").alias("lp")).orderBy("label", "dim").toArrow()
+    labels, first = np.unique(rows["label"].to_numpy(), return_index=True)
+    grid = lambda c: rows[c].to_numpy().reshape(len(labels), -1) if len(labels) else np.zeros((0, 0))
+    return Fitted(labels, rows["lp"].to_numpy()[first], grid("mean"), grid("sd"))
+
+
+def beliefs(records: DataFrame, model: Fitted) -> DataFrame:
+    """``records`` (with values) and ``belief``, an array of (label, p) in the
+    order of the labels; a value that is null says nothing."""
+
+    def of(values: pa.Array) -> pa.Array:
+        return model.lists(model.shares(model.log_priors + model.log_likelihoods(values).sum(axis=2)))
+
+    return records.withColumn("belief", F.arrow_udf(of, "array<struct<label:int,p:double>>")("values"))
+
+
+def belief_sequences(records: DataFrame, model: Fitted) -> DataFrame:
+    """``records`` and ``sequence``: the beliefs after 0, 1, ... values."""
+
+    def of(values: pa.Array) -> pa.Array:
+        steps = np.cumsum(model.log_likelihoods(values), axis=2)
+        logits = np.concatenate([np.zeros((*steps.shape[:2], 1)), steps], axis=2) + model.log_priors[:, None]
+        p = model.shares(np.swapaxes(logits, 1, 2))
+        per = model.lists(p.reshape(-1, p.shape[2]))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * p.shape[1], pa.int32()), per)
+
+    return records.withColumn("sequence", F.arrow_udf(of, "array<array<struct<label:int,p:double>>>")("values"))
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> Fitted:
+    ev = evidence(spark, sf_dir)
+    return fitted(likelihoods(ev), priors(ev))
+
+
+def belief_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, truth, belief) of every record."""
+    return beliefs(vectors(spark, sf_dir), _fitted(spark, sf_dir)).drop("values")
+
+
+def posterior_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, truth, label, p): :func:`posteriors` without a shuffle."""
+    return belief_rows(spark, sf_dir).select("key", "truth", F.inline("belief"))
+
+
+def sequence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, truth, k, label, p): :func:`sequences` without a shuffle."""
+    s = belief_sequences(vectors(spark, sf_dir), _fitted(spark, sf_dir)).select("key", "truth", F.posexplode("sequence").alias("k", "belief"))
+    return s.select("key", "truth", "k", F.inline("belief"))
+
+
+def row_entropy(belief: Column) -> Column:
+    return -F.aggregate(belief, F.lit(0.0), lambda a, x: a + F.when(x["p"] > 0, x["p"] * F.ln(x["p"])).otherwise(0.0))
+
+
+def expected_score(belief: Column) -> Column:
+    """The expected severity-weighted Brier score of reporting a belief."""
+    square = F.aggregate(belief, F.lit(0.0), lambda a, x: a + x["p"] * x["p"])
+    return once(square, lambda s2: F.aggregate(belief, F.lit(0.0), lambda a, x: a + x["p"] * weight(1 + x["label"] % 4) * (0.9 - (s2 - 2 * x["p"] + 1))))
+
+
 def entropy(p: Column) -> Column:
     return -F.sum(F.when(p > 0, p * F.ln(p)).otherwise(0.0))
 
@@ -105,23 +216,23 @@ def bel_prior(spark, sf_dir):
 
 @query(f"WITH {POST} SELECT key, label, round(p, 6) AS p FROM post")
 def bel_posterior(spark, sf_dir):
-    return posteriors(evidence(spark, sf_dir)).select("key", "label", r6("p").alias("p"))
+    return posterior_rows(spark, sf_dir).select("key", "label", r6("p").alias("p"))
 
 
 @query(f"WITH {SEQ} SELECT key, k, label, round(p, 6) AS p FROM seq")
 def bel_sequence(spark, sf_dir):
-    return sequences(evidence(spark, sf_dir)).select("key", "k", "label", r6("p").alias("p"))
+    return sequence_rows(spark, sf_dir).select("key", "k", "label", r6("p").alias("p"))
 
 
 @query(f"WITH {POST} SELECT key, round({_H}, 6) AS entropy FROM post GROUP BY key")
 def bel_entropy(spark, sf_dir):
-    return posteriors(evidence(spark, sf_dir)).groupBy("key").agg(r6(entropy(F.col("p"))).alias("entropy"))
+    return belief_rows(spark, sf_dir).select("key", r6(row_entropy(F.col("belief"))).alias("entropy"))
 
 
 @query(f"WITH {SEQ}, h AS (SELECT key, k, {_H} AS h FROM seq GROUP BY 1, 2) SELECT k, round(avg(h), 6) AS mean_entropy FROM h GROUP BY k")
 def bel_entropy_curve(spark, sf_dir):
     """Mean entropy after k observations."""
-    return sequences(evidence(spark, sf_dir)).groupBy("key", "k").agg(entropy(F.col("p")).alias("h")).groupBy("k").agg(r6(F.avg("h")).alias("mean_entropy"))
+    return sequence_rows(spark, sf_dir).groupBy("key", "k").agg(entropy(F.col("p")).alias("h")).groupBy("k").agg(r6(F.avg("h")).alias("mean_entropy"))
 
 
 def ceilings(post: DataFrame, score: Column | None = None) -> DataFrame:
@@ -136,15 +247,14 @@ def ceilings(post: DataFrame, score: Column | None = None) -> DataFrame:
 @query(f"WITH {POST}, q AS (SELECT *, sum(p * p) OVER (PARTITION BY key) AS s2 FROM post) SELECT key, round(sum(p * {_W} * (0.9 - (s2 - 2 * p + 1))), 6) AS expected, round(max(0.9 * {_W}), 6) AS hard FROM q GROUP BY key")
 def bel_ceilings(spark, sf_dir):
     """Expected ceiling of each belief and the hard ceiling of any."""
-    post = posteriors(evidence(spark, sf_dir))
-    hard = post.groupBy("key").agg(F.max(0.9 * weight(1 + F.col("label") % 4)).alias("hard"))
-    return ceilings(post).join(hard, "key").select("key", r6("expected").alias("expected"), r6("hard").alias("hard"))
+    hard = F.array_max(F.transform("belief", lambda x: 0.9 * weight(1 + x["label"] % 4)))
+    return belief_rows(spark, sf_dir).select("key", r6(expected_score(F.col("belief"))).alias("expected"), r6(hard).alias("hard"))
 
 
 @query(f"WITH {SEQ}, h AS (SELECT key, k, sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS phi FROM seq GROUP BY 1, 2), d AS (SELECT *, phi - lag(phi) OVER (PARTITION BY key ORDER BY k) AS term FROM h) SELECT key, round({DEFAULT.shaping_scale} * sum(term), 6) AS plain, round({DEFAULT.shaping_scale} * sum(term * 0.9 ** (k - 1)), 6) AS discounted, round({DEFAULT.shaping_scale} * (max_by(phi, k) - min_by(phi, k)), 6) AS telescoped FROM d GROUP BY key")
 def shape_terms(spark, sf_dir):
     """Potential shaping by negative entropy: summed, discounted, telescoped."""
-    h = sequences(evidence(spark, sf_dir)).groupBy("key", "k").agg((-entropy(F.col("p"))).alias("phi"))
+    h = sequence_rows(spark, sf_dir).groupBy("key", "k").agg((-entropy(F.col("p"))).alias("phi"))
     d = h.withColumn("term", F.col("phi") - F.lag("phi").over(W.partitionBy("key").orderBy("k")))
     s = DEFAULT.shaping_scale
     return d.groupBy("key").agg(r6(s * F.sum("term")).alias("plain"), r6(s * F.sum(F.col("term") * F.pow(F.lit(0.9), F.col("k") - 1))).alias("discounted"), r6(s * (F.max_by("phi", "k") - F.min_by("phi", "k"))).alias("telescoped"))
@@ -153,7 +263,7 @@ def shape_terms(spark, sf_dir):
 @query(f"WITH {SEQ}, m AS (SELECT key, k, p > lag(p) OVER (PARTITION BY key ORDER BY k) AS rose FROM seq WHERE label = truth) SELECT key, round(coalesce(avg(rose::INT), 1), 6) AS fraction FROM m WHERE k > 0 GROUP BY key")
 def process_fraction(spark, sf_dir):
     """Share of observations after which the truth's mass rose."""
-    t = sequences(evidence(spark, sf_dir)).where("label = truth")
+    t = sequence_rows(spark, sf_dir).where("label = truth")
     m = t.withColumn("rose", F.col("p") > F.lag("p").over(W.partitionBy("key").orderBy("k")))
     return m.where("k > 0").groupBy("key").agg(r6(F.coalesce(F.avg(F.col("rose").cast("int")), F.lit(1.0))).alias("fraction"))
 
@@ -233,30 +343,6 @@ def hindsight_test(spark, sf_dir):
     return b.select("key", F.when(F.col("best") >= MIN_GAIN, F.col("d")).alias("test"), r6("best").alias("best"))
 
 
-def truncated(lik: DataFrame, lo: float, hi: float) -> DataFrame:
-    """``lik`` with log_norm: the constant of a normal truncated to [lo, hi]."""
-    mass = normal_cdf((F.lit(hi) - F.col("mean")) / F.col("sd")) - normal_cdf((F.lit(lo) - F.col("mean")) / F.col("sd"))
-    return lik.withColumn("log_norm", 0.5 * F.ln(F.lit(2 * pi)) + F.ln("sd") + F.ln(mass))
-
-
-@query()
-def bel_truncated(spark, sf_dir):
-    """Likelihood constants truncated to four units either side."""
-    return truncated(likelihoods(evidence(spark, sf_dir)), -4.0, 4.0).select("dim", "label", r6("log_norm").alias("log_norm"))
-
-
-@query()
-def bucket_prior_normal(spark, sf_dir):
-    """(dim, bucket, prior) from the untruncated normals, weighted by label."""
-    ev = evidence(spark, sf_dir)
-    j = likelihoods(ev).join(F.broadcast(priors(ev)), "label")
-    below = lambda x: normal_cdf((F.lit(x) - F.col("mean")) / F.col("sd"))
-    j = j.select("dim", "prior", below(-0.5).alias("lo"), below(0.5).alias("hi"))
-    parts = F.array(*[F.struct(F.lit(n).alias("bucket"), p.alias("p")) for n, p in (("low", F.col("lo")), ("normal", F.col("hi") - F.col("lo")), ("high", 1 - F.col("hi")))])
-    x = j.select("dim", "prior", F.explode(parts).alias("x"))
-    return x.groupBy("dim", "x.bucket").agg(r6(F.sum(F.col("prior") * F.col("x.p"))).alias("prior"))
-
-
 #: Tests ordered after which a record is reported, greedily and in hindsight.
 STOP, STOP_HINDSIGHT = 6, 5
 

@@ -192,16 +192,18 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prescriptions(b, drug_rules(spark, sf_dir)).select("episode_id", F.inline(violation_list()))
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str, with_reports: bool = False) -> DataFrame:
     """One row an episode with all that scores depend on, under any weights:
-    steps are read once, reports are kept in closed form."""
+    steps are read once, reports are kept in closed form.  ``with_reports``
+    keeps the stated reports, and ``fits``: what its treatments are for."""
     labels = view(spark, sf_dir, "label")
     truth = F.broadcast(labels.select(F.col("label").alias("condition"), "urgency", F.lit(True).alias("listed_label")))
     e = view(spark, sf_dir, "episode").join(truth, "condition", "left")
     e = e.withColumn("condition", F.when(F.col("listed_label"), F.col("condition")).otherwise(F.raise_error(F.concat(F.lit("unknown label "), "condition")))).drop("listed_label")
     r = stated(view(spark, sf_dir, "report"), labels)
     j = e.join(with_bucket_priors(facts(view(spark, sf_dir, "charged"))), "episode_id", "left").join(r, "episode_id", "left")
-    j = j.withColumns({"brier": stated_brier(F.col("condition")), "mass": mass_on(F.col("condition")), "declared": declared()}).drop("names", "named", "unnamed", "share")
+    j = j.withColumns({"brier": stated_brier(F.col("condition")), "mass": mass_on(F.col("condition")), "declared": declared()})
+    j = j if with_reports else j.drop("names", "named", "unnamed", "share")
     x = prescriptions(j, drug_rules(spark, sf_dir))
     app = lambda label: F.coalesce(F.get(F.filter("rule_appropriate", lambda r: r["condition"] == label), F.lit(0))["score"], F.lit(0.0))
     given = F.col("treatment_key").isNotNull()
@@ -211,7 +213,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("episode_id").agg(
         *[F.first(c).alias(c) for c in keep],
         F.coalesce(F.avg("fit_declared"), F.lit(0.0)).alias("coherence"), F.coalesce(F.avg("fit_truth"), F.lit(0.0)).alias("correctness"),
-        F.coalesce(F.sum("scale"), F.lit(0.0)).alias("contraindicated"), F.count_if("given").alias("n_drugs"),
+        F.coalesce(F.sum("scale"), F.lit(0.0)).alias("contraindicated"), F.count_if("given").alias("n_drugs"), *([F.flatten(F.collect_list("rule_appropriate")).alias("fits")] if with_reports else []),
     )
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from marlstone.functions.normal import general
-from marlstone.operators.belief import SEQ, entropy, evidence, sequences
-from marlstone.operators.evaluation import RANKED, posteriors, ranked
+from marlstone.operators.belief import SEQ, entropy, evidence, sequence_rows, posterior_rows
+from marlstone.operators.evaluation import RANKED, ranked
 from marlstone.operators.ordering import placed
 from marlstone.operators.scoring import r6
 from marlstone.operators.text import TOLERANCE, grounding_findings
@@ -24,7 +24,7 @@ def probability(p: Column) -> Column:
 
 @query(f"WITH {RANKED} SELECT key, label, regexp_replace(format('{{:.9f}}', p), '\\.?0+$', '') AS wire FROM rk")
 def prob_format(spark, sf_dir):
-    r = ranked(posteriors(evidence(spark, sf_dir)))
+    r = ranked(posterior_rows(spark, sf_dir))
     text = probability(F.col("p"))
     return r.select("key", "label", F.when(text.rlike(PROBABILITY), text).otherwise(F.raise_error(F.concat(F.lit("probability "), text))).alias("wire"))
 
@@ -32,7 +32,7 @@ def prob_format(spark, sf_dir):
 @query(f"WITH {RANKED} SELECT key, '{{\"kind\":\"diagnose\",\"diagnosis\":[' || string_agg('{{\"condition\":\"label_' || label || '\",\"probability\":\"' || regexp_replace(format('{{:.9f}}', p), '\\.?0+$', '') || '\"}}', ',' ORDER BY rank) || ']}}' AS wire FROM rk WHERE rank <= 4 GROUP BY key")
 def wire_render(spark, sf_dir):
     """Compact JSON of a report, keys in their declared order."""
-    r = ranked(posteriors(evidence(spark, sf_dir))).where("rank <= 4")
+    r = ranked(posterior_rows(spark, sf_dir)).where("rank <= 4")
     item = F.struct("rank", F.concat(F.lit("label_"), F.col("label").cast("string")).alias("condition"), probability(F.col("p")).alias("probability"))
     g = r.groupBy("key").agg(F.sort_array(F.collect_list(item)).alias("x"))
     pairs = F.transform("x", lambda s: F.struct(s["condition"].alias("condition"), s["probability"].alias("probability")))
@@ -103,14 +103,14 @@ def abstentions(h: DataFrame) -> DataFrame:
 
 @query(f"WITH {SEQ}, h AS (SELECT key, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h FROM seq WHERE k = 2 GROUP BY 1), r AS (SELECT key, h, row_number() OVER (ORDER BY round(h, 9) DESC, key) AS i, (SELECT greatest(1, round_even(count(*) * {ABSTAIN_FRACTION}, 0)) FROM h) AS n, (SELECT quantile_cont(h, {ABSTAIN_QUANTILE}) FROM h) AS cut FROM h) SELECT key, round(h, 6) AS h FROM r WHERE i <= n AND h >= cut")
 def abstain_seeds(spark, sf_dir):
-    h = sequences(evidence(spark, sf_dir)).where("k = 2").groupBy("key").agg(entropy(F.col("p")).alias("h"))
+    h = sequence_rows(spark, sf_dir).where("k = 2").groupBy("key").agg(entropy(F.col("p")).alias("h"))
     return abstentions(h).select("key", r6("h").alias("h"))
 
 
 @query(f"WITH {SEQ}, h AS (SELECT key, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h FROM seq WHERE k = 2 GROUP BY 1) SELECT 'turn' AS source, (SELECT count(*) FROM conversations WHERE role = 'assistant') AS n UNION ALL SELECT 'seeded_abstention', (SELECT greatest(1, round_even(count(*) * {ABSTAIN_FRACTION}, 0))::BIGINT FROM h)")
 def trainset_union(spark, sf_dir):
     """Turn examples and seeded abstentions together (a bag union)."""
-    h = sequences(evidence(spark, sf_dir)).where("k = 2").groupBy("key").agg(entropy(F.col("p")).alias("h"))
+    h = sequence_rows(spark, sf_dir).where("k = 2").groupBy("key").agg(entropy(F.col("p")).alias("h"))
     both = examples(table(spark, sf_dir, "conversations")).select(F.lit("turn").alias("source")).unionByName(abstentions(h).select(F.lit("seeded_abstention").alias("source")))
     return both.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
@@ -118,7 +118,7 @@ def trainset_union(spark, sf_dir):
 @query(f"WITH {RANKED} SELECT key, 'After {{n}} results these are most likely: ' || string_agg('label_' || label || ' ' || format('{{:.2f}}', p), ', ' ORDER BY rank) || '.' AS reasoning FROM rk WHERE rank <= 3 GROUP BY key".replace("{n}", "64"))
 def blind_reasoning(spark, sf_dir):
     """Reasoning from the visible posterior alone."""
-    r = ranked(posteriors(evidence(spark, sf_dir))).where("rank <= 3")
+    r = ranked(posterior_rows(spark, sf_dir)).where("rank <= 3")
     said = F.format_string("label_%d %.2f", F.col("label"), F.col("p"))
     g = r.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", said.alias("s")))).alias("x"))
     return g.select("key", F.concat(F.format_string("After %d results these are most likely: ", F.lit(64)), F.array_join(F.transform("x", lambda s: s["s"]), ", "), F.lit(".")).alias("reasoning"))
@@ -146,7 +146,7 @@ def swapped(top: DataFrame, text) -> DataFrame:
 @query(f"WITH {RANKED}, t AS (SELECT key, truth, string_agg('label_' || label || ' ' || format('{{:.2f}}', p), ', ' ORDER BY rank) FILTER (rank <= 3) AS blind FROM rk GROUP BY 1, 2), o AS (SELECT key, string_agg('label_' || label || ' ' || format('{{:.2f}}', p), ', ' ORDER BY rank) FILTER (rank <= 3) AS blind FROM (SELECT *, (truth + 1) % 10 AS swapped FROM rk) GROUP BY key, swapped) SELECT 'blind' AS text, count(*) AS checked, count_if(t.blind <> o.blind)::BIGINT AS changed FROM t JOIN o USING (key) UNION ALL SELECT 'privileged', count(*), count_if('label_' || truth <> 'label_' || (truth + 1) % 10)::BIGINT FROM t")
 def label_swap(spark, sf_dir):
     """Reasoning that must not change with the truth, and a control that must."""
-    top = ranked(posteriors(evidence(spark, sf_dir))).where("rank <= 3")
+    top = ranked(posterior_rows(spark, sf_dir)).where("rank <= 3")
     return swapped(top, blind_text).withColumn("text", F.lit("blind")).unionByName(swapped(top, privileged_text).withColumn("text", F.lit("privileged")))
 
 
@@ -155,7 +155,7 @@ SELECT a.key AS turn_id, 'label_' || a.label AS label, CASE WHEN a.rank > 3 THEN
 def grounding_numbers(spark, sf_dir):
     """Reasoning with wrong numbers and a label beyond the first three, checked
     against the belief that it should come from."""
-    r = ranked(posteriors(evidence(spark, sf_dir)))
+    r = ranked(posterior_rows(spark, sf_dir))
     said = r.where("rank <= 3 OR (rank = 4 AND key % 5 = 0)").withColumn("said", F.round("p", 2) + F.when((F.col("rank") == 2) & (F.col("key") % 3 == 0), 0.05).otherwise(0.0))
     turns = blind_text(said.select("key", "label", "rank", F.col("said").alias("p"))).select(F.col("key").alias("turn_id"), F.col("reasoning").alias("text"))
     beliefs = r.select(F.col("key").alias("turn_id"), F.format_string("label_%d", F.col("label")).alias("label"), "p", "rank")
@@ -217,7 +217,7 @@ LEAST_ENTROPY, LEAST_ABSTAIN = 0.25, 0.02
 def trainset_targets(spark, sf_dir):
     """Whether soft targets stay uncertain enough and abstentions are many
     enough: n, their share, the mean entropy, and both floors."""
-    h = sequences(evidence(spark, sf_dir)).where("k = 2").groupBy("key").agg(entropy(F.col("p")).alias("h"))
+    h = sequence_rows(spark, sf_dir).where("k = 2").groupBy("key").agg(entropy(F.col("p")).alias("h"))
     a = h.agg(F.count(F.lit(1)).alias("n"), F.avg("h").alias("e"), F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * ABSTAIN_FRACTION)).alias("m"))
     share = F.col("m") / (F.col("n") + F.col("m"))
     return a.select("n", r6(share).alias("abstain_fraction"), r6("e").alias("mean_target_entropy"), ((F.col("e") >= LEAST_ENTROPY) & (share >= LEAST_ABSTAIN)).alias("valid"))
