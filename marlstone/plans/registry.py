@@ -28,6 +28,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from marlstone.operators import audits, belief, categorical, evaluation, groups, nulls, observing, scoring, shrink, splits, text, training, truncated, verify  # noqa: F401
-    from marlstone.sources import dimensions, episode_log, resources  # noqa: F401
+    from marlstone.operators import audits, belief, categorical, evaluation, groups, nulls, observing, rescoring, scoring, shrink, splits, text, training, truncated, verify  # noqa: F401
+    from marlstone.sources import bundles, dimensions, episode_log, generations, resources  # noqa: F401
     from marlstone.streaming import monitors, streams  # noqa: F401

@@ -18,7 +18,19 @@ STORED = "trajectory struct<patient_id:bigint,seed:bigint,config_hash:string,bud
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Stored episodes, fail-closed: malformed JSON and rows without a
     trajectory or a ground truth are errors; blank lines are skipped."""
-    rows = spark.read.schema(STORED).option("mode", "FAILFAST").json(path)
+    return whole_rows(spark.read.schema(STORED).option("mode", "FAILFAST").json(path))
+
+
+def tail_log(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream over the runs' partitions (run_id=...), file by file.
+    A malformed line stops it; once the file is repaired a restart with the same
+    checkpoint reads that batch again and goes on, so nothing is lost or read
+    twice."""
+    return whole_rows(spark.readStream.schema(STORED + ", run_id string").option("mode", "FAILFAST").option("maxFilesPerTrigger", 100).json(path))
+
+
+def whole_rows(rows: DataFrame) -> DataFrame:
+    """``rows``; one without a trajectory or a ground truth is an error."""
     whole = F.col("trajectory").isNotNull() & F.col("ground_truth").isNotNull()
     return rows.withColumn("trajectory", F.when(whole, F.col("trajectory")).otherwise(F.raise_error(F.lit("a stored line lacks its trajectory or ground truth"))))
 

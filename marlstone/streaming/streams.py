@@ -22,7 +22,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from marlstone.plans.config import DEFAULT
 from marlstone.plans.registry import query
-from marlstone.sources.views import SQL, table
+from marlstone.sources.episode_log import stored_episodes, tail_log
+from marlstone.sources.views import SQL, ctes, table
 from marlstone.streaming.monitors import CEILING, COMMIT, COST, CRITERION, GROUPS, SLACK, STAGE_WINDOW, STAGES, advance
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
@@ -113,6 +114,20 @@ def st_roll_up(spark, sf_dir):
     return out.join(F.broadcast(last), F.col("epoch") == F.col("last")).select("run_id", "day", "n", "reward")
 
 
+@query(f"WITH {ctes('charged', 'episode')}, s AS (SELECT episode_id, count(*) AS n, sum(cost_charged) AS spent FROM charged GROUP BY 1) SELECT policy AS run_id, termination_reason, count(*) AS episodes, sum(coalesce(n, 0))::BIGINT AS steps, round(sum(coalesce(spent, 0)), 4) AS spent FROM episode LEFT JOIN s USING (episode_id) GROUP BY 1, 2")
+def st_log_tail(spark, sf_dir):
+    """The stored log, written as JSON by run and tailed from there: episodes,
+    steps and spending by run and ending."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    rows = stored_episodes(spark, sf_dir)
+    rows.withColumn("run_id", F.col("tags")["policy"]).write.partitionBy("run_id").json(path)
+    spent = F.aggregate("trajectory.steps", F.lit(0.0), lambda a, s: a + s["cost_charged"])
+    flat = tail_log(spark, path).select("run_id", "trajectory.termination_reason", F.size("trajectory.steps").alias("n"), spent.alias("spent"))
+    return drained(flat).groupBy("run_id", "termination_reason").agg(F.count(F.lit(1)).alias("episodes"), F.sum("n").alias("steps"), F.round(F.sum("spent"), 4).alias("spent"))
+
+
 @query("SELECT count(*) AS rows, count(DISTINCT event_id) AS events FROM events")
 def st_duplicates(spark, sf_dir):
     """Rows delivered twice count once, within the watermark."""
