@@ -16,7 +16,11 @@ from marlstone.sources.views import ctes
 
 def by_arrow(rule: Callable[[pa.StructArray, pa.StructArray], pa.Array]) -> Callable[[Column, Column], Column]:
     """A rule over whole Arrow batches, for what columns cannot say."""
-    return lambda trajectory, truth: F.arrow_udf(rule, "double")(trajectory, truth)
+
+    def of(trajectory: pa.Array, truth: pa.Array) -> pa.Array:
+        return rule(trajectory, truth)
+
+    return lambda trajectory, truth: F.arrow_udf(of, "double")(trajectory, truth)
 
 
 def rescored_stored(stored: DataFrame, rule: Callable[[Column, Column], Column]) -> DataFrame:

@@ -39,7 +39,8 @@ def parsed_bundles(files: DataFrame, codes: DataFrame, year: int) -> DataFrame:
     rank = lambda c, i: F.struct((-F.col("known")[c]["urgency"]).alias("u"), i.alias("i"), F.col("known")[c]["label"].alias("label"))
     best = F.array_min(F.filter(F.transform("codes", rank), lambda x: x["label"].isNotNull()))["label"]
     unmapped = F.array_sort(F.array_distinct(F.filter("codes", lambda c: F.col("known")[c].isNull())))
-    age = F.least(F.greatest(F.lit(year) - F.try_to_number(F.substring("patient.birthDate", 1, 4), F.lit("9999")).cast("int"), F.lit(0)), F.lit(OLDEST))
+    born = F.try_to_number(F.substring("patient.birthDate", 1, 4), F.lit("9999")).cast("int")
+    age = F.when(born.isNotNull(), F.least(F.greatest(F.lit(year) - born, F.lit(0)), F.lit(OLDEST)))  # else not known
     error = F.when(F.col("bad"), "malformed").when(F.col("patient").isNull(), "no patient").when(F.size("codes") == 0, "no coded condition").when(F.col("label").isNull(), "no mapped condition")
     r = r.select("bundle", "bad", "patient", "codes", best.alias("label"), unmapped.alias("unmapped"), age.alias("age"))
     r = r.withColumn("error", error)
