@@ -45,20 +45,19 @@ def stated(reports: DataFrame, labels: DataFrame) -> DataFrame:
     not named; more than 1 is scaled down; all zero goes to the others.  An
     entry that :func:`report_violations` finds is an error.
     """
-    every = labels.agg(F.array_sort(F.collect_set("label")).alias("names"))  # one row
-    known = F.broadcast(labels.select("label", F.lit(True).alias("known")))
-    p = F.col("p")
-    wrong = F.col("known").isNull() | p.isNull() | F.isnan(p) | (F.abs(p) == float("inf")) | (p < 0)
-    checked = reports.join(known, "label", "left").select("episode_id", "label", F.when(wrong, F.raise_error(F.concat(F.lit("bad entry of a report: "), F.coalesce("label", F.lit("null")), F.lit(" "), F.coalesce(p.cast("string"), F.lit("null")))).cast("double")).otherwise(p).alias("p"))
+    every = labels.selectExpr("label").agg(F.expr("array_sort(collect_set(label))").alias("names"))  # one row
+    known = F.broadcast(labels.selectExpr("label", "true AS known"))
+    wrong = "known IS NULL OR p IS NULL OR isnan(p) OR abs(p) = double('infinity') OR p < 0"
+    told = "concat('bad entry of a report: ', coalesce(label, 'null'), ' ', coalesce(CAST(p AS STRING), 'null'))"
+    checked = reports.join(known, "label", "left").selectExpr("episode_id", "label", f"CASE WHEN {wrong} THEN CAST(raise_error({told}) AS DOUBLE) ELSE p END AS p")
     per = checked.groupBy("episode_id", "label").agg(F.sum("p").alias("p"))
-    r = per.groupBy("episode_id").agg(F.sum("p").alias("total"), F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list(F.struct("label", "p"))).alias("named"))
-    r = r.join(F.broadcast(every), F.lit(True)).withColumn("unnamed", F.size("names") - F.col("k"))
-    down = (F.col("total") > 1) | ((F.col("unnamed") == 0) & (F.col("total") > 0))
-    r = r.withColumn("named", F.when(down, F.transform("named", lambda x: F.struct(x["label"].alias("label"), (x["p"] / F.col("total")).alias("p")))).otherwise(F.col("named")))
-    nothing = F.raise_error(F.lit("a report that names every label gives none of them mass")).cast("array<struct<label:string,p:double>>")
-    r = r.withColumn("named", F.when((F.col("unnamed") == 0) & (F.col("total") <= 0), nothing).otherwise(F.col("named")))
-    share = F.when(down | (F.col("unnamed") == 0), 0.0).when(F.col("total") <= 0, 1.0 / F.col("unnamed")).otherwise((1.0 - F.col("total")) / F.col("unnamed"))
-    return r.select("episode_id", "names", "named", "unnamed", share.alias("share"))
+    r = per.groupBy("episode_id").agg(F.expr("sum(p)").alias("total"), F.expr("count(1)").alias("k"), F.expr("sort_array(collect_list(struct(label, p)))").alias("named"))
+    r = r.join(F.broadcast(every), F.lit(True)).selectExpr("*", "size(names) - k AS unnamed")
+    down = "(total > 1 OR (unnamed = 0 AND total > 0))"
+    scaled = f"CASE WHEN {down} THEN transform(named, x -> named_struct('label', x.label, 'p', x.p / total)) ELSE named END"
+    nothing = "CAST(raise_error('a report that names every label gives none of them mass') AS array<struct<label:string,p:double>>)"
+    share = f"CASE WHEN {down} OR unnamed = 0 THEN 0.0D WHEN total <= 0 THEN 1.0D / unnamed ELSE (1.0D - total) / unnamed END AS share"
+    return r.selectExpr("episode_id", "names", f"CASE WHEN unnamed = 0 AND total <= 0 THEN {nothing} ELSE {scaled} END AS named", "unnamed", share)
 
 
 def completed(reports: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,26 +71,28 @@ def completed(reports: DataFrame, labels: DataFrame) -> DataFrame:
     return r.select("episode_id", "label", (F.col("p") + F.when(F.col("label") == F.col("top"), F.col("drift")).otherwise(0.0)).alias("p"))
 
 
-def mass_on(label: Column) -> Column:
-    """The mass that a stated report puts on a label; 0 without a report."""
-    own = F.get(F.filter("named", lambda x: x["label"] == label), F.lit(0))["p"]
-    return F.coalesce(own, F.when(F.array_contains("names", label), F.col("share")), F.lit(0.0))
+def _mass(label: str) -> str:
+    return f"coalesce(get(filter(named, x -> x.label = {label}), 0).p, CASE WHEN array_contains(names, {label}) THEN share END, 0.0D)"
+
+
+def mass_on(label: str) -> Column:
+    """The mass that a stated report puts on the label of a column; 0 without a
+    report."""
+    return F.expr(_mass(label))
 
 
 def declared() -> Column:
     """The label with most mass in a stated report; of equals the first."""
-    first = F.array_except("names", F.transform("named", lambda x: x["label"]))
-    best = F.transform("named", lambda x: F.struct((-x["p"]).alias("p"), x["label"].alias("label")))
-    rest = F.when(F.size(first) > 0, F.array(F.struct((-F.col("share")).alias("p"), F.get(first, F.lit(0)).alias("label")))).otherwise(F.array().cast("array<struct<p:double,label:string>>"))
-    return F.array_min(F.concat(best, rest))["label"]
+    first = "array_except(names, transform(named, x -> x.label))"
+    rest = f"CASE WHEN size({first}) > 0 THEN array(named_struct('p', -share, 'label', get({first}, 0))) ELSE CAST(array() AS array<struct<p:double,label:string>>) END"
+    return F.expr(f"array_min(concat(transform(named, x -> named_struct('p', -x.p, 'label', x.label)), {rest})).label")
 
 
-def stated_brier(label: Column) -> Column:
-    """:func:`brier` of a stated report in closed form: labels that are not
-    named share one mass."""
-    n = F.size("names")
-    square = F.aggregate("named", F.lit(0.0), lambda a, x: a + x["p"] * x["p"]) + F.col("unnamed") * F.col("share") * F.col("share")
-    return (1.0 - 1.0 / n) - (square - 2.0 * mass_on(label) + 1.0)
+def stated_brier(label: str) -> Column:
+    """:func:`brier` of a stated report in closed form, for the label of a
+    column: labels that are not named share one mass."""
+    square = "aggregate(named, 0.0D, (a, x) -> a + x.p * x.p) + unnamed * share * share"
+    return F.expr(f"(1.0D - 1.0D / size(names)) - ({square} - 2.0D * {_mass(label)} + 1.0D)")
 
 
 def brier(p: Column, hit: Column, n: int = N_LABELS) -> Column:
@@ -114,14 +115,14 @@ BUCKETS = ("low", "normal", "high")
 
 def facts(charged: DataFrame) -> DataFrame:
     """One row an episode: all that any weights need of its steps.  The steps
-    come partitioned by episode, so this is a pass without a further shuffle."""
-    paid, seen = F.col("cost_charged") > 0, bucket(F.col("value_number"))
-    price = lambda ok: F.sum(F.when(paid & ok, F.col("price")).otherwise(0.0))
-    return charged.groupBy("episode_id").agg(
-        price(F.lit(True)).alias("paid"), price(seen == F.col("prediction")).alias("paid_right"), *[price(F.col("prediction") == b).alias(f"paid_{b}") for b in BUCKETS],
-        *[F.count_if(paid & (seen == b)).alias(f"seen_{b}") for b in BUCKETS], *[F.count_if(paid & (seen == b) & (F.col("prediction") == b)).alias(f"right_{b}") for b in BUCKETS], F.count_if(paid).alias("n_tests"), F.count(F.lit(1)).alias("n_turns"),
-        F.min("value_number").alias("lo"), F.max("value_number").alias("hi"), F.array_sort(F.collect_list(F.when(F.col("kind") == "prescribe", F.col("treatment_key")))).alias("drugs"),
-    )
+    come partitioned by episode, so this is a pass without a further shuffle.
+    Expressions are SQL text: building them costs one call each."""
+    rows = charged.selectExpr("*", "cost_charged > 0 AS is_paid", f"CASE WHEN value_number < {LOW}D THEN 'low' WHEN value_number > {HIGH}D THEN 'high' ELSE 'normal' END AS seen")
+    price = lambda ok: f"sum(CASE WHEN is_paid AND {ok} THEN price ELSE 0.0D END)"
+    of = {"paid": price("true"), "paid_right": price("seen = prediction"), **{f"paid_{b}": price(f"prediction = '{b}'") for b in BUCKETS}}
+    of |= {f"seen_{b}": f"count_if(is_paid AND seen = '{b}')" for b in BUCKETS} | {f"right_{b}": f"count_if(is_paid AND seen = '{b}' AND prediction = '{b}')" for b in BUCKETS}
+    of |= {"n_tests": "count_if(is_paid)", "n_turns": "count(1)", "lo": "min(value_number)", "hi": "max(value_number)", "drugs": "array_sort(collect_list(CASE WHEN kind = 'prescribe' THEN treatment_key END))"}
+    return rows.groupBy("episode_id").agg(*[F.expr(e).alias(n) for n, e in of.items()])
 
 
 def with_bucket_priors(f: DataFrame) -> DataFrame:
@@ -163,15 +164,12 @@ def drug_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def violation_list() -> Column:
     """Violated rules of one prescription: an array of (treatment, rule, scale).
     Repeats repeat; a pair counts once an episode."""
-    t = F.col("treatment_key")
-    allergy = F.array(F.struct(t.alias("treatment"), F.lit("allergy").alias("rule"), F.lit(1.0).alias("scale")))
-    none = F.filter(allergy, lambda x: F.lit(False))
-    beyond = lambda x: F.when(x["op"] == "<", F.col("lo") < x["limit"]).otherwise(F.col("hi") > x["limit"])
-    limits = F.transform(F.filter(F.coalesce("rule_threshold", F.array().cast("array<struct<rule:string,op:string,limit:double,scale:double>>")), beyond), lambda x: F.struct(t.alias("treatment"), x["rule"].alias("rule"), x["scale"].alias("scale")))
-    first = F.array_position("drugs", t) == F.col("pos") + 1
-    partners = F.filter(F.coalesce("rule_pair", F.array().cast("array<struct<partner:string,scale:double>>")), lambda x: first & F.array_contains("drugs", x["partner"]))
-    pairs = F.transform(partners, lambda x: F.struct(F.concat(t, F.lit("+"), x["partner"]).alias("treatment"), F.lit("interaction").alias("rule"), x["scale"].alias("scale")))
-    return F.concat(F.when(F.col("class") == F.col("patient_id") % 6, allergy).otherwise(none), limits, pairs)
+    none = "CAST(array() AS array<struct<treatment:string,rule:string,scale:double>>)"
+    allergy = f"CASE WHEN class = patient_id % 6 THEN array(named_struct('treatment', treatment_key, 'rule', 'allergy', 'scale', 1.0D)) ELSE {none} END"
+    limits = f"coalesce(transform(filter(rule_threshold, x -> CASE WHEN x.op = '<' THEN lo < x.limit ELSE hi > x.limit END), x -> named_struct('treatment', treatment_key, 'rule', x.rule, 'scale', x.scale)), {none})"
+    first = "array_position(drugs, treatment_key) = pos + 1"
+    pairs = f"coalesce(transform(filter(rule_pair, x -> {first} AND array_contains(drugs, x.partner)), x -> named_struct('treatment', concat(treatment_key, '+', x.partner), 'rule', 'interaction', 'scale', x.scale)), {none})"
+    return F.expr(f"concat({allergy}, {limits}, {pairs})")
 
 
 def prescriptions(b: DataFrame, rules: DataFrame) -> DataFrame:
@@ -202,7 +200,7 @@ def base(spark: SparkSession, sf_dir: str, with_reports: bool = False) -> DataFr
     e = e.withColumn("condition", F.when(F.col("listed_label"), F.col("condition")).otherwise(F.raise_error(F.concat(F.lit("unknown label "), "condition")))).drop("listed_label")
     r = stated(view(spark, sf_dir, "report"), labels)
     j = e.join(with_bucket_priors(facts(view(spark, sf_dir, "charged"))), "episode_id", "left").join(r, "episode_id", "left")
-    j = j.withColumns({"brier": stated_brier(F.col("condition")), "mass": mass_on(F.col("condition")), "declared": declared()})
+    j = j.withColumns({"brier": stated_brier("condition"), "mass": mass_on("condition"), "declared": declared()})
     j = j if with_reports else j.drop("names", "named", "unnamed", "share")
     x = prescriptions(j, drug_rules(spark, sf_dir))
     app = lambda label: F.coalesce(F.get(F.filter("rule_appropriate", lambda r: r["condition"] == label), F.lit(0))["score"], F.lit(0.0))
@@ -336,7 +334,7 @@ def report_valid(spark, sf_dir):
     filed, labels = view(spark, sf_dir, "filed"), view(spark, sf_dir, "label")
     bad = report_violations(filed, labels).select("episode_id").distinct()
     r = stated(filed.join(bad, "episode_id", "left_anti"), labels)
-    j = view(spark, sf_dir, "episode").join(r, "episode_id", "left").select("termination_reason", F.col("named").isNotNull().cast("int").alias("ok"), F.when(F.col("named").isNotNull(), stated_brier(F.col("condition"))).alias("b"))
+    j = view(spark, sf_dir, "episode").join(r, "episode_id", "left").select("termination_reason", F.col("named").isNotNull().cast("int").alias("ok"), F.when(F.col("named").isNotNull(), stated_brier("condition")).alias("b"))
     return j.groupBy("termination_reason").agg(F.count(F.lit(1)).alias("asked"), F.sum("ok").alias("valid"), r6(F.avg("ok")).alias("schema_valid_fraction"), r6(F.avg("b")).alias("mean_brier"))
 
 

@@ -7,6 +7,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,8 +48,30 @@ SQL = {
 }
 
 
+_TABLES: ContextVar[dict[tuple[str, str], DataFrame] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def tables_read_once() -> Iterator[None]:
+    """Inside, a table's files are listed and its schema is read once: a query
+    that names a table in several views does not ask for it again each time."""
+    if _TABLES.get() is not None:  # a query within a query
+        yield
+        return
+    token = _TABLES.set({})
+    try:
+        yield
+    finally:
+        _TABLES.reset(token)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read, known = (lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet")), _TABLES.get()
+    if known is None:
+        return read()
+    if (sf_dir, name) not in known:
+        known[sf_dir, name] = read()
+    return known[sf_dir, name]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

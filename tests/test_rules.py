@@ -79,7 +79,7 @@ def test_completed_reports_sum_to_one_and_agree_with_the_closed_form(spark):
     rows = [(e, f"l{rng.randrange(4)}", rng.random() * rng.choice([0.1, 0.5, 1.0])) for e in range(200) for _ in range(rng.randint(1, 5))]
     rows = spark.createDataFrame([r for r in rows if True], "episode_id long, label string, p double")
     full = completed(rows, labels(spark)).groupBy("episode_id").agg(F.sum("p").alias("s"), brier(F.col("p"), F.col("label") == "l1", 4).alias("b"), F.sum(F.when(F.col("label") == "l1", F.col("p"))).alias("m"), F.min_by("label", F.struct(-F.round("p", 12), F.col("label"))).alias("d"))
-    short = stated(rows, labels(spark)).select("episode_id", stated_brier(F.lit("l1")).alias("b2"), mass_on(F.lit("l1")).alias("m2"), declared().alias("d2"))
+    short = stated(rows, labels(spark)).select("episode_id", stated_brier("'l1'").alias("b2"), mass_on("'l1'").alias("m2"), declared().alias("d2"))
     got = full.join(short, "episode_id").collect()
     assert len(got) == 200
     for r in got:
