@@ -1,16 +1,18 @@
 """Text checks: redaction, label leaks, mentions, similarity, grounding.
 
-Label forms are a dimension of some words and phrases.  Mentions are found by
-one alternation per text or by an equi-join of its words and runs of words with
-the forms, never by pairing every text with every form.
+Label forms are a dimension of some words and phrases.  A text is cut into words
+once; those that are forms, or begin one, are found in the row by a set of
+literals, and only they leave it (:func:`occurrences`).  No text is ever paired
+with every form.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from marlstone.functions.normal import once
 from marlstone.plans.registry import query
 from marlstone.sources.views import table
 
@@ -21,8 +23,6 @@ _LONGEST = sorted((f for _, f in _PAIRS), key=lambda f: (-len(f), f))
 _ALT = "|".join(_LONGEST)
 _FORMS_SQL = "forms(label, form) AS (VALUES " + ", ".join(f"('{a}', '{f}')" for a, f in _PAIRS) + ")"
 NGRAM = 4
-#: Words of the longest form.
-WORDS = max(len(f.split()) for f in _LONGEST)
 
 
 def forms(spark: SparkSession) -> DataFrame:
@@ -41,21 +41,40 @@ def scrub(spark, sf_dir):
     return d.select("doc_id", ((F.length("t") - F.length(F.replace("t", F.lit("[redacted]"), F.lit("")))) / 10).cast("long").alias("n_redacted"))
 
 
-def phrases(text: Column, most: int = WORDS) -> Column:
-    """Every word of a text and every run of up to ``most`` words, joined by
-    single spaces."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+#: Forms that may be held as literals.
+MOST_FORMS = 50_000
 
-    def runs(w: Column, k: int) -> Column:
-        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - k + 1, F.lit(0))), lambda x, i: F.array_join(F.slice(w, i + 1, k), " "))
 
-    # bound once: inside a lambda an expression would be taken again for each word
-    return F.get(F.transform(F.array(words), lambda w: F.concat(w, *[runs(w, k) for k in range(2, most + 1)])), F.lit(0))
+def form_list(forms_: DataFrame) -> list[str]:
+    """The distinct forms of a dimension, once it is known to be one."""
+    rows = forms_.select("form").where("form IS NOT NULL").distinct().limit(MOST_FORMS + 1).collect()
+    if len(rows) > MOST_FORMS:
+        raise ValueError(f"more than {MOST_FORMS} forms: that is no dimension")
+    return sorted(r.form for r in rows)
+
+
+def occurrences(text: Column, known: Sequence[str]) -> Column:
+    """Every occurrence of the forms (words, or words joined by single spaces)
+    in a text, overlapping ones too."""
+    sizes: dict[int, list[str]] = {}
+    for f in known:
+        sizes.setdefault(len(f.split(" ")), []).append(f)
+
+    def found(w: Column) -> Column:
+        out = [F.filter(w, lambda x: x.isin(sizes[1]))] if 1 in sizes else []
+        for k in sorted(set(sizes) - {1}):
+            heads = sorted({f.split(" ")[0] for f in sizes[k]})
+            starts = F.filter(F.transform(w, lambda x, i: F.when(x.isin(heads), i)), lambda i: i.isNotNull())
+            out.append(F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(k)), " ")), lambda x: x.isin(sizes[k])))
+        return F.concat(*out) if out else F.array().cast("array<string>")
+
+    # a text that is null has no words
+    return once(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != ""), found)
 
 
 def mentions(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, label, n): whole-word mentions, by an equi-join on phrases."""
-    words = docs.select("doc_id", F.explode(phrases(F.col("text"))).alias("form"))
+    """(doc_id, label, n): whole-word mentions."""
+    words = docs.select("doc_id", F.explode(occurrences(F.col("text"), _LONGEST)).alias("form"))
     return words.join(F.broadcast(forms(spark)), "form").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -150,7 +169,7 @@ def leaks(docs: DataFrame, forms_: DataFrame, like: Callable[[Column, Column], C
     ``least`` are passed over when it is the one in use.
     """
     d = docs.select("doc_id", "label", "text")
-    named = d.select("doc_id", "label", "text", F.explode(phrases(F.col("text"))).alias("form")).join(F.broadcast(forms_), ["label", "form"])
+    named = d.select("doc_id", "label", "text", F.explode(occurrences(F.col("text"), form_list(forms_))).alias("form")).join(F.broadcast(forms_), ["label", "form"])
     spot = F.regexp_instr(F.lower("text"), F.concat(F.lit(_FORM_EDGE), F.replace("form", F.lit(" "), F.lit(r"[^\p{L}\p{N}_]+")), F.lit(_FORM_END)))
     words = named.groupBy("doc_id", "label").agg(F.min(F.struct(spot.alias("at"), "form")).alias("m"), F.first("text").alias("text"))
     cut = F.substr("text", F.greatest(F.col("m.at") - AROUND, F.lit(1)), F.length("m.form") + 2 * AROUND)
@@ -207,7 +226,7 @@ def grounding_findings(turns: DataFrame, beliefs: DataFrame, forms_: DataFrame,
     """(turn_id, label, kind) of labels named in ``turns`` (turn_id, text) that
     the belief (turn_id, label, p, rank) does not rank among its first, or that
     are named somewhere without a number near that is their probability."""
-    words = turns.select("turn_id", "text", F.explode(F.array_distinct(phrases(F.col("text")))).alias("form"))
+    words = turns.select("turn_id", "text", F.explode(F.array_distinct(occurrences(F.col("text"), form_list(forms_)))).alias("form"))
     j = words.join(F.broadcast(forms_), "form").join(beliefs, ["turn_id", "label"], "left")
     # every mention with what follows it: a look-ahead finds those that overlap
     after = F.concat(F.lit("(?s)(?=" + _FORM_EDGE + "("), F.replace("form", F.lit(" "), F.lit(r"[^\p{L}\p{N}_]+")), F.lit(_FORM_END + f".{{0,{PROB_NEAR}}}))"))
