@@ -291,19 +291,22 @@ def _tile(percent: int):
     return links
 
 
-def _tiles(large: DataFrame, percent: int) -> DataFrame:
+def _tiles(large: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) of the members (p, node, n, comp, shingles) of large nodes.
     A component that fills more than a block has blocks of its own, which meet
     the others' but not each other; small ones share blocks."""
-    blocks = F.greatest(F.ceil(F.sum("members") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k")
-    comps = written(large.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n")), "members")
-    whole = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)) > 1
-    comps = comps.withColumn("own", F.when(whole, F.col("comp")).otherwise(-1))  # no node is below 0
-    several = comps.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("p")
-    groups = comps.join(several, "p", "left_semi").groupBy("p", "own").agg(blocks)
-    w = Window.partitionBy("p")
-    groups = groups.withColumns({"at": F.sum("k").over(w.orderBy("own").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"), "all": F.sum("k").over(w)})
-    dealt = large.join(written(comps.select("p", "comp", "own").join(groups, ["p", "own"]), "sizes"), ["p", "comp"])
+    # counted map-side, then by node: what follows is partitioned by it already
+    comps = large.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n")).repartition("p")
+    fill = lambda members, n: F.greatest(F.ceil(members / BLOCK), F.ceil(n / BLOCK_SHINGLES))
+    node = Window.partitionBy("p")
+    comps = comps.withColumn("several", F.count(F.lit(1)).over(node) > 1).where("several")
+    comps = comps.withColumn("own", F.when(fill(F.col("members"), F.col("n")) > 1, F.col("comp")).otherwise(-1))  # no node is below 0
+    groups = comps.groupBy("p", "own").agg(fill(F.sum("members"), F.sum("n")).cast("int").alias("k"))
+    groups = groups.withColumns({"at": F.sum("k").over(node.orderBy("own").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"), "all": F.sum("k").over(node)})
+    sizes = written(comps.select("p", "comp", "own").join(groups, ["p", "own"]), "sizes")
+    if sizes.isEmpty():  # every large node is one component
+        return None
+    dealt = large.join(sizes, ["p", "comp"])
     dealt = dealt.withColumn("block", (F.col("at") + F.pmod(F.xxhash64("node", F.lit(5)), F.col("k"))).cast("int"))
     meets = lambda i: (F.col("own") == -1) | (i < F.col("at")) | (i >= F.col("at") + F.col("k"))
     dealt = dealt.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("all").cast("int") - 1), meets)))
@@ -369,7 +372,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
         inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: linked(x, y)), lambda y: F.struct(*pair(x, y)))))
         found = leaves.select(F.explode(inner).alias("x")).select("x.a", "x.b")
         large = at.where("large")
-        found = written(found.unionByName(_tiles(large.select("p", "node", "n", "comp", "shingles"), percent)).distinct(), "found")
+        tiles = _tiles(large.select("p", "node", "n", "comp", "shingles"), percent)
+        found = written((found if tiles is None else found.unionByName(tiles)).distinct(), "found")
         if not found.isEmpty():
             comps = written(components(_linked(comps, found)), "comps")
 
