@@ -138,7 +138,7 @@ RULES = (*_TEXT_RULES, *((n, (r"(GPL_FREE;)?" if "GPL" in n else "") + re.escape
 DENIED = r"(^| )(not|never|no longer|neither|nor|cannot be|isn t|aren t|wasn t|weren t) ((be|been|being|is|are|was|were|and|or|not|never|has|have|had|nor|currently|yet|made|a|an|itself) )*(released|licensed|distributed|available|published|offered|covered|governed|provided) (by|under|as)( .*?)?( but |$)"
 
 #: An identifier of a tag, and an expression of them.
-_ID = r"[A-Za-z0-9][A-Za-z0-9.+\-]*"
+_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+\-]*[A-Za-z0-9+])?"  # a full stop after it is none of it
 _TERM = rf"\(*{_ID}( +(WITH|with) +{_ID})?\)*"
 EXPRESSION = rf"{_TERM}( +(AND|OR|and|or) +{_TERM})*"
 TAG = rf"[Ss][Pp][Dd][Xx]-[Ll]icen[sc]e-[Ii]dentifier:?[ \t]*({EXPRESSION})"
