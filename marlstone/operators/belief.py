@@ -13,6 +13,7 @@ rows (key, dim, value) is joined with the table's rows and summed
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from math import pi
 from typing import NamedTuple
 
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from marlstone.functions.normal import once
 from marlstone.operators.scoring import r6, weight
@@ -127,18 +129,30 @@ def fitted(lik: DataFrame, pri: DataFrame) -> Fitted:
     return Fitted(labels, rows["lp"].to_numpy()[first], grid("mean"), grid("sd"))
 
 
+#: Records taken at once: their numbers by label and value stay in a few megabytes.
+SLICE = 128
+SEQUENCE = StructField("sequence", ArrayType(ArrayType(StructType([StructField("label", IntegerType()), StructField("p", DoubleType())]))))
+
+
+def sliced(rows: pa.Array | pa.RecordBatch) -> Iterator[pa.Array | pa.RecordBatch]:
+    """``rows`` in order, ``SLICE`` at a time."""
+    return (rows.slice(i, SLICE) for i in range(0, len(rows), SLICE))
+
+
 def beliefs(records: DataFrame, model: Fitted) -> DataFrame:
     """``records`` (with values) and ``belief``, an array of (label, p) in the
     order of the labels; a value that is null says nothing."""
 
     def of(values: pa.Array) -> pa.Array:
-        return model.lists(model.shares(model.log_priors + model.log_likelihoods(values).sum(axis=2)))
+        parts = [model.shares(model.log_priors + model.log_likelihoods(v).sum(axis=2)) for v in sliced(values)]
+        return model.lists(np.concatenate([np.zeros((0, len(model.labels))), *parts]))
 
     return records.withColumn("belief", F.arrow_udf(of, "array<struct<label:int,p:double>>")("values"))
 
 
 def belief_sequences(records: DataFrame, model: Fitted) -> DataFrame:
-    """``records`` and ``sequence``: the beliefs after 0, 1, ... values."""
+    """``records`` and ``sequence``: the beliefs after 0, 1, ... values.  A
+    sequence is far larger than its record, so slices leave one by one."""
 
     def of(values: pa.Array) -> pa.Array:
         steps = np.cumsum(model.log_likelihoods(values), axis=2)
@@ -147,7 +161,12 @@ def belief_sequences(records: DataFrame, model: Fitted) -> DataFrame:
         per = model.lists(p.reshape(-1, p.shape[2]))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * p.shape[1], pa.int32()), per)
 
-    return records.withColumn("sequence", F.arrow_udf(of, "array<array<struct<label:int,p:double>>>")("values"))
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in given:
+            for part in sliced(b):
+                yield pa.RecordBatch.from_arrays([*part.columns, of(part.column("values"))], names=[*part.schema.names, "sequence"])
+
+    return records.mapInArrow(batches, StructType([*records.schema.fields, SEQUENCE]))
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> Fitted:

@@ -68,6 +68,23 @@ def test_beliefs_in_batches_equal_the_join(spark):
         belief.beliefs(spark.createDataFrame([(1, [float("nan"), 1.0])], "key int, values array<double>"), model).collect()
 
 
+def test_beliefs_are_taken_in_slices(spark):
+    class Small(belief.Fitted):
+        def log_likelihoods(self, values):
+            assert len(values) <= 128
+            return super().log_likelihoods(values)
+
+    model = Small(np.array([0, 1]), np.log([0.25, 0.75]), np.array([[0.0, 1.0], [1.0, 0.0]]), np.ones((2, 2)))
+    records = spark.range(0, 300, 1, 1).selectExpr("id AS key", "array(id / 300D, 0D) AS values")
+    ends = {r.key: [x.p for x in r.belief] for r in belief.beliefs(records, model).collect()}
+    seq = {r.key: [[x.p for x in b] for b in r.sequence] for r in belief.belief_sequences(records, model).collect()}
+    assert ends.keys() == seq.keys() == set(range(300))
+    for k, p in ends.items():
+        odds = 3 * math.exp((-((k / 300 - 1) ** 2) + (k / 300) ** 2 + 1) / 2)
+        assert seq[k][2] == pytest.approx(p) and p[1] / p[0] == pytest.approx(odds)
+    assert belief.beliefs(records.where("key < 0"), model).count() == 0
+
+
 def test_verification_by_test(spark):
     refs = spark.createDataFrame([("n", False, 10.0, 20.0), ("c", True, 0.0, 0.0)], "test_key string, categorical boolean, ref_low double, ref_high double")
     r = random.Random(1)
