@@ -12,8 +12,10 @@ import json
 import math
 import sys
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -136,9 +138,30 @@ def st_duplicates(spark, sf_dir):
     return drained(twice.select("event_id", "ts")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("events"))
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator:
-    """A micro-batch's rows of one key, by (ts, event_id)."""
-    yield from pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples()
+#: Rows that leave a processor at once.
+ROWS = 10_000
+
+
+def _in_order(rows: Iterator[pd.DataFrame], *numbers: Callable[[pd.DataFrame], pd.Series]) -> Iterator[tuple]:
+    """A micro-batch's rows of one key by (ts, event_id), as event_id and
+    ``numbers``.  A micro-batch may be a whole log, so of a row nothing else is
+    kept, and what is kept lies in arrays."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(2 + len(numbers))]
+    for p in rows:
+        for part, column in zip(parts, (p["ts"], p["event_id"], *(f(p) for f in numbers))):
+            part.append(column.to_numpy(copy=True))
+    columns = []
+    while parts:
+        columns.append(np.concatenate(parts.pop(0)))
+    order = np.lexsort((columns[1], columns.pop(0)))
+    for i in range(0, len(order), ROWS):
+        yield from zip(*(c[order[i : i + ROWS]].tolist() for c in columns))
+
+
+def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Result rows as frames of bounded size."""
+    while part := list(islice(rows, ROWS)):
+        yield pd.DataFrame(part, columns=columns)
 
 
 class CommitMonitor(StatefulProcessor):
@@ -148,14 +171,15 @@ class CommitMonitor(StatefulProcessor):
         self.recent = handle.getValueState("recent", StructType([StructField("flags", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from _frames(self.judged(rows), ["event_id", "alert", "hits"])
+
+    def judged(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         flags = self.recent.get()[0] if self.recent.exists() else ""
-        out = []
-        for r in _in_order(rows):
-            flags = (flags + ("1" if r.termination_reason == "diagnose" else "0"))[-COMMIT:]
+        for event_id, hit in _in_order(rows, lambda p: p["termination_reason"] == "diagnose"):
+            flags = (flags + ("1" if hit else "0"))[-COMMIT:]
             share = flags.count("1") / len(flags)
-            out.append((r.event_id, len(flags) >= COMMIT // 2 and share < 0.1, flags.count("1")))
+            yield event_id, len(flags) >= COMMIT // 2 and share < 0.1, flags.count("1")
         self.recent.update((flags,))
-        yield pd.DataFrame(out, columns=["event_id", "alert", "hits"])
 
     def close(self) -> None:
         pass
@@ -164,7 +188,10 @@ class CommitMonitor(StatefulProcessor):
 class WindowMonitor(StatefulProcessor):
     """A rule over a run's last ``n`` rows, with a half-window warm-up.  A row
     adds a list of numbers; the rule sees the sums of those in the window, and
-    how many rows they are of."""
+    how many rows they are of.  Sums of whole numbers are carried from row to
+    row, which is exact; others are taken anew."""
+
+    whole = False
 
     def __init__(self, n: int) -> None:
         self.n = n
@@ -172,21 +199,26 @@ class WindowMonitor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getValueState("recent", StructType([StructField("rows", StringType())]))
 
-    def numbers(self, r) -> list[float]:
+    def numbers(self) -> list[Callable[[pd.DataFrame], pd.Series]]:
         raise NotImplementedError
 
     def alert(self, sums: list[float], k: int) -> bool:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        recent = deque(json.loads(self.recent.get()[0]) if self.recent.exists() else [], maxlen=self.n)
-        out = []
-        for r in _in_order(rows):
-            recent.append(self.numbers(r))
-            sums = [math.fsum(c) for c in zip(*recent)]
-            out.append((r.event_id, len(recent) >= self.n // 2 and self.alert(sums, len(recent)), sums[0]))
+        yield from _frames(self.judged(rows), ["event_id", "alert", "total"])
+
+    def judged(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        recent = deque(json.loads(self.recent.get()[0]) if self.recent.exists() else [])
+        carried = [math.fsum(c) for c in zip(*recent)]
+        for event_id, *x in _in_order(rows, *self.numbers()):
+            gone = recent.popleft() if len(recent) == self.n else [0.0] * len(x)
+            recent.append(x)
+            if self.whole:
+                carried = [s + new - old for s, new, old in zip(carried or [0.0] * len(x), x, gone)]
+            sums = carried if self.whole else [math.fsum(c) for c in zip(*recent)]
+            yield event_id, len(recent) >= self.n // 2 and self.alert(sums, len(recent)), sums[0]
         self.recent.update((json.dumps(list(recent)),))
-        yield pd.DataFrame(out, columns=["event_id", "alert", "total"])
 
     def close(self) -> None:
         pass
@@ -195,8 +227,8 @@ class WindowMonitor(StatefulProcessor):
 class CeilingMonitor(WindowMonitor):
     """Mean reward above the mean of the expected ceiling."""
 
-    def numbers(self, r) -> list[float]:
-        return [r.reward, r.expected_ceiling]
+    def numbers(self) -> list[Callable[[pd.DataFrame], pd.Series]]:
+        return [lambda p: p["reward"], lambda p: p["expected_ceiling"]]
 
     def alert(self, sums: list[float], k: int) -> bool:
         return sums[0] / k > sums[1] / k + SLACK
@@ -205,8 +237,10 @@ class CeilingMonitor(WindowMonitor):
 class CostMonitor(WindowMonitor):
     """Nearly all without tests, or most at the cap."""
 
-    def numbers(self, r) -> list[float]:
-        return [float(r.n_tests == 0), float(r.n_tests >= 7)]
+    whole = True
+
+    def numbers(self) -> list[Callable[[pd.DataFrame], pd.Series]]:
+        return [lambda p: p["n_tests"] == 0, lambda p: p["n_tests"] >= 7]
 
     def alert(self, sums: list[float], k: int) -> bool:
         return sums[0] / k > 0.95 or sums[1] / k > 0.5
@@ -224,17 +258,19 @@ class DegenerateMonitor(StatefulProcessor):
         self.state = handle.getValueState("groups", StructType([StructField("v", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from _frames(self.judged(rows), ["event_id", "alert", "total"])
+
+    def judged(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         state = json.loads(self.state.get()[0]) if self.state.exists() else {"open": {}, "flat": []}
-        flat, out = deque(state["flat"], maxlen=GROUPS), []
-        for r in _in_order(rows):
-            group = state["open"].setdefault(str(r.group_id), [])
-            group.append(r.reward)
+        flat = deque(state["flat"], maxlen=GROUPS)
+        for event_id, group_id, reward in _in_order(rows, lambda p: p["group_id"], lambda p: p["reward"]):
+            group = state["open"].setdefault(str(group_id), [])
+            group.append(reward)
             if len(group) == K:
                 flat.append(int(max(group) - min(group) < 1e-6))
-                del state["open"][str(r.group_id)]
-                out.append((r.event_id, len(flat) >= GROUPS // 2 and sum(flat) / len(flat) > 0.5, float(sum(flat))))
+                del state["open"][str(group_id)]
+                yield event_id, len(flat) >= GROUPS // 2 and sum(flat) / len(flat) > 0.5, float(sum(flat))
         self.state.update((json.dumps({"open": state["open"], "flat": list(flat)}),))
-        yield pd.DataFrame(out, columns=["event_id", "alert", "total"])
 
     def close(self) -> None:
         pass
@@ -251,18 +287,19 @@ class Stages(StatefulProcessor):
         self.state = handle.getValueState("stage", StructType([StructField("v", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from _frames(self.staged(key[0], rows), ["run_id", "event_id", "stage"])
+
+    def staged(self, run_id: int, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         config, stage, recent = self.config, 0, []
         if self.state.exists():
             config, stage, recent = self.state.get()[0].split("|")
             stage, recent = int(stage), [float(x) for x in recent.split(",") if x]
         if config != self.config:
             raise ValueError("the run was started under another configuration")
-        out = []
-        for r in _in_order(rows):
-            stage, recent = advance(stage, recent, r.reward)
-            out.append((key[0], r.event_id, stage))
+        for event_id, reward in _in_order(rows, lambda p: p["reward"]):
+            stage, recent = advance(stage, recent, reward)
+            yield run_id, event_id, stage
         self.state.update((f"{config}|{stage}|{','.join(map(repr, recent))}",))
-        yield pd.DataFrame(out, columns=["run_id", "event_id", "stage"])
 
     def close(self) -> None:
         pass
@@ -278,14 +315,16 @@ class Ledger(StatefulProcessor):
         self.state = handle.getValueState("ledger", StructType([StructField("v", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from _frames(self.entered(rows), ["event_id", "outcome", "cost"])
+
+    def entered(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         spent, had, ended = self.state.get()[0].split("|") if self.state.exists() else ("0.0", "", "")
         spent, had = float(spent), set(filter(None, had.split(",")))
-        out = []
-        for r in _in_order(rows):
-            test, price = str(r.n_tests), float(1 + r.n_tests)
+        for event_id, n_tests, concluded in _in_order(rows, lambda p: p["n_tests"], lambda p: p["termination_reason"] == "diagnose"):
+            test, price = str(n_tests), float(1 + n_tests)
             if ended:
                 outcome, cost = "after_end", 0.0
-            elif r.termination_reason == "diagnose" and r.n_tests == 7:
+            elif concluded and n_tests == 7:
                 outcome, cost, ended = "end", 0.0, "1"
             elif test in had:
                 outcome, cost = "duplicate", 0.0
@@ -294,9 +333,8 @@ class Ledger(StatefulProcessor):
             else:
                 outcome, cost = "charged", price
                 spent, had = spent + price, had | {test}
-            out.append((r.event_id, outcome, cost))
+            yield event_id, outcome, cost
         self.state.update((f"{spent!r}|{','.join(sorted(had))}|{ended}",))
-        yield pd.DataFrame(out, columns=["event_id", "outcome", "cost"])
 
     def close(self) -> None:
         pass

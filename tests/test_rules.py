@@ -321,3 +321,58 @@ def test_resamples_store_no_draws(spark, monkeypatch):
         assert {r.r: r.m for r in means.collect()} == pytest.approx(want)
         assert "Join" not in means._jdf.queryExecution().toString()
     assert evaluation.bootstrap(spark.createDataFrame([], "patient_id long, d double"), 5).collect()[0].lo is None
+
+
+class _Handle:
+    """A state of one value, without Spark."""
+
+    value = None
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_micro_batch_is_not_kept_whole():
+    import weakref
+
+    import pandas as pd
+
+    refs, hits = [], [i * i % 11 < 3 for i in range(25_000)]
+
+    def frames():
+        for k in range(4, -1, -1):  # the last rows come first
+            assert all(r() is None for r in refs[:-1])
+            i = range(5_000 * k, 5_000 * (k + 1))
+            p = pd.DataFrame({"event_id": i, "ts": pd.to_datetime([x // 7 for x in i], unit="s"), "termination_reason": ["diagnose" if hits[x] else "abstain" for x in i]})
+            refs.append(weakref.ref(p))
+            yield p
+
+    m = streams.CommitMonitor()
+    m.init(_Handle())
+    out = list(m.handleInputRows((0,), frames(), None))
+    assert max(map(len, out)) <= 10_000
+    got = pd.concat(out)
+    assert list(got.event_id) == list(range(25_000)) and list(got.hits) == [sum(hits[max(0, i - 639) : i + 1]) for i in range(25_000)]
+
+
+def test_carried_sums_equal_those_taken_anew():
+    import pandas as pd
+
+    tests = [i * i * 7 % 13 % 9 for i in range(3_000)]
+    m, out = streams.CostMonitor(512), []
+    for a, b in ((0, 100), (100, 2_000), (2_000, 3_000)):  # the state goes on
+        m.init(handle := _Handle() if not a else handle)
+        p = pd.DataFrame({"event_id": range(a, b), "ts": pd.to_datetime(range(a, b), unit="s"), "n_tests": tests[a:b]})
+        out += m.handleInputRows((0,), iter([p]), None)
+    got, last = pd.concat(out), [tests[max(0, i - 511) : i + 1] for i in range(3_000)]
+    assert list(got.total) == [x.count(0) for x in last]
+    assert list(got.alert) == [len(x) >= 256 and (x.count(0) / len(x) > 0.95 or sum(t >= 7 for t in x) / len(x) > 0.5) for x in last]
