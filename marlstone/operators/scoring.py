@@ -50,7 +50,7 @@ def stated(reports: DataFrame, labels: DataFrame) -> DataFrame:
     wrong = "known IS NULL OR p IS NULL OR isnan(p) OR abs(p) = double('infinity') OR p < 0"
     told = "concat('bad entry of a report: ', coalesce(label, 'null'), ' ', coalesce(CAST(p AS STRING), 'null'))"
     checked = reports.join(known, "label", "left").selectExpr("episode_id", "label", f"CASE WHEN {wrong} THEN CAST(raise_error({told}) AS DOUBLE) ELSE p END AS p")
-    per = checked.groupBy("episode_id", "label").agg(F.sum("p").alias("p"))
+    per = checked.repartition("episode_id").groupBy("episode_id", "label").agg(F.sum("p").alias("p"))  # one shuffle for both groups
     r = per.groupBy("episode_id").agg(F.expr("sum(p)").alias("total"), F.expr("count(1)").alias("k"), F.expr("sort_array(collect_list(struct(label, p)))").alias("named"))
     r = r.join(F.broadcast(every), F.lit(True)).selectExpr("*", "size(names) - k AS unnamed")
     down = "(total > 1 OR (unnamed = 0 AND total > 0))"
@@ -114,17 +114,24 @@ BUCKETS = ("low", "normal", "high")
 
 
 def facts(charged: DataFrame) -> DataFrame:
-    """One row an episode: all that any weights need of its steps.  The steps
-    come partitioned by episode, so this is a pass without a further shuffle.
-    Expressions are SQL text: building them costs one call each."""
+    """One row an episode: all numbers that any weights need of its steps.  The
+    steps come partitioned by episode, so this is a pass without a further
+    shuffle, and numbers alone are summed in compiled code.  Expressions are SQL
+    text: building them costs one call each."""
     rows = charged.selectExpr("*", "cost_charged > 0 AS is_paid", f"CASE WHEN value_number < {LOW}D THEN 'low' WHEN value_number > {HIGH}D THEN 'high' ELSE 'normal' END AS seen")
     price = lambda ok: f"sum(CASE WHEN is_paid AND {ok} THEN price ELSE 0.0D END)"
     of = {"paid": price("true"), "paid_right": price("seen = prediction"), **{f"paid_{b}": price(f"prediction = '{b}'") for b in BUCKETS}}
     of |= {f"seen_{b}": f"count_if(is_paid AND seen = '{b}')" for b in BUCKETS} | {f"right_{b}": f"count_if(is_paid AND seen = '{b}' AND prediction = '{b}')" for b in BUCKETS}
-    of |= {"n_tests": "count_if(is_paid)", "n_turns": "count(1)", "lo": "min(value_number)", "hi": "max(value_number)", "drugs": "array_sort(collect_list(CASE WHEN kind = 'prescribe' THEN treatment_key END))"}
+    of |= {"n_tests": "count_if(is_paid)", "n_turns": "count(1)", "lo": "min(value_number)", "hi": "max(value_number)"}
     return rows.groupBy("episode_id").agg(*[F.expr(e).alias(n) for n, e in of.items()])
 
 
+def prescribed(steps: DataFrame) -> DataFrame:
+    """(episode_id, drugs): the treatments of the episodes that have one."""
+    given = steps.where("kind = 'prescribe' AND treatment_key IS NOT NULL").select("episode_id", "treatment_key").repartition("episode_id")
+    return given.groupBy("episode_id").agg(F.expr("array_sort(collect_list(treatment_key))").alias("drugs"))
+
+
 def with_bucket_priors(f: DataFrame) -> DataFrame:
     """Episode facts with the priors of the buckets (one row, broadcast)."""
     seen = f.agg(*[F.sum(f"seen_{b}").alias(b) for b in BUCKETS])
@@ -158,7 +165,7 @@ def drug_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = lambda name, *cols: view(spark, sf_dir, name).groupBy("treatment_key").agg(F.collect_list(F.struct(*cols)).alias(name))
     for name, cols in (("rule_appropriate", ("condition", "score")), ("rule_threshold", ("rule", "op", "limit", "scale")), ("rule_pair", ("partner", "scale"))):
         d = d.join(F.broadcast(per(name, *cols)), "treatment_key", "left")
-    return d
+    return d.withColumn("fit_of", F.map_from_entries("rule_appropriate"))
 
 
 def violation_list() -> Column:
@@ -172,6 +179,15 @@ def violation_list() -> Column:
     return F.expr(f"concat({allergy}, {limits}, {pairs})")
 
 
+def contraindication() -> Column:
+    """The scales of :func:`violation_list` summed, without making the list: the
+    rules that only few rows have are array functions, which are interpreted."""
+    limits = "aggregate(filter(rule_threshold, x -> CASE WHEN x.op = '<' THEN lo < x.limit ELSE hi > x.limit END), 0.0D, (a, x) -> a + x.scale)"
+    pairs = "aggregate(filter(rule_pair, x -> array_contains(drugs, x.partner)), 0.0D, (a, x) -> a + x.scale)"
+    first = "array_position(drugs, treatment_key) = pos + 1"
+    return F.expr(f"CASE WHEN class = patient_id % 6 THEN 1.0D ELSE 0.0D END + CASE WHEN rule_threshold IS NOT NULL THEN {limits} ELSE 0.0D END + CASE WHEN rule_pair IS NOT NULL AND {first} THEN {pairs} ELSE 0.0D END")
+
+
 def prescriptions(b: DataFrame, rules: DataFrame) -> DataFrame:
     """``b`` (episode rows) once for each prescription, with its rules; rows
     without prescriptions stay once.  An unknown treatment is an error."""
@@ -185,7 +201,7 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(episode_id, treatment, rule, scale) of each violated rule.  Allergy:
     the patient's class; limits: a value beyond one with a listed treatment;
     interaction: both of a pair (once an episode)."""
-    f = facts(view(spark, sf_dir, "charged")).select("episode_id", "lo", "hi", "drugs").where(F.size("drugs") > 0)
+    f = facts(view(spark, sf_dir, "charged")).select("episode_id", "lo", "hi").join(prescribed(view(spark, sf_dir, "step")), "episode_id")
     b = f.join(view(spark, sf_dir, "episode").select("episode_id", "patient_id"), "episode_id")
     return prescriptions(b, drug_rules(spark, sf_dir)).select("episode_id", F.inline(violation_list()))
 
@@ -199,17 +215,16 @@ def base(spark: SparkSession, sf_dir: str, with_reports: bool = False) -> DataFr
     e = view(spark, sf_dir, "episode").join(truth, "condition", "left")
     e = e.withColumn("condition", F.when(F.col("listed_label"), F.col("condition")).otherwise(F.raise_error(F.concat(F.lit("unknown label "), "condition")))).drop("listed_label")
     r = stated(view(spark, sf_dir, "report"), labels)
-    j = e.join(with_bucket_priors(facts(view(spark, sf_dir, "charged"))), "episode_id", "left").join(r, "episode_id", "left")
+    j = e.join(with_bucket_priors(facts(view(spark, sf_dir, "charged"))), "episode_id", "left").join(prescribed(view(spark, sf_dir, "step")), "episode_id", "left").join(r, "episode_id", "left")
     j = j.withColumns({"brier": stated_brier("condition"), "mass": mass_on("condition"), "declared": declared()})
     j = j if with_reports else j.drop("names", "named", "unnamed", "share")
     x = prescriptions(j, drug_rules(spark, sf_dir))
-    app = lambda label: F.coalesce(F.get(F.filter("rule_appropriate", lambda r: r["condition"] == label), F.lit(0))["score"], F.lit(0.0))
+    app = lambda label: F.coalesce(F.col("fit_of")[F.col(label)], F.lit(0.0))
     given = F.col("treatment_key").isNotNull()
-    scale = F.aggregate(violation_list(), F.lit(0.0), lambda a, v: a + v["scale"])
-    x = x.withColumns({"fit_declared": F.when(given, app(F.col("declared"))), "fit_truth": F.when(given, app(F.col("condition"))), "scale": F.when(given, scale), "given": given})
+    x = x.withColumns({"fit_declared": F.when(given, app("declared")), "fit_truth": F.when(given, app("condition")), "scale": F.when(given, contraindication()), "given": given})
+    # what an episode's rows have in common is part of the key: its sums then stay in one hash table
     keep = [c for c in j.columns if c not in ("episode_id", "drugs", "lo", "hi")]
-    return x.groupBy("episode_id").agg(
-        *[F.first(c).alias(c) for c in keep],
+    return x.groupBy("episode_id", *keep).agg(
         F.coalesce(F.avg("fit_declared"), F.lit(0.0)).alias("coherence"), F.coalesce(F.avg("fit_truth"), F.lit(0.0)).alias("correctness"),
         F.coalesce(F.sum("scale"), F.lit(0.0)).alias("contraindicated"), F.count_if("given").alias("n_drugs"), *([F.flatten(F.collect_list("rule_appropriate")).alias("fits")] if with_reports else []),
     )
@@ -221,8 +236,7 @@ def terms(cfg: RewardConfig = DEFAULT) -> dict[str, Column]:
     t = {"diagnosis": diagnosis(cfg), **step_terms(cfg)}
     t["treatment"] = cfg.coherence_scale * F.col("coherence") + cfg.correctness_scale * F.col("mass") * F.col("correctness") - cfg.contraindication_penalty * F.col("contraindicated")
     total = sum(t.values(), F.lit(0.0))
-    finite = lambda x: F.when(F.abs(x) < float("inf"), x).otherwise(F.raise_error(F.lit("a score is not finite")).cast("double"))
-    t["total"] = F.get(F.transform(F.array(total), finite), F.lit(0))
+    t["total"] = F.when(F.abs(total) < float("inf"), total).otherwise(F.raise_error(F.lit("a score is not finite")).cast("double"))
     return t
 
 

@@ -385,3 +385,21 @@ def test_steps_are_shuffled_once(spark):
     f = facts(view(spark, "/root/testdata/sf0.001", "charged"))
     plan = f._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_scores_sort_steps_once_a_pass_and_group_by_hash(spark):
+    from marlstone.operators.scoring import base
+
+    plan = base(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [row_number()") == 2  # facts, and priors of the buckets
+    assert "SortAggregate" not in plan
+
+
+def test_a_contraindication_is_the_sum_of_its_list(spark):
+    from marlstone.operators.scoring import contraindication, drug_rules, prescriptions, violation_list
+
+    given = spark.createDataFrame([(0, 3, 1.0, 50.0, ["d3", "d4"]), (1, 4, 9.0, 49.0, ["d4", "d4", "d5"]), (2, 1, 9.0, 9.0, ["d1"]), (3, 1, 9.0, 9.0, None)], "episode_id int, patient_id bigint, lo double, hi double, drugs array<string>")
+    x = prescriptions(given, drug_rules(spark, "/root/testdata/sf0.01")).where("treatment_key IS NOT NULL").select("episode_id", contraindication().alias("got"), violation_list().alias("list")).collect()
+    assert len(x) == 6 and all(abs(r.got - sum(v.scale for v in r.list)) < 1e-12 for r in x)
+    totals = [sum(r.got for r in x if r.episode_id == i) for i in range(3)]
+    assert [round(t, 6) for t in totals] == [2.8, 4.2, 1.0]
