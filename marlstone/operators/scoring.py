@@ -3,6 +3,8 @@ log, so a log can be scored again under other weights at any time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from marlstone.plans.config import DEFAULT, RewardConfig
@@ -132,11 +134,15 @@ def prescribed(steps: DataFrame) -> DataFrame:
     return given.groupBy("episode_id").agg(F.expr("array_sort(collect_list(treatment_key))").alias("drugs"))
 
 
-def with_bucket_priors(f: DataFrame) -> DataFrame:
-    """Episode facts with the priors of the buckets (one row, broadcast)."""
-    seen = f.agg(*[F.sum(f"seen_{b}").alias(b) for b in BUCKETS])
+def with_bucket_priors(charged: DataFrame) -> DataFrame:
+    """Episode facts with the priors of the buckets (one row, broadcast).  Steps
+    without an episode count for the priors too; they are asked for apart, which
+    is next to nothing, as joins by episode leave them out: what both passes read
+    is then one shuffle."""
+    seen = lambda rows: facts(charged.where(rows)).agg(*[F.sum(f"seen_{b}").alias(b) for b in BUCKETS])
+    both = seen("episode_id IS NOT NULL").unionByName(seen("episode_id IS NULL")).agg(*[F.sum(b).alias(b) for b in BUCKETS])
     total = sum((F.col(b) for b in BUCKETS[1:]), F.col(BUCKETS[0]))
-    return f.join(F.broadcast(seen.select(*[(F.col(b) / total).alias(f"prior_{b}") for b in BUCKETS])), F.lit(True))
+    return facts(charged).join(F.broadcast(both.select(*[(F.col(b) / total).alias(f"prior_{b}") for b in BUCKETS])), F.lit(True))
 
 
 def step_terms(cfg: RewardConfig = DEFAULT) -> dict[str, Column]:
@@ -206,27 +212,29 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prescriptions(b, drug_rules(spark, sf_dir)).select("episode_id", F.inline(violation_list()))
 
 
-def base(spark: SparkSession, sf_dir: str, with_reports: bool = False) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str, more: Callable[[DataFrame], DataFrame] | None = None, n_said: int = 0) -> DataFrame:
     """One row an episode with all that scores depend on, under any weights:
-    steps are read once, reports are kept in closed form.  ``with_reports``
-    keeps the stated reports, and ``fits``: what its treatments are for."""
+    steps are read once, reports are kept in closed form.  ``more`` adds columns
+    to episodes while their stated reports and ``drugs`` are there; if one is
+    ``said``, an array of ``n_said`` labels, ``told0``, ``told1``, ... are how well the
+    treatments fit each, on average."""
     labels = view(spark, sf_dir, "label")
     truth = F.broadcast(labels.select(F.col("label").alias("condition"), "urgency", F.lit(True).alias("listed_label")))
     e = view(spark, sf_dir, "episode").join(truth, "condition", "left")
     e = e.withColumn("condition", F.when(F.col("listed_label"), F.col("condition")).otherwise(F.raise_error(F.concat(F.lit("unknown label "), "condition")))).drop("listed_label")
     r = stated(view(spark, sf_dir, "report"), labels)
-    j = e.join(with_bucket_priors(facts(view(spark, sf_dir, "charged"))), "episode_id", "left").join(prescribed(view(spark, sf_dir, "step")), "episode_id", "left").join(r, "episode_id", "left")
+    j = e.join(with_bucket_priors(view(spark, sf_dir, "charged")), "episode_id", "left").join(prescribed(view(spark, sf_dir, "step")), "episode_id", "left").join(r, "episode_id", "left")
     j = j.withColumns({"brier": stated_brier("condition"), "mass": mass_on("condition"), "declared": declared()})
-    j = j if with_reports else j.drop("names", "named", "unnamed", "share")
+    j = (more(j) if more else j).drop("names", "named", "unnamed", "share")
     x = prescriptions(j, drug_rules(spark, sf_dir))
-    app = lambda label: F.coalesce(F.col("fit_of")[F.col(label)], F.lit(0.0))
+    app = lambda label: F.coalesce(F.col("fit_of")[label], F.lit(0.0))
     given = F.col("treatment_key").isNotNull()
-    x = x.withColumns({"fit_declared": F.when(given, app("declared")), "fit_truth": F.when(given, app("condition")), "scale": F.when(given, contraindication()), "given": given})
+    x = x.withColumns({"fit_declared": F.when(given, app(F.col("declared"))), "fit_truth": F.when(given, app(F.col("condition"))), "scale": F.when(given, contraindication()), "given": given, **{f"told{i}": F.when(given, app(F.get("said", F.lit(i)))) for i in range(n_said)}})
     # what an episode's rows have in common is part of the key: its sums then stay in one hash table
-    keep = [c for c in j.columns if c not in ("episode_id", "drugs", "lo", "hi")]
+    keep = [c for c in j.columns if c not in ("episode_id", "drugs", "lo", "hi", "said")]
     return x.groupBy("episode_id", *keep).agg(
         F.coalesce(F.avg("fit_declared"), F.lit(0.0)).alias("coherence"), F.coalesce(F.avg("fit_truth"), F.lit(0.0)).alias("correctness"),
-        F.coalesce(F.sum("scale"), F.lit(0.0)).alias("contraindicated"), F.count_if("given").alias("n_drugs"), *([F.flatten(F.collect_list("rule_appropriate")).alias("fits")] if with_reports else []),
+        F.coalesce(F.sum("scale"), F.lit(0.0)).alias("contraindicated"), F.count_if("given").alias("n_drugs"), *[F.avg(f"told{i}").alias(f"told{i}") for i in range(n_said)],
     )
 
 
@@ -314,7 +322,7 @@ def bucket_prior(spark, sf_dir):
 
 @query(f"WITH {ctes('charged')}, {_PRIOR} SELECT episode_id, round(sum(CASE WHEN cost_charged > 0 THEN {DEFAULT.verify_fraction * DEFAULT.lam} * price * ((CASE WHEN value_number < 15 THEN 'low' WHEN value_number > 35 THEN 'high' ELSE 'normal' END = prediction)::INT - prior) ELSE 0 END), 6) AS verify FROM charged JOIN bp USING (prediction) GROUP BY episode_id")
 def ep_verify(spark, sf_dir):
-    f = with_bucket_priors(facts(view(spark, sf_dir, "charged")))
+    f = with_bucket_priors(view(spark, sf_dir, "charged"))
     return f.select("episode_id", r6(step_terms()["verify"]).alias("verify"))
 
 

@@ -58,21 +58,24 @@ def declared_at(alphas: tuple[float, ...]) -> Column:
 
 def swept_reports(spark: SparkSession, sf_dir: str, cfg: RewardConfig = DEFAULT, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """(policy, alpha, n, mean_total, mean_diagnosis) of every stored episode."""
-    b = base(spark, sf_dir, with_reports=True).join(F.broadcast(label_prior(view(spark, sf_dir, "episode"))), F.lit(True))  # one row
-    reported = F.col("named").isNotNull() & (F.col("termination_reason") == "diagnose")
-    zero = lambda c: F.when(reported, c).otherwise(0.0)
-    b = b.withColumns({k: zero(c) for k, c in mixed_brier().items()})
+    prior = F.broadcast(label_prior(view(spark, sf_dir, "episode")))  # one row
+    asked = F.col("named").isNotNull() & (F.col("termination_reason") == "diagnose")
+
+    def mixed(j: DataFrame) -> DataFrame:
+        zero = {k: F.when(F.col("reported"), c).otherwise(0.0) for k, c in mixed_brier().items()}
+        said = F.when(F.col("reported") & (F.size("drugs") > 0), declared_at(alphas))
+        return j.join(prior, F.lit(True)).withColumn("reported", asked).withColumns({**zero, "said": said}).drop("pi", "pp")
+
+    b, reported = base(spark, sf_dir, mixed, len(alphas)), F.col("reported")
     w = weight(F.col("urgency"), cfg)
     steps = sum(step_terms(cfg).values(), F.lit(0.0))
-    fit = lambda label: F.aggregate(F.filter("fits", lambda x: x["condition"] == label), F.lit(0.0), lambda a, x: a + x["score"]) / F.col("n_drugs")
     scale = cfg.correctness_scale * F.col("correctness")
     rest = steps - cfg.contraindication_penalty * F.col("contraindicated")
     # what does not depend on alpha, then the coefficients of alpha
     d = {"d0": F.when(reported, w * F.col("a0")).otherwise(diagnosis(cfg)), "d1": w * F.col("a1"), "d2": w * F.col("a2")}
-    t = {"t0": d["d0"] + rest + scale * zero(F.col("m0")), "t1": d["d1"] + scale * zero(F.col("m1")), "t2": d["d2"]}
-    told = F.when(reported & (F.col("n_drugs") > 0), F.transform(declared_at(alphas), fit))
-    x = b.select("policy", *[c.alias(k) for k, c in {**d, **t}.items()], told.alias("told"))
-    sums = x.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in (*d, *t)], *[F.coalesce(F.sum(F.get("told", F.lit(i))), F.lit(0.0)).alias(f"c{i}") for i in range(len(alphas))])
+    t = {"t0": d["d0"] + rest + scale * F.col("m0"), "t1": d["d1"] + scale * F.col("m1"), "t2": d["d2"]}
+    x = b.select("policy", *[c.alias(k) for k, c in {**d, **t}.items()], *[f"told{i}" for i in range(len(alphas))])
+    sums = x.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in (*d, *t)], *[F.coalesce(F.sum(f"told{i}"), F.lit(0.0)).alias(f"c{i}") for i in range(len(alphas))])
     at = lambda k, a: F.col(f"{k}0") + a * F.col(f"{k}1") + a * a * F.col(f"{k}2")
     grid = F.array(*[F.struct(F.lit(a).alias("alpha"), ((at("t", a) + cfg.coherence_scale * F.col(f"c{i}")) / F.col("n")).alias("mean_total"), (at("d", a) / F.col("n")).alias("mean_diagnosis")) for i, a in enumerate(alphas)])
     return sums.select("policy", "n", F.inline(grid))

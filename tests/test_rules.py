@@ -391,7 +391,7 @@ def test_scores_sort_steps_once_a_pass_and_group_by_hash(spark):
     from marlstone.operators.scoring import base
 
     plan = base(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Window [row_number()") == 2  # facts, and priors of the buckets
+    assert plan.count("Window [row_number()") == 3  # facts, priors of the buckets, and of these the steps without an episode
     assert "SortAggregate" not in plan
 
 
@@ -403,3 +403,28 @@ def test_a_contraindication_is_the_sum_of_its_list(spark):
     assert len(x) == 6 and all(abs(r.got - sum(v.scale for v in r.list)) < 1e-12 for r in x)
     totals = [sum(r.got for r in x if r.episode_id == i) for i in range(3)]
     assert [round(t, 6) for t in totals] == [2.8, 4.2, 1.0]
+
+
+def test_all_passes_over_steps_read_one_shuffle(spark):
+    from marlstone.plans.registry import QUERIES
+
+    df = QUERIES["turn_advantages"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") >= 2  # scores, priors and turns
+
+
+def test_steps_without_an_episode_count_for_the_priors(spark):
+    from marlstone.operators.scoring import with_bucket_priors
+
+    step = "episode_id bigint, turn int, kind string, treatment_key string, price double, value_number double, prediction string, cost_charged double"
+    charged = spark.createDataFrame([(e, 1, "order_test", "d1", 2.0, v, "low", 2.0) for e, v in ((1, 1.0), (1, 40.0), (None, 1.0), (None, 20.0))], step)
+    rows = {r.episode_id: (r.n_tests, r.prior_low, r.prior_normal, r.prior_high) for r in with_bucket_priors(charged).collect()}
+    assert rows == {1: (2, 0.5, 0.25, 0.25), None: (2, 0.5, 0.25, 0.25)}
+
+
+def test_a_sweep_collects_no_rules(spark):
+    from marlstone.operators.shrink import swept_reports
+
+    plan = swept_reports(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "rule_appropriate" in plan and "flatten" not in plan
