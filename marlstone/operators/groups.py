@@ -184,7 +184,8 @@ def turn_advantages(spark, sf_dir):
     from marlstone.sources.views import view
 
     a = advantages(scores(spark, sf_dir)).select("episode_id", "advantage")
-    return view(spark, sf_dir, "step").join(a, "episode_id").select("episode_id", "turn", "kind", r6("advantage").alias("advantage"))
+    # charged steps are laid out by episode for the scores already
+    return view(spark, sf_dir, "charged").join(a, "episode_id").select("episode_id", "turn", "kind", r6("advantage").alias("advantage"))
 
 
 MIN_PROCESS = 0.5
