@@ -125,7 +125,14 @@ def fitted(lik: DataFrame, pri: DataFrame) -> Fitted:
     """The table as numbers: labels times dims, both dimensions."""
     rows = lik.join(pri, "label").select("label", "dim", "mean", "sd", F.ln("prior").alias("lp")).orderBy("label", "dim").toArrow()
     labels, first = np.unique(rows["label"].to_numpy(), return_index=True)
-    grid = lambda c: rows[c].to_numpy().reshape(len(labels), -1) if len(labels) else np.zeros((0, 0))
+    label, dim = np.searchsorted(labels, rows["label"].to_numpy()), rows["dim"].to_numpy()
+
+    def grid(c: str) -> np.ndarray:
+        """By (label, dim); a pair that was never seen says nothing."""
+        out = np.full((len(labels), dim.max() + 1 if len(dim) else 0), np.nan)
+        out[label, dim] = rows[c].to_numpy()
+        return out
+
     return Fitted(labels, rows["lp"].to_numpy()[first], grid("mean"), grid("sd"))
 
 
@@ -292,23 +299,44 @@ COST = 0.5
 MIN_GAIN = 0.15
 
 
-def partial(ev: DataFrame) -> DataFrame:
-    """(key, truth, label, p) after the first SEEN observations."""
-    return sequences(ev).where(F.col("k") == SEEN).drop("k")
+def partial(records: DataFrame, model: Fitted) -> DataFrame:
+    """``records`` of SEEN values or more, and ``belief`` after the first SEEN."""
+    seen = records.where(F.size("values") >= SEEN).withColumns({"all": F.col("values"), "values": F.slice("values", 1, SEEN)})
+    return beliefs(seen, model).withColumn("values", F.col("all")).drop("all")
 
 
-def expected_entropies(belief: DataFrame, lik: DataFrame) -> DataFrame:
+def expected_entropies(records: DataFrame, model: Fitted) -> DataFrame:
     """(key, dim, eig): expected entropy after observing ``dim``, over a grid
     between the smallest and the largest mean.  Likelihoods are shifted at each
-    grid point before they weigh it, as the rule has it."""
-    ends = lik.groupBy("dim").agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda i: F.struct(i.alias("g"), (F.col("lo") + i * (F.col("hi") - F.col("lo")) / (GRID - 1)).alias("x"))))
-    points = lik.join(ends, "dim").select("dim", "label", "mean", "sd", at.alias("at")).select("dim", "label", "at.g", log_likelihood(F.col("at.x")).alias("ll"))
-    points = points.withColumn("l", F.exp(F.col("ll") - F.max("ll").over(W.partitionBy("dim", "g"))))
-    j = belief.join(F.broadcast(points.select("dim", "g", "label", "l")), "label").withColumn("w", F.col("p") * F.col("l"))
-    # entropy of w / s from two sums: ln s - sum(w ln w) / s
-    per = j.groupBy("key", "dim", "g").agg(F.sum("w").alias("s"), F.sum(F.when(F.col("w") > 0, F.col("w") * F.ln("w")).otherwise(0.0)).alias("wl"))
-    return per.where("s > 0").groupBy("key", "dim").agg((F.sum(F.col("s") * (F.ln("s") - F.col("wl") / F.col("s"))) / F.sum("s")).alias("eig"))
+    grid point before they weigh it, as the rule has it.  A record is a row of
+    the task's batch; nothing is shuffled."""
+    lo, hi = np.fmin.reduce(model.mean, axis=0), np.fmax.reduce(model.mean, axis=0)
+    x = lo + np.arange(GRID)[:, None, None] * (hi - lo) / (GRID - 1)  # grid, 1, dim
+    z = (x - model.mean) / model.sd
+    ll = -0.5 * z * z - np.log(model.sd) - 0.5 * np.log(2 * pi)
+    points = np.nan_to_num(np.exp(ll - np.fmax.reduce(ll, axis=1, keepdims=True)), nan=0.0)  # grid, label, dim
+    n_labels, dims = model.mean.shape
+
+    def entropies(p: np.ndarray) -> np.ndarray:
+        """(record, dim) of beliefs (record, label); NaN where nothing weighs."""
+        total, top = np.zeros((len(p), dims)), np.zeros((len(p), dims))
+        for l in points:
+            w = p[:, :, None] * l
+            s = w.sum(axis=1)
+            wl = np.where(w > 0, w * np.log(np.where(w > 0, w, 1.0)), 0.0).sum(axis=1)
+            # entropy of w / s from two sums: ln s - sum(w ln w) / s
+            some = np.where(s > 0, s, 1.0)
+            top += np.where(s > 0, s * (np.log(some) - wl / some), 0.0)
+            total += np.where(s > 0, s, 0.0)
+        return np.divide(top, total, out=np.full_like(top, np.nan), where=total > 0)
+
+    def of(belief: pa.Array) -> pa.Array:
+        parts = [entropies(b.flatten().field("p").to_numpy(zero_copy_only=False).reshape(-1, n_labels)) for b in sliced(belief)]
+        flat = np.concatenate([np.zeros((0, dims)), *parts])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * dims, pa.int32()), pa.array(flat.ravel()))
+
+    e = partial(records, model).select("key", F.posexplode(F.arrow_udf(of, "array<double>")("belief")).alias("dim", "eig"))
+    return e.where(~F.isnan("eig"))
 
 
 _EIG = f"""{SEQ}, bl AS (SELECT key, truth, label, p FROM seq WHERE k = {SEEN}),
@@ -320,23 +348,20 @@ eig AS (SELECT key, dim, sum(s * (ln(s) - wl / s)) / sum(s) AS eig FROM gw GROUP
 
 @query(f"WITH {_EIG} SELECT key, dim, round(eig, 6) AS eig FROM eig")
 def eig(spark, sf_dir):
-    ev = evidence(spark, sf_dir)
-    return expected_entropies(partial(ev), likelihoods(ev)).select("key", "dim", r6("eig").alias("eig"))
+    return expected_entropies(vectors(spark, sf_dir), _fitted(spark, sf_dir)).select("key", "dim", r6("eig").alias("eig"))
 
 
 @query(f"WITH {_EIG} SELECT key, first(dim ORDER BY round(eig * sqrt(1 + dim), 9), dim) AS next_dim, round(min(eig * sqrt(1 + dim)), 6) AS score FROM eig WHERE dim >= {SEEN} AND 1 + dim <= 7 GROUP BY key")
 def next_test(spark, sf_dir):
     """The affordable test not yet ordered with the least entropy times cost."""
-    ev = evidence(spark, sf_dir)
-    e = expected_entropies(partial(ev), likelihoods(ev)).where((F.col("dim") >= SEEN) & (1 + F.col("dim") <= 7))
+    e = expected_entropies(vectors(spark, sf_dir), _fitted(spark, sf_dir)).where((F.col("dim") >= SEEN) & (1 + F.col("dim") <= 7))
     s = e.withColumn("score", F.col("eig") * F.pow(1.0 + F.col("dim"), COST))
     return s.groupBy("key").agg(F.min_by("dim", F.struct(F.round("score", 9), F.col("dim"))).alias("next_dim"), r6(F.min("score")).alias("score"))
 
 
-def log_gains(ev: DataFrame) -> DataFrame:
+def log_gains(ev: DataFrame, b: DataFrame) -> DataFrame:
     """(key, dim, gain): how much the truth's log posterior rises at the
-    record's own value."""
-    b = partial(ev)
+    record's own value; ``b``: (key, truth, label, p) of what was believed."""
     j = ev.select("key", "dim", "value").join(F.broadcast(likelihoods(ev)), "dim").withColumn("ll", log_likelihood(F.col("value")))
     j = j.join(b, ["key", "label"]).withColumn("w", F.col("p") * F.exp(F.col("ll") - F.max("ll").over(W.partitionBy("key", "dim"))))
     hit = F.col("label") == F.col("truth")
@@ -344,6 +369,15 @@ def log_gains(ev: DataFrame) -> DataFrame:
     return g.select("key", "dim", (F.ln(F.greatest(F.col("t") / F.col("s"), F.lit(1e-300))) - F.ln(F.greatest("b", F.lit(1e-300)))).alias("gain"))
 
 
+def partial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, truth, label, p) after the first SEEN observations."""
+    return partial(vectors(spark, sf_dir), _fitted(spark, sf_dir)).select("key", "truth", F.inline("belief"))
+
+
+def _log_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_gains(evidence(spark, sf_dir), partial_rows(spark, sf_dir))
+
+
 _GAIN = f"""{SEQ}, bl AS (SELECT key, truth, label, p FROM seq WHERE k = {SEEN}), gx AS (SELECT ev.key, dim, label, {_LL} AS ll FROM ev JOIN lik USING (dim)),
 gy AS (SELECT gx.key, dim, gx.label, bl.truth, p, p * exp(ll - max(ll) OVER (PARTITION BY gx.key, dim)) AS w FROM gx JOIN bl ON bl.key = gx.key AND bl.label = gx.label),
 gain AS (SELECT key, dim, ln(greatest(max(w) FILTER (label = truth) / sum(w), 1e-300)) - ln(greatest(max(p) FILTER (label = truth), 1e-300)) AS gain FROM gy GROUP BY 1, 2)"""
@@ -351,13 +385,13 @@ gain AS (SELECT key, dim, ln(greatest(max(w) FILTER (label = truth) / sum(w), 1e
 
 @query(f"WITH {_GAIN} SELECT key, dim, round(gain, 6) AS gain FROM gain")
 def log_gain(spark, sf_dir):
-    return log_gains(evidence(spark, sf_dir)).select("key", "dim", r6("gain").alias("gain"))
+    return _log_gains(spark, sf_dir).select("key", "dim", r6("gain").alias("gain"))
 
 
 @query(f"WITH {_GAIN}, b AS (SELECT key, max(round(gain / sqrt(1 + dim), 9)) AS best, first(dim ORDER BY round(gain / sqrt(1 + dim), 9) DESC, dim) AS d FROM gain WHERE dim >= {SEEN} GROUP BY key) SELECT key, CASE WHEN best >= {MIN_GAIN} THEN d END AS test, round(best, 6) AS best FROM b")
 def hindsight_test(spark, sf_dir):
     """The most telling test per cost in hindsight; none below a least gain."""
-    s = log_gains(evidence(spark, sf_dir)).where(F.col("dim") >= SEEN).withColumn("per", F.round(F.col("gain") / F.pow(1.0 + F.col("dim"), COST), 9))
+    s = _log_gains(spark, sf_dir).where(F.col("dim") >= SEEN).withColumn("per", F.round(F.col("gain") / F.pow(1.0 + F.col("dim"), COST), 9))
     b = s.groupBy("key").agg(F.max("per").alias("best"), F.min_by("dim", F.struct(-F.col("per"), F.col("dim"))).alias("d"))
     return b.select("key", F.when(F.col("best") >= MIN_GAIN, F.col("d")).alias("test"), r6("best").alias("best"))
 
@@ -378,7 +412,7 @@ def next_test_budget(spark, sf_dir):
     """The next test of each record under its own budget and orders; none when
     it has ordered enough or can pay for none."""
     ev = evidence(spark, sf_dir)
-    e = affordable(expected_entropies(partial(ev), likelihoods(ev))).where(F.col("ordered") < STOP)
+    e = affordable(expected_entropies(vectors(spark, sf_dir), _fitted(spark, sf_dir))).where(F.col("ordered") < STOP)
     best = e.groupBy("key").agg(F.min_by("dim", F.struct(F.round(F.col("eig") * F.pow(1.0 + F.col("dim"), COST), 9), F.col("dim"))).alias("next_dim"))
     return ev.where("dim = 0").select("key").join(best, "key", "left")
 
@@ -387,6 +421,6 @@ def next_test_budget(spark, sf_dir):
 def hindsight_test_budget(spark, sf_dir):
     """The most telling test per cost in hindsight, within budget and orders."""
     ev = evidence(spark, sf_dir)
-    g = affordable(log_gains(ev)).where(F.col("ordered") < STOP_HINDSIGHT).withColumn("per", F.round(F.col("gain") / F.pow(1.0 + F.col("dim"), COST), 9))
+    g = affordable(_log_gains(spark, sf_dir)).where(F.col("ordered") < STOP_HINDSIGHT).withColumn("per", F.round(F.col("gain") / F.pow(1.0 + F.col("dim"), COST), 9))
     b = g.groupBy("key").agg(F.max("per").alias("best"), F.min_by("dim", F.struct(-F.col("per"), F.col("dim"))).alias("d"))
     return ev.where("dim = 0").select("key").join(b.select("key", F.when(F.col("best") >= MIN_GAIN, F.col("d")).alias("test")), "key", "left")

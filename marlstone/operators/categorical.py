@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from marlstone.operators.belief import LIK, SEQ, evidence, likelihoods, log_likelihood, partial, priors, softmax
+from marlstone.operators.belief import LIK, SEQ, evidence, likelihoods, log_likelihood, partial_rows, priors, softmax
 from marlstone.operators.scoring import r6
 from marlstone.plans.registry import query
 from marlstone.sources.views import ctes, view
@@ -130,7 +130,7 @@ def exact_entropies(belief: DataFrame, lik: DataFrame) -> DataFrame:
 @query(f"{'WITH ' + SEQ}, {CAT.split(LIK + ',')[1].strip()}, bl AS (SELECT key, label, p AS b FROM seq WHERE k = 4), cw AS (SELECT key, dim, value, sum(b * p) AS s, sum(CASE WHEN b * p > 0 THEN b * p * ln(b * p) ELSE 0 END) AS wl FROM bl JOIN cl USING (label) GROUP BY 1, 2, 3) SELECT key, dim, round(sum(CASE WHEN s > 0 THEN s * ln(s) - wl ELSE 0 END), 6) AS eig FROM cw GROUP BY 1, 2")
 def cat_eig(spark, sf_dir):
     ev = evidence(spark, sf_dir)
-    return exact_entropies(partial(ev), categorical_likelihoods(ev)).select("key", "dim", r6("eig").alias("eig"))
+    return exact_entropies(partial_rows(spark, sf_dir), categorical_likelihoods(ev)).select("key", "dim", r6("eig").alias("eig"))
 
 
 @query(f"WITH {CAT} SELECT dim, value AS bucket, round(sum(prior * p), 6) AS prior FROM cl JOIN pri USING (label) GROUP BY 1, 2")

@@ -428,3 +428,36 @@ def test_a_sweep_collects_no_rules(spark):
 
     plan = swept_reports(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "rule_appropriate" in plan and "flatten" not in plan
+
+
+def test_expected_entropies_shuffle_no_record(spark):
+    from marlstone.plans.registry import QUERIES
+
+    for name in ("eig", "next_test"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == (name == "next_test")  # its rows of one record are grouped
+
+
+def test_a_fitted_table_may_lack_pairs(spark):
+    from marlstone.operators.belief import GRID, SEEN, expected_entropies, fitted, likelihoods, priors
+
+    rows = [(0, 0, [0.0, 1.0, 2.0, 0.5, 3.0]), (1, 0, [0.2, 0.8, 1.5, 0.1, 2.0]), (2, 1, [1.0, 0.0, 0.5, 0.9]), (3, 1, [0.7, 0.2, 0.1, 0.4]), (4, 1, [0.1])]
+    records = spark.createDataFrame(rows, "key long, truth int, values array<double>")
+    ev = records.selectExpr("key", "truth", "posexplode(values) AS (dim, value)")
+    model = fitted(likelihoods(ev), priors(ev))
+    assert model.mean.shape == (2, 5) and [bool(x) for x in model.mean[1] != model.mean[1]] == [False] * 4 + [True]
+    got = {(r.key, r.dim): r.eig for r in expected_entropies(records, model).collect()}
+    assert set(got) == {(k, d) for k in range(4) for d in range(5)}  # the record of one value is not asked
+    import numpy as np
+
+    v = np.array(rows[2][2])
+    z = (v - model.mean[:, :SEEN]) / model.sd[:, :SEEN]
+    lp = np.log([0.4, 0.6]) + (-0.5 * z * z - np.log(model.sd[:, :SEEN]) - 0.5 * np.log(2 * np.pi)).sum(axis=1)
+    p = np.exp(lp - lp.max()) / np.exp(lp - lp.max()).sum()
+    top = total = 0.0
+    for x in np.linspace(model.mean[:, 1].min(), model.mean[:, 1].max(), GRID):
+        like = np.exp(-0.5 * ((x - model.mean[:, 1]) / model.sd[:, 1]) ** 2) / model.sd[:, 1]
+        w = p * like / like.max()
+        h = -sum(a * np.log(a) for a in w / w.sum() if a > 0)
+        top, total = top + w.sum() * h, total + w.sum()
+    assert abs(got[2, 1] - top / total) < 1e-9 and abs(got[2, 4]) < 1e-12  # only one label knows the last value
