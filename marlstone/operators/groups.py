@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from marlstone.operators.scoring import N_LABELS, base, r6, scores, scores_sql, terms, weight
+from marlstone.operators.scoring import N_LABELS, base, r6, scores, scores_sql, terms, totals, weight
 from marlstone.plans.config import DEFAULT
 from marlstone.plans.registry import query
 
@@ -30,18 +30,18 @@ _G = f"{_S}, g AS (SELECT policy, patient_id, count(*) AS k, avg(total) AS mean,
 
 @query(f"{_G} SELECT policy, patient_id, k, round(mean, 6) AS mean, round(std, 6) AS std, round(best, 6) AS best, round(first, 6) AS first FROM g")
 def grp_stats(spark, sf_dir):
-    return groups(scores(spark, sf_dir)).select(*GROUP, "k", *[r6(c).alias(c) for c in ("mean", "std", "best", "first")])
+    return groups(totals(spark, sf_dir)).select(*GROUP, "k", *[r6(c).alias(c) for c in ("mean", "std", "best", "first")])
 
 
 @query(f"{_G} SELECT policy, count(*) AS groups, round(avg(pass_1::INT), 6) AS pass_at_1, round(avg(pass_k::INT), 6) AS pass_at_k, round(avg(std), 6) AS mean_std, round(avg(best), 6) AS mean_best FROM g GROUP BY policy")
 def grp_pass_at_k(spark, sf_dir):
-    return groups(scores(spark, sf_dir)).groupBy("policy").agg(F.count(F.lit(1)).alias("groups"), r6(F.avg(F.col("pass_1").cast("int"))).alias("pass_at_1"), r6(F.avg(F.col("pass_k").cast("int"))).alias("pass_at_k"), r6(F.avg("std")).alias("mean_std"), r6(F.avg("best")).alias("mean_best"))
+    return groups(totals(spark, sf_dir)).groupBy("policy").agg(F.count(F.lit(1)).alias("groups"), r6(F.avg(F.col("pass_1").cast("int"))).alias("pass_at_1"), r6(F.avg(F.col("pass_k").cast("int"))).alias("pass_at_k"), r6(F.avg("std")).alias("mean_std"), r6(F.avg("best")).alias("mean_best"))
 
 
 @query(f"{_G}, b AS (SELECT avg(mean) AS bar FROM g WHERE policy = '1') SELECT policy, round(avg((mean >= bar)::INT), 6) AS above_bar, round(avg(mean - bar), 6) + 0 AS margin FROM g, b GROUP BY policy")
 def grp_against_baseline(spark, sf_dir):
     """Groups that reach the mean of a named baseline policy."""
-    g = groups(scores(spark, sf_dir))
+    g = groups(totals(spark, sf_dir))
     bar = g.where("policy = '1'").agg(F.avg("mean").alias("bar"))
     j = g.join(F.broadcast(bar), F.lit(True))  # one row
     return j.groupBy("policy").agg(r6(F.avg((F.col("mean") >= F.col("bar")).cast("int"))).alias("above_bar"), (r6(F.avg(F.col("mean") - F.col("bar"))) + F.lit(0.0)).alias("margin"))
@@ -62,7 +62,7 @@ def grp_advantages(spark, sf_dir):
 @query(f"{_G} SELECT policy, count_if(std < 1e-6)::BIGINT AS flat_groups, count(*) AS groups FROM g GROUP BY policy")
 def flat_groups(spark, sf_dir):
     """Groups whose rewards have no spread teach nothing."""
-    return groups(scores(spark, sf_dir)).groupBy("policy").agg(F.count_if(F.col("std") < 1e-6).alias("flat_groups"), F.count(F.lit(1)).alias("groups"))
+    return groups(totals(spark, sf_dir)).groupBy("policy").agg(F.count_if(F.col("std") < 1e-6).alias("flat_groups"), F.count(F.lit(1)).alias("groups"))
 
 
 def verdicts(s: DataFrame) -> DataFrame:

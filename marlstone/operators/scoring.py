@@ -134,15 +134,24 @@ def prescribed(steps: DataFrame) -> DataFrame:
     return given.groupBy("episode_id").agg(F.expr("array_sort(collect_list(treatment_key))").alias("drugs"))
 
 
+#: The facts, in one array: uses that need different ones cannot be pruned apart.
+COUNTS = ("n_tests", "n_turns", *(f"{of}_{b}" for of in ("seen", "right") for b in BUCKETS))
+FACTS = ("paid", "paid_right", *(f"paid_{b}" for b in BUCKETS), "lo", "hi", *COUNTS)
+
+
 def with_bucket_priors(charged: DataFrame) -> DataFrame:
-    """Episode facts with the priors of the buckets (one row, broadcast).  Steps
-    without an episode count for the priors too; they are asked for apart, which
-    is next to nothing, as joins by episode leave them out: what both passes read
-    is then one shuffle."""
-    seen = lambda rows: facts(charged.where(rows)).agg(*[F.sum(f"seen_{b}").alias(b) for b in BUCKETS])
+    """Episode facts with the priors of the buckets (one row, broadcast).  Both
+    need all facts, which are shuffled for that: a row an episode is written, and
+    steps are sorted and summed once instead of twice.  Steps without an episode
+    count for the priors too; they are asked for apart, which is next to nothing,
+    as joins by episode leave them out: what both read is then one shuffle."""
+    kept = lambda rows: facts(rows).selectExpr("episode_id", f"array({', '.join(f'double({c})' for c in FACTS)}) AS facts").hint("rebalance", "episode_id")
+    at = {c: f"facts[{i}]" if c not in COUNTS else f"bigint(facts[{i}])" for i, c in enumerate(FACTS)}
+    seen = lambda rows: kept(charged.where(rows)).agg(*[F.expr(f"sum({at[f'seen_{b}']})").alias(b) for b in BUCKETS])
     both = seen("episode_id IS NOT NULL").unionByName(seen("episode_id IS NULL")).agg(*[F.sum(b).alias(b) for b in BUCKETS])
     total = sum((F.col(b) for b in BUCKETS[1:]), F.col(BUCKETS[0]))
-    return facts(charged).join(F.broadcast(both.select(*[(F.col(b) / total).alias(f"prior_{b}") for b in BUCKETS])), F.lit(True))
+    priors = both.select(*[(F.col(b) / total).alias(f"prior_{b}") for b in BUCKETS])
+    return kept(charged).selectExpr("episode_id", *[f"{e} AS {c}" for c, e in at.items()]).join(F.broadcast(priors), F.lit(True))
 
 
 def step_terms(cfg: RewardConfig = DEFAULT) -> dict[str, Column]:
@@ -212,12 +221,13 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prescriptions(b, drug_rules(spark, sf_dir)).select("episode_id", F.inline(violation_list()))
 
 
-def base(spark: SparkSession, sf_dir: str, more: Callable[[DataFrame], DataFrame] | None = None, n_said: int = 0) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str, more: Callable[[DataFrame], DataFrame] | None = None, n_said: int = 0, only: dict[str, Column] | None = None) -> DataFrame:
     """One row an episode with all that scores depend on, under any weights:
     steps are read once, reports are kept in closed form.  ``more`` adds columns
     to episodes while their stated reports and ``drugs`` are there; if one is
     ``said``, an array of ``n_said`` labels, ``told0``, ``told1``, ... are how well the
-    treatments fit each, on average."""
+    treatments fit each, on average.  ``only`` is what is kept of an episode
+    beside these: keys of a group are not pruned, so each column costs."""
     labels = view(spark, sf_dir, "label")
     truth = F.broadcast(labels.select(F.col("label").alias("condition"), "urgency", F.lit(True).alias("listed_label")))
     e = view(spark, sf_dir, "episode").join(truth, "condition", "left")
@@ -226,12 +236,15 @@ def base(spark: SparkSession, sf_dir: str, more: Callable[[DataFrame], DataFrame
     j = e.join(with_bucket_priors(view(spark, sf_dir, "charged")), "episode_id", "left").join(prescribed(view(spark, sf_dir, "step")), "episode_id", "left").join(r, "episode_id", "left")
     j = j.withColumns({"brier": stated_brier("condition"), "mass": mass_on("condition"), "declared": declared()})
     j = (more(j) if more else j).drop("names", "named", "unnamed", "share")
+    keep = [c for c in j.columns if c not in ("episode_id", "drugs", "lo", "hi", "said")]
+    if only is not None:
+        needed = ("condition", "declared", "patient_id", "drugs", "lo", "hi")
+        j, keep = j.select("episode_id", *needed, *[c.alias(n) for n, c in only.items() if n not in needed]), list(only)
     x = prescriptions(j, drug_rules(spark, sf_dir))
     app = lambda label: F.coalesce(F.col("fit_of")[label], F.lit(0.0))
     given = F.col("treatment_key").isNotNull()
     x = x.withColumns({"fit_declared": F.when(given, app(F.col("declared"))), "fit_truth": F.when(given, app(F.col("condition"))), "scale": F.when(given, contraindication()), "given": given, **{f"told{i}": F.when(given, app(F.get("said", F.lit(i)))) for i in range(n_said)}})
     # what an episode's rows have in common is part of the key: its sums then stay in one hash table
-    keep = [c for c in j.columns if c not in ("episode_id", "drugs", "lo", "hi", "said")]
     return x.groupBy("episode_id", *keep).agg(
         F.coalesce(F.avg("fit_declared"), F.lit(0.0)).alias("coherence"), F.coalesce(F.avg("fit_truth"), F.lit(0.0)).alias("correctness"),
         F.coalesce(F.sum("scale"), F.lit(0.0)).alias("contraindicated"), F.count_if("given").alias("n_drugs"), *[F.avg(f"told{i}").alias(f"told{i}") for i in range(n_said)],
@@ -239,21 +252,39 @@ def base(spark: SparkSession, sf_dir: str, more: Callable[[DataFrame], DataFrame
 
 
 def terms(cfg: RewardConfig = DEFAULT) -> dict[str, Column]:
-    """Every term of a row of :func:`base`, and the total; a total that is not
-    finite is an error."""
-    t = {"diagnosis": diagnosis(cfg), **step_terms(cfg)}
-    t["treatment"] = cfg.coherence_scale * F.col("coherence") + cfg.correctness_scale * F.col("mass") * F.col("correctness") - cfg.contraindication_penalty * F.col("contraindicated")
-    total = sum(t.values(), F.lit(0.0))
-    t["total"] = F.when(F.abs(total) < float("inf"), total).otherwise(F.raise_error(F.lit("a score is not finite")).cast("double"))
-    return t
+    """Every term of a row of :func:`base`, and the total."""
+    t = {"diagnosis": diagnosis(cfg), **step_terms(cfg), "treatment": treatment(cfg)}
+    return t | {"total": finite(sum(t.values(), F.lit(0.0)))}
+
+
+def treatment(cfg: RewardConfig = DEFAULT) -> Column:
+    """The term of an episode's prescriptions."""
+    return cfg.coherence_scale * F.col("coherence") + cfg.correctness_scale * F.col("mass") * F.col("correctness") - cfg.contraindication_penalty * F.col("contraindicated")
+
+
+def finite(total: Column) -> Column:
+    """A total; one that is not finite is an error."""
+    return F.when(F.abs(total) < float("inf"), total).otherwise(F.raise_error(F.lit("a score is not finite")).cast("double"))
 
 
 def scores(spark: SparkSession, sf_dir: str, cfg: RewardConfig = DEFAULT) -> DataFrame:
     """One row an episode with every term and the total."""
-    b = base(spark, sf_dir)
     keep = ["episode_id", "patient_id", "policy", "seed", "budget", "termination_reason", "condition"]
-    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return b.select(*keep, *[c.alias(n) for n, c in terms(cfg).items()], number("n_tests"), number("n_turns"))
+    early = {"diagnosis": diagnosis(cfg), **step_terms(cfg)}  # all but the treatment's
+    number = lambda c: F.coalesce(c, F.lit(0))
+    b = base(spark, sf_dir, only={c: F.col(c) for c in keep[1:]} | early | {"mass": F.col("mass"), "n_tests": number("n_tests"), "n_turns": number("n_turns")})
+    b = b.withColumn("treatment", treatment(cfg))
+    t = [*early, "treatment"]
+    return b.select(*keep, *t, finite(sum((F.col(c) for c in t), F.lit(0.0))).alias("total"), "n_tests", "n_turns")
+
+
+def totals(spark: SparkSession, sf_dir: str, cfg: RewardConfig = DEFAULT) -> DataFrame:
+    """Of :func:`scores` what groups of episodes need: patient_id, policy, seed,
+    termination_reason and total."""
+    keep = ["patient_id", "policy", "seed", "termination_reason"]
+    early = sum({"diagnosis": diagnosis(cfg), **step_terms(cfg)}.values(), F.lit(0.0))  # terms add up in the order of scores
+    b = base(spark, sf_dir, only={c: F.col(c) for c in keep} | {"early": early, "mass": F.col("mass")})
+    return b.select(*keep, finite(F.col("early") + treatment(cfg)).alias("total"))
 
 
 _PRIOR = f"""bp AS (SELECT CASE WHEN value_number < {LOW} THEN 'low' WHEN value_number > {HIGH} THEN 'high' ELSE 'normal' END AS prediction, count(*) * 1.0e0 / sum(count(*)) OVER () AS prior FROM charged WHERE cost_charged > 0 GROUP BY 1)"""

@@ -461,3 +461,33 @@ def test_a_fitted_table_may_lack_pairs(spark):
         h = -sum(a * np.log(a) for a in w / w.sum() if a > 0)
         top, total = top + w.sum() * h, total + w.sum()
     assert abs(got[2, 1] - top / total) < 1e-9 and abs(got[2, 4]) < 1e-12  # only one label knows the last value
+
+
+def test_a_gate_that_is_amended_scores_its_episodes_once(spark):
+    from marlstone.plans.registry import QUERIES
+
+    df = QUERIES["gate_inherit"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [row_number()") == 3  # facts, priors of the buckets, and of these the steps without an episode
+    assert {r.criterion: r.changed for r in df.collect()} == {"1": True, "2": False, "3": True, "4": False, "5": False, "new": True}
+
+
+def test_priors_read_the_facts_of_the_scores(spark):
+    from marlstone.operators.scoring import with_bucket_priors
+    from marlstone.sources.views import view
+
+    rows = with_bucket_priors(view(spark, "/root/testdata/sf0.01", "charged")).where("episode_id IS NOT NULL")
+    got = rows.agg(*[F.sum(f"seen_{b}").alias(b) for b in ("low", "normal", "high")], F.max("prior_low").alias("prior")).first()
+    assert got.low and abs(got.prior - got.low / (got.low + got.normal + got.high)) < 1e-12
+    rows.collect()
+    final = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "REBALANCE" in final and any("ReusedExchange" in x and "facts#" in x for x in final.splitlines())
+
+
+def test_totals_are_those_of_the_scores(spark):
+    from marlstone.operators.scoring import base, scores, terms, totals
+
+    sf, key = "/root/testdata/sf0.01", ("patient_id", "policy", "seed", "termination_reason", "total")
+    want = base(spark, sf).withColumn("total", terms()["total"])
+    rows = [sorted(map(tuple, x.select(*key).collect())) for x in (want, totals(spark, sf), scores(spark, sf))]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 1_000
