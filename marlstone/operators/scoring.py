@@ -24,15 +24,20 @@ def weight(urgency: Column, cfg: RewardConfig = DEFAULT) -> Column:
     return F.when(urgency == 1, cfg.weight_1).when(urgency == 2, cfg.weight_2).when(urgency == 3, cfg.weight_3).when(urgency == 4, cfg.weight_4).otherwise(F.raise_error(F.concat(F.lit("urgency "), urgency.cast("string"))))
 
 
-def report_violations(reports: DataFrame, labels: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """(episode_id, label, violation) of entries (episode_id, label, p) that
-    name an unknown label or whose p is negative, not finite or missing; with
-    ``asked`` (episode_id), also of episodes that have no entry at all."""
+def checked(reports: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries (episode_id, label, p) with the violation of each, or null: it
+    names an unknown label, or its p is negative, not finite or missing."""
     known = F.broadcast(labels.select("label", F.lit(True).alias("known")))  # a dimension
     j = reports.join(known, "label", "left")
     p = F.col("p")
     kind = F.when(F.col("known").isNull(), "unknown_label").when(p.isNull() | F.isnan(p) | (F.abs(p) == float("inf")), "not_finite").when(p < 0, "negative")
-    bad = j.select("episode_id", "label", kind.alias("violation")).where("violation IS NOT NULL")
+    return j.select("episode_id", "label", kind.alias("violation"))
+
+
+def report_violations(reports: DataFrame, labels: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(episode_id, label, violation) of the entries of :func:`checked` that have
+    one; with ``asked`` (episode_id), also of episodes that have no entry at all."""
+    bad = checked(reports, labels).where("violation IS NOT NULL")
     if asked is None:
         return bad
     none = asked.select("episode_id").join(reports, "episode_id", "left_anti")
@@ -51,8 +56,8 @@ def stated(reports: DataFrame, labels: DataFrame) -> DataFrame:
     known = F.broadcast(labels.selectExpr("label", "true AS known"))
     wrong = "known IS NULL OR p IS NULL OR isnan(p) OR abs(p) = double('infinity') OR p < 0"
     told = "concat('bad entry of a report: ', coalesce(label, 'null'), ' ', coalesce(CAST(p AS STRING), 'null'))"
-    checked = reports.join(known, "label", "left").selectExpr("episode_id", "label", f"CASE WHEN {wrong} THEN CAST(raise_error({told}) AS DOUBLE) ELSE p END AS p")
-    per = checked.repartition("episode_id").groupBy("episode_id", "label").agg(F.sum("p").alias("p"))  # one shuffle for both groups
+    sure = reports.join(known, "label", "left").selectExpr("episode_id", "label", f"CASE WHEN {wrong} THEN CAST(raise_error({told}) AS DOUBLE) ELSE p END AS p")
+    per = sure.repartition("episode_id").groupBy("episode_id", "label").agg(F.sum("p").alias("p"))  # one shuffle for both groups
     r = per.groupBy("episode_id").agg(F.expr("sum(p)").alias("total"), F.expr("count(1)").alias("k"), F.expr("sort_array(collect_list(struct(label, p)))").alias("named"))
     r = r.join(F.broadcast(every), F.lit(True)).selectExpr("*", "size(names) - k AS unnamed")
     down = "(total > 1 OR (unnamed = 0 AND total > 0))"
@@ -84,10 +89,12 @@ def mass_on(label: str) -> Column:
 
 
 def declared() -> Column:
-    """The label with most mass in a stated report; of equals the first."""
+    """The label with most mass in a stated report; of equals the first.  Labels
+    that are not named are looked for only if their share can win."""
     first = "array_except(names, transform(named, x -> x.label))"
     rest = f"CASE WHEN size({first}) > 0 THEN array(named_struct('p', -share, 'label', get({first}, 0))) ELSE CAST(array() AS array<struct<p:double,label:string>>) END"
-    return F.expr(f"array_min(concat(transform(named, x -> named_struct('p', -x.p, 'label', x.label)), {rest})).label")
+    own = "transform(named, x -> named_struct('p', -x.p, 'label', x.label))"
+    return F.expr(f"CASE WHEN array_min({own}).p < -share THEN array_min({own}).label ELSE array_min(concat({own}, {rest})).label END")
 
 
 def stated_brier(label: str) -> Column:

@@ -491,3 +491,34 @@ def test_totals_are_those_of_the_scores(spark):
     want = base(spark, sf).withColumn("total", terms()["total"])
     rows = [sorted(map(tuple, x.select(*key).collect())) for x in (want, totals(spark, sf), scores(spark, sf))]
     assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 1_000
+
+
+def test_filed_reports_are_read_once_and_judged_as_before(spark):
+    from marlstone.operators.evaluation import valid_fractions
+    from marlstone.sources.views import SQL, view
+
+    sf = "/root/testdata/sf0.01"
+    plain = spark.sql(SQL["filed"], report=view(spark, sf, "report"))
+    want, got = (sorted(map(str, x.collect())) for x in (plain, view(spark, sf, "filed")))
+    assert want == got and plain.schema.simpleString() == view(spark, sf, "filed").schema.simpleString()
+    plan = valid_fractions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("orders.parquet") == 3  # who is asked, and the two kinds of entries
+
+
+def test_an_asked_episode_needs_a_good_report(spark, tmp_path):
+    from datetime import datetime
+
+    from marlstone.operators.evaluation import valid_fractions
+
+    # 1: good; 71: nothing is filed; 97 and 89: a bad entry beside good ones; no number; not asked
+    rows = [(i, 3, "F", 1.0, datetime(2000, 1, 1), "1-URGENT") for i in (1, 71, 97, 89, None)] + [(2, 3, "O", 1.0, datetime(2000, 1, 1), "2-HIGH")]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(10).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [tuple(r) for r in valid_fractions(spark, str(tmp_path)).collect()] == [("1", 0.25)]
+
+
+def test_a_declared_label_may_be_one_that_is_not_named(spark):
+    entry = "named array<struct<label:string,p:double>>, share double, want string"
+    rows = [([("b", 0.6)], 0.2, "b"), ([("b", 0.1)], 0.45, "a"), ([("c", 0.4)], 0.4, "a"), ([("a", 0.5), ("b", 0.5), ("c", 0.0)], 0.0, "a"), ([("b", 0.0), ("a", 0.0)], 0.5, "c"), ([], 1 / 3, "a")]
+    for r in spark.createDataFrame(rows, entry).withColumn("names", F.array(*map(F.lit, "abc"))).select("want", declared().alias("got")).collect():
+        assert r.got == r.want
