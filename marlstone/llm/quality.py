@@ -115,12 +115,13 @@ def pooled(sk: DataFrame) -> DataFrame:
     both = lambda k: [F.sum(c).alias(c) for c in k]
     weighed = sk.withColumns({"w": ROW * F.col("n"), "e": ROW * F.col("e")})
     everything = weighed.groupBy("ratio", "bucket").agg(*both(("w", "e")))  # some thousand rows at most: buckets are log-linear
-    everything = everything.withColumn("rows", F.sum("w").over(W.partitionBy("ratio"))).selectExpr("ratio AS r", "bucket", f"({ROW * BORROWED} * w) div rows AS w", f"({ROW * BORROWED} * e) div rows AS e")
+    part = lambda c, lot, rows: f"(CAST({lot} AS DECIMAL(10,0)) * {c}) div ({rows}) AS {c}"  # noqa: E731  the product of a large table's sum is beyond 64 bits
+    everything = everything.withColumn("rows", F.sum("w").over(W.partitionBy("ratio"))).selectExpr("ratio AS r", "bucket", *[part(c, ROW * BORROWED, "rows") for c in ("w", "e")])
     rows = sk.groupBy("lang", "ratio").agg(F.sum("n").alias("rows"))
     lent = rows.join(F.broadcast(everything), F.col("ratio") == F.col("r")).select("lang", "ratio", "bucket", "w", "e")
     lang = weighed.select("lang", "ratio", "bucket", "w", "e").unionByName(lent).groupBy("lang", "ratio", "bucket").agg(*both(("w", "e")))
     share = lang.alias("l").join(rows.alias("r"), F.col("l.lang").eqNullSafe(F.col("r.lang")) & (F.col("l.ratio") == F.col("r.ratio")))
-    share = share.selectExpr("l.lang AS m_lang", "l.ratio AS m_ratio", "bucket", f"({BORROWED} * w) div (rows + {BORROWED}) AS w", f"({BORROWED} * e) div (rows + {BORROWED}) AS e")
+    share = share.selectExpr("l.lang AS m_lang", "l.ratio AS m_ratio", "bucket", *[part(c, BORROWED, f"rows + {BORROWED}") for c in ("w", "e")])
     groups = sk.select("lang", "source", "ratio").distinct()
     lent = groups.join(share, F.col("lang").eqNullSafe(F.col("m_lang")) & (F.col("ratio") == F.col("m_ratio"))).select("lang", "source", "ratio", "bucket", "w", "e")
     own = weighed.select("lang", "source", "ratio", "bucket", "w", "e")

@@ -118,6 +118,28 @@ def test_quality_fences_follow_their_groups(spark):
     assert np.mean([kept[i] for i in kept if i < 2000 or i >= 4000]) > 0.98
 
 
+def test_quality_sketches_of_a_large_table(spark):
+    """Sums of events of some millions of documents, as whole numbers."""
+    rows = [("en", "a", "dup_milli", 0, 2_500_000, 215_000_000_000), ("en", "b", "dup_milli", 0, 7, 7_000_000), ("en", "b", "dup_milli", 248, 15_000, 930_000_000), ("fr", None, "dup_milli", 0, 10, 10_000_000)]
+    sk = spark.createDataFrame(rows, "lang string, source string, ratio string, bucket long, n long, e long")
+    one, lot = quality.ROW, quality.BORROWED
+    every, total = Counter(), sum(r[4] for r in rows)
+    for *_, bucket, n, e in rows:
+        every.update({(bucket, 0): n, (bucket, 1): e})
+    lang = Counter({("en", *k): one * lot * v // total for k, v in every.items()} | {("fr", *k): one * lot * v // total for k, v in every.items()})
+    for l, _, _, bucket, n, e in rows:
+        lang.update({(l, bucket, 0): one * n, (l, bucket, 1): one * e})
+    want = Counter()
+    for l, source in {r[:2] for r in rows}:
+        own = sum(r[4] for r in rows if r[0] == l)
+        want.update({(l, source, *k[1:]): lot * v // (own + lot) for k, v in lang.items() if k[0] == l})
+    for l, source, _, bucket, n, e in rows:
+        want.update({(l, source, bucket, 0): one * n, (l, source, bucket, 1): one * e})
+    got = {(r.lang, r.source, r.bucket): (r.w, r.e) for r in quality.pooled(sk).collect()}
+    assert got == {k[:3]: (float(want[*k[:3], 0]), float(want[*k[:3], 1])) for k in want if want[*k[:3], 0] > 0}
+    assert quality.fences(sk).count() == 3
+
+
 def test_shards_move_only_into_what_grows(spark):
     ids = docs(spark, [(i, "t", "en", "s") for i in range(5000)])
     got = sharding.sharded(ids).collect()
