@@ -18,10 +18,12 @@ Buckets read their own filters back to find S, so a level read too high counts
 there too, and the probabilities after a word sum to 1 but for unseen bigrams
 that are taken for seen ones: by V * 1e-6 / (S + MU) in the mean of V words.
 
-Filters grow with the number of bigrams.  Where they and the exact table of
-words (counts for the base score, S) stay below counted bounds they are
-broadcast.  Beyond, distinct bigrams are probed in their bucket and their
-probabilities joined to the documents by shuffle; scores are the same.
+Filters grow with the number of bigrams.  Over little text, and where they and
+the exact table of words (counts for the base score, S) stay below counted bounds,
+they are broadcast.  Over more, :func:`exchanged` builds and probes them in their
+bucket, and documents ask for what they need, chunk by chunk.  A model that was
+made elsewhere and is beyond the bounds is joined bigram by bigram (:func:`scored`),
+which takes many times the text's size of disk.
 
 Edge cases: a null text has the end token only; a null doc_id is crc32 of an
 empty string and trains; rows that repeat train and are scored each; with no
@@ -35,6 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import documents, give_back, shipped, tidy, written
@@ -463,6 +466,277 @@ def scored(docs: DataFrame, model: DataFrame, broadcast_bytes: int = BROADCAST_B
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+#: Text in a chunk of documents, and per bucket of words; training text up to
+#: which the model is made to be broadcast.
+CHUNK_BYTES, WORD_BUCKET_BYTES, SMALL_BYTES = 16_000_000, 8_000_000, 100_000_000
+#: Chunks that the words with followers in all buckets are looked for in.
+SAMPLED_CHUNKS = 8
+#: Bytes of a bigram as it is sent, beside its history; 40 million of one word
+#: take another for one of them once in 7 million.
+WIRE = 6
+_WIRE = _U(HASH_BITS - 8 * WIRE)
+_CHUNK = "chunk long, doc_id array<bigint>, held_out array<boolean>, ends binary, texts binary"
+_ASKED = "bucket int, chunk long, words binary, word_counts binary, n int, steps binary, bigrams binary, counts binary"
+_ANSWER = "chunk long, bucket int, counts binary, masses binary, levels binary, n_tokens long, n_unigrams long, names binary, shares binary"
+
+
+def _narrow(a: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes each that hold all, compressed."""
+    top = int(a.max(initial=0))
+    width = 1 if top < 2**8 else 2 if top < 2**16 else 4 if top < 2**32 else 8
+    return bytes([width]) + pa.compress(a.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)
+
+
+def _wide(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(memoryview(b)[1:], n * b[0], "zstd"), f"<u{b[0]}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _one(values: pa.Array) -> pa.Array:
+    """An array as one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, held_out, text) to one row for each ``CHUNK_BYTES`` of text."""
+    codec, task, k = pa.Codec("zstd", 3), TaskContext.get().partitionId(), 0
+    held: list[tuple] = []
+    size = 0
+
+    def row() -> pa.RecordBatch:
+        ids, out, data, sizes = zip(*held)
+        columns = [pa.array([(task << 32) + k]), _one(pa.concat_arrays(ids)), _one(pa.concat_arrays(out)), pa.array([np.cumsum(np.concatenate(sizes)).tobytes()]), pa.array([codec.compress(np.concatenate(data).tobytes(), asbytes=True)])]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "held_out", "ends", "texts"])
+
+    for b in batches:
+        for lo, hi, data, offsets in slices(b.column(2), CHUNK_BYTES):
+            if held and size + len(data) > CHUNK_BYTES:
+                yield row()
+                held, size, k = [], 0, k + 1
+            held.append((b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), data, np.diff(offsets)))
+            size += len(data)
+    if held:
+        yield row()
+
+
+def _order(a: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of whole numbers of so many bits: numbers are sorted with
+    their places in the low bits, which is several times as fast as argsort; what
+    the bits left for the numbers don't tell apart is then put right."""
+    low = max(1, (len(a) - 1).bit_length())
+    cut = max(0, bits + low - 64)
+    top = (a.astype(np.uint64) >> _U(cut)) << _U(low)
+    top |= np.arange(len(a), dtype=np.uint64)
+    top.sort()
+    order = (top & _U(2**low - 1)).astype(np.int64)
+    if cut:
+        top >>= _U(low)
+        there = a[order]
+        for x in np.unique(top[np.flatnonzero(there[1:] < there[:-1])]):
+            i, k = np.searchsorted(top, x), np.searchsorted(top, x, "right")
+            order[i:k] = order[i:k][np.argsort(there[i:k], kind="stable")]
+    return order
+
+
+def _told_apart(a: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, and which of them each is."""
+    order = _order(a, bits)
+    there = a[order]
+    head = np.ones(len(a), bool)
+    head[1:] = there[1:] != there[:-1]
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(head) - 1
+    return there[head], which
+
+
+class Chunk:
+    """A chunk's tokens and what it asks of each bucket: its words, and its
+    distinct bigrams in the order of their histories.  A bigram is asked for where
+    its history is, so that a bucket has all that follows a word; what follows one
+    of ``spread`` (words with very many bigrams, sorted) is dealt to all buckets."""
+
+    def __init__(self, row: dict, buckets: int, spread: np.ndarray):
+        offsets = np.concatenate([[0], np.frombuffer(row["ends"], np.int64)])
+        data = pa.Codec("zstd").decompress(row["texts"], int(offsets[-1]))
+        texts = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), data])
+        parts = [tokens(some, own) for _, _, some, own in slices(texts)]
+        firsts = np.cumsum([0, *(len(p[0]) for p in parts)])
+        self.at = np.concatenate([p[2] + n for p, n in zip(parts, firsts)])
+        self.words, self.word = _told_apart(np.concatenate([p[0] for p in parts]), HASH_BITS)
+        del parts
+        self.lengths = np.diff(self.at, append=len(self.word))
+        trained = np.repeat(~np.array(row["held_out"], bool), self.lengths)
+        self.word_counts = np.bincount(self.word[trained], minlength=len(self.words))
+        self.word_ends = np.searchsorted(bucket_of(self.words, buckets).astype(np.int64), np.arange(buckets + 1))
+        wide = (len(self.words)).bit_length()
+        pair = np.empty(len(self.word), np.int64)
+        pair[1:] = self.word[:-1] << wide
+        pair[self.at] = len(self.words) << wide
+        pair |= self.word
+        pairs, self.gram = _told_apart(pair, 2 * wide)
+        names = np.append(self.words, START >> _KEEP)
+        before = pairs >> wide
+        grams = bigrams(names[before], self.words[pairs & (2**wide - 1)])
+        place = np.minimum(np.searchsorted(spread, names), len(spread) - 1)
+        dealt = (spread[place] == names)[before]
+        mine, theirs = np.flatnonzero(~dealt), np.flatnonzero(dealt)
+        bucket = bucket_of(grams[theirs], buckets).astype(np.int64)
+        theirs = theirs[_order(bucket * len(spread) + place[before[theirs]], 62)] if len(theirs) else theirs
+        order = np.concatenate([mine, theirs])
+        # of each bucket: the end of what follows words of its own, and of what is dealt to it
+        self.ends = np.searchsorted(before[mine], self.word_ends), np.searchsorted(np.sort(bucket), np.arange(buckets + 1)) + len(mine)
+        self.grams = grams[order] >> _WIRE
+        self.names_at = np.concatenate([before[mine], place[before[theirs]]])
+        self.counts = np.bincount(self.gram[trained], minlength=len(order))[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.gram = rank[self.gram]
+
+    def of(self, b: int) -> tuple[slice, slice, slice]:
+        """Places of a bucket: its words, what follows them, what else is dealt to it."""
+        own, more = self.ends
+        return slice(*self.word_ends[b : b + 2]), slice(*own[b : b + 2]), slice(*more[b : b + 2])
+
+    def asks(self, chunk: int) -> Iterator[tuple]:
+        """Rows of ``_ASKED``."""
+        for b in range(len(self.word_ends) - 1):
+            w, x, y = self.of(b)
+            both = lambda a: np.concatenate([a[x], a[y]])  # noqa: B023, E731
+            n = x.stop - x.start + y.stop - y.start
+            if n or w.stop > w.start:
+                at = np.concatenate([self.names_at[x] - w.start, self.names_at[y] + (w.stop - w.start)])
+                wire = both(self.grams).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIRE]
+                yield b, chunk, self.words[w].tobytes(), _narrow(self.word_counts[w]), int(n), _narrow(np.diff(at, prepend=0)), wire.tobytes(), _narrow(both(self.counts))
+
+
+def _table(rows: list[tuple], schema: str) -> dict[str, pa.Array]:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    return {n: pa.array(list(c), types[k]) for n, k, c in zip(names, kinds, zip(*rows) if rows else [()] * len(names), strict=True)}
+
+
+def _asking(buckets: int, spread: np.ndarray):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                yield pa.RecordBatch.from_pydict(_table(list(Chunk(row, buckets, spread).asks(row["chunk"])), _ASKED))
+
+    return rows
+
+
+def _answering(spread: np.ndarray):
+    """A bucket's filters from what all chunks have of its bigrams, and what each
+    chunk reads of them, with its words' counts and S."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        asked = t.to_pylist()
+        words = [np.frombuffer(r["words"], np.uint64) for r in asked]
+        every, word = _told_apart(np.concatenate(words), HASH_BITS)
+        count = np.bincount(word, np.concatenate([_wide(r["word_counts"], len(w)) for r, w in zip(asked, words)]), len(every)).astype(np.int64)
+        wires = [np.frombuffer(r["bigrams"], np.uint8).reshape(-1, WIRE) for r in asked]
+        keys = np.zeros((sum(map(len, wires)), 8), np.uint8)
+        np.concatenate(wires, out=keys[:, :WIRE])
+        names = np.concatenate([np.concatenate([w, spread])[np.cumsum(_wide(r["steps"], r["n"]))] for r, w in zip(asked, words)])
+        keys, which = _told_apart(bigrams(names, keys.view("<u8").ravel()), HASH_BITS)
+        of_key = np.empty(len(keys), np.uint64)
+        of_key[which] = names
+        names = of_key
+        counts = np.bincount(which, np.concatenate([_wide(r["counts"], r["n"]) for r in asked]), len(keys)).astype(np.int64)
+        seen = counts > 0
+        parts = filters(keys[seen], levels_of(counts[seen]))
+        f = Filter(1, tuple(len(p) // 8 for p in parts))
+        f.put(0, *parts)
+        level = f.level(keys)
+        name, own = np.unique(names[seen], return_inverse=True)
+        mass = np.bincount(own, _VALUE[level[seen]], len(name)).astype(np.int64)
+        i = np.minimum(np.searchsorted(name, every), max(len(name) - 1, 0))
+        s = np.where(name[i] == every, mass[i], 0) if len(name) else np.zeros(len(every), np.int64)
+        dealt = np.isin(name, spread)
+        out, x, k = [], 0, 0
+        for r, w in zip(asked, words):
+            mine = word[x : x + len(w)]
+            more = (0, 0, b"", b"") if out else (int(count.sum()), int((count > 0).sum()), name[dealt].tobytes(), mass[dealt].tobytes())
+            out.append((r["chunk"], r["bucket"], _narrow(count[mine]), _narrow(s[mine]), _narrow(level[which[k : k + r["n"]]]), *more))
+            x, k = x + len(w), k + r["n"]
+        return pa.table(_table(out, _ANSWER))
+
+    return answer
+
+
+def _scoring(buckets: int, spread: np.ndarray, mass: np.ndarray, n: int, v: int):
+    """A chunk and the answers it got, to its documents' scores."""
+
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        own = Chunk(row, buckets, spread)
+        count, s = np.zeros((2, len(own.words)), np.int64)
+        level = np.zeros(len(own.grams), np.uint8)
+        for r in answers.to_pylist():
+            w, x, y = own.of(r["bucket"])
+            words, mine, theirs = (k.stop - k.start for k in (w, x, y))
+            count[w], s[w], read = _wide(r["counts"], words), _wide(r["masses"], words), _wide(r["levels"], mine + theirs)
+            level[x], level[y] = read[:mine], read[mine:]
+        i = np.minimum(np.searchsorted(spread, own.words), len(spread) - 1)
+        s = np.where(spread[i] == own.words, mass[i], s)
+        before = np.concatenate([[0], s[own.word[:-1]]])
+        before[own.at] = mass[np.searchsorted(spread, START >> _KEEP)]
+        c = count[own.word]
+        first = (c + 1) / (n + v + 1)
+        p = (_VALUE[level[own.gram]] + MU * first) / (before + MU)
+        sums = [np.add.reduceat(x, own.at) for x in ((c > 0).astype(np.int64), np.log10(first), np.log10(p))]
+        return pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": own.lengths, "n_known": sums[0], "base_score": sums[1], "score": sums[2]})
+
+    return score
+
+
+def _frequent(buckets: int):
+    """Words of chunks that are frequent enough to fill half a bucket by
+    themselves, if they are so everywhere (h, n), and all tokens (h null)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                own = Chunk(row, 1, np.array([START >> _KEEP]))
+                n = np.bincount(own.word)
+                often = n * (2 * buckets) >= n.sum()
+                yield pa.RecordBatch.from_arrays([pa.array([*own.words[often].astype(np.int64).tolist(), None], pa.int64()), pa.array([*n[often].tolist(), int(n.sum())], pa.int64())], names=["h", "n"])
+
+    return rows
+
+
+def exchanged(docs: DataFrame) -> DataFrame:
+    """:func:`scored` by the model of ``docs`` itself, of which nothing is gathered
+    or kept: chunks of documents ask the buckets of the hash range for what they
+    need, each of their words and bigrams once, and buckets build their filters
+    from what they are asked.  An answer is a byte a bigram, in the order of the
+    question, so texts are laid out anew to read it and no bigram is written back."""
+    shipped(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, -(-size // WORD_BUCKET_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    chunks = written(rows.mapInArrow(tidy(_chunked), _CHUNK), "chunks")
+    # which words are dealt to all buckets changes the load alone, no result
+    some = max(1, size // CHUNK_BYTES // SAMPLED_CHUNKS)
+    often = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(some)) == 0).mapInArrow(tidy(_frequent(buckets)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
+    most = sum(r.n for r in often if r.h is None)
+    spread = np.unique(np.array([int(START >> _KEEP), *(r.h for r in often if r.h is not None and r.n * 2 * buckets >= most)], np.uint64))
+    asked = chunks.mapInArrow(tidy(_asking(buckets, spread)), _ASKED)
+    answers = written(asked.groupBy("bucket").applyInArrow(_answering(spread), _ANSWER), "answers")
+    sizes = answers.agg(F.sum("n_tokens"), F.sum("n_unigrams")).first()
+    n, v = (x or 0 for x in sizes)
+    shares = answers.where(F.octet_length("names") > 0).select("names", "shares").mapInArrow(_pairs(("name", "m")), "name long, m long").groupBy("name").agg(F.sum("m").alias("m")).collect()
+    mass = np.zeros(len(spread), np.int64)
+    mass[np.searchsorted(spread, np.array([r.name for r in shares], np.uint64))] = [r.m for r in shares]
+    told = answers.select("chunk", "bucket", "counts", "masses", "levels")
+    out = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scoring(buckets, spread, mass, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def learned(docs: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """:func:`scored` by the model of ``docs`` itself: broadcast if its text is
+    small, else asked for by shuffles."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return scored(docs, trained(docs)) if size <= most else exchanged(docs)
+
+
 def op6_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return scored(docs, trained(docs))
+    return learned(documents(spark, sf_dir))

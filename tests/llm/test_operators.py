@@ -546,6 +546,38 @@ def test_scores_by_brute_force(spark):
             assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(ts, ts[1:])), rel=0.02)
 
 
+def test_scores_by_exchange(spark, odd, empty, monkeypatch):
+    """What chunks ask buckets for gives the scores of the broadcast model, with
+    and without words that follow a frequent one."""
+    rng = random.Random(13)
+    rows = [(i, " ".join("the" if rng.random() < 0.3 else f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(90))), "en", "s") for i in range(300)] + [(770, None, "en", "s"), (None, "W1 w2", "en", "s"), (771, "w1 w2 w1", "en", "s"), (771, "w1 w2 w1", "en", "s")]
+    monkeypatch.setattr(lm, "WORD_BUCKET_BYTES", 1000)
+    for d in (docs(spark, rows).repartition(3).localCheckpoint(), odd, empty):
+        key = lambda r: (str(r.doc_id), r.n_tokens, r.base_score)
+        want, got = (sorted(x.collect(), key=key) for x in (lm.scored(d, lm.trained(d)), lm.exchanged(d)))
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert [r.base_score for r in got] == pytest.approx([r.base_score for r in want], rel=1e-9)
+        off = [abs(g.score - w.score) for g, w in zip(got, want)]  # levels may be read too high, which few are
+        assert all(x < 1 + 0.003 * r.n_tokens for x, r in zip(off, got)) and (len(off) < 100 or sum(x > 0.05 for x in off) < 0.2 * len(off))
+    assert lm.learned(docs(spark, rows), 0).count() == len(rows)
+
+
+def test_exchange_sends_and_keeps_little(spark, tmp_path, monkeypatch):
+    """What a document needs of the model is not written bigram by bigram."""
+    d = docs(spark, [(i, words(i, 2000, 30_000), "en", "s") for i in range(400)])
+    put = []
+
+    def kept(df, tag):
+        df.write.parquet(path := str(tmp_path / f"{tag}{len(put)}"))
+        put.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(lm, "written", kept)
+    assert lm.learned(d, 0).count() == 400
+    text = sum(len(r.text) for r in d.collect())
+    assert sum(p.stat().st_size for path in put for p in Path(path).rglob("*.parquet")) < text
+
+
 def test_probabilities_after_a_word_sum_to_one(spark):
     rows = [(i, words(i, 200, 300) + " rare" * (i == 5), "en", "s") for i in range(50)]
     d = docs(spark, rows)
