@@ -18,8 +18,18 @@ PROBABILITY = r"^(0|1|0\.[0-9]{1,9})$"
 
 
 def probability(p: Column) -> Column:
-    """A probability on the wire: nine decimals at most, no trailing zeros."""
-    return F.regexp_replace(F.format_string("%.9f", p), r"\.?0+$", "")
+    """A probability on the wire: nine decimals at most, no trailing zeros.  The
+    number itself is rounded, halves to even; ``format_string`` rounds the shortest
+    decimals that name it, and takes 0.0677604365, which is below the half, up."""
+    high = (p * 134217729.0) - (p * 134217729.0 - p)  # the leading 26 bits: their product is exact
+    whole = p * 1e9
+    rest = (high * 1e9 - whole) + (p - high) * 1e9  # what the product above has lost
+    units = F.floor(whole)
+    over = whole - units - 0.5
+    up = (over > 0) | ((over == 0) & ((rest > 0) | ((rest == 0) & (units % 2 == 1))))
+    n = units + up.cast("long")
+    text = F.concat(F.floor(n / 1_000_000_000).cast("string"), F.lit("."), F.lpad((n % 1_000_000_000).cast("string"), 9, "0"))
+    return F.regexp_replace(F.when(p.between(0, 1), text).otherwise(F.format_string("%.9f", p)), r"\.?0+$", "")
 
 
 @query(f"WITH {RANKED} SELECT key, label, regexp_replace(format('{{:.9f}}', p), '\\.?0+$', '') AS wire FROM rk")

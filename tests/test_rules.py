@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -13,6 +15,7 @@ from marlstone.operators.groups import balanced
 from marlstone.operators import categorical, ordering
 from marlstone.operators.scoring import brier, completed, declared, diagnosis, folded, mass_on, report_violations, stated, stated_brier, terms
 from marlstone.operators.text import grounding_findings, leaks, ngrams, scrubbed, similarity, squashed
+from marlstone.operators.training import probability
 from marlstone.plans.config import RewardConfig
 from marlstone.sources import dimensions, episode_log as log, sinks
 from marlstone.sources.resources import strictly
@@ -522,3 +525,12 @@ def test_a_declared_label_may_be_one_that_is_not_named(spark):
     rows = [([("b", 0.6)], 0.2, "b"), ([("b", 0.1)], 0.45, "a"), ([("c", 0.4)], 0.4, "a"), ([("a", 0.5), ("b", 0.5), ("c", 0.0)], 0.0, "a"), ([("b", 0.0), ("a", 0.0)], 0.5, "c"), ([], 1 / 3, "a")]
     for r in spark.createDataFrame(rows, entry).withColumn("names", F.array(*map(F.lit, "abc"))).select("want", declared().alias("got")).collect():
         assert r.got == r.want
+
+
+def test_probabilities_are_rounded_as_they_are(spark):
+    """Beside a half in the tenth decimal, the number decides, not its name."""
+    rng = random.Random(3)
+    p = [0.0, 1.0, 0.5, 0.0677604365, 0.0135704595, 1e-12, 5e-10, 4.9999e-10, 0.9999999996, 0.9999999994]
+    p += [float(f"0.{rng.randrange(10**9):09d}5") for _ in range(3000)] + [rng.random() ** 8 for _ in range(3000)] + [k / 2**10 for k in range(1025)]
+    got = spark.createDataFrame(list(enumerate(p)), "i int, p double").select("i", probability(F.col("p")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: re.sub(r"\.?0+$", "", f"{x:.9f}") for i, x in enumerate(p)}
